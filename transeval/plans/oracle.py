@@ -1,0 +1,232 @@
+"""DuckDB SQL twins of the registered queries (same tables, same column names).
+
+The SQL is written out per query; small Python helpers only paste in shared pieces
+(the table bindings of ``transeval.sources.bindings`` and Python-exact string helpers).
+"""
+
+from __future__ import annotations
+
+from transeval import constants as K
+from transeval.functions.compare import MAX_ROUND_DIGITS
+from transeval.functions.text import LINE_BREAK_CHARS, PY_WHITESPACE
+from transeval.sources.bindings import LANG_MAP, TEST_ORDER, VERDICT_OF_EVENT
+
+ORACLE: dict[str, str] = {}
+
+
+def chars(s: str) -> str:
+    """SQL expression for an arbitrary string: printable runs quoted, others via chr()."""
+    parts, run = [], ""
+    for ch in s:
+        if ch.isprintable() and ch != "'" and ord(ch) < 0x80:
+            run += ch
+        else:
+            if run:
+                parts.append(f"'{run}'")
+                run = ""
+            parts.append(f"chr({ord(ch)})")
+    if run:
+        parts.append(f"'{run}'")
+    return "(" + " || ".join(parts) + ")" if parts else "''"
+
+
+WS = chars(PY_WHITESPACE)
+
+
+def strip(x: str) -> str:
+    return f"trim({x}, {WS})"
+
+
+def lit(s: str) -> str:
+    return chars(s)
+
+
+# ------------------------------------------------------------------ bindings
+def lang_case(col: str) -> str:
+    whens = " ".join(f"when '{a}' then '{b}'" for a, b in LANG_MAP)
+    return f"(case {col} {whens} else 'C' end)"
+
+
+BT = f"""bt as (select cast(doc_id as varchar) as task_id, {lang_case('lang')} as language,
+                text as code, source, doc_id from documents)"""
+
+BS = """bs as (select cast(conv_id as varchar) as task_id, cast(turn as varchar) as completion_id,
+                cast(turn as integer) as completion_idx,
+                cast(conv_id as varchar) || '/' || cast(turn as varchar) || '.py' as identifier,
+                text as solution, conv_id
+         from conversations where role = 'assistant')"""
+
+BS_TASKS = "bs_tasks as (select distinct cast(conv_id as varchar) as task_id from conversations)"
+
+_EV = " ".join(f"when '{a}' then '{b}'" for a, b in VERDICT_OF_EVENT)
+BV = f"""bv as (select cast(user_id as varchar) as task_id, cast(event_id as varchar) as completion_id,
+                case when value < 1.0 then null else (case event_type {_EV} end) end as verdict,
+                event_id, user_id, ts, props, value from events)"""
+
+BC = """bc as (select c.c_mktsegment as model, cast(o.o_custkey as varchar) as task_id,
+                cast(o.o_orderkey as varchar) as completion_id,
+                case when o.o_orderstatus = 'F' then 'success' else 'test_failed' end as verdict
+         from orders o join customer c on o.o_custkey = c.c_custkey)"""
+
+
+def _expected(key: str, idx: str) -> str:
+    v = f"(({key} * 31 + {idx} * 17) % 100000)"
+    return f"(cast(cast(floor({v} / 100) as bigint) as varchar) || '.' || lpad(cast({v} % 100 as varchar), 2, '0'))"
+
+
+_ORDER = ", ".join(f"l.{c}" for c in TEST_ORDER)
+BX_ROWS = f"""bx_rows as (
+  select o.o_custkey, l.l_orderkey,
+         cast(o.o_custkey as varchar) as task_id, cast(l.l_orderkey as varchar) as completion_id,
+         cast(row_number() over (partition by l.l_orderkey order by {_ORDER}) - 1 as integer) as test_idx,
+         o.o_orderpriority <> '5-LOW' as compile_ok, l.l_tax = 0.08 as timed_out, l.l_quantity as elapsed_s,
+         case when l.l_linestatus = 'F' then '' else 'Traceback: error' end as stderr,
+         cast(round(l.l_discount * 100) as integer) as variant
+  from lineitem l join orders o on l.l_orderkey = o.o_orderkey)"""
+
+_EXP = _expected("o_custkey", "test_idx")
+_WHOLE = "cast(floor(((o_custkey * 31 + test_idx * 17) % 100000) / 100) as bigint)"
+BX_LOG = f"""bx_log as (
+  select *, case variant
+      when 1 then {_EXP} || chr(10)
+      when 2 then {_EXP} || '3'
+      when 3 then cast({_WHOLE} as varchar)
+      when 4 then cast({_WHOLE} + 1 as varchar)
+      when 5 then {_EXP} || '9'
+      when 6 then 'Error: ' || {_EXP}
+      when 7 then '  ' || {_EXP} || '  '
+      when 8 then '-' || {_EXP}
+      when 9 then replace({_EXP}, '.', ',')
+      else {_EXP} end as stdout
+  from bx_rows)"""
+BX_TESTS = f"""bx_tests as (select task_id, test_idx, '' as input, {_EXP} as expected
+  from (select distinct task_id, o_custkey, test_idx from bx_rows))"""
+BX_CMP = """bx_cmp as (select l.*, t.expected from bx_log l left join bx_tests t
+  on l.task_id = t.task_id and l.test_idx = t.test_idx)"""
+
+_DIG = "[0-9](?:_?[0-9])*"
+_NUM = f"^[+-]?(?:{_DIG}(?:\\.(?:{_DIG})?)?|\\.{_DIG})(?:[eE][+-]?{_DIG})?$"
+
+
+def parse_number(x: str) -> str:
+    s = strip(x)
+    v = f"try_cast(replace({s}, '_', '') as double)"
+    return f"(case when regexp_matches({s}, '{_NUM}') and isfinite({v}) then {v} end)"
+
+
+def decimals(x: str) -> str:
+    s = strip(x)
+    return f"(case when strpos({s}, '.') > 0 then length(split_part({s}, '.', 2)) end)"
+
+
+def round_to(x: str, m: str) -> str:
+    whens = " ".join(f"when {d} then round_even({x}, {d})" for d in range(MAX_ROUND_DIGITS))
+    return f"(case when {m} >= {MAX_ROUND_DIGITS} then {x} else (case {m} {whens} end) end)"
+
+
+def outputs_match(a: str, b: str) -> str:
+    x, y = parse_number(a), parse_number(b)
+    da, db = decimals(a), decimals(b)
+    m = f"least({da}, {db})"
+    return f"""(case when {x} is not null and {x} % 1 = 0 then coalesce({x} = {y} - {y} % 1, false)
+       when {x} is not null and {y} is not null and {da} is not null and {db} is not null
+         then ({round_to(x, m)} = {round_to(y, m)}) and (starts_with({strip(a)}, '-') = starts_with({strip(b)}, '-'))
+       else coalesce({strip(a)} = {strip(b)}, false) end)"""
+
+
+OUTCOME = f"""(case when not compile_ok then 'compile_failed'
+       when timed_out then 'infinite_loop'
+       when {outputs_match('stdout', 'expected')} then 'success'
+       when stderr = '' then 'test_failed' else 'runtime_failed' end)"""
+
+BX_OUT = f"bx_out as (select *, {OUTCOME} as outcome from bx_cmp)"
+BX = ",\n".join([BX_ROWS, BX_LOG, BX_TESTS, BX_CMP, BX_OUT])
+
+
+def with_(*ctes: str) -> str:
+    return "with " + ",\n".join(ctes) + "\n"
+
+
+def oracle(name: str):
+    def deco(fn):
+        ORACLE[name] = fn()
+        return fn
+    return deco
+
+
+# ------------------------------------------------------------------ metrics
+def _pass_at_k(n: str, c: str, k: str) -> str:
+    return f"""(case when {n} - {c} < {k} then 1.0::double when {c} = 0 then 0.0::double
+      else 1.0::double - list_product(list_transform(generate_series({n} - {c} + 1, {n}),
+           lambda i: 1.0::double - {k}::double / i)) end)"""
+
+
+_TASK_COUNTS = """counts as (select task_id, count(*) as n,
+       count(*) filter (where verdict is not distinct from 'success') as c from bv group by task_id)"""
+_KS = "ks as (select unnest([1, 5]) as k)"
+
+ORACLE["pass_at_k_task"] = with_(BV, _TASK_COUNTS, _KS) + f"""
+select task_id, cast(k as integer) as k, n, c, round({_pass_at_k('n', 'c', 'k')}, 6) as pass_at_k
+from counts cross join ks"""
+
+ORACLE["pass_at_k_fixed_n"] = with_(BV, _TASK_COUNTS, _KS) + f"""
+select task_id, cast(k as integer) as k, cast(100 as bigint) as n, c, round({_pass_at_k('100', 'c', 'k')}, 6) as pass_at_k
+from counts cross join ks"""
+
+ORACLE["pass_at_k"] = with_(BC, _KS) + f"""
+, counts as (select model, task_id, count(*) as n,
+       count(*) filter (where verdict is not distinct from 'success') as c from bc group by model, task_id),
+scores as (select model, k, n, {_pass_at_k('n', 'c', 'k')} as p from counts cross join ks)
+select model, cast(k as integer) as k, count(*) as n_tasks, min(n) as min_n, round(avg(p), 6) as pass_at_k
+from scores group by model, k having min(n) >= k"""
+
+ORACLE["score_label"] = with_(BV, _TASK_COUNTS, _KS) + f"""
+, scores as (select k, n, {_pass_at_k('n', 'c', 'k')} as p from counts cross join ks),
+board as (select k, count(*) as n_tasks, min(n) as min_n, avg(p) as p from scores group by k having min(n) >= k)
+select cast(k as integer) as k, n_tasks, min_n, printf('pass @ %d :' || chr(9) || '%.3f', k, p) as label from board"""
+
+ORACLE["date_label"] = with_(BV) + """
+select task_id, strftime(max(ts), '%Y-%m-%d %H:%M') as date from bv group by task_id"""
+
+ORACLE["verdict_label"] = with_(BV) + """
+select completion_id, cast(event_id % 7 as integer) as code,
+       case cast(event_id % 7 as integer) when 0 then 'success' when 1 then 'runtime_failed'
+            when 2 then 'compile_failed' when 3 then 'infinite_loop' when 4 then 'test_failed' end as label
+from bv"""
+
+# ------------------------------------------------------------------ verdicts
+ORACLE["test_compare"] = with_(BX) + "select task_id, completion_id, test_idx, stdout, expected from bx_cmp"
+ORACLE["numeric_match"] = with_(BX) + f"select completion_id, test_idx, {outputs_match('stdout', 'expected')} as matched from bx_cmp"
+ORACLE["text_match"] = with_(BX) + f"select completion_id, test_idx, {strip('stdout')} = {strip('expected')} as text_equal from bx_cmp"
+ORACLE["test_outcome"] = with_(BX) + "select completion_id, test_idx, outcome from bx_out"
+
+_SAMPLE = """sv as (select task_id, completion_id, max(case when not compile_ok then 1 else 0 end) as cfail,
+       count(test_idx) as n_tests,
+       min(test_idx) filter (where outcome <> 'success') as first_fail_idx,
+       arg_min(outcome, test_idx) filter (where outcome <> 'success') as ff
+  from bx_out group by task_id, completion_id)"""
+_VERDICT = "case when cfail = 1 then 'compile_failed' when n_tests = 0 then null else coalesce(ff, 'success') end"
+
+ORACLE["first_failure"] = with_(BX, _SAMPLE) + f"select completion_id, cast(first_fail_idx as integer) as first_fail_idx, {_VERDICT} as verdict from sv"
+ORACLE["sample_verdict"] = with_(BX, _SAMPLE) + f"select task_id, completion_id, n_tests, {_VERDICT} as verdict from sv"
+ORACLE["attempted_tests"] = with_(BX) + """
+, ff as (select task_id, completion_id, min(test_idx) filter (where outcome <> 'success') as fi
+         from bx_out group by task_id, completion_id)
+select o.completion_id, o.test_idx, o.outcome from bx_out o join ff using (task_id, completion_id)
+where o.test_idx is not null and (ff.fi is null or o.test_idx <= ff.fi)"""
+
+ORACLE["budget_verdict"] = with_(BX) + f"""
+, z as (select *, sum(elapsed_s) over (partition by task_id, completion_id order by test_idx
+                  rows between unbounded preceding and current row) as el from bx_out),
+a as (select completion_id, max(case when not compile_ok then 1 else 0 end) as cfail,
+        arg_min(outcome, test_idx) filter (where outcome <> 'success') as ff,
+        count(*) filter (where el <= {K.SAMPLE_BUDGET_S}) as n_within,
+        arg_min(outcome, test_idx) filter (where outcome <> 'success' and el <= {K.SAMPLE_BUDGET_S}) as ffw,
+        arg_min(case when el > {K.SAMPLE_BUDGET_S} then 'infinite_loop' else outcome end, test_idx)
+            filter (where outcome <> 'success' or el > {K.SAMPLE_BUDGET_S}) as ffs
+      from z group by task_id, completion_id)
+select completion_id,
+       case when cfail = 1 then 'compile_failed' else coalesce(ff, 'success') end as verdict,
+       case when cfail = 1 then 'compile_failed' when n_within = 0 then null else coalesce(ffw, 'success') end as verdict_reference,
+       case when cfail = 1 then 'compile_failed' else coalesce(ffs, 'success') end as verdict_strict
+from a"""

@@ -1,0 +1,151 @@
+"""Canonical tables derived from the supplied test data.
+
+The supplied parquet tables contain no code samples, so each canonical table gets a
+stand-in with the same shape. Every mapping here is mirrored in SQL in
+``transeval.plans.oracle`` so that both engines see the same rows.
+
+* tasks     <- documents   (doc_id -> task_id, text -> code, lang -> language)
+* samples   <- conversations, assistant turns (conv_id -> task_id, turn -> completion)
+* verdicts  <- events      (user_id -> task, event_id -> completion, event_type -> verdict)
+* board     <- orders x customer (segment -> model, customer -> task, status F -> success)
+* exec_log  <- lineitem x orders (order -> sample, line -> test, columns -> outcome inputs)
+* compile   <- documents x labels (quality -> compiles)
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from transeval.operators.ordered import position_in_group
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# natural language of a document -> programming language of the stand-in task
+LANG_MAP = [("en", "Python"), ("fr", "Java"), ("de", "C++"), ("es", "Go")]
+
+
+def language_of(col) -> F.Column:
+    expr = F.when(F.lit(False), F.lit(None))
+    for nat, prog in LANG_MAP:
+        expr = expr.when(col == nat, F.lit(prog))
+    return expr.otherwise(F.lit("C"))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("task_id"),
+                    language_of(F.col("lang")).alias("language"),
+                    F.col("text").alias("code"), "source", "doc_id")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return c.select(
+        F.col("conv_id").cast("string").alias("task_id"),
+        F.col("turn").cast("string").alias("completion_id"),
+        F.col("turn").cast("int").alias("completion_idx"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".py")).alias("identifier"),
+        F.col("text").alias("solution"),
+        "conv_id",
+    )
+
+
+def sample_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task list of the sample binding: every conversation id."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("task_id")).distinct()
+
+
+VERDICT_OF_EVENT = [("purchase", "success"), ("error", "runtime_failed"), ("click", "test_failed"),
+                    ("view", "infinite_loop"), ("signup", "compile_failed")]
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as verdict rows; an event with value < 1 stands for an unknown (NULL) verdict."""
+    e = table(spark, sf_dir, "events")
+    v = F.when(F.lit(False), F.lit(None))
+    for et, verdict in VERDICT_OF_EVENT:
+        v = v.when(F.col("event_type") == et, F.lit(verdict))
+    return e.select(
+        F.col("user_id").cast("string").alias("task_id"),
+        F.col("event_id").cast("string").alias("completion_id"),
+        F.when(F.col("value") < 1.0, F.lit(None).cast("string")).otherwise(v).alias("verdict"),
+        "event_id", "user_id", "ts", "props", "value",
+    )
+
+
+def board_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    j = o.join(c, o.o_custkey == c.c_custkey, "inner")
+    return j.select(
+        F.col("c_mktsegment").alias("model"),
+        F.col("o_custkey").cast("string").alias("task_id"),
+        F.col("o_orderkey").cast("string").alias("completion_id"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("success")).otherwise(F.lit("test_failed")).alias("verdict"),
+    )
+
+
+TEST_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
+
+
+def _expected(task_key, test_idx) -> F.Column:
+    v = (task_key * 31 + test_idx * 17) % 100000
+    return F.concat(F.floor(v / 100).cast("bigint").cast("string"), F.lit("."),
+                    F.lpad((v % 100).cast("string"), 2, "0"))
+
+
+def exec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem x orders as an execution log; the test position is the line's rank in its order."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *TEST_ORDER, "l_discount", "l_tax", "l_linestatus")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    ranked = position_in_group(li, ["l_orderkey"], TEST_ORDER, pos_col="test_idx")
+    j = ranked.join(o, ranked.l_orderkey == o.o_orderkey, "inner")
+    return j.select(
+        F.col("o_custkey"), F.col("l_orderkey"),
+        F.col("o_custkey").cast("string").alias("task_id"),
+        F.col("l_orderkey").cast("string").alias("completion_id"),
+        F.col("test_idx").cast("int").alias("test_idx"),
+        (F.col("o_orderpriority") != "5-LOW").alias("compile_ok"),
+        (F.col("l_tax") == 0.08).alias("timed_out"),
+        F.col("l_quantity").alias("elapsed_s"),
+        F.when(F.col("l_linestatus") == "F", F.lit("")).otherwise(F.lit("Traceback: error")).alias("stderr"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("variant"),
+    )
+
+
+def tests(rows: DataFrame) -> DataFrame:
+    """The tests of each task: every position some sample of the task ran."""
+    t = rows.select("task_id", "o_custkey", "test_idx").dropDuplicates(["task_id", "test_idx"])
+    return t.select("task_id", "test_idx", F.lit("").alias("input"),
+                    _expected(F.col("o_custkey"), F.col("test_idx")).alias("expected"))
+
+
+def exec_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Execution log with the program output made from the expected output by ``variant``."""
+    r = exec_rows(spark, sf_dir)
+    exp = _expected(F.col("o_custkey"), F.col("test_idx"))
+    whole = F.floor((((F.col("o_custkey") * 31 + F.col("test_idx") * 17) % 100000)) / 100).cast("bigint")
+    d = F.col("variant")
+    stdout = (F.when(d == 1, F.concat(exp, F.lit("\n")))
+              .when(d == 2, F.concat(exp, F.lit("3")))
+              .when(d == 3, whole.cast("string"))
+              .when(d == 4, (whole + 1).cast("string"))
+              .when(d == 5, F.concat(exp, F.lit("9")))
+              .when(d == 6, F.concat(F.lit("Error: "), exp))
+              .when(d == 7, F.concat(F.lit("  "), exp, F.lit("  ")))
+              .when(d == 8, F.concat(F.lit("-"), exp))
+              .when(d == 9, F.replace(exp, F.lit("."), F.lit(",")))
+              .otherwise(exp))
+    return r.withColumn("stdout", stdout).drop("variant")
+
+
+def compile_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents x labels: a labelled document's quality flag plays "compiles"."""
+    lab = table(spark, sf_dir, "labels")
+    return lab.select(F.col("doc_id").cast("string").alias("task_id"), F.lit("0").alias("completion_id"),
+                      (F.col("quality") == 1).alias("compile_ok"), "doc_id")
