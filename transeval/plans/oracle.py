@@ -230,3 +230,147 @@ select completion_id,
        case when cfail = 1 then 'compile_failed' when n_within = 0 then null else coalesce(ffw, 'success') end as verdict_reference,
        case when cfail = 1 then 'compile_failed' else coalesce(ffs, 'success') end as verdict_strict
 from a"""
+
+
+# ------------------------------------------------------------------ sanitizer
+from transeval.functions.text import LINE_BREAK_CHARS as _LB  # noqa: E402
+from transeval.sources.bindings import REPLY_MODELS  # noqa: E402
+
+_TAG = "(case when lower(language) = 'c++' then 'cpp' else lower(language) end)"
+_MODELS = "[" + ", ".join(f"'{m}'" for m in REPLY_MODELS) + "]"
+REPLIES = f"""replies as (select task_id, doc_id, language as target_lang,
+    case when doc_id % 2 = 0 then 'Here is the code.' || chr(10) || language || ':' || chr(10) || language
+         || chr(10) || '@@ Response' || chr(10) || 'Answer:' || chr(10) || 'Output:' || chr(10) || '```' || {_TAG}
+         || chr(10) || code || chr(10) || '```' || chr(10) || 'Note: end' else code end as solution,
+    'translations/codenet/' || {_MODELS}[cast(doc_id % 10 as integer) + 1] || '/Java/' || language || '/temperature_0.2' as path
+  from bt)"""
+NL = "chr(10)"
+BREAKS = "'\\r\\n|[" + "".join("\\x{%x}" % ord(c) for c in _LB) + "]'"
+BREAKS = BREAKS.replace("\\r\\n", "' || chr(13) || chr(10) || '")
+
+
+def lstrip_(x):
+    return f"ltrim({x}, {WS})"
+
+
+def find_(s, m):
+    return f"(strpos({s}, {m}) - 1)"
+
+
+def after_first_(s, m):
+    return f"substring({s}, {find_(s, m)} + length({m}) + 1)"
+
+
+def before_first_(s, m):
+    return f"(case when strpos({s}, {m}) > 0 then left({s}, strpos({s}, {m}) - 1) else left({s}, greatest(length({s}) - 1, 0)) end)"
+
+
+def strip_marker_(s, lang):
+    m, p = f"({lang} || ':' || {NL})", f"({lang} || ':')"
+    first = after_first_(s, m)
+    n = f"greatest(cast((length({first}) - length(replace({first}, {p}, ''))) // length({p}) as integer), 1)"
+    ws = f"(length(acc) - length({lstrip_('acc')}))"
+    chop = f"((cast(floor({ws} / length({p})) as bigint) + 1) * length({p}))"
+    cut = f"(case when strpos(acc, {m}) > 0 then {after_first_('acc', m)} else substring(acc, {chop} + 1) end)"
+    step = f"(case when starts_with({strip('acc')}, {p}) then {cut} else acc end)"
+    return f"list_reduce(list_prepend({first}, list_transform(range({n}), lambda i: '')), lambda acc, x: {step})"
+
+
+def second_part_(s, d):
+    return strip(f"split_part({s}, {d}, 2)")
+
+
+def deepseek_marker_(s, lang):
+    return (f"('```' || (case when lower({lang}) = 'c++' and contains({s}, '```c++') then 'c++' "
+            f"when lower({lang}) = 'c++' and contains({s}, '```cpp') then 'cpp' else lower({lang}) end))")
+
+
+def fence_extract_(s, marker):
+    return before_first_(after_first_(s, marker), "'```'")
+
+
+def line_pos_(s, lang):
+    hit = f"(strpos({NL} || {s} || {NL}, {NL} || {lang} || {NL}) - 1)"
+    return f"(case when {hit} >= 0 then {hit} + length({lang}) + 1 else -1 end)"
+
+
+def after_line_(s, lang):
+    return strip(f"substring({s}, {line_pos_(s, lang)} + 1)")
+
+
+def fence_remove_(s, lang):
+    return strip(f"replace(replace({s}, '```' || lower({lang}), ''), '```', '')")
+
+
+def drop_prefixes_(s, prefixes):
+    start = strip(f"regexp_replace({s}, {BREAKS}, {NL}, 'g')")
+    plist = "[" + ", ".join(lit(p) for p in prefixes) + "]"
+    drop = f"array_to_string(list_filter(string_split(acc, {NL}), lambda l: not starts_with(l, p)), {NL})"
+    step = f"(case when starts_with(acc, p) or contains(acc, {NL} || p) then {strip(drop)} else acc end)"
+    return f"list_reduce(list_prepend({start}, {plist}), lambda acc, p: {step})"
+
+
+def truncate_(s, eofs):
+    out = s
+    for e in eofs:
+        out = strip(f"split_part({out}, {lit(e)}, 1)")
+    return out
+
+
+_DELIM = "(case when doc_id % 3 = 0 then '@@ Response' when doc_id % 3 = 1 then 'Answer:' else target_lang || ':' end)"
+ORACLE["strip_marker"] = with_(BT, REPLIES) + f"select task_id, {strip_marker_('solution', 'target_lang')} as solution from replies"
+ORACLE["strip_second_part"] = with_(BT, REPLIES) + f"""
+select task_id, case when strpos(solution, {_DELIM}) > 0 then {second_part_('solution', _DELIM)} end as solution,
+       case when strpos(solution, {_DELIM}) = 0 then 'IndexError' end as sanitize_error from replies"""
+ORACLE["strip_optional_part"] = with_(BT, REPLIES) + f"""
+select task_id, case when strpos(solution, 'Output:') > 0 then {second_part_('solution', "'Output:'")} else solution end as solution
+from replies"""
+_FM = f"(case when doc_id % 4 < 2 then '```' || {_TAG.replace('language', 'target_lang')} else {deepseek_marker_('solution', 'target_lang')} end)"
+ORACLE["fence_extract"] = with_(BT, REPLIES) + f"select task_id, {fence_extract_('solution', _FM)} as solution from replies"
+ORACLE["after_language_line"] = with_(BT, REPLIES) + f"""
+select task_id, case when {line_pos_('solution', 'target_lang')} >= 0 then {after_line_('solution', 'target_lang')} end as solution,
+       case when {line_pos_('solution', 'target_lang')} < 0 then 'ValueError' end as sanitize_error from replies"""
+ORACLE["fence_remove"] = with_(BT, REPLIES) + f"select task_id, {fence_remove_('solution', 'target_lang')} as solution from replies"
+ORACLE["drop_prefix_lines"] = with_(BT, REPLIES) + f"select task_id, {drop_prefixes_(strip('solution'), K.DEFAULT_PREFIXES)} as solution from replies"
+ORACLE["truncate_at_marker"] = with_(BT, REPLIES) + f"select task_id, {truncate_(strip('solution'), K.DEFAULT_EOFS)} as solution from replies"
+
+
+def _sanitize_sql(source: str) -> str:
+    """The cleaning job as a chain of CTEs (one per stage, as in the Spark job)."""
+    trig = dict(K.SANITIZE_TRIGGERS)
+
+    def on(rule):
+        return "(" + " or ".join(f"contains(p, '{n}')" for n in trig[rule]) + ")"
+
+    steps = [f"s0 as (select task_id, doc_id, target_lang as lang, path || '{K.SANITIZED_SUFFIX}' as p, solution as s, "
+             f"cast(null as varchar) as err from {source})"]
+
+    def stage(i, cond, value, err=None, label="IndexError"):
+        if err is None:
+            steps.append(f"s{i} as (select task_id, doc_id, lang, p, case when err is null and {cond} then {value} else s end as s, err from s{i-1})")
+        else:
+            steps.append(f"s{i} as (select task_id, doc_id, lang, p, "
+                         f"case when err is null and {cond} and not ({err}) then {value} else s end as s, "
+                         f"case when err is null and {cond} and ({err}) then '{label}' else err end as err from s{i-1})")
+
+    stage(1, on("strip_marker"), strip_marker_("s", "lang"))
+    stage(2, on("magicoder"), second_part_("s", "'@@ Response'"), "strpos(s, '@@ Response') = 0")
+    stage(3, on("octocoder"), second_part_("s", "'Answer:'"), "strpos(s, 'Answer:') = 0")
+    stage(4, on("mixtral"), second_part_("s", "lang || ':'"), "strpos(s, lang || ':') = 0")
+    stage(5, on("phi2") + " and strpos(s, 'Output:') > 0", second_part_("s", "'Output:'"))
+    stage(6, on("gpt_fence"), fence_extract_("s", "'```' || " + _TAG.replace("language", "lang")))
+    stage(7, on("gemini"), after_line_("s", "lang"), f"{line_pos_('s', 'lang')} < 0", "ValueError")
+    stage(8, on("claude"), after_line_("s", "lang"), f"{line_pos_('s', 'lang')} < 0", "ValueError")
+    stage(9, on("deepseek_fence"), fence_extract_("s", deepseek_marker_("s", "lang")))
+    steps.append(f"s10 as (select task_id, doc_id, lang, p, {fence_remove_('s', 'lang')} as s, err from s9)")
+    steps.append(f"s11 as (select task_id, doc_id, lang, p, {drop_prefixes_('s', K.DEFAULT_PREFIXES)} as s, err from s10)")
+    steps.append(f"s12 as (select task_id, doc_id, lang, p, {truncate_('s', K.DEFAULT_EOFS)} as s, err from s11)")
+    return ",\n".join(steps)
+
+
+ORACLE["sanitize_full"] = with_(BT, REPLIES, _sanitize_sql("replies")) + f"""
+select task_id, case when err is null then {strip('s')} end as solution, err as sanitize_error, p as out_path from s12"""
+ORACLE["sanitize_one_task"] = with_(BT, REPLIES) + """, pick as (select arg_max(task_id, struct_pack(a := length(solution), b := doc_id)) as task_id from replies),
+one as (select * from replies where task_id in (select task_id from pick)),
+""" + _sanitize_sql("one") + f"""
+select task_id, case when err is null then {strip('s')} end as solution, err as sanitize_error from s12"""

@@ -126,3 +126,86 @@ def budget_verdict(spark, sf):
 
 
 QUERIES["date_label"] = QUERIES.pop("date_label_q")
+
+
+# ---------------------------------------------------------------- sanitizer
+from transeval import constants as K  # noqa: E402
+from transeval.operators import sanitize as sz  # noqa: E402
+
+
+@query
+def strip_marker(spark, sf):
+    r = B.replies(spark, sf)
+    return r.select("task_id", sz.strip_marker(F.col("solution"), F.col("target_lang")).alias("solution"))
+
+
+def _delim_by_row():
+    return (F.when(F.col("doc_id") % 3 == 0, F.lit("@@ Response"))
+            .when(F.col("doc_id") % 3 == 1, F.lit("Answer:"))
+            .otherwise(F.concat(F.col("target_lang"), F.lit(":"))))
+
+
+@query
+def strip_second_part(spark, sf):
+    r = B.replies(spark, sf).withColumn("_d", _delim_by_row())
+    ok = sz.has_part(F.col("solution"), F.col("_d"))
+    return r.select("task_id", F.when(ok, sz.second_part(F.col("solution"), F.col("_d"))).alias("solution"),
+                    F.when(~ok, F.lit(sz.INDEX_ERROR)).alias("sanitize_error"))
+
+
+@query
+def strip_optional_part(spark, sf):
+    r = B.replies(spark, sf)
+    s = F.col("solution")
+    return r.select("task_id", F.when(sz.has_part(s, F.lit("Output:")), sz.second_part(s, F.lit("Output:")))
+                    .otherwise(s).alias("solution"))
+
+
+@query
+def fence_extract(spark, sf):
+    r = B.replies(spark, sf)
+    s, lang = F.col("solution"), F.col("target_lang")
+    marker = F.when(F.col("doc_id") % 4 < 2, F.concat(F.lit("```"), sz.fence_tag(lang))).otherwise(sz.deepseek_marker(s, lang))
+    return r.select("task_id", sz.fence_extract(s, marker).alias("solution"))
+
+
+@query
+def after_language_line(spark, sf):
+    r = B.replies(spark, sf)
+    s, lang = F.col("solution"), F.col("target_lang")
+    found = sz.language_line_pos(s, lang) >= 0
+    return r.select("task_id", F.when(found, sz.after_language_line(s, lang)).alias("solution"),
+                    F.when(~found, F.lit(sz.VALUE_ERROR)).alias("sanitize_error"))
+
+
+@query
+def fence_remove(spark, sf):
+    r = B.replies(spark, sf)
+    return r.select("task_id", sz.fence_remove(F.col("solution"), F.col("target_lang")).alias("solution"))
+
+
+@query
+def drop_prefix_lines(spark, sf):
+    r = B.replies(spark, sf)
+    return r.select("task_id", sz.drop_prefix_lines(py_strip(F.col("solution")), K.DEFAULT_PREFIXES).alias("solution"))
+
+
+@query
+def truncate_at_marker(spark, sf):
+    r = B.replies(spark, sf)
+    return r.select("task_id", sz.truncate_at_markers(py_strip(F.col("solution")), K.DEFAULT_EOFS).alias("solution"))
+
+
+@query
+def sanitize_full(spark, sf):
+    r = sz.sanitize(B.replies(spark, sf), eofs=K.DEFAULT_EOFS, prefixes=K.DEFAULT_PREFIXES)
+    return r.select("task_id", "solution", "sanitize_error", "out_path")
+
+
+@query
+def sanitize_one_task(spark, sf):
+    """Debug mode: only the task with the longest source (chosen from the data)."""
+    r = B.replies(spark, sf)
+    pick = r.agg(F.max_by("task_id", F.struct(F.length("solution"), F.col("doc_id"))).alias("task_id"))
+    one = sz.sanitize(r.join(pick, "task_id", "left_semi"), eofs=K.DEFAULT_EOFS, prefixes=K.DEFAULT_PREFIXES)
+    return one.select("task_id", "solution", "sanitize_error")

@@ -149,3 +149,23 @@ def compile_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels")
     return lab.select(F.col("doc_id").cast("string").alias("task_id"), F.lit("0").alias("completion_id"),
                       (F.col("quality") == 1).alias("compile_ok"), "doc_id")
+
+
+# model whose output path a reply sits under, by doc_id % 10
+REPLY_MODELS = ["code-llama-13b", "magicoder-s-ds-6.7b", "octocoder", "mixtral-8x7b-instruct", "phi2",
+                "gpt-4", "gemini-pro", "claude-3-opus", "deepseek-coder-6.7b-instruct", "starcoder"]
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw model replies: even documents wrapped in every model's markers, odd ones bare."""
+    t = tasks(spark, sf_dir)
+    lang = F.col("language")
+    tag = F.when(F.lower(lang) == "c++", F.lit("cpp")).otherwise(F.lower(lang))
+    decorated = F.concat(F.lit("Here is the code.\n"), lang, F.lit(":\n"), lang, F.lit("\n@@ Response\nAnswer:\nOutput:\n```"),
+                         tag, F.lit("\n"), F.col("code"), F.lit("\n```\nNote: end"))
+    model = F.element_at(F.array(*[F.lit(m) for m in REPLY_MODELS]), (F.col("doc_id") % 10 + 1).cast("int"))
+    return t.select(
+        "task_id", "doc_id", F.col("language").alias("target_lang"),
+        F.when(F.col("doc_id") % 2 == 0, decorated).otherwise(F.col("code")).alias("solution"),
+        F.concat(F.lit("translations/codenet/"), model, F.lit("/Java/"), lang, F.lit("/temperature_0.2")).alias("path"),
+    )
