@@ -374,3 +374,81 @@ ORACLE["sanitize_one_task"] = with_(BT, REPLIES) + """, pick as (select arg_max(
 one as (select * from replies where task_id in (select task_id from pick)),
 """ + _sanitize_sql("one") + f"""
 select task_id, case when err is null then {strip('s')} end as solution, err as sanitize_error from s12"""
+
+
+# ------------------------------------------------------------------ checker and integrity
+ORACLE["samples_per_task"] = with_(BS) + "select task_id, count(*) as n_files from bs group by task_id"
+ORACLE["sample_reindex"] = with_(BS) + """
+select task_id, completion_id, row_number() over (partition by task_id order by completion_idx) - 1 as idx,
+       cast(row_number() over (partition by task_id order by completion_idx) - 1 as varchar) || '.py' as file_name
+from bs"""
+ORACLE["integrity_checks"] = with_(BV) + """
+, s as (select count(*) as n_rows, count(distinct completion_id) as n_identifiers, count(distinct task_id) as n_sampled_tasks from bv),
+t as (select count(distinct task_id) as n_tasks from bv),
+u as (select count(*) as n_unfinished from (select completion_id from bv except all select completion_id from bv where verdict is not null))
+select n_rows, n_identifiers, n_sampled_tasks, n_tasks, n_unfinished,
+       n_rows = n_identifiers as no_duplicates, n_sampled_tasks = n_tasks as all_tasks_sampled, n_unfinished = 0 as all_finished
+from s, t, u"""
+ORACLE["sample_task_join"] = with_(BS, BT) + """
+select bs.task_id, bs.completion_id, bt.language, cast(length(bt.code) as integer) as code_chars from bs join bt on bs.task_id = bt.task_id"""
+ORACLE["missing_tasks"] = with_(BS, BT) + "select task_id, language from bt where task_id not in (select task_id from bs)"
+ORACLE["solution_fallback"] = with_(BS, BT) + """
+select bs.task_id, bs.completion_id, coalesce(case when bs.completion_idx = 1 then null else bs.solution end, bt.code) as solution
+from bs left join bt on bs.task_id = bt.task_id"""
+_COMPLETE = """counts as (select task_id, count(*) as n_files from bs group by task_id),
+exp as (select greatest(cast(2 as bigint), max(n_files)) as expected from counts),
+rep as (select t.task_id, coalesce(c.n_files, 0) as n_files, exp.expected,
+          case when coalesce(c.n_files, 0) = 0 then 'missing' when c.n_files = exp.expected then 'complete' else 'short' end as status
+        from bs_tasks t left join counts c on t.task_id = c.task_id, exp)"""
+ORACLE["completeness"] = with_(BS, BS_TASKS, _COMPLETE) + "select task_id, n_files, expected, status from rep"
+ORACLE["completeness_summary"] = with_(BS, BS_TASKS, _COMPLETE) + """
+select count(*) as n_tasks, count(*) filter (where status = 'complete') as n_done,
+       count(*) filter (where status <> 'complete') as n_incomplete,
+       count(*) filter (where status = 'missing') as n_missing, count(*) filter (where status = 'short') as n_short
+from rep"""
+ORACLE["compile_report"] = with_(BT) + f"""
+, j as (select bt.language, bt.code, l.quality = 1 as compile_ok from bt join labels l on bt.doc_id = l.doc_id)
+select language, count(*) as n_code,
+       count(*) filter (where {strip('code')} = '' or not coalesce(compile_ok, true)) as n_wrong,
+       round(count(*) filter (where {strip('code')} = '' or not coalesce(compile_ok, true)) / count(*) * 100, 2) as pct_wrong
+from j group by language"""
+
+# ------------------------------------------------------------------ result records
+ORACLE["verdict_array"] = with_(BV) + """
+select task_id, completion_id, row_number() over (partition by task_id order by completion_id) - 1 as pos,
+       count(*) over (partition by task_id) as nfiles, verdict from bv"""
+ORACLE["result_document"] = with_(BV) + """
+select task_id, cast(count(*) as integer) as nfiles, string_agg(coalesce(verdict, 'null'), ',' order by completion_id) as base
+from bv group by task_id"""
+ORACLE["cached_eval"] = with_(BV) + """
+, v as (select *, cast(cast(ts as date) as varchar) as run_day from bv),
+cached as (select * from v where ts < timestamp '2024-01-16 00:00:00')
+select run_day, task_id, completion_id, 'cached' as state, verdict from cached
+union all
+select run_day, task_id, completion_id, 'pending' as state, cast(null as varchar) as verdict from v
+where run_day not in (select distinct run_day from cached)"""
+ORACLE["legacy_results"] = with_(BV) + "select task_id, cast(count(*) as integer) as nfiles from bv group by task_id"
+ORACLE["latest_version"] = with_(BV) + """
+select task_id, json_extract_string(props, '$.k') as k, count(*) as n_versions,
+       arg_max({'v': verdict}, event_id).v as verdict, max(event_id) as version
+from bv group by task_id, json_extract_string(props, '$.k')"""
+
+# ------------------------------------------------------------------ scans and paths
+ORACLE["task_scan"] = with_(BT) + "select task_id, language from bt where language = 'Python'"
+_EXT = " ".join(f"when '{a}' then '{b}'" for a, b in K.EXTENSIONS.items())
+ORACLE["extension_map"] = with_(BT) + f"select task_id, language, case language {_EXT} end as ext from bt"
+ORACLE["class_rename"] = with_(BT) + """
+select task_id, regexp_replace('public class Main {' || chr(10) || code || chr(10) || '}' || chr(10) || 'class  Helper_2 {}',
+       '\\bclass\\s+\\w+', 'class ' || task_id, 'g') as code from bt"""
+_PMODELS = "[" + ", ".join(f"'{m}'" for m in REPLY_MODELS) + "]"
+ORACLE["path_parse"] = with_(BS) + f"""
+, p as (select 'translations/' || case when conv_id % 2 = 0 then 'codenet' else 'avatar' end || '/'
+          || {_PMODELS}[cast(conv_id % 10 as integer) + 1] || '/Java/Python/temperature_0.2'
+          || case when completion_idx % 4 = 3 then '-sanitized' else '' end || '/' || replace(task_id, '/', '_') || '/'
+          || cast(completion_idx as varchar) || '.py' as identifier from bs)
+select identifier, split_part(identifier, '/', 2) as dataset, split_part(identifier, '/', 3) as model,
+       split_part(identifier, '/', 4) as source_lang, split_part(identifier, '/', 5) as target_lang,
+       regexp_extract(split_part(identifier, '/', 6), 'temperature_(.+?)(-sanitized)?$', 1) as temperature,
+       case when ends_with(split_part(identifier, '/', 6), '-sanitized') then 'sanitized' else 'raw' end as stage,
+       split_part(identifier, '/', 7) as task_id, split_part(split_part(identifier, '/', 8), '.', 1) as completion_id
+from p"""

@@ -209,3 +209,147 @@ def sanitize_one_task(spark, sf):
     pick = r.agg(F.max_by("task_id", F.struct(F.length("solution"), F.col("doc_id"))).alias("task_id"))
     one = sz.sanitize(r.join(pick, "task_id", "left_semi"), eofs=K.DEFAULT_EOFS, prefixes=K.DEFAULT_PREFIXES)
     return one.select("task_id", "solution", "sanitize_error")
+
+
+# ---------------------------------------------------------------- checker and integrity
+from transeval.operators import check as ck  # noqa: E402
+
+
+@query
+def samples_per_task(spark, sf):
+    return ck.samples_per_task(B.samples(spark, sf))
+
+
+@query
+def sample_reindex(spark, sf):
+    r = ck.reindex(B.samples(spark, sf))
+    return r.select("task_id", "completion_id", "idx", F.concat(F.col("idx").cast("string"), F.lit(".py")).alias("file_name"))
+
+
+@query
+def integrity_checks(spark, sf):
+    v = B.verdicts(spark, sf).withColumn("identifier", F.col("completion_id"))
+    tasks = v.select("task_id").distinct()
+    finished = v.filter(F.col("verdict").isNotNull())
+    return ck.integrity(v, tasks, finished).select(
+        "n_rows", "n_identifiers", "n_sampled_tasks", "n_tasks", "n_unfinished",
+        "no_duplicates", "all_tasks_sampled", "all_finished")
+
+
+@query
+def sample_task_join(spark, sf):
+    joined, _orphans = ck.attach_tasks(B.samples(spark, sf), B.tasks(spark, sf).drop("conv_id"), position="doc_id")
+    return joined.select("task_id", "completion_id", "language", F.length("code").alias("code_chars"))
+
+
+@query
+def missing_tasks(spark, sf):
+    return ck.missing_tasks(B.tasks(spark, sf), B.samples(spark, sf)).select("task_id", "language")
+
+
+@query
+def solution_fallback(spark, sf):
+    s = B.samples(spark, sf).withColumn("solution", F.when(F.col("completion_idx") == 1, F.lit(None)).otherwise(F.col("solution")))
+    return ck.solution_fallback(s, B.tasks(spark, sf)).select("task_id", "completion_id", "solution")
+
+
+def _completeness(spark, sf):
+    return ck.completeness(B.sample_tasks(spark, sf), B.samples(spark, sf), nsample=2)
+
+
+@query
+def completeness(spark, sf):
+    return _completeness(spark, sf).select("task_id", "n_files", "expected", "status")
+
+
+@query
+def completeness_summary(spark, sf):
+    return ck.completeness_summary(_completeness(spark, sf))
+
+
+@query
+def compile_report(spark, sf):
+    t = B.tasks(spark, sf)
+    samples = t.select("task_id", "language", F.lit("0").alias("completion_id"), F.col("code").alias("solution"))
+    labelled = samples.join(B.compile_log(spark, sf).select("task_id"), "task_id", "left_semi")
+    compiled = B.compile_log(spark, sf).join(t.select("task_id", "language"), "task_id")
+    return ck.compile_report(labelled, compiled, cfg=["language"], tasks=t).select("language", "n_code", "n_wrong", "pct_wrong")
+
+
+@query
+def python_syntax(spark, sf):
+    t = B.tasks(spark, sf)
+    return t.select("task_id", ck.python_syntax(F.col("code")).alias("compiles"))
+
+
+# ---------------------------------------------------------------- result records
+from transeval.operators import results as rs  # noqa: E402
+
+
+@query
+def verdict_array(spark, sf):
+    p = rs.verdict_positions(B.verdicts(spark, sf).select("task_id", "completion_id", "verdict"))
+    return p.select("task_id", "completion_id", "pos", "nfiles", "verdict")
+
+
+@query
+def result_document(spark, sf):
+    r = rs.task_records(B.verdicts(spark, sf).select("task_id", "completion_id", "verdict"))
+    base = F.array_join(F.transform("base", lambda v: F.coalesce(v, F.lit("null"))), ",")
+    return r.select("task_id", "nfiles", base.alias("base"))
+
+
+@query
+def cached_eval(spark, sf):
+    v = B.verdicts(spark, sf).withColumn("run_day", F.to_date("ts").cast("string"))
+    cached = v.filter(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))
+    return rs.plan_evaluation(v, cached, cfg=["run_day"]).select("run_day", "task_id", "completion_id", "state", "verdict")
+
+
+@query
+def legacy_results(spark, sf):
+    counts = B.verdicts(spark, sf).groupBy("task_id", "user_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    doc = F.when(F.col("user_id") % 2 == 0, F.to_json(F.struct(F.array_repeat(F.lit("x"), F.col("n")).alias("files")))) \
+           .otherwise(F.to_json(F.struct(F.col("n").alias("nfiles"))))
+    parsed = counts.select("task_id", F.from_json(doc, rs.TASK_RESULT).alias("r"))
+    return parsed.select("task_id", rs.migrate_nfiles(F.col("r")).alias("nfiles"))
+
+
+@query
+def latest_version(spark, sf):
+    v = B.verdicts(spark, sf).select("task_id", F.get_json_object("props", "$.k").alias("k"),
+                                     "verdict", F.col("event_id").alias("version"))
+    return rs.latest_versions(v, ["task_id", "k"], "version").select("task_id", "k", "n_versions", "verdict", "version")
+
+
+# ---------------------------------------------------------------- scans and paths
+from transeval.sources import samples as sm  # noqa: E402
+from transeval.sources import tasks as tk  # noqa: E402
+
+
+@query
+def task_scan(spark, sf):
+    return B.tasks(spark, sf).filter(F.col("language") == "Python").select("task_id", "language")
+
+
+@query
+def extension_map(spark, sf):
+    return B.tasks(spark, sf).select("task_id", "language", tk.extension(F.col("language")).alias("ext"))
+
+
+@query
+def class_rename(spark, sf):
+    t = B.tasks(spark, sf)
+    java = F.concat(F.lit("public class Main {\n"), F.col("code"), F.lit("\n}\nclass  Helper_2 {}"))
+    return t.select("task_id", tk.java_class_rename(java, F.col("task_id")).alias("code"))
+
+
+@query
+def path_parse(spark, sf):
+    s = B.samples(spark, sf)
+    dataset = F.when(F.col("conv_id") % 2 == 0, F.lit("codenet")).otherwise(F.lit("avatar"))
+    model = F.element_at(F.array(*[F.lit(m) for m in B.REPLY_MODELS]), (F.col("conv_id") % 10 + 1).cast("int"))
+    stage = F.when(F.col("completion_idx") % 4 == 3, F.lit("sanitized")).otherwise(F.lit("raw"))
+    path = sm.sample_path(F.lit("translations"), dataset, model, F.lit("Java"), F.lit("Python"), F.lit("0.2"),
+                          stage, F.col("task_id"), F.col("completion_idx"), F.lit(".py"))
+    return s.select(path.alias("identifier")).select("identifier", *sm.parse_path(F.col("identifier")))
