@@ -452,3 +452,209 @@ select identifier, split_part(identifier, '/', 2) as dataset, split_part(identif
        case when ends_with(split_part(identifier, '/', 6), '-sanitized') then 'sanitized' else 'raw' end as stage,
        split_part(identifier, '/', 7) as task_id, split_part(split_part(identifier, '/', 8), '.', 1) as completion_id
 from p"""
+
+
+# ------------------------------------------------------------------ prompts, registry, generation
+import re as _re  # noqa: E402
+
+from transeval.sources.bindings import ALIASES, BUDGET_FAMILIES, TOKENIZER_LIMITS  # noqa: E402
+
+_PTYPES = [*K.PROMPT_TEMPLATES, "no-such-type"]
+_FIMF = ["incoder", "codegen2", "santacoder", "starcoder_infill", "hf"]
+
+
+def pick_(values, idx):
+    arr = "[" + ", ".join(lit(v) if isinstance(v, str) else str(v) for v in values) + "]"
+    return f"{arr}[cast({idx} % {len(values)} as integer) + 1]"
+
+
+def fill_(template, src, trg, code):
+    cols = {"src": src, "trg": trg, "code": code}
+    parts, pos = [], 0
+    for m in _re.finditer(r"\{(src|trg|code)\}", template):
+        if m.start() > pos:
+            parts.append(lit(template[pos:m.start()]))
+        parts.append(cols[m.group(1)])
+        pos = m.end()
+    if pos < len(template):
+        parts.append(lit(template[pos:]))
+    return "(" + " || ".join(parts) + ")"
+
+
+def compose_(ptype, src, trg, code):
+    whens = " ".join(f"when {ptype} = '{n}' then {fill_(t, src, trg, code)}"
+                     for n, t in K.PROMPT_TEMPLATES.items() if n != "base")
+    return f"(case {whens} else {fill_(K.PROMPT_TEMPLATES['base'], src, trg, code)} end)"
+
+
+ORACLE["compose_prompt"] = with_(BT) + f"""
+, t as (select *, {pick_(_PTYPES, 'doc_id')} as prompt_type from bt)
+select task_id, prompt_type, {compose_('prompt_type', "'Java'", 'language', 'code')} as prompt from t"""
+
+_FIMW = " ".join(f"when family = '{f}' then {lit(pre)} || p || {lit(suf)}" for f, (pre, suf) in K.FIM_WRAPPERS.items())
+ORACLE["fim_wrap"] = with_(BT) + f"""
+, t as (select task_id, {pick_(_FIMF, 'doc_id')} as family, {fill_(K.PROMPT_TEMPLATES['base'], "'Java'", 'language', 'code')} as p from bt)
+select task_id, family, case {_FIMW} else p end as model_input from t"""
+
+ORACLE["prompt_echo"] = with_(BS) + """
+select task_id, completion_id, case when completion_idx % 2 = 1 then solution
+       else 'Translate ' || task_id || ':' || chr(10) || solution end as stored from bs"""
+
+
+def stops_sql(fam):
+    whens = " ".join(f"when {fam} = '{n}' then [{', '.join(lit(s) for s in K.BASE_STOPS + list(e))}]"
+                     for n, (e, _r, _t, _f) in K.FAMILIES.items() if e)
+    return f"(case {whens} else [{', '.join(lit(s) for s in K.BASE_STOPS)}] end)"
+
+
+def stop_truncate_(s, stops, cap=K.STOP_CAP_CHARS):
+    hits = f"list_filter(list_transform({stops}, lambda st: strpos({s}, st) - 1), lambda i: i >= 0)"
+    return f"left({s}, least(coalesce(list_min({hits}), {cap}), {cap}))"
+
+
+ORACLE["stop_truncate"] = with_(BT) + f"""
+, t as (select task_id, code || {pick_(['</s>', '<|endoftext|>', ''], 'doc_id')} || 'tail' as o,
+               case when doc_id % 2 = 0 then 'incoder' else 'hf' end as fam from bt)
+select task_id, {stop_truncate_('o', stops_sql('fam'))} as solution from t"""
+
+ORACLE["tab_expand"] = with_(BT) + """
+select task_id, replace(chr(9) || 'def f():' || chr(10) || chr(9) || chr(9) || 'return 1' || chr(10) || code, chr(9), '    ') as solution from bt"""
+
+ORACLE["sentinel_flag"] = with_(BT) + f"""
+, t as (select task_id, code, {pick_(_FIMF, 'doc_id')} in ('santacoder', 'starcoder_infill')
+               and floor(length(code) / 4) >= 1024 as over_length from bt)
+select task_id, over_length, (case when over_length then '{K.MAX_LENGTH_EXCEEDED}' else code end)
+       in ('{K.GEMINI_ERROR}', '{K.MAX_LENGTH_EXCEEDED}') as is_sentinel from t"""
+
+ORACLE["json_reply"] = with_(BV) + """
+select completion_id, coalesce(verdict || chr(10) || json_extract_string(props, '$.k'), props) as reply from bv"""
+
+ORACLE["chat_messages"] = with_(BS) + f"""
+select task_id, completion_id, 'system,user' as roles,
+       case when completion_idx % 2 = 0 then '{K.ASSISTANT_SYSTEM_JSON}' else '{K.ASSISTANT_SYSTEM_TEXT}' end as system_content,
+       solution as user_content from bs"""
+
+
+def ctx_sql(fam, tok, npos, maxpos):
+    thr = " ".join(f"when {fam} = '{n}' then {t}" for n, (_e, _r, t, _f) in K.FAMILIES.items() if t is not None)
+    return f"(case when {tok} > (case {thr} end) then coalesce({npos}, {maxpos}, {K.DEFAULT_CONTEXT}) else {tok} end)"
+
+
+def budget_sql(fam, maxlen, ctx, ptok):
+    parts = []
+    for n, (_e, rule, _t, _f) in K.FAMILIES.items():
+        if rule == "ctx":
+            v = f"least({maxlen}, {ctx})"
+        elif rule == "left":
+            v = f"least({maxlen}, {ctx} - {ptok})"
+        elif rule == "left90":
+            v = f"least({maxlen}, cast(floor(({ctx} - {ptok}) * 0.9) as integer))"
+        else:
+            continue
+        parts.append(f"when {fam} = '{n}' then {v}")
+    return f"(case {' '.join(parts)} else {maxlen} end)"
+
+
+ORACLE["token_budget"] = with_(BS) + f"""
+, t as (select task_id, completion_id, {pick_(BUDGET_FAMILIES, 'conv_id')} as family,
+               {pick_(TOKENIZER_LIMITS, 'conv_id')} as tok,
+               case when conv_id % 2 = 0 then 4096 end as npos,
+               cast(floor(length(solution) / 4) as integer) as ptok from bs),
+c as (select *, {ctx_sql('family', 'tok', 'npos', '16384')} as ctx from t)
+select task_id, completion_id, family, ctx, {budget_sql('family', '1024', 'ctx', 'ptok')} as budget,
+       family in ('santacoder', 'starcoder_infill') and ptok >= ctx as over_length from c"""
+
+ORACLE["greedy_normalise"] = """
+with runs as (select conv_id, cast(count(*) as integer) as n_samples, cast(max(turn) as integer) as batch_size,
+                     conv_id % 3 = 0 as greedy, (conv_id % 5) * 0.2::double as temperature
+              from conversations where role = 'assistant' group by conv_id),
+g as (select *, greedy and (temperature <> 0 or batch_size <> 1 or n_samples <> 1) as forced from runs)
+select conv_id, greedy, round(case when forced then 0.0 else temperature end, 6) as temperature,
+       case when forced then 1 else batch_size end as batch_size, case when forced then 1 else n_samples end as n_samples,
+       forced as greedy_forced from g"""
+
+
+def registry_sql(a):
+    err = f"'Invalid model name: ' || {a}"
+    size_raw = f"regexp_extract({a}, '{K.DEEPSEEK_SIZE_PATTERN}', 1)"
+    size = (f"(case when {size_raw} = '' then null when try_cast({size_raw} as double) % 1 = 0 "
+            f"then cast(cast(try_cast({size_raw} as double) as bigint) as varchar) else cast(try_cast({size_raw} as double) as varchar) end)")
+    rows = []
+    for kind, pat, fam, hub, conv in K.REGISTRY_RULES:
+        cond = f"{a} = '{pat}'" if kind == "exact" else f"starts_with({a}, '{pat}')"
+        fam_s, conv_s, err_s = f"'{fam}'", ("true" if conv else "false"), "null"
+        if hub is None:
+            hub_s = a
+        elif hub == "bigcode/{alias}":
+            hub_s = f"'bigcode/' || {a}"
+        elif "{last}" in hub:
+            hub_s = f"'codellama/CodeLlama-' || string_split({a}, '-')[-1] || '-Instruct-hf'"
+            err_s = f"case when not ends_with({a}, 'b') then {err} end"
+        elif "{size}" in hub:
+            hub_s = f"'deepseek-ai/deepseek-coder-' || {size} || 'b-' || case when contains({a}, 'instruct') then 'instruct' else 'base' end"
+            fam_s = f"case when contains({a}, 'instruct') then 'deepseek_instruct' else 'vllm' end"
+            conv_s = f"contains({a}, 'instruct')"
+            err_s = f"case when {size} is null then {err} end"
+        else:
+            hub_s = f"'{hub}'"
+        rows.append((cond, fam_s, hub_s, conv_s, err_s))
+
+    def chain(i, default):
+        return "(case " + " ".join(f"when {r[0]} then {r[i]}" for r in rows) + f" else {default} end)"
+    return chain(1, "null"), chain(2, "null"), chain(3, "null"), chain(4, err)
+
+
+_RF, _RH, _RC, _RE = registry_sql("alias")
+ORACLE["registry_lookup"] = with_(BT) + f"""
+, t as (select task_id, {pick_(ALIASES, 'doc_id')} as alias from bt),
+r as (select task_id, alias, {_RF.replace('alias', 'lower(alias)')} as family, {_RH.replace('alias', 'lower(alias)')} as hub_name,
+             {_RC.replace('alias', 'lower(alias)')} as conversational, {_RE.replace('alias', 'lower(alias)')} as registry_error from t)
+select task_id, alias, case when registry_error is null then family end as family,
+       case when registry_error is null then hub_name end as hub_name,
+       case when registry_error is null then conversational end as conversational, registry_error from r"""
+
+ORACLE["work_plan"] = with_(BS, BS_TASKS) + """
+, counts as (select task_id, count(*) as n from bs group by task_id),
+t as (select t.task_id, cast(coalesce(c.n, 0) as integer) as n_existing from bs_tasks t left join counts c on t.task_id = c.task_id)
+select task_id, cast(unnest(generate_series(n_existing, 2)) as integer) as idx,
+       cast(floor((unnest(generate_series(n_existing, 2)) - n_existing) / 2) as integer) as batch_no, n_existing
+from t where n_existing < 3"""
+
+# ------------------------------------------------------------------ test-input generation
+POOL = f"""pool as (select task_id, pos, {strip('line')} as input_text from (
+    select task_id, unnest(string_split(code, chr(10))) as line, cast(generate_subscripts(string_split(code, chr(10)), 1) - 1 as integer) as pos from bt)
+  where {strip('line')} <> '')"""
+IREPLIES = """ireplies as (select task_id, completion_id, completion_idx as round_no,
+    case when completion_idx % 2 = 1 then 'Here are inputs:' || chr(10) || '```python' || chr(10) || solution || chr(10) || '```' || chr(10) || 'bye'
+         else solution end as reply from bs)"""
+_BLOCK = "split_part(reply, '```', 2)"
+_NORM = f"regexp_replace({_BLOCK}, {BREAKS}, chr(10), 'g')"
+_BODY = f"(case when ends_with({_NORM}, chr(10)) then left({_NORM}, length({_NORM}) - 1) else {_NORM} end)"
+_LINES = f"(case when contains(reply, '```') then (case when {_BLOCK} = '' then [] else string_split({_BODY}, chr(10)) end) else [] end)"
+RLINES = f"""rlines as (select task_id, completion_id, round_no, line_no, {strip("split_part(line, '#', 1)")} as input_text from (
+    select task_id, completion_id, round_no, unnest({_LINES}) as line, generate_subscripts({_LINES}, 1) - 1 as line_no from ireplies)
+  where {strip('line')} <> '')"""
+SEEDS = """seeds as (select * from (select task_id, pos, input_text,
+    row_number() over (partition by task_id order by md5(task_id || ':' || cast(pos as varchar) || ':0'), pos) - 1 as seed_rank from pool)
+  where seed_rank < 5)"""
+NEW = """cand as (select * from rlines where round_no <= 20 and not exists (
+    select 1 from pool p where p.task_id = rlines.task_id and p.input_text = rlines.input_text)),
+firsts as (select task_id, input_text, min({'r': round_no, 'l': line_no}) as f from cand group by task_id, input_text),
+ranked as (select task_id, input_text, f.r as round_no, f.l as line_no,
+    row_number() over (partition by task_id order by f.r, f.l) - 1 as new_rank from firsts),
+newi as (select * from ranked where new_rank < 10)"""
+
+ORACLE["seed_selection"] = with_(BT, POOL, SEEDS) + "select task_id, pos, seed_rank, input_text from seeds"
+ORACLE["reply_lines"] = with_(BS, IREPLIES, RLINES) + "select task_id, completion_id, cast(line_no as integer) as line_no, input_text from rlines"
+ORACLE["new_inputs"] = with_(BT, BS, POOL, IREPLIES, RLINES, NEW) + """
+select task_id, input_text, round_no, cast(line_no as integer) as line_no, new_rank from newi"""
+ORACLE["pool_union"] = with_(BT, BS, POOL, IREPLIES, RLINES, NEW) + """
+, u as (select task_id, 'seed' as origin from pool union all select task_id, 'generated' as origin from newi)
+select task_id, count(*) filter (where origin = 'seed') as n_seed, count(*) filter (where origin = 'generated') as n_generated
+from u group by task_id"""
+_INSTR = "[" + ", ".join(lit(t) for t in K.TESTGEN_INSTRUCTIONS) + "]"
+ORACLE["test_prompt"] = with_(BT, POOL, SEEDS) + f"""
+, st as (select task_id, string_agg(input_text, chr(10) order by seed_rank) as s from seeds group by task_id)
+select bt.task_id, {lit(K.TESTGEN_HEADER)} || bt.code || chr(10) || '```' || {lit(K.TESTGEN_EXAMPLES)} || coalesce(st.s, '')
+       || chr(10) || '```' || chr(10) || {_INSTR}[cast(('0x' || substr(md5(bt.task_id), 1, 8))::bigint % 3 as integer) + 1] as message
+from bt left join st on bt.task_id = st.task_id"""

@@ -353,3 +353,153 @@ def path_parse(spark, sf):
     path = sm.sample_path(F.lit("translations"), dataset, model, F.lit("Java"), F.lit("Python"), F.lit("0.2"),
                           stage, F.col("task_id"), F.col("completion_idx"), F.lit(".py"))
     return s.select(path.alias("identifier")).select("identifier", *sm.parse_path(F.col("identifier")))
+
+
+# ---------------------------------------------------------------- prompts, registry, generation
+from transeval.operators import generate as gn  # noqa: E402
+from transeval.operators import prompts as pr  # noqa: E402
+from transeval.operators import registry as rg  # noqa: E402
+
+PROMPT_TYPES = [*K.PROMPT_TEMPLATES, "no-such-type"]
+FIM_FAMILIES = ["incoder", "codegen2", "santacoder", "starcoder_infill", "hf"]
+
+
+def _pick(values, idx_col):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx_col % len(values) + 1).cast("int"))
+
+
+@query
+def compose_prompt(spark, sf):
+    t = B.tasks(spark, sf).withColumn("prompt_type", _pick(PROMPT_TYPES, F.col("doc_id")))
+    return t.select("task_id", "prompt_type",
+                    pr.compose_prompt(F.col("prompt_type"), F.lit("Java"), F.col("language"), F.col("code")).alias("prompt"))
+
+
+@query
+def fim_wrap(spark, sf):
+    t = B.tasks(spark, sf).withColumn("family", _pick(FIM_FAMILIES, F.col("doc_id")))
+    base = pr.compose_prompt("base", F.lit("Java"), F.col("language"), F.col("code"))
+    return t.select("task_id", "family", pr.fim_wrap(base, F.col("family")).alias("model_input"))
+
+
+@query
+def prompt_echo(spark, sf):
+    s = B.samples(spark, sf)
+    prompt = F.concat(F.lit("Translate "), F.col("task_id"), F.lit(":\n"))
+    return s.select("task_id", "completion_id",
+                    pr.prompt_echo(prompt, F.col("solution"), F.col("completion_idx") % 2 == 1).alias("stored"))
+
+
+@query
+def stop_truncate(spark, sf):
+    t = B.tasks(spark, sf)
+    stop = _pick(["</s>", "<|endoftext|>", ""], F.col("doc_id"))
+    out = F.concat(F.col("code"), stop, F.lit("tail"))
+    fam = F.when(F.col("doc_id") % 2 == 0, F.lit("incoder")).otherwise(F.lit("hf"))
+    return t.select("task_id", pr.stop_truncate(out, pr.stops_for(fam)).alias("solution"))
+
+
+@query
+def tab_expand(spark, sf):
+    t = B.tasks(spark, sf)
+    return t.select("task_id", pr.tab_expand(F.concat(F.lit("\tdef f():\n\t\treturn 1\n"), F.col("code"))).alias("solution"))
+
+
+@query
+def sentinel_flag(spark, sf):
+    t = B.tasks(spark, sf)
+    fam = _pick(FIM_FAMILIES, F.col("doc_id"))
+    over = gn.over_length(fam, F.lit(1024), F.floor(F.length("code") / 4))
+    sol = F.when(over, F.lit(K.MAX_LENGTH_EXCEEDED)).otherwise(F.col("code"))
+    return t.select("task_id", over.alias("over_length"), pr.is_sentinel(sol).alias("is_sentinel"))
+
+
+@query
+def json_reply(spark, sf):
+    e = B.verdicts(spark, sf)
+    return e.select("completion_id", pr.json_reply(F.col("props"), F.col("verdict"), field="k").alias("reply"))
+
+
+@query
+def chat_messages(spark, sf):
+    s = B.samples(spark, sf)
+    m = pr.chat_messages(F.col("solution"), F.col("completion_idx") % 2 == 0)
+    return s.select("task_id", "completion_id",
+                    F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"),
+                    m[0]["content"].alias("system_content"), m[1]["content"].alias("user_content"))
+
+
+@query
+def token_budget(spark, sf):
+    s = B.samples(spark, sf)
+    fam = _pick(B.BUDGET_FAMILIES, F.col("conv_id"))
+    tok = _pick(B.TOKENIZER_LIMITS, F.col("conv_id"))
+    npos = F.when(F.col("conv_id") % 2 == 0, F.lit(4096))
+    ctx = gn.context_window(fam, tok, npos, F.lit(16384))
+    ptok = F.floor(F.length("solution") / 4).cast("int")
+    return s.select("task_id", "completion_id", fam.alias("family"), ctx.alias("ctx"),
+                    gn.token_budget(fam, F.lit(1024), ctx, ptok).alias("budget"),
+                    gn.over_length(fam, ctx, ptok).alias("over_length"))
+
+
+@query
+def greedy_normalise(spark, sf):
+    c = B.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    runs = c.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n_samples"),
+                                    F.max("turn").cast("int").alias("batch_size"))
+    runs = runs.withColumn("greedy", F.col("conv_id") % 3 == 0).withColumn("temperature", (F.col("conv_id") % 5) * 0.2)
+    g = rg.greedy_normalise(runs)
+    return g.select("conv_id", "greedy", F.round("temperature", 6).alias("temperature"), "batch_size", "n_samples", "greedy_forced")
+
+
+@query
+def registry_lookup(spark, sf):
+    t = B.tasks(spark, sf).withColumn("alias", _pick(B.ALIASES, F.col("doc_id")))
+    r = rg.registry_lookup(t, "alias")
+    return r.select("task_id", "alias", "family", "hub_name", "conversational", "registry_error")
+
+
+@query
+def work_plan(spark, sf):
+    existing = B.samples(spark, sf).select("task_id", F.col("completion_idx").alias("idx"))
+    p = gn.work_plan(B.sample_tasks(spark, sf), existing, cfg=[], n_samples=3, batch_size=2)
+    return p.select("task_id", "idx", "batch_no", "n_existing")
+
+
+# ---------------------------------------------------------------- test-input generation
+from transeval.operators import testgen as tg  # noqa: E402
+
+
+@query
+def seed_selection(spark, sf):
+    s = tg.seed_selection(B.input_pool(spark, sf))
+    return s.select("task_id", "pos", "seed_rank", "input_text")
+
+
+@query
+def reply_lines(spark, sf):
+    r = tg.reply_lines(B.input_replies(spark, sf))
+    return r.select("task_id", "completion_id", "line_no", "input_text")
+
+
+def _new_inputs(spark, sf):
+    cand = tg.reply_lines(B.input_replies(spark, sf))
+    return tg.new_inputs(cand, B.input_pool(spark, sf), num=10)
+
+
+@query
+def new_inputs(spark, sf):
+    return _new_inputs(spark, sf).select("task_id", "input_text", "round_no", "line_no", "new_rank")
+
+
+@query
+def pool_union(spark, sf):
+    u = tg.pool_union(B.input_pool(spark, sf), _new_inputs(spark, sf))
+    return u.groupBy("task_id").agg(F.count_if(F.col("origin") == "seed").alias("n_seed"),
+                                    F.count_if(F.col("origin") == "generated").alias("n_generated"))
+
+
+@query
+def test_prompt(spark, sf):
+    seeds = tg.seed_selection(B.input_pool(spark, sf))
+    return tg.seed_messages(B.tasks(spark, sf), seeds).select("task_id", "message")

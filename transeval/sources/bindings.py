@@ -169,3 +169,32 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 2 == 0, decorated).otherwise(F.col("code")).alias("solution"),
         F.concat(F.lit("translations/codenet/"), model, F.lit("/Java/"), lang, F.lit("/temperature_0.2")).alias("path"),
     )
+
+
+# aliases looked up in the model registry, by doc_id % len (valid, prefix-matched and invalid names)
+ALIASES = ["codegen-2b", "codegen2-16b", "santacoder", "incoder-1b", "polycoder", "gpt-4-0125-preview",
+           "gpt-3.5-turbo", "claude-3-opus-20240229", "gemini-pro", "starcoder2-15b", "codet5p-16b",
+           "code-llama-13b", "code-llama-70", "deepseek-coder-6.7b-instruct", "deepseek-coder-33b-base",
+           "deepseek-coder-1.30b-instruct", "deepseek-coder-xb", "wizardcoder-33b", "zephyr-7b", "mistral-7b",
+           "dolphin-2.6", "solar-10.7b-instruct", "mistral-hermes-codepro-7b", "phi-2", "Mixtral-8x7B-Instruct",
+           "octocoder", "magicoder-s-cl-7b", "gpt-j", "gptneo-2b", "stablelm-7b", "phind-code-llama-34b-v2",
+           "codebooga-34b", "unknown-model"]
+# decoder families and tokenizer limits used for the token-budget rows
+BUDGET_FAMILIES = ["hf", "vllm", "deepseek_instruct", "santacoder", "incoder", "codet5p"]
+TOKENIZER_LIMITS = [2048, 100000, 10000000]
+
+
+def input_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each task's input pool: the non-blank lines of its document."""
+    t = tasks(spark, sf_dir)
+    lines = t.select("task_id", F.posexplode(F.split(F.col("code"), "\n", -1)).alias("pos", "line"))
+    from transeval.functions.text import py_strip
+    return lines.select("task_id", "pos", py_strip(F.col("line")).alias("input_text")).filter(F.col("input_text") != "")
+
+
+def input_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model replies to input-generation requests: assistant turns, odd ones fenced."""
+    s = samples(spark, sf_dir)
+    fenced = F.concat(F.lit("Here are inputs:\n```python\n"), F.col("solution"), F.lit("\n```\nbye"))
+    return s.select("task_id", "completion_id", F.col("completion_idx").alias("round_no"),
+                    F.when(F.col("completion_idx") % 2 == 1, fenced).otherwise(F.col("solution")).alias("reply"))
