@@ -21,6 +21,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from transeval.functions.text import lit_col, py_strip, sql
 
@@ -106,7 +107,7 @@ def _py_match(out: str, exp: str) -> bool:
     return out.strip() == exp.strip()
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _exact_match_udf(out: pd.Series, exp: pd.Series) -> pd.Series:
     return pd.Series([None if o is None or e is None else _py_match(o, e) for o, e in zip(out, exp)],
                      dtype="object")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from transeval.functions.text import py_strip
 from transeval.operators.ordered import position_in_group
@@ -82,7 +83,7 @@ def compile_report(samples: DataFrame, compiled: DataFrame, cfg: Sequence[str] =
     return agg.withColumn("pct_wrong", pct)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def python_syntax(code: pd.Series) -> pd.Series:
     """Does the text parse as Python (``ast.parse``)? Arrow-batched; parse errors of any
     kind (syntax, too deep, NUL bytes, memory) mean "does not compile"."""

@@ -1,25 +1,27 @@
 """Position of each row inside its group, without putting a whole group in one task.
 
 A plain ``row_number().over(Window.partitionBy(key).orderBy(...))`` sends every row of a
-key to one task; when one task id (or one sample) holds a large share of the rows that
-task becomes the job. Here the rows are range-partitioned on ``(key, order)``, so a hot
-key is cut into consecutive slices processed in parallel:
-
-1. ``repartitionByRange(key, order)`` and tag each row with its slice (partition) id;
-2. position and running sum inside ``(key, slice)`` -- bounded by the slice size;
-3. per ``(key, slice)`` totals (one small row each) and, over them, the offset of every
-   slice within its key -- at most ``#slices`` rows per key;
-4. join the offsets back on ``(key, slice)``: a hot key is spread over many join keys.
-
-Steps 2-4 read the sliced rows twice (positions and offsets). The slice ids must be the
-same in both reads, but each read of an un-materialised range exchange samples its own
-bounds, so the sliced rows are checkpointed once into the shared checkpoint folder
-(``spark.checkpoint.dir``); this also cuts the lineage, so a lost executor never
-re-slices differently.
-
-Cost: the range exchange (plus its sampling pass), one hash exchange and one write of
-the sliced rows, instead of the single hash exchange of the plain window. The result is
-identical to the window form when ``order`` is a complete ordering within each group.
+key to one task; when one key (a task id, a sample) holds a large share of the rows,
+that task becomes the job. So groups are split by size first:
+
+* one aggregate counts rows per key (map-side partial counts, one small row per key)
+  and returns the keys with more than ``hot_rows`` rows -- at most ``max_hot`` of them
+  are collected (checked with ``limit``), so the list has a proven size bound;
+* keys below the threshold use the plain window: each window group is at most
+  ``hot_rows`` rows, one shuffle in total;
+* rows of hot keys are range-partitioned on ``(key, order)``, so a hot key is cut into
+  consecutive slices processed in parallel: position and running sum inside
+  ``(key, slice)``, per-slice totals (one row each), the offset of every slice within
+  its key (at most ``#slices`` rows per key), joined back on ``(key, slice)``.
+
+The sliced path reads the sliced rows twice (positions and totals). Each read of an
+un-materialised range exchange samples its own bounds, so the sliced rows are
+checkpointed once into the shared checkpoint folder (``spark.checkpoint.dir``); that
+also cuts the lineage, so a lost executor never re-slices differently. More than
+``max_hot`` hot keys means the data is skewed everywhere: then all rows take the sliced
+path.
+
+The result equals the plain window whenever ``order`` is a complete order per group.
 """
 
 from __future__ import annotations
@@ -32,31 +34,27 @@ from pyspark.sql import functions as F
 from transeval.session import checkpoint_dir
 
 _SLICE = "_slice"
+HOT_GROUP_ROWS = 2_000_000   # a group this large still sorts in one task in seconds
+MAX_HOT_KEYS = 10_000
 
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def position_in_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence,
-    *,
-    pos_col: str = "pos",
-    size_col: str | None = None,
-    running_sum: str | None = None,
-    cum_col: str = "cum",
-    slices: int | None = None,
-) -> DataFrame:
-    """Add ``pos_col`` (0-based position in ``order`` within ``keys``), optionally the group
-    size ``size_col`` and the inclusive running sum of ``running_sum`` as ``cum_col``."""
-    keys = list(keys)
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order_cols = _cols(order)
-    sliced = (df.repartitionByRange(n, *_cols(keys), *order_cols)
-                .withColumn(_SLICE, F.spark_partition_id()))
+def _window_positions(df, keys, order_cols, pos_col, size_col, running_sum, cum_col) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order_cols)
+    out = df.withColumn(pos_col, (F.row_number().over(w) - 1).cast("long"))
+    if running_sum:
+        out = out.withColumn(cum_col, F.sum(running_sum).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if size_col:
+        out = out.withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("long"))
+    return out
 
+
+def _sliced_positions(df, keys, order_cols, pos_col, size_col, running_sum, cum_col, slices) -> DataFrame:
+    sliced = (df.repartitionByRange(slices, *_cols(keys), *order_cols)
+                .withColumn(_SLICE, F.spark_partition_id()))
     w_local = Window.partitionBy(*keys, _SLICE).orderBy(*order_cols)
     local = sliced.withColumn("_lpos", F.row_number().over(w_local) - 1)
     aggs = [F.count(F.lit(1)).alias("_cnt")]
@@ -86,3 +84,42 @@ def position_in_group(
     drop = [c for c in out.columns if c.startswith("_k_")] + [
         c for c in ("_slice", "_lpos", "_lcum", "_cnt", "_tot", "_off", "_coff", "_size") if c in out.columns]
     return out.drop(*drop)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_GROUP_ROWS,
+             max_hot: int = MAX_HOT_KEYS) -> list | None:
+    """Keys with more than ``hot_rows`` rows (None when there are more than ``max_hot``)."""
+    hot = (df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
+             .select(*keys).limit(max_hot + 1).collect())
+    return None if len(hot) > max_hot else hot
+
+
+def position_in_group(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence,
+    *,
+    pos_col: str = "pos",
+    size_col: str | None = None,
+    running_sum: str | None = None,
+    cum_col: str = "cum",
+    slices: int | None = None,
+    hot_rows: int = HOT_GROUP_ROWS,
+    max_hot: int = MAX_HOT_KEYS,
+) -> DataFrame:
+    """Add ``pos_col`` (0-based position in ``order`` within ``keys``), optionally the group
+    size ``size_col`` and the inclusive running sum of ``running_sum`` as ``cum_col``."""
+    keys = list(keys)
+    order_cols = _cols(order)
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    args = (keys, order_cols, pos_col, size_col, running_sum, cum_col)
+    hot = hot_keys(df, keys, hot_rows, max_hot)
+    if hot is None:
+        return _sliced_positions(df, *args, n)
+    if not hot:
+        return _window_positions(df, *args)
+    hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*keys).schema))
+    cond = [df[k].eqNullSafe(hot_df[k]) for k in keys]
+    cold_rows = df.join(hot_df, on=cond, how="left_anti")
+    hot_rows_df = df.join(hot_df, on=cond, how="left_semi")
+    return _window_positions(cold_rows, *args).unionByName(_sliced_positions(hot_rows_df, *args, n))

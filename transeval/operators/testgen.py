@@ -14,6 +14,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from transeval import constants as K
 from transeval.functions.text import lit_col, py_lines, py_strip, split_part
@@ -46,7 +47,7 @@ def reply_lines(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return out.withColumn("input_text", py_strip(F.substring_index(F.col("_line"), "#", 1))).drop("_line")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def literal_inputs(text: pd.Series) -> pd.Series:
     """``str(ast.literal_eval("[" + line + "]"))`` or NULL when the line is not a literal
     (the canonical text later used to recognise inputs already in the pool)."""

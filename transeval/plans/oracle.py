@@ -99,8 +99,8 @@ BX_LOG = f"""bx_log as (
       when 9 then replace({_EXP}, '.', ',')
       else {_EXP} end as stdout
   from bx_rows)"""
-BX_TESTS = f"""bx_tests as (select task_id, test_idx, '' as input, {_EXP} as expected
-  from (select distinct task_id, o_custkey, test_idx from bx_rows))"""
+BX_TESTS = f"""bx_tests as (select cast(c_custkey as varchar) as task_id, cast(i as integer) as test_idx, '' as input,
+  {_expected("c_custkey", "i")} as expected from customer, range(16) r(i))"""
 BX_CMP = """bx_cmp as (select l.*, t.expected from bx_log l left join bx_tests t
   on l.task_id = t.task_id and l.test_idx = t.test_idx)"""
 

@@ -73,8 +73,7 @@ def verdict_label(spark, sf):
 # ---------------------------------------------------------------- verdicts
 
 def _compared(spark, sf):
-    log = B.exec_log(spark, sf)
-    return vd.attach_expected(log, B.tests(log))
+    return vd.attach_expected(B.exec_log(spark, sf), B.tests(spark, sf))
 
 
 @query
