@@ -40,7 +40,7 @@ def py_strip(c) -> Column:
 
 def py_lstrip(c) -> Column:
     """``str.lstrip()``."""
-    return sql("ltrim", c, F.lit(PY_WHITESPACE))
+    return F.ltrim(lit_col(c), F.lit(PY_WHITESPACE))
 
 
 def normalise_breaks(c) -> Column:

@@ -328,7 +328,7 @@ from transeval.sources import tasks as tk  # noqa: E402
 
 @query
 def task_scan(spark, sf):
-    return B.tasks(spark, sf).filter(F.col("language") == "Python").select("task_id", "language")
+    return B.tasks(spark, sf, language="Python").select("task_id", "language")
 
 
 @query

@@ -35,8 +35,15 @@ def language_of(col) -> F.Column:
     return expr.otherwise(F.lit("C"))
 
 
-def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tasks(spark: SparkSession, sf_dir: str, language: str | None = None) -> DataFrame:
+    """Tasks; a ``language`` filter is applied to the stored column so it reaches the scan."""
     d = table(spark, sf_dir, "documents")
+    if language is not None:
+        natural = [nat for nat, prog in LANG_MAP if prog == language]
+        if natural:
+            d = d.filter(F.col("lang") == natural[0])
+        else:  # the catch-all language: every natural language not in the map
+            d = d.filter(~F.col("lang").isin(*[nat for nat, _ in LANG_MAP]))
     return d.select(F.col("doc_id").cast("string").alias("task_id"),
                     language_of(F.col("lang")).alias("language"),
                     F.col("text").alias("code"), "source", "doc_id")
