@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from transeval import constants as K
 from transeval.functions.text import lit_col
@@ -86,7 +87,7 @@ def generate(plan: DataFrame, fn: Callable[[list[str]], list[str]], *, prompt: s
     written once to the shared checkpoint folder, so a lost executor never calls the
     model again for finished work.
     """
-    schema = plan.schema.add("output", "string")
+    schema = StructType([*plan.schema.fields, StructField("output", StringType())])
 
     def run(batches):
         for pdf in batches:

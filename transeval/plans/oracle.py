@@ -311,10 +311,8 @@ def drop_prefixes_(s, prefixes):
 
 
 def truncate_(s, eofs):
-    out = s
-    for e in eofs:
-        out = strip(f"split_part({out}, {lit(e)}, 1)")
-    return out
+    elist = "[" + ", ".join(lit(e) for e in eofs) + "]"
+    return f"list_reduce(list_prepend({s}, {elist}), lambda acc, e: {strip('split_part(acc, e, 1)')})"
 
 
 _DELIM = "(case when doc_id % 3 = 0 then '@@ Response' when doc_id % 3 = 1 then 'Answer:' else target_lang || ':' end)"
