@@ -187,3 +187,9 @@ def sanitize(samples: DataFrame, *, path: str = "path", target: str = "target_la
         df = df.withColumn(solution, F.when(F.col("sanitize_error").isNull(), F.col(solution))
                            .otherwise(F.raise_error(F.concat(F.lit("sanitize failed: "), F.col("sanitize_error")))))
     return df.withColumn("out_path", F.col("_path")).drop("_s", "_path")
+
+
+def sanitize_summary(cleaned: DataFrame, cfg: Sequence[str] = ()) -> DataFrame:
+    """Per config: samples seen and samples whose cleaning failed."""
+    return cleaned.groupBy(*cfg).agg(F.count(F.lit(1)).alias("n_total"),
+                                     F.count_if(F.col("sanitize_error").isNotNull()).alias("n_failed"))
