@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from transeval import constants as K
-from transeval.functions.compare import outputs_match_exact, with_outputs_match
+from transeval.functions.compare import EXPECTED_PARTS, outputs_match_exact, with_expected_parts, with_outputs_match
 from transeval.operators.ordered import position_in_group
 
 SAMPLE_KEYS = ["task_id", "completion_id"]
@@ -46,8 +46,9 @@ def tests_from_tasks(tasks: DataFrame, task_keys: Sequence[str] = ("task_id",))
 
 def attach_expected(exec_log: DataFrame, tests: DataFrame, task_keys: Sequence[str] = ("task_id",)) -> DataFrame:
     """Each executed test gets the expected output of its position (left join: a log row
-    never disappears; a missing expected output simply cannot match)."""
-    t = tests.select(*task_keys, "test_idx", "expected")
+    never disappears; a missing expected output simply cannot match). The expected text
+    is parsed here, once per test, before the join multiplies it by the samples."""
+    t = with_expected_parts(tests.select(*task_keys, "test_idx", "expected"))
     return exec_log.join(t, on=[*task_keys, "test_idx"], how="left")
 
 
@@ -62,7 +63,7 @@ def test_outcomes(compared: DataFrame, *, exact_rounding: bool = False) -> DataF
     err, err_ok = _text_and_valid(compared, "stderr")
     if exact_rounding:
         matched = F.when(out_ok, F.coalesce(outputs_match_exact(out, F.col("expected")), F.lit(False))).otherwise(False)
-        compared = compared.withColumn("_match", matched)
+        compared = compared.withColumn("_match", matched).drop(*[c for c in EXPECTED_PARTS if c in compared.columns])
     else:
         compared = with_outputs_match(compared.withColumn("_out", out), "_out", "expected", "_match", out_ok).drop("_out")
     outcome = (F.when(~F.col("compile_ok"), F.lit(K.COMPILE_FAILED))
