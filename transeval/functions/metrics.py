@@ -16,19 +16,20 @@ def _arg(x):
 def pass_at_k(n, c, k) -> Column:
     """Unbiased pass@k of one task: ``1 - C(n-c, k) / C(n, k)``.
 
-    Written as the product ``1 - prod_{i=n-c+1..n} (1 - k/i)``; ``n - c < k`` gives 1.0 and
-    ``c = 0`` gives 0.0 (the guard also keeps ``sequence`` from running downwards).
+    The ratio telescopes to ``prod_{j=0..k-1} (n-c-j) / (n-j)``: k factors (k is 1 or 5)
+    instead of the c factors of ``prod_{i=n-c+1..n} (1 - k/i)``, so a task with any number
+    of samples costs the same. ``n - c < k`` gives 1.0, ``c = 0`` gives 0.0.
     ``n`` may be a column or a scalar (one sample count for every task).
     """
     n, c, k = _arg(n).cast("bigint"), _arg(c).cast("bigint"), _arg(k).cast("bigint")
-    prod = F.aggregate(
-        F.sequence(n - c + 1, n),
+    ratio = F.aggregate(
+        F.sequence(F.lit(0).cast("bigint"), k - 1),
         F.lit(1.0).cast("double"),
-        lambda acc, i: acc * (F.lit(1.0) - k.cast("double") / i.cast("double")),
+        lambda acc, j: acc * ((n - c - j).cast("double") / (n - j).cast("double")),
     )
     return (F.when(n - c < k, F.lit(1.0))
             .when(c == 0, F.lit(0.0))
-            .otherwise(F.lit(1.0) - prod)).cast("double")
+            .otherwise(F.lit(1.0) - ratio)).cast("double")
 
 
 def score_label(k, value) -> Column:

@@ -23,12 +23,6 @@ def task_counts(verdicts: DataFrame, cfg: Sequence[str] = (), task: str = "task_
     )
 
 
-def _ks(ks) -> DataFrame:
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame([(int(k),) for k in ks], "k int")
-
-
 def task_scores(verdicts: DataFrame, cfg: Sequence[str] = (), ks: Sequence[int] = K.DEFAULT_KS,
                 n_samples: int | None = None, task: str = "task_id") -> DataFrame:
     """One row per (config, task, k) with pass@k. ``n_samples`` fixes n for every task."""

@@ -157,8 +157,8 @@ def oracle(name: str):
 # ------------------------------------------------------------------ metrics
 def _pass_at_k(n: str, c: str, k: str) -> str:
     return f"""(case when {n} - {c} < {k} then 1.0::double when {c} = 0 then 0.0::double
-      else 1.0::double - list_product(list_transform(generate_series({n} - {c} + 1, {n}),
-           lambda i: 1.0::double - {k}::double / i)) end)"""
+      else 1.0::double - list_reduce(list_prepend(1.0::double, list_transform(generate_series(0, {k} - 1),
+           lambda j: ({n} - {c} - j)::double / ({n} - j)::double)), lambda a, b: a * b) end)"""
 
 
 _TASK_COUNTS = """counts as (select task_id, count(*) as n,

@@ -307,11 +307,13 @@ def cached_eval(spark, sf):
 
 @query
 def legacy_results(spark, sf):
-    counts = B.verdicts(spark, sf).groupBy("task_id", "user_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    doc = F.when(F.col("user_id") % 2 == 0, F.to_json(F.struct(F.array_repeat(F.lit("x"), F.col("n")).alias("files")))) \
-           .otherwise(F.to_json(F.struct(F.col("n").alias("nfiles"))))
-    parsed = counts.select("task_id", F.from_json(doc, rs.TASK_RESULT).alias("r"))
-    return parsed.select("task_id", rs.migrate_nfiles(F.col("r")).alias("nfiles"))
+    """Stored records in both layouts -- old ``{"files": [...]}`` (even tasks) and new
+    ``{"nfiles": n}`` -- one record per verdict row, migrated and summed per task."""
+    v = B.verdicts(spark, sf)
+    doc = F.when(F.col("user_id") % 2 == 0, F.to_json(F.struct(F.array(F.col("completion_id")).alias("files")))) \
+           .otherwise(F.to_json(F.struct(F.lit(1).alias("nfiles"))))
+    parsed = v.select("task_id", F.from_json(doc, rs.TASK_RESULT).alias("r"))
+    return parsed.groupBy("task_id").agg(F.sum(rs.migrate_nfiles(F.col("r"))).cast("int").alias("nfiles"))
 
 
 @query

@@ -42,14 +42,18 @@ def get_session(master: str | None = None, app: str = "transeval", conf: dict |
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when it is unset (local
-    tests) a fresh scratch folder is created and registered.
+    A cluster names it in ``spark.checkpoint.dir`` (it must be on shared storage). Only a
+    local session (tests, benchmarks) without one gets a fresh scratch folder; on a
+    cluster a missing setting is an error rather than a machine-local guess.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="transeval-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(path)
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
+    path = tempfile.mkdtemp(prefix="transeval-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", path)
+    spark.sparkContext.setCheckpointDir(path)
     return path

@@ -72,3 +72,12 @@ def write_samples(samples: DataFrame, path: str, cfg=CFG, mode: str = "append")
     """Samples as parquet partitioned by configuration (``task_id`` ``/`` -> ``_``)."""
     out = samples.withColumn("task_id", F.replace(F.col("task_id"), F.lit("/"), F.lit("_")))
     out.write.mode(mode).partitionBy(*[c for c in cfg if c in out.columns]).parquet(path)
+
+
+def append_samples(samples: DataFrame, path: str, cfg=CFG, text: str = "solution") -> DataFrame:
+    """Append generated samples keyed (config, task_id, idx). A reply that is not valid
+    UTF-8 cannot be written as a sample file: it is skipped without taking an index, so
+    the next resume plans that index again. Returns the skipped rows."""
+    valid = F.coalesce(F.is_valid_utf8(F.col(text)), F.lit(False))
+    write_samples(samples.filter(valid), path, cfg)
+    return samples.filter(~valid)
