@@ -68,11 +68,16 @@ def new_inputs(candidates: DataFrame, pool: DataFrame, num: int, *, key: str = "
                text: str = "input_text", order: Sequence[str] = ("round_no", "line_no"),
                rounds: int = K.TESTGEN_ROUNDS) -> DataFrame:
     """New inputs per key: rounds ``0..rounds`` only, inputs already in the pool dropped,
-    the first occurrence of a repeated input kept, then the first ``num`` in order."""
+    the first occurrence of a repeated input kept, then the first ``num`` in order.
+    ``order`` is (round number, line number), both non-negative ints."""
     c = candidates.filter(F.col("round_no") <= rounds)
     c = c.join(pool.select(key, F.col(text)), on=[key, text], how="left_anti")
-    firsts = c.groupBy(key, text).agg(F.min(F.struct(*[F.col(o) for o in order])).alias("_first"))
-    firsts = firsts.select(key, text, *[F.col(f"_first.{o}").alias(o) for o in order])
+    # first occurrence by (round, line), packed into one bigint so the dedupe is a hash aggregate
+    r, ln = order
+    packed = F.col(r).cast("long") * (1 << 32) + F.col(ln).cast("long")
+    firsts = c.groupBy(key, text).agg(F.min(packed).alias("_first"))
+    firsts = firsts.select(key, text, F.floor(F.col("_first") / (1 << 32)).cast("int").alias(r),
+                           (F.col("_first") % (1 << 32)).cast("int").alias(ln))
     ranked = position_in_group(firsts, [key], list(order), pos_col="new_rank")
     return ranked.filter(F.col("new_rank") < num)
 

@@ -76,9 +76,25 @@ def test_outcomes(compared: DataFrame, *, exact_rounding: bool = False) -> DataF
                     .withColumn("outcome", F.when(F.col("test_idx").isNotNull() | ~F.col("compile_ok"), outcome)))
 
 
+_CODE = {label: code for code, label in K.VERDICT_CODES.items() if label is not None}
+
+
 def _first(cond: Column, outcome: Column) -> Column:
-    """Outcome of the lowest test_idx satisfying ``cond`` (struct min ignores NULLs)."""
-    return F.min(F.when(cond, F.struct(F.col("test_idx").alias("i"), outcome.alias("o"))))
+    """(lowest test_idx satisfying ``cond``, its outcome) packed as ``test_idx * 8 + code``:
+    a fixed-width ``min``, so the aggregate stays a partial hash aggregate."""
+    code = F.when(F.lit(False), F.lit(None))
+    for label, c in _CODE.items():
+        code = code.when(outcome == label, F.lit(c))
+    return F.min(F.when(cond, F.col("test_idx").cast("long") * 8 + code))
+
+
+def _first_idx(packed: Column) -> Column:
+    return F.floor(packed / 8).cast("int")
+
+
+def _first_outcome(packed: Column) -> Column:
+    m = F.create_map(*[x for label, c in _CODE.items() for x in (F.lit(c), F.lit(label))])
+    return F.element_at(m, (packed % 8).cast("int"))
 
 
 def sample_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
@@ -93,8 +109,8 @@ def sample_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence
     )
     verdict = (F.when(F.col("_cfail") == 1, F.lit(K.COMPILE_FAILED))
                .when(F.col("n_tests") == 0, F.lit(None).cast("string"))
-               .otherwise(F.coalesce(F.col("_ff.o"), F.lit(K.SUCCESS))))
-    return agg.select(*keys, F.col("n_tests"), F.col("_ff.i").alias("first_fail_idx"), verdict.alias("verdict"))
+               .otherwise(F.coalesce(_first_outcome(F.col("_ff")), F.lit(K.SUCCESS))))
+    return agg.select(*keys, F.col("n_tests"), _first_idx(F.col("_ff")).alias("first_fail_idx"), verdict.alias("verdict"))
 
 
 def attempted_tests(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
@@ -133,10 +149,10 @@ def budget_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence
     cfail = F.col("_cfail") == 1
     return agg.select(
         *keys,
-        F.when(cfail, F.lit(K.COMPILE_FAILED)).otherwise(F.coalesce(F.col("_ff.o"), F.lit(K.SUCCESS))).alias("verdict"),
+        F.when(cfail, F.lit(K.COMPILE_FAILED)).otherwise(F.coalesce(_first_outcome(F.col("_ff")), F.lit(K.SUCCESS))).alias("verdict"),
         F.when(cfail, F.lit(K.COMPILE_FAILED)).when(F.col("_n_within") == 0, F.lit(None).cast("string"))
-         .otherwise(F.coalesce(F.col("_ffw.o"), F.lit(K.SUCCESS))).alias("verdict_reference"),
-        F.when(cfail, F.lit(K.COMPILE_FAILED)).otherwise(F.coalesce(F.col("_ffs.o"), F.lit(K.SUCCESS))).alias("verdict_strict"),
+         .otherwise(F.coalesce(_first_outcome(F.col("_ffw")), F.lit(K.SUCCESS))).alias("verdict_reference"),
+        F.when(cfail, F.lit(K.COMPILE_FAILED)).otherwise(F.coalesce(_first_outcome(F.col("_ffs")), F.lit(K.SUCCESS))).alias("verdict_strict"),
     )
 
 
