@@ -25,9 +25,10 @@ def samples_per_task(samples: DataFrame, cfg: Sequence[str] = (), task: str = "t
 
 
 def _per_config(small: DataFrame, big: DataFrame, cfg: Sequence[str], col: str) -> DataFrame:
-    """Attach a per-config scalar (``small`` has one row per config)."""
+    """Attach a per-config scalar (``small`` has one row per config; AQE broadcasts it
+    when its measured size is under the broadcast threshold)."""
     if cfg:
-        return big.join(F.broadcast(small), on=list(cfg), how="left")
+        return big.join(small, on=list(cfg), how="left")
     return big.withColumn(col, small.select(col).scalar())
 
 

@@ -9,8 +9,9 @@ that task becomes the job. So groups are split by size first:
   are collected (checked with ``limit``), so the list has a proven size bound;
 * keys below the threshold use the plain window: each window group is at most
   ``hot_rows`` rows, one shuffle in total;
-* rows of hot keys are range-partitioned on ``(key, order)``, so a hot key is cut into
-  consecutive slices processed in parallel: position and running sum inside
+* rows of hot keys are range-partitioned on ``(key, order)`` into enough slices that each
+  holds about ``hot_rows`` rows, so a hot key is cut into consecutive slices processed in
+  parallel: position and running sum inside
   ``(key, slice)``, per-slice totals (one row each), the offset of every slice within
   its key (at most ``#slices`` rows per key), joined back on ``(key, slice)``.
 
@@ -87,11 +88,14 @@ def _sliced_positions(df, keys, order_cols, pos_col, size_col, running_sum, cum_
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_GROUP_ROWS,
-             max_hot: int = MAX_HOT_KEYS) -> list | None:
-    """Keys with more than ``hot_rows`` rows (None when there are more than ``max_hot``)."""
+             max_hot: int = MAX_HOT_KEYS) -> tuple[list, int] | None:
+    """Keys with more than ``hot_rows`` rows and their total row count (None when there
+    are more than ``max_hot`` such keys)."""
     hot = (df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-             .select(*keys).limit(max_hot + 1).collect())
-    return None if len(hot) > max_hot else hot
+             .limit(max_hot + 1).collect())
+    if len(hot) > max_hot:
+        return None
+    return [tuple(r[k] for k in keys) for r in hot], sum(r["count"] for r in hot)
 
 
 def position_in_group(
@@ -113,11 +117,14 @@ def position_in_group(
     order_cols = _cols(order)
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     args = (keys, order_cols, pos_col, size_col, running_sum, cum_col)
-    hot = hot_keys(df, keys, hot_rows, max_hot)
-    if hot is None:
+    found = hot_keys(df, keys, hot_rows, max_hot)
+    if found is None:
         return _sliced_positions(df, *args, n)
+    hot, hot_total = found
     if not hot:
         return _window_positions(df, *args)
+    # enough slices that none holds more than about ``hot_rows`` rows
+    n = max(n, -(-hot_total // max(hot_rows, 1)))
     hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*keys).schema))
     cond = [df[k].eqNullSafe(hot_df[k]) for k in keys]
     cold_rows = df.join(hot_df, on=cond, how="left_anti")
