@@ -76,3 +76,13 @@ def test_verdict_label(spark):
     df = spark.createDataFrame([(i,) for i in range(7)], "c int")
     got = [r.l for r in df.select(verdict_label(F.col("c")).alias("l")).orderBy("c").collect()]
     assert got == ["success", "runtime_failed", "compile_failed", "infinite_loop", "test_failed", None, None]
+
+
+def test_exact_rounding_path(spark):
+    rows = [("t", "a", 0, True, False, 1.0, "2.675", ""), ("t", "b", 0, True, False, 1.0, "1.45", "")]
+    log = spark.createDataFrame(rows, SCHEMA)
+    tests = spark.createDataFrame([("t", 0, "", "2.67")], "task_id string, test_idx int, input string, expected string")
+    exact = {r.completion_id: r.verdict for r in judge(log, tests, exact_rounding=True).collect()}
+    native = {r.completion_id: r.verdict for r in judge(log, tests).collect()}
+    assert exact == {"a": "success", "b": "test_failed"}      # Python rounds the binary value of 2.675 down
+    assert native == {"a": "test_failed", "b": "test_failed"}  # decimal tie rounds half-even on the text

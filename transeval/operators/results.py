@@ -108,12 +108,30 @@ def plan_evaluation(samples: DataFrame, cached: DataFrame, cfg: Sequence[str], r
     return from_cache.unionByName(todo)
 
 
+_VERDICT_CODE = [("success", 0), ("runtime_failed", 1), ("compile_failed", 2), ("infinite_loop", 3), ("test_failed", 4)]
+
+
 def latest_versions(results: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """Several stored versions of a result: keep the newest per key (the evaluator moves
-    older files aside as ``.bak``, ``.bak.bak``, …)."""
+    older files aside as ``.bak``, ``.bak.bak``, …).
+
+    For verdict rows the newest verdict is packed with its version into one bigint
+    (``version * 8 + code``), so this stays a partial hash aggregate; other payloads use
+    ``max_by``."""
+    payload = [c for c in results.columns if c not in keys and c != version]
+    if payload == ["verdict"]:
+        code = F.when(F.lit(False), F.lit(None))
+        for label, c in _VERDICT_CODE:
+            code = code.when(F.col("verdict") == label, F.lit(c))
+        packed = F.col(version).cast("long") * 8 + F.coalesce(code, F.lit(7))
+        agg = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_versions"), F.max(packed).alias("_p"))
+        labels = F.create_map(*[x for label, c in _VERDICT_CODE for x in (F.lit(c), F.lit(label))])
+        return agg.select(*keys, "n_versions",
+                          F.try_element_at(labels, (F.col("_p") % 8).cast("int")).alias("verdict"),
+                          F.floor(F.col("_p") / 8).cast(results.schema[version].dataType).alias(version))
     return results.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_versions"),
-        F.max_by(F.struct(*[c for c in results.columns if c not in keys]), F.col(version)).alias("_l"),
+        F.max_by(F.struct(*payload, F.col(version)), F.col(version)).alias("_l"),
     ).select(*keys, "n_versions", "_l.*")
 
 

@@ -94,7 +94,7 @@ def _first_idx(packed: Column) -> Column:
 
 def _first_outcome(packed: Column) -> Column:
     m = F.create_map(*[x for label, c in _CODE.items() for x in (F.lit(c), F.lit(label))])
-    return F.element_at(m, (packed % 8).cast("int"))
+    return F.try_element_at(m, (packed % 8).cast("int"))
 
 
 def sample_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:

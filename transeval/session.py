@@ -57,3 +57,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def scale_settings(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a large run: scan splits and shuffle partitions of about
+    ``partition_bytes`` each (fits an executor core's memory with room to spill), at
+    least two partitions per core; AQE coalesces small ones and splits skewed joins."""
+    parts = max(2 * cores, -(-int(input_bytes) // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
