@@ -103,3 +103,18 @@ def test_debug_task_and_strict(spark):
     import pytest
     with pytest.raises(Exception):
         sz.sanitize(df, strict=True).collect()
+
+
+def test_end_markers_with_whitespace_keep_step_strips(spark):
+    rnd = random.Random(9)
+    eofs = [" x", "y ", "\nNote"]
+    frags = ["a", " ", "x", "y", "\n", "Note", "  "]
+    texts = ["".join(rnd.choice(frags) for _ in range(rnd.randint(0, 12))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r.o for r in df.select(sz.truncate_at_markers(F.col("s"), eofs).alias("o")).collect()]
+
+    def py(t):
+        for e in eofs:
+            t = t.split(e)[0].strip()
+        return t
+    assert got == [py(t) for t in texts]
