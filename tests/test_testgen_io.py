@@ -55,3 +55,12 @@ def test_read_samples_keeps_empty_files(spark, tmp_path):
     (root / "stray.py").write_text("not a task")
     got = sorted((r.task_id, r.completion_id, r.solution) for r in sm.read_samples(spark, str(root), "Python").collect())
     assert got == [("p 2", "0", "y+1"), ("p1", "0", "x=1"), ("p1", "1", "")]
+
+
+def test_export_then_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("p/1", 0, ".py", "x=1"), ("p/1", 1, ".py", ""), ("q", 0, ".py", "y")],
+                               "task_id string, idx int, ext string, solution string")
+    root = str(tmp_path / "temperature_0.2")
+    sm.export_sample_tree(df, root)
+    got = sorted((r.task_id, r.completion_id, r.solution) for r in sm.read_samples(spark, root, "Python").collect())
+    assert got == [("p_1", "0", "x=1"), ("p_1", "1", ""), ("q", "0", "y")]

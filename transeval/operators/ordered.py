@@ -37,6 +37,7 @@ from transeval.session import checkpoint_dir
 _SLICE = "_slice"
 HOT_GROUP_ROWS = 2_000_000   # a group this large still sorts in one task in seconds
 MAX_HOT_KEYS = 10_000
+MAX_SLICES = 100_000
 
 
 def _cols(xs) -> list[Column]:
@@ -124,7 +125,7 @@ def position_in_group(
     if not hot:
         return _window_positions(df, *args)
     # enough slices that none holds more than about ``hot_rows`` rows
-    n = max(n, -(-hot_total // max(hot_rows, 1)))
+    n = min(max(n, -(-hot_total // max(hot_rows, 1))), MAX_SLICES)
     hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*keys).schema))
     cond = [df[k].eqNullSafe(hot_df[k]) for k in keys]
     cold_rows = df.join(hot_df, on=cond, how="left_anti")

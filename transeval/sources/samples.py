@@ -81,3 +81,21 @@ def append_samples(samples: DataFrame, path: str, cfg=CFG, text: str = "solution
     valid = F.coalesce(F.is_valid_utf8(F.col(text)), F.lit(False))
     write_samples(samples.filter(valid), path, cfg)
     return samples.filter(~valid)
+
+
+def export_sample_tree(samples: DataFrame, root: str, ext_col: str = "ext") -> None:
+    """One file per sample, ``<root>/<task_id>/<idx><ext>`` (the layout compile-and-run
+    harnesses read). Each Spark task writes its own rows; ``root`` must be storage every
+    executor sees (a shared mount). Needs ``task_id``, ``idx``, ``solution`` and ``ext``."""
+    rows = samples.select(F.replace(F.col("task_id"), F.lit("/"), F.lit("_")).alias("task"),
+                          F.col("idx").cast("string").alias("idx"), F.col(ext_col).alias("ext"), "solution")
+
+    def write(part):
+        import os
+        for r in part:
+            folder = os.path.join(root, r["task"])
+            os.makedirs(folder, exist_ok=True)
+            with open(os.path.join(folder, f"{r['idx']}{r['ext']}"), "w", encoding="utf-8") as f:
+                f.write(r["solution"])
+
+    rows.foreachPartition(write)
