@@ -58,7 +58,7 @@ def test_budget_modes(spark):
         "fast": [(0, True, False, 1.0, "1", ""), (1, True, False, 1.0, "2", "")],
     }
     assert _run(spark, logs) == {"late": "test_failed", "first": "success", "fast": "success"}
-    assert _run(spark, logs, budget="reference") == {"late": "success", "first": None, "fast": "success"}
+    assert _run(spark, logs, budget="watchdog") == {"late": "success", "first": None, "fast": "success"}
     assert _run(spark, logs, budget="strict") == {"late": "infinite_loop", "first": "infinite_loop", "fast": "success"}
 
 

@@ -128,7 +128,7 @@ def budget_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence
     """Verdicts under the whole-sample time budget, three ways.
 
     * ``verdict``            -- per-test rules only (budget ignored);
-    * ``verdict_reference``  -- what the evaluator records: a watchdog kills the sample when
+    * ``verdict_watchdog``  -- what the evaluator records: a watchdog kills the sample when
       the running time passes the budget and the last stored value stands, so tests
       finishing after the budget are ignored; no test finished in time -> NULL;
     * ``verdict_strict``     -- the first test that ends past the budget is an infinite loop.
@@ -151,7 +151,7 @@ def budget_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence
         *keys,
         F.when(cfail, F.lit(K.COMPILE_FAILED)).otherwise(F.coalesce(_first_outcome(F.col("_ff")), F.lit(K.SUCCESS))).alias("verdict"),
         F.when(cfail, F.lit(K.COMPILE_FAILED)).when(F.col("_n_within") == 0, F.lit(None).cast("string"))
-         .otherwise(F.coalesce(_first_outcome(F.col("_ffw")), F.lit(K.SUCCESS))).alias("verdict_reference"),
+         .otherwise(F.coalesce(_first_outcome(F.col("_ffw")), F.lit(K.SUCCESS))).alias("verdict_watchdog"),
         F.when(cfail, F.lit(K.COMPILE_FAILED)).otherwise(F.coalesce(_first_outcome(F.col("_ffs")), F.lit(K.SUCCESS))).alias("verdict_strict"),
     )
 
@@ -161,12 +161,12 @@ def judge(exec_log: DataFrame, tests: DataFrame, cfg: Sequence[str] = (), *,
           budget_s: float = K.SAMPLE_BUDGET_S, exact_rounding: bool = False) -> DataFrame:
     """exec_log + tests -> verdict rows ``(cfg..., task_id, completion_id, verdict)``.
 
-    ``budget``: None (per-test rules), ``"reference"`` or ``"strict"`` (see ``budget_verdicts``).
+    ``budget``: None (per-test rules), ``"watchdog"`` or ``"strict"`` (see ``budget_verdicts``).
     """
     outcomes = test_outcomes(attach_expected(exec_log, tests, task_keys), exact_rounding=exact_rounding)
     if budget is None:
         return sample_verdicts(outcomes, cfg).select(*cfg, *SAMPLE_KEYS, "verdict")
-    col = {"reference": "verdict_reference", "strict": "verdict_strict"}[budget]
+    col = {"watchdog": "verdict_watchdog", "strict": "verdict_strict"}[budget]
     v = budget_verdicts(outcomes, cfg, budget_s=budget_s).select(*cfg, *SAMPLE_KEYS, F.col(col).alias("verdict"))
     # samples whose log holds no test rows: compile-only rows
     no_tests = sample_verdicts(outcomes.filter(F.col("test_idx").isNull()), cfg).select(*cfg, *SAMPLE_KEYS, "verdict")

@@ -227,7 +227,7 @@ a as (select completion_id, max(case when not compile_ok then 1 else 0 end) as c
       from z group by task_id, completion_id)
 select completion_id,
        case when cfail = 1 then 'compile_failed' else coalesce(ff, 'success') end as verdict,
-       case when cfail = 1 then 'compile_failed' when n_within = 0 then null else coalesce(ffw, 'success') end as verdict_reference,
+       case when cfail = 1 then 'compile_failed' when n_within = 0 then null else coalesce(ffw, 'success') end as verdict_watchdog,
        case when cfail = 1 then 'compile_failed' else coalesce(ffs, 'success') end as verdict_strict
 from a"""
 

@@ -121,7 +121,7 @@ def sample_verdict(spark, sf):
 @query
 def budget_verdict(spark, sf):
     v = vd.budget_verdicts(vd.test_outcomes(_compared(spark, sf)))
-    return v.select("completion_id", "verdict", "verdict_reference", "verdict_strict")
+    return v.select("completion_id", "verdict", "verdict_watchdog", "verdict_strict")
 
 
 QUERIES["date_label"] = QUERIES.pop("date_label_q")
