@@ -64,3 +64,12 @@ def test_export_then_read_back(spark, tmp_path):
     sm.export_sample_tree(df, root)
     got = sorted((r.task_id, r.completion_id, r.solution) for r in sm.read_samples(spark, root, "Python").collect())
     assert got == [("p_1", "0", "x=1"), ("p_1", "1", ""), ("q", "0", "y")]
+
+
+def test_append_samples_skips_undecodable_text(spark, tmp_path):
+    df = spark.createDataFrame([("m", "t", 0, b"ok"), ("m", "t", 1, b"\xff\xfe")],
+                               "model string, task_id string, idx int, raw binary")
+    df = df.withColumn("solution", F.col("raw").cast("string")).drop("raw")
+    skipped = sm.append_samples(df, str(tmp_path / "s"), cfg=["model"])
+    assert [r.idx for r in skipped.collect()] == [1]
+    assert [(r.idx, r.solution) for r in spark.read.parquet(str(tmp_path / "s")).collect()] == [(0, "ok")]
