@@ -6,10 +6,13 @@ The SQL is written out per query; small Python helpers only paste in shared piec
 
 from __future__ import annotations
 
+import re as _re
+
 from transeval import constants as K
 from transeval.functions.compare import MAX_ROUND_DIGITS
 from transeval.functions.text import LINE_BREAK_CHARS, PY_WHITESPACE
-from transeval.sources.bindings import LANG_MAP, TEST_ORDER, VERDICT_OF_EVENT
+from transeval.sources.bindings import (ALIASES, BUDGET_FAMILIES, LANG_MAP, REPLY_MODELS, TEST_ORDER,
+                                        TOKENIZER_LIMITS, VERDICT_OF_EVENT)
 
 ORACLE: dict[str, str] = {}
 
@@ -233,8 +236,6 @@ from a"""
 
 
 # ------------------------------------------------------------------ sanitizer
-from transeval.functions.text import LINE_BREAK_CHARS as _LB  # noqa: E402
-from transeval.sources.bindings import REPLY_MODELS  # noqa: E402
 
 _TAG = "(case when lower(language) = 'c++' then 'cpp' else lower(language) end)"
 _MODELS = "[" + ", ".join(f"'{m}'" for m in REPLY_MODELS) + "]"
@@ -245,7 +246,7 @@ REPLIES = f"""replies as (select task_id, doc_id, language as target_lang,
     'translations/codenet/' || {_MODELS}[cast(doc_id % 10 as integer) + 1] || '/Java/' || language || '/temperature_0.2' as path
   from bt)"""
 NL = "chr(10)"
-BREAKS = "'\\r\\n|[" + "".join("\\x{%x}" % ord(c) for c in _LB) + "]'"
+BREAKS = "'\\r\\n|[" + "".join("\\x{%x}" % ord(c) for c in LINE_BREAK_CHARS) + "]'"
 BREAKS = BREAKS.replace("\\r\\n", "' || chr(13) || chr(10) || '")
 
 
@@ -453,9 +454,7 @@ from p"""
 
 
 # ------------------------------------------------------------------ prompts, registry, generation
-import re as _re  # noqa: E402
 
-from transeval.sources.bindings import ALIASES, BUDGET_FAMILIES, TOKENIZER_LIMITS  # noqa: E402
 
 _PTYPES = [*K.PROMPT_TEMPLATES, "no-such-type"]
 _FIMF = ["incoder", "codegen2", "santacoder", "starcoder_infill", "hf"]
