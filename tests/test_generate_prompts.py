@@ -95,3 +95,30 @@ def test_chat_and_json(spark):
     assert got == ["P\ny=2", "not json", '{"other": 1}']
     m = spark.range(1).select(pr.chat_messages(F.lit("hi"), F.lit(True)).alias("m")).first().m
     assert [(x.role, x.content) for x in m] == [("system", K.ASSISTANT_SYSTEM_JSON), ("user", "hi")]
+
+
+def test_every_registry_rule(spark):
+    probes = []
+    for kind, pattern, family, hub, conv in K.REGISTRY_RULES:
+        alias = pattern if kind == "exact" else {"gpt-3.5-": "gpt-3.5-turbo", "gpt-4": "gpt-4", "claude": "claude-3",
+                                                 "gemini": "gemini-pro", "starcoder": "starcoder2-3b",
+                                                 "code-llama-": "code-llama-34b",
+                                                 "deepseek-coder": "deepseek-coder-1.3b-base"}[pattern]
+        probes.append((alias, kind, pattern, family, hub, conv))
+    df = spark.createDataFrame([(p[0],) for p in probes], "model string")
+    got = {r.model: r for r in rg.registry_lookup(df).collect()}
+    for alias, kind, pattern, family, hub, conv in probes:
+        r = got[alias]
+        assert r.registry_error is None, alias
+        if family == "deepseek":
+            assert (r.family, r.hub_name, r.conversational) == ("vllm", "deepseek-ai/deepseek-coder-1.3b-base", False)
+            continue
+        assert r.family == family and r.conversational == conv, alias
+        if hub is None:
+            assert r.hub_name == alias
+        elif "{alias}" in hub:
+            assert r.hub_name == "bigcode/" + alias
+        elif "{last}" in hub:
+            assert r.hub_name == "codellama/CodeLlama-34b-Instruct-hf"
+        else:
+            assert r.hub_name == hub

@@ -49,3 +49,21 @@ def test_clean_and_check(spark):
     rep, summ, comp = jobs.check(tasks, cleaned, compiled, CFG, nsample=1)
     assert sorted((r.task_id, r.status) for r in rep.collect()) == [("p1", "complete"), ("p2", "missing")]
     assert (summ.first().n_done, comp.first().n_wrong) == (1, 0)
+
+
+def test_clean_command_on_a_sample_tree(spark, tmp_path):
+    import subprocess
+    import sys
+    from transeval.sources import samples as sm
+    root = tmp_path / "translations" / "codenet" / "gpt-4" / "Java" / "Python" / "temperature_0.2"
+    df = spark.createDataFrame([("p1", 0, ".py", "Sure:\n```python\nprint(1)\n```\nHope this helps"),
+                                ("p2", 0, ".py", "no fence here")], "task_id string, idx int, ext string, solution string")
+    sm.export_sample_tree(df, str(root))
+    out = tmp_path / "clean"
+    env = dict(__import__("os").environ, BENCH_CPUS="1")
+    subprocess.run([sys.executable, "-m", "transeval", "clean", "--samples", str(root), "--target_lang", "Python",
+                    "--out", str(out), "--remove_prompt"], check=True, cwd=str(__import__("pathlib").Path(__file__).parents[1]),
+                   env=env, capture_output=True, timeout=300)
+    got = {r.task_id: (r.solution, r.model, r.stage) for r in spark.read.parquet(str(out)).collect()}
+    assert got["p1"] == ("print(1)", "gpt-4", "sanitized")
+    assert got["p2"][0] == "her"         # no opening fence: 8 characters go; no closing fence: the last goes
