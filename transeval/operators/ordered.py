@@ -92,11 +92,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_GROUP_ROWS,
              max_hot: int = MAX_HOT_KEYS) -> tuple[list, int] | None:
     """Keys with more than ``hot_rows`` rows and their total row count (None when there
     are more than ``max_hot`` such keys)."""
-    hot = (df.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-             .limit(max_hot + 1).collect())
-    if len(hot) > max_hot:
+    per_key = df.groupBy(*keys).count()
+    is_hot = F.col("count") > hot_rows
+    n_hot, hot_total = per_key.agg(F.count_if(is_hot), F.coalesce(F.sum(F.when(is_hot, F.col("count"))), F.lit(0))).first()
+    if n_hot == 0:
+        return [], 0
+    if n_hot > max_hot:
         return None
-    return [tuple(r[k] for k in keys) for r in hot], sum(r["count"] for r in hot)
+    hot = per_key.filter(is_hot).collect()          # at most max_hot rows
+    return [tuple(r[k] for k in keys) for r in hot], int(hot_total)
 
 
 def position_in_group(
