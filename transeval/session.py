@@ -15,6 +15,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow UDFs here take whole program texts (up to ~100 KB each): smaller batches keep
+    # a Python worker's batch in the tens of MB instead of ~1 GB
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
     # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; a fused stage
     # above that runs interpreted. With this limit Spark splits such stages instead
     # (measured: verdict queries 1.6-1.8x faster).
