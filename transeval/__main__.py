@@ -61,7 +61,8 @@ def main(argv=None) -> None:
         summary.show(truncate=False)
         comp.show(truncate=False)
     else:
-        tests = tests_from_tasks(spark.read.parquet(args.tasks))
+        tasks = spark.read.parquet(args.tasks)
+        tests = tests_from_tasks(tasks, ("dataset", "task_id") if "dataset" in tasks.columns else ("task_id",))
         run_cfg = [c for c in cfg if c in spark.read.parquet(args.exec_log).columns]
         verdicts, _scores, board = jobs.evaluate(spark.read.parquet(args.exec_log), tests, run_cfg, budget=args.budget)
         verdicts.write.mode("errorifexists").partitionBy(*run_cfg).parquet(os.path.join(args.out, "verdicts"))
