@@ -462,7 +462,7 @@ _FIMF = ["incoder", "codegen2", "santacoder", "starcoder_infill", "hf"]
 
 def pick_(values, idx):
     arr = "[" + ", ".join(lit(v) if isinstance(v, str) else str(v) for v in values) + "]"
-    return f"{arr}[cast({idx} % {len(values)} as integer) + 1]"
+    return f"{arr}[cast(({idx}) % {len(values)} as integer) + 1]"
 
 
 def fill_(template, src, trg, code):
@@ -655,3 +655,29 @@ ORACLE["test_prompt"] = with_(BT, POOL, SEEDS) + f"""
 select bt.task_id, {lit(K.TESTGEN_HEADER)} || bt.code || chr(10) || '```' || {lit(K.TESTGEN_EXAMPLES)} || coalesce(st.s, '')
        || chr(10) || '```' || chr(10) || {_INSTR}[cast(('0x' || substr(md5(bt.task_id), 1, 8))::bigint % 3 as integer) + 1] as message
 from bt left join st on bt.task_id = st.task_id"""
+
+
+# ------------------------------------------------------------------ run checks and cleaning counters
+_DS = ["codenet", "avatar", "humaneval"]
+_SRC = ["Java", "Python", "C++", "Go", "C", "Rust"]
+_TRG = ["Python", "Java", "Kotlin", "Go"]
+_PT = [*K.CLI_PROMPT_TYPES, "phi", "magic"]
+
+
+def _in(col, values):
+    return f"{col} in ({', '.join(lit(v) for v in values)})"
+
+
+ORACLE["run_validation"] = f"""
+with runs as (select conv_id, max(turn) as last_turn from conversations where role = 'assistant' group by conv_id),
+r as (select conv_id, {pick_(_DS, 'conv_id')} as dataset, {pick_(_SRC, 'conv_id')} as source_lang,
+             {pick_(_TRG, 'last_turn')} as target_lang, {pick_(_PT, 'conv_id + last_turn')} as prompt_type from runs)
+select conv_id, dataset, source_lang, target_lang, prompt_type,
+       case when not {_in('dataset', K.DATASETS)} then 'invalid dataset: ' || dataset
+            when not {_in('source_lang', K.LANGUAGES)} then 'invalid source_lang: ' || source_lang
+            when not {_in('target_lang', K.LANGUAGES)} then 'invalid target_lang: ' || target_lang
+            when not {_in('prompt_type', K.CLI_PROMPT_TYPES)} then 'invalid prompt_type: ' || prompt_type end as run_error
+from r"""
+
+ORACLE["sanitize_summary"] = with_(BT, REPLIES, _sanitize_sql("replies")) + """
+select lang as target_lang, count(*) as n_total, count(*) filter (where err is not null) as n_failed from s12 group by lang"""

@@ -504,3 +504,23 @@ def pool_union(spark, sf):
 def test_prompt(spark, sf):
     seeds = tg.seed_selection(B.input_pool(spark, sf))
     return tg.seed_messages(B.tasks(spark, sf), seeds).select("task_id", "message")
+
+
+@query
+def run_validation(spark, sf):
+    """Run arguments checked against the closed sets; rejected runs carry the reason."""
+    c = B.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    runs = c.groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    runs = runs.select("conv_id",
+                       _pick(["codenet", "avatar", "humaneval"], F.col("conv_id")).alias("dataset"),
+                       _pick(["Java", "Python", "C++", "Go", "C", "Rust"], F.col("conv_id")).alias("source_lang"),
+                       _pick(["Python", "Java", "Kotlin", "Go"], F.col("last_turn")).alias("target_lang"),
+                       _pick([*K.CLI_PROMPT_TYPES, "phi", "magic"], F.col("conv_id") + F.col("last_turn")).alias("prompt_type"))
+    return rg.validate_runs(runs).select("conv_id", "dataset", "source_lang", "target_lang", "prompt_type", "run_error")
+
+
+@query
+def sanitize_summary(spark, sf):
+    """Cleaning counters per target language: samples seen, samples whose cleaning failed."""
+    r = sz.sanitize(B.replies(spark, sf), eofs=K.DEFAULT_EOFS, prefixes=K.DEFAULT_PREFIXES)
+    return sz.sanitize_summary(r, ["target_lang"])
