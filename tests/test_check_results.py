@@ -101,3 +101,14 @@ def test_position_in_group_paths_agree(spark, kw):
     cols = ["l_orderkey", "l_linenumber", "p", "c"]
     assert got.select(*cols).exceptAll(ref.select(*cols)).count() == 0
     assert got.count() == li.count()
+
+
+def test_versioned_results(spark, tmp_path):
+    path = str(tmp_path / "results")
+    v1 = spark.createDataFrame([("m", "t", "0", "test_failed")], "model string, task_id string, completion_id string, verdict string")
+    v2 = spark.createDataFrame([("m", "t", "0", "success")], "model string, task_id string, completion_id string, verdict string")
+    assert {r.version for r in rs.write_versioned(v1, path, ["model"]).collect()} == {1}
+    assert {r.version for r in rs.write_versioned(v2, path, ["model"]).collect()} == {2}
+    latest = rs.read_latest(spark, path, ["model"]).collect()
+    assert [(r.verdict, r.version) for r in latest] == [("success", 2)]
+    assert spark.read.parquet(path).count() == 2          # the older version is kept

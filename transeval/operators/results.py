@@ -138,3 +138,27 @@ def latest_versions(results: DataFrame, keys: Sequence[str], version: str) -> Da
 def next_version(existing: DataFrame, cfg: Sequence[str], version: str = "version") -> DataFrame:
     """Version number a re-run writes per config: one above the highest stored."""
     return existing.groupBy(*cfg).agg((F.max(version) + 1).alias("next_version"))
+
+
+def write_versioned(results: DataFrame, path: str, cfg: Sequence[str], version: str = "version") -> DataFrame:
+    """Store a re-run as the next version of each config (older versions stay, like the
+    evaluator's ``.bak`` files); returns the rows written with their version."""
+    spark = results.sparkSession
+    try:
+        existing = spark.read.parquet(path).select(*cfg, version)
+        nxt = next_version(existing, cfg, version)
+        out = (results.join(nxt, on=list(cfg), how="left")
+                      .withColumn(version, F.coalesce(F.col("next_version"), F.lit(1)).cast("int")).drop("next_version"))
+    except Exception as e:  # no stored results yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        out = results.withColumn(version, F.lit(1))
+    out.write.mode("append").partitionBy(*cfg, version).parquet(path)
+    return out
+
+
+def read_latest(spark, path: str, cfg: Sequence[str], version: str = "version") -> DataFrame:
+    """Rows of the newest stored version of each config."""
+    df = spark.read.parquet(path)
+    newest = df.groupBy(*cfg).agg(F.max(version).alias(version))
+    return df.join(newest, on=[*cfg, version], how="left_semi")
