@@ -34,7 +34,7 @@ MAX_ROUND_DIGITS = 20
 def parse_number(text) -> Column:
     """Finite double of a stripped numeric literal, else NULL."""
     s = py_strip(text)
-    cast =F.when(s.rlike(NUMBER_PATTERN), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+    cast = F.when(s.rlike(NUMBER_PATTERN), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
     return F.when(~F.isnan(cast) & (F.abs(cast) < F.lit(float("inf"))), cast)
 
 
