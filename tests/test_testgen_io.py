@@ -73,3 +73,20 @@ def test_append_samples_skips_undecodable_text(spark, tmp_path):
     skipped = sm.append_samples(df, str(tmp_path / "s"), cfg=["model"])
     assert [r.idx for r in skipped.collect()] == [1]
     assert [(r.idx, r.solution) for r in spark.read.parquet(str(tmp_path / "s")).collect()] == [(0, "ok")]
+
+
+def test_read_exec_log_json_keeps_raw_bytes(spark, tmp_path):
+    import base64
+    import json
+    from transeval.operators.verdict import judge, tests_from_tasks
+    from transeval.sources.exec_log import read_exec_log
+    recs = [{"task_id": "t", "completion_id": "0", "test_idx": 0, "compile_ok": True, "timed_out": False,
+             "elapsed_s": 0.5, "stdout_b64": base64.b64encode(b"1\n").decode(), "stderr_b64": ""},
+            {"task_id": "t", "completion_id": "1", "test_idx": 0, "compile_ok": True, "timed_out": False,
+             "elapsed_s": 0.5, "stdout_b64": base64.b64encode(b"2").decode(), "stderr_b64": base64.b64encode(b"\xff").decode()}]
+    (tmp_path / "log.jsonl").write_text("\n".join(json.dumps(r) for r in recs))
+    log = read_exec_log(spark, str(tmp_path / "log.jsonl"), fmt="json", cfg=[])
+    assert dict(log.dtypes)["stdout"] == "binary"
+    tasks = spark.createDataFrame([("t", [("", "1")])], "task_id string, test_io array<struct<input:string, output:string>>")
+    v = {r.completion_id: r.verdict for r in judge(log, tests_from_tasks(tasks)).collect()}
+    assert v == {"0": "success", "1": "compile_failed"}      # undecodable stderr on a mismatch
