@@ -48,3 +48,10 @@ def test_plan_shape(spark, name):
 def test_task_scan_pushes_the_language_filter(spark):
     plan = QUERIES["task_scan"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in plan
+
+
+def test_small_task_side_is_broadcast(spark):
+    df = QUERIES["sample_task_join"](spark, SF_SMALL)
+    df.collect()                       # AQE settles the join strategy at run time
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
