@@ -3,6 +3,7 @@
     python -m transeval clean     --samples ROOT --target_lang Python --out OUT [--remove_prompt] [--debug_task ID]
     python -m transeval check     --tasks T.parquet --samples S.parquet --compiled C.parquet --out OUT [--nsample N]
     python -m transeval evaluate  --exec_log L.parquet --tasks T.parquet --out OUT [--budget watchdog|strict]
+                                  [--exact_rounding]
 
 ``clean`` reads a sample tree (``.../temperature_T/<task>/<idx><ext>``); the other jobs
 read parquet tables with the configuration columns. Every run is scored at once.
@@ -39,6 +40,7 @@ def main(argv=None) -> None:
     for a in ("--exec_log", "--tasks", "--out"):
         e.add_argument(a, required=True)
     e.add_argument("--budget", choices=["watchdog", "strict"])
+    e.add_argument("--exact_rounding", action="store_true", help="Python rounding on decimal ties (Arrow UDF)")
     args = ap.parse_args(argv)
 
     spark = get_session(master=os.environ.get("SPARK_MASTER"))
@@ -64,7 +66,8 @@ def main(argv=None) -> None:
         tasks = spark.read.parquet(args.tasks)
         tests = tests_from_tasks(tasks, ("dataset", "task_id") if "dataset" in tasks.columns else ("task_id",))
         run_cfg = [c for c in cfg if c in spark.read.parquet(args.exec_log).columns]
-        verdicts, _scores, board = jobs.evaluate(spark.read.parquet(args.exec_log), tests, run_cfg, budget=args.budget)
+        verdicts, _scores, board = jobs.evaluate(spark.read.parquet(args.exec_log), tests, run_cfg, budget=args.budget,
+                                                 exact_rounding=args.exact_rounding)
         verdicts.write.mode("errorifexists").partitionBy(*run_cfg).parquet(os.path.join(args.out, "verdicts"))
         board.show(truncate=False)
     spark.stop()

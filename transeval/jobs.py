@@ -68,14 +68,14 @@ def check(tasks: DataFrame, samples: DataFrame, compiled: DataFrame, cfg: Sequen
 
 
 def evaluate(exec_log: DataFrame, tests: DataFrame, cfg: Sequence[str], *, budget: str | None = None,
-             ks: Sequence[int] = K.DEFAULT_KS, task_keys: Sequence[str] | None = None
-             ) -> tuple[DataFrame, DataFrame, DataFrame]:
+             ks: Sequence[int] = K.DEFAULT_KS, task_keys: Sequence[str] | None = None,
+             exact_rounding: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verdict rows, per-task scores and the leaderboard for every configuration. Tests are
     matched on (dataset, task_id) when both tables carry a dataset, else on task_id."""
     if task_keys is None:
         both = "dataset" in exec_log.columns and "dataset" in tests.columns
         task_keys = ("dataset", "task_id") if both else ("task_id",)
-    verdicts = vd.judge(exec_log, tests, cfg, budget=budget, task_keys=task_keys)
+    verdicts = vd.judge(exec_log, tests, cfg, budget=budget, task_keys=task_keys, exact_rounding=exact_rounding)
     return verdicts, lb.task_scores(verdicts, cfg, ks), lb.leaderboard(verdicts, cfg, ks)
 
 
