@@ -67,3 +67,17 @@ def test_clean_command_on_a_sample_tree(spark, tmp_path):
     got = {r.task_id: (r.solution, r.model, r.stage) for r in spark.read.parquet(str(out)).collect()}
     assert got["p1"] == ("print(1)", "gpt-4", "sanitized")
     assert got["p2"][0] == "her"         # no opening fence: 8 characters go; no closing fence: the last goes
+
+
+def test_translate_refuses_over_long_prompts(spark):
+    tasks = spark.createDataFrame([("codenet", "p1", "Java", "x" * 400), ("codenet", "p2", "Java", "y")],
+                                  "dataset string, task_id string, language string, code string")
+    runs = spark.createDataFrame([("codenet", "santacoder", "Java", "Python", "0.2", "base", 1, 1, False)],
+                                 "dataset string, model string, source_lang string, target_lang string, temperature string, "
+                                 "prompt_type string, n_samples int, batch_size int, greedy boolean")
+    existing = spark.createDataFrame([], ", ".join(f"{c} string" for c in CFG) + ", task_id string, idx int")
+    calls = []
+    out = jobs.translate(tasks, runs, existing, lambda p: [calls.append(1) or "z=1" for _ in p],
+                         token_count=lambda c: F.floor(F.length(c) / 4), context=60)
+    got = {r.task_id: r.output for r in out.collect()}
+    assert got == {"p1": "MODEL MAX LENGTH EXCEEDED", "p2": "z=1"}

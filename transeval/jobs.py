@@ -27,12 +27,14 @@ RUN_CFG = ["dataset", "model", "source_lang", "target_lang", "temperature"]
 
 
 def translate(tasks: DataFrame, runs: DataFrame, existing: DataFrame, fn: Callable[[list[str]], list[str]], *,
-              sentinel: str | None = None) -> DataFrame:
+              sentinel: str | None = None, token_count: Callable | None = None, context=None) -> DataFrame:
     """Generate the missing samples of every run.
 
     ``tasks``: dataset, task_id, language, code. ``runs``: one row per run with RUN_CFG,
     prompt_type, n_samples, batch_size, greedy. ``existing``: RUN_CFG, task_id, idx.
-    Returns RUN_CFG, task_id, idx, batch_no, prompt, output, solution, registry columns.
+    With ``token_count`` (Column -> Column) and ``context`` (window size, column or int),
+    prompts that fill an infilling decoder's window get the sentinel text without a model
+    call. Returns RUN_CFG, task_id, idx, batch_no, prompt, output, solution, registry columns.
     """
     # runs with an unknown model are left out; rg.registry_lookup(runs) lists them
     r = rg.registry_lookup(rg.greedy_normalise(runs), "model").filter(F.col("registry_error").isNull())
@@ -48,7 +50,15 @@ def translate(tasks: DataFrame, runs: DataFrame, existing: DataFrame, fn: Callab
     plan = plan.withColumn("prompt", pr.compose_prompt(F.col("prompt_type"), F.col("source_lang"),
                                                        F.col("target_lang"), F.col("code"))).drop("code")
     plan = plan.withColumn("model_input", pr.fim_wrap(F.col("prompt"), F.col("family")))
-    out = gn.generate(plan, fn, prompt="model_input", sentinel=sentinel)
+    if token_count is not None and context is not None:
+        ctx = context if isinstance(context, F.Column) else F.lit(int(context))
+        over = gn.over_length(F.col("family"), ctx, token_count(F.col("model_input")))
+        plan = plan.withColumn("_over", over)
+        refused = plan.filter(F.col("_over")).drop("_over").withColumn("output", F.lit(K.MAX_LENGTH_EXCEEDED))
+        out = gn.generate(plan.filter(~F.col("_over")).drop("_over"), fn, prompt="model_input", sentinel=sentinel)
+        out = out.unionByName(refused)
+    else:
+        out = gn.generate(plan, fn, prompt="model_input", sentinel=sentinel)
     return gn.finish_outputs(out)
 
 
