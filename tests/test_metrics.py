@@ -62,3 +62,11 @@ def test_fixed_n_and_labels(spark):
     assert s.n == 10 and s.c == 3 and abs(s.pass_at_k - 0.3) < 1e-12
     lab = spark.range(1).select(score_label(F.lit(1), F.lit(0.91666)).alias("l")).first().l
     assert lab == "pass @ 1 :\t0.917"
+
+
+def test_block_header(spark):
+    from transeval.operators.leaderboard import with_score_label
+    b = spark.createDataFrame([("codenet", "Java", "Python", 1, 0.5)],
+                              "dataset string, source_lang string, target_lang string, k int, pass_at_k double")
+    r = with_score_label(b).first()
+    assert (r.header, r.label) == ("codenet (Java -> Python)", "pass @ 1 :\t0.500")

@@ -40,3 +40,8 @@ def score_label(k, value) -> Column:
 def date_label(ts) -> Column:
     """``YYYY-MM-DD HH:MM`` stamp of a result document."""
     return F.date_format(_arg(ts), "yyyy-MM-dd HH:mm")
+
+
+def config_label(dataset, source_lang, target_lang) -> Column:
+    """Header of a leaderboard block: ``codenet (Java -> Python)``."""
+    return F.format_string("%s (%s -> %s)", _arg(dataset), _arg(source_lang), _arg(target_lang))

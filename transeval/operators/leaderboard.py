@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transeval import constants as K
-from transeval.functions.metrics import pass_at_k, score_label
+from transeval.functions.metrics import config_label, pass_at_k, score_label
 
 
 def task_counts(verdicts: DataFrame, cfg: Sequence[str] = (), task: str = "task_id") -> DataFrame:
@@ -47,4 +47,9 @@ def leaderboard(verdicts: DataFrame, cfg: Sequence[str] = (), ks: Sequence[int]
 
 
 def with_score_label(board: DataFrame) -> DataFrame:
-    return board.withColumn("label", score_label(F.col("k"), F.col("pass_at_k")))
+    """Printable lines: ``pass @ k :\t0.123`` and, when the run columns are present, the
+    block header ``dataset (source -> target)``."""
+    out = board.withColumn("label", score_label(F.col("k"), F.col("pass_at_k")))
+    if all(c in board.columns for c in ("dataset", "source_lang", "target_lang")):
+        out = out.withColumn("header", config_label("dataset", "source_lang", "target_lang"))
+    return out
