@@ -112,3 +112,20 @@ def test_versioned_results(spark, tmp_path):
     latest = rs.read_latest(spark, path, ["model"]).collect()
     assert [(r.verdict, r.version) for r in latest] == [("success", 2)]
     assert spark.read.parquet(path).count() == 2          # the older version is kept
+
+
+def test_integrity_per_config(spark):
+    s = spark.createDataFrame([("m1", "a", "a/0"), ("m1", "b", "b/0"), ("m2", "a", "a/0"), ("m2", "a", "a/0")],
+                              "model string, task_id string, identifier string")
+    tasks = spark.createDataFrame([("m1", "a"), ("m1", "b"), ("m2", "a"), ("m2", "b")], "model string, task_id string")
+    finished = s.filter("model = 'm1'")
+    got = {r.model: (r.n_rows, r.n_identifiers, r.n_sampled_tasks, r.n_tasks, r.n_unfinished)
+           for r in ck.integrity(s, tasks, finished, cfg=["model"]).collect()}
+    assert got == {"m1": (2, 2, 2, 2, 0), "m2": (2, 1, 1, 2, 2)}
+
+
+def test_scale_settings():
+    from transeval.session import scale_settings
+    conf = scale_settings(100 << 40, cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert scale_settings(1 << 20, cores=8)["spark.sql.shuffle.partitions"] == "16"
