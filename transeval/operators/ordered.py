@@ -4,9 +4,10 @@ A plain ``row_number().over(Window.partitionBy(key).orderBy(...))`` sends every
 key to one task; when one key (a task id, a sample) holds a large share of the rows,
 that task becomes the job. So groups are split by size first:
 
-* one aggregate counts rows per key (map-side partial counts, one small row per key)
-  and returns the keys with more than ``hot_rows`` rows -- at most ``max_hot`` of them
-  are collected (checked with ``limit``), so the list has a proven size bound;
+* one aggregate counts rows per key (map-side partial counts, one small row per key);
+  a single-row aggregate over those counts says how many keys exceed ``hot_rows`` and
+  how many rows they hold, and the keys are collected only when there are some and at
+  most ``max_hot`` -- a proven size bound;
 * keys below the threshold use the plain window: each window group is at most
   ``hot_rows`` rows, one shuffle in total;
 * rows of hot keys are range-partitioned on ``(key, order)`` into enough slices that each
@@ -115,14 +116,18 @@ def position_in_group(
     slices: int | None = None,
     hot_rows: int = HOT_GROUP_ROWS,
     max_hot: int = MAX_HOT_KEYS,
+    probe: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``pos_col`` (0-based position in ``order`` within ``keys``), optionally the group
-    size ``size_col`` and the inclusive running sum of ``running_sum`` as ``cum_col``."""
+    size ``size_col`` and the inclusive running sum of ``running_sum`` as ``cum_col``.
+
+    ``probe``: a cheaper frame with at least as many rows per key as ``df`` (for example
+    the input before a one-to-one join); hot keys are counted there."""
     keys = list(keys)
     order_cols = _cols(order)
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     args = (keys, order_cols, pos_col, size_col, running_sum, cum_col)
-    found = hot_keys(df, keys, hot_rows, max_hot)
+    found = hot_keys(probe if probe is not None else df, keys, hot_rows, max_hot)
     if found is None:
         return _sliced_positions(df, *args, n)
     hot, hot_total = found

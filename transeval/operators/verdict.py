@@ -124,7 +124,7 @@ def attempted_tests(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence
 
 
 def budget_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence[str] = SAMPLE_KEYS,
-                    budget_s: float = K.SAMPLE_BUDGET_S) -> DataFrame:
+                    budget_s: float = K.SAMPLE_BUDGET_S, exec_log: DataFrame | None = None) -> DataFrame:
     """Verdicts under the whole-sample time budget, three ways.
 
     * ``verdict``            -- per-test rules only (budget ignored);
@@ -132,10 +132,14 @@ def budget_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence
       the running time passes the budget and the last stored value stands, so tests
       finishing after the budget are ignored; no test finished in time -> NULL;
     * ``verdict_strict``     -- the first test that ends past the budget is an infinite loop.
+
+    ``exec_log``: the log the outcomes came from; it has the same rows per sample and is
+    cheaper to count for the hot-sample check.
     """
     keys = [*cfg, *keys]
     tests = outcomes.filter(F.col("test_idx").isNotNull())
-    timed = position_in_group(tests, keys, ["test_idx"], pos_col="_p", running_sum="elapsed_s", cum_col="elapsed_cum")
+    timed = position_in_group(tests, keys, ["test_idx"], pos_col="_p", running_sum="elapsed_s", cum_col="elapsed_cum",
+                              probe=exec_log)
     within = F.col("elapsed_cum") <= F.lit(budget_s)
     ok = F.col("outcome") == K.SUCCESS
     strict_outcome = F.when(~within, F.lit(K.INFINITE_LOOP)).otherwise(F.col("outcome"))
@@ -167,7 +171,7 @@ def judge(exec_log: DataFrame, tests: DataFrame, cfg: Sequence[str] = (), *,
     if budget is None:
         return sample_verdicts(outcomes, cfg).select(*cfg, *SAMPLE_KEYS, "verdict")
     col = {"watchdog": "verdict_watchdog", "strict": "verdict_strict"}[budget]
-    v = budget_verdicts(outcomes, cfg, budget_s=budget_s).select(*cfg, *SAMPLE_KEYS, F.col(col).alias("verdict"))
+    v = budget_verdicts(outcomes, cfg, budget_s=budget_s, exec_log=exec_log).select(*cfg, *SAMPLE_KEYS, F.col(col).alias("verdict"))
     # samples whose log holds no test rows: compile-only rows
     no_tests = sample_verdicts(outcomes.filter(F.col("test_idx").isNull()), cfg).select(*cfg, *SAMPLE_KEYS, "verdict")
     return v.unionByName(no_tests.join(v.select(*cfg, *SAMPLE_KEYS), on=[*cfg, *SAMPLE_KEYS], how="left_anti"))

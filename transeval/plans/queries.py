@@ -130,7 +130,8 @@ def sample_verdict(spark, sf):
 
 @query
 def budget_verdict(spark, sf):
-    v = vd.budget_verdicts(vd.test_outcomes(_compared(spark, sf)))
+    log = B.exec_log(spark, sf)
+    v = vd.budget_verdicts(vd.test_outcomes(vd.attach_expected(log, B.tests(spark, sf))), exec_log=log)
     return v.select("completion_id", "verdict", "verdict_watchdog", "verdict_strict")
 
 
