@@ -55,3 +55,11 @@ def test_small_task_side_is_broadcast(spark):
     df.collect()                       # AQE settles the join strategy at run time
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["first_failure", "sample_verdict", "budget_verdict", "latest_version", "new_inputs"])
+def test_minima_stay_hash_aggregates(spark, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
