@@ -18,6 +18,8 @@ shortest decimal text, which differs only on decimal ties such as ``2.675``.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,21 +105,29 @@ def outputs_match(stdout, expected, stdout_valid=None) -> Column:
     return res
 
 
-def _py_match(out: str, exp: str) -> bool:
-    """The comparison written directly in Python (used by the exact-rounding path)."""
+def _to_float(text: str):
     try:
-        if float(out) % 1 == 0:
-            out = str(int(float(out)))
-            exp = str(int(float(exp)))
-        else:
-            da = len(out.strip().split(".")[1])
-            db = len(exp.strip().split(".")[1])
-            m = min(da, db)
-            out = str(round(float(out), m))
-            exp = str(round(float(exp), m))
-    except Exception:
-        pass
-    return out.strip() == exp.strip()
+        return float(text)
+    except (TypeError, ValueError):
+        return None
+
+
+def _py_match(out: str, exp: str) -> bool:
+    """The three comparison branches with Python's own float parsing and rounding."""
+    a, b = out.strip(), exp.strip()
+    x = _to_float(out)
+    if x is None:                                   # not a number: plain text
+        return a == b
+    y = _to_float(exp)
+    if x % 1 == 0:                                  # integral output (finite): expected truncated
+        if y is None or not math.isfinite(y):
+            return str(int(x)) == b
+        return int(x) == int(y)
+    if "." not in a or "." not in b:                # no decimals to align: plain text
+        return a == b
+    digits = min(len(a.split(".")[1]), len(b.split(".")[1]))
+    rounded = str(round(x, digits))
+    return rounded == (b if y is None else str(round(y, digits)))
 
 
 @F.pandas_udf(BooleanType())
