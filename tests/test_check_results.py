@@ -129,3 +129,35 @@ def test_scale_settings():
     conf = scale_settings(100 << 40, cores=8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     assert scale_settings(1 << 20, cores=8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_checkpoint_dir_needs_shared_storage_off_local_mode():
+    from transeval.session import checkpoint_dir
+
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+        def set(self, k, v):
+            self[k] = v
+
+    class Ctx:
+        def __init__(self, master, d=None):
+            self.master, self.d = master, d
+
+        def getCheckpointDir(self):
+            return self.d
+
+        def setCheckpointDir(self, d):
+            self.d = d
+
+    class Session:
+        def __init__(self, master, conf=None):
+            self.conf, self.sparkContext = Conf(conf or {}), Ctx(master)
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session("yarn"))
+    named = Session("yarn", {"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
+    assert checkpoint_dir(named) == "hdfs:///shared/ckpt" and named.sparkContext.d == "hdfs:///shared/ckpt"
+    local = Session("local[2]")
+    assert checkpoint_dir(local) and local.sparkContext.d == local.conf["spark.checkpoint.dir"]
