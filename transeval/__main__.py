@@ -6,7 +6,8 @@
                                   [--exact_rounding]
 
 ``clean`` reads a sample tree (``.../temperature_T/<task>/<idx><ext>``); the other jobs
-read parquet tables with the configuration columns. Every run is scored at once.
+read parquet tables with the configuration columns. Every run is scored at once;
+``evaluate`` writes verdict rows and result documents (one JSON line per config and task).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from transeval import constants as K
 from transeval import jobs
+from transeval.operators import results as rs
 from transeval.operators.verdict import tests_from_tasks
 from transeval.session import get_session
 from transeval.sources import samples as sm
@@ -69,6 +71,8 @@ def main(argv=None) -> None:
         verdicts, _scores, board = jobs.evaluate(spark.read.parquet(args.exec_log), tests, run_cfg, budget=args.budget,
                                                  exact_rounding=args.exact_rounding)
         verdicts.write.mode("errorifexists").partitionBy(*run_cfg).parquet(os.path.join(args.out, "verdicts"))
+        docs = jobs.evaluation_documents(spark.read.parquet(os.path.join(args.out, "verdicts")), run_cfg)
+        rs.write_result_documents(docs, os.path.join(args.out, "documents"), run_cfg)
         board.show(truncate=False)
     spark.stop()
 
