@@ -1,7 +1,7 @@
 """Fixed values.
 
 Everything in this module is a value that has to be identical to what the
-evaluated pipeline uses (file extensions, verdict labels, default cleaning
+original tool uses (file extensions, verdict labels, default cleaning
 lists, stop strings, prompt texts, model registry). They are written out in
 their natural order; nothing here is logic.
 """

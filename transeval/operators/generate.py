@@ -22,7 +22,7 @@ def work_plan(tasks: DataFrame, existing: DataFrame, cfg: Sequence[str], n_sampl
               *, gap_fill: bool = False, task: str = "task_id") -> DataFrame:
     """Indices still to generate per (config, task) and their request batch.
 
-    Resume is count-based like the evaluated pipeline: with ``k`` files present the
+    Resume is count-based like the original tool: with ``k`` files present the
     indices ``k .. n_samples-1`` are (re)generated, even if the present files are not
     ``0..k-1``. ``gap_fill=True`` instead generates exactly the missing indices.
     ``existing``: (cfg..., task_id, idx) of the sample files already written.

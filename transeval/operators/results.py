@@ -1,6 +1,6 @@
 """Result records: ordered verdict lists, result documents, cached results, versions.
 
-The evaluated pipeline stores, per configuration, one JSON document
+The original tool stores, per configuration, one JSON document
 ``{"date": "YYYY-MM-DD HH:MM", "eval": {task_id: {"nfiles": n, "base": [verdict, ...]}}}``
 with the verdicts of a task ordered by completion id *as a string* (``"10" < "2"``).
 

@@ -6,7 +6,7 @@ order, then truncation at each end marker in order, then a final strip. All rule
 built-in column expressions; the whole job is one projection (no shuffle), so it scales
 with the number of rows and the length of the texts.
 
-Rules that the evaluated pipeline lets crash (missing ``@@ Response``/``Answer:``/
+Rules that the original tool lets crash (missing ``@@ Response``/``Answer:``/
 ``<Lang>:`` marker, missing language line) give ``solution = NULL`` and a
 ``sanitize_error`` instead; ``strict=True`` turns any such row into an error.
 """
@@ -67,7 +67,7 @@ def second_part(s, delim) -> Column:
 
 def fence_extract(s, marker) -> Column:
     """gpt / deepseek: text after the first ``marker`` up to the next ``` fence, with the
-    evaluated pipeline's index arithmetic when either is missing."""
+    original tool's index arithmetic when either is missing."""
     return before_first(after_first(s, marker), F.lit("```"))
 
 

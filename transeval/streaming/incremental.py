@@ -1,6 +1,6 @@
 """Incremental scoring: verdicts as execution logs arrive.
 
-The evaluated pipeline scores samples as their runs finish (one finished future per
+The original tool scores samples as their runs finish (one finished future per
 sample) and can resume where it stopped. Here the execution harness drops parquet files
 of finished samples into a folder; a file stream picks up new files, each micro-batch
 is judged with the batch operator, and its verdicts are written to a partition named
