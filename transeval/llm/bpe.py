@@ -14,7 +14,6 @@ import functools
 import hashlib
 import json
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import small_batches
+from .common import category_ranges, small_batches
 
 #: Fixed values of the tokenizer format: the mark of a word's last piece, and the word
 #: rule (contractions, letter runs, single numerals, runs of anything else).
@@ -37,29 +36,16 @@ WHITE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680
 CACHE_WORDS = 200_000
 
 
-def _ranges(category: str) -> str:
-    """Character-class text of all code points whose general category starts so."""
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c)).startswith(category)
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
-
-
 @functools.cache
 def word_pattern() -> re.Pattern:
-    letters, numbers = _ranges("L"), _ranges("N")
+    letters, numbers = category_ranges("L"), category_ranges("N")
     white = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in WHITE)
     return re.compile(f"{'|'.join(CONTRACTIONS)}|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+")
 
 
 @functools.cache
 def unassigned_pattern() -> re.Pattern:
-    return re.compile(f"[{_ranges('Cn')}]")
+    return re.compile(f"[{category_ranges('Cn')}]")
 
 
 def byte_alphabet() -> list[str]:
