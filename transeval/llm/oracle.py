@@ -12,4 +12,20 @@ LLM_ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm)
     """,
+    "op8_cover_anchors": """
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+        ), w AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS win
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d WHERE len(words) >= 13)
+        ), gone AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM w) WHERE least < doc_id
+        ), cut AS (
+            SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM gone) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+               sha256(array_to_string(CASE WHEN places IS NULL THEN words
+                   ELSE list_transform(list_filter(range(1, len(words) + 1), lambda p: NOT list_contains(places, p)), lambda p: words[p]) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+    """,
 }

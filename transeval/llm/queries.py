@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, pii, quality
+from . import bpe, exact_dedup, language_id, pii, quality, substring_dedup
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,10 @@ def op7_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op8_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -46,5 +50,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_pii_skip_chain": op7_pii_skip_chain,
+    "op8_cover_anchors": op8_cover_anchors,
     "op10_quality_subwords": op10_quality_subwords,
 }
