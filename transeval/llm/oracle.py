@@ -5,6 +5,42 @@ from __future__ import annotations
 #: A-Z lower-cased, null as empty.
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_NORM)
+
+
+def _license_sql() -> str:
+    """Phrases and templates are the operator's fixed lists, written out as words here."""
+    from .license_scan import ENOUGH, NEAR, PHRASES, TEMPLATES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {str(i < len(PHRASES)).lower()}, {quoted(label)}, {quoted(text.lower())})" for i, (label, text) in enumerate([*PHRASES, *TEMPLATES]))
+    words_of_t = _WORDS.replace("coalesce(text, '')", "t")
+    return f"""
+        WITH docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+        forms AS (SELECT id, phrase, label, {words_of_t} AS tw FROM (VALUES {rows}) v(id, phrase, label, t)),
+        tg AS (SELECT id, phrase, label, len(tw) - 1 AS grams, k, tw[k] AS a, tw[k + 1] AS b
+               FROM (SELECT *, unnest(range(1, len(tw))) AS k FROM forms)),
+        dg AS (SELECT doc_id, k, words[k] AS a, words[k + 1] AS b
+               FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS k FROM docs)),
+        diag AS (SELECT doc_id, id, phrase, label, grams, dg.k - tg.k AS diagonal, list(DISTINCT tg.k) AS ks
+                 FROM dg JOIN tg USING (a, b) GROUP BY ALL),
+        steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w > {NEAR} THEN 1 ELSE 0 END AS step
+                  FROM diag WINDOW w AS (PARTITION BY doc_id, id ORDER BY diagonal)),
+        runs AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS run FROM steps),
+        shares AS (SELECT doc_id, id, run, any_value(label) AS label, len(list_distinct(flatten(list(ks)))) / any_value(grams) AS share
+                   FROM runs WHERE NOT phrase GROUP BY doc_id, id, run),
+        hits AS (SELECT doc_id, label, diagonal AS pos, 1.0::DOUBLE AS share, true AS base FROM diag WHERE phrase AND len(ks) = grams
+                 UNION ALL SELECT doc_id, label, NULL, share, false FROM shares),
+        agg AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+                       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+                       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= {ENOUGH}) AS labels, max(share) AS score
+                FROM hits GROUP BY doc_id)
+        SELECT d.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+        FROM docs d LEFT JOIN agg ON d.doc_id = agg.doc_id
+    """
+
+
 LLM_ORACLE: dict[str, str] = {
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_NORM} AS norm FROM documents)
@@ -12,6 +48,31 @@ LLM_ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm)
     """,
+    "op3_suffix_dedup": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), w AS (
+            SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS win
+            FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)
+        ), gone AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM w) WHERE n > 1
+        ), reach AS (
+            SELECT doc_id, i, max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM gone
+        ), marked AS (
+            SELECT doc_id, i, sum(CASE WHEN upto >= i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM reach
+        ), spans AS (
+            SELECT doc_id, span, min(i) AS a, max(i) + 100 AS z FROM marked GROUP BY doc_id, span
+        ), gaps AS (
+            SELECT doc_id, span, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM spans
+        ), cut AS (
+            SELECT g.doc_id, count(*) AS n_spans, sum(z - a) AS n_removed,
+                   string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+            FROM gaps g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id
+        )
+        SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+    """,
     "op8_cover_anchors": """
         WITH d AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
@@ -28,4 +89,20 @@ LLM_ORACLE: dict[str, str] = {
                    ELSE list_transform(list_filter(range(1, len(words) + 1), lambda p: NOT list_contains(places, p)), lambda p: words[p]) END, ' ')) AS kept_sha256
         FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
     """,
+    "op5_license_diagonals": _license_sql(),
+    "op6_positional_index": f"""
+        WITH docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+        items AS (SELECT item_id, {_WORDS} AS iw FROM benchmark),
+        ph AS (SELECT DISTINCT item_id, array_to_string(iw[k:k + 12], ' ') AS win, least(len(iw), 13) AS n
+               FROM (SELECT item_id, iw, unnest(range(1, greatest(len(iw) - 12, 1) + 1)) AS k FROM items WHERE len(iw) > 0)),
+        sizes AS (SELECT DISTINCT n FROM ph),
+        dw AS (SELECT doc_id, n, k, array_to_string(words[k:k + n - 1], ' ') AS win
+               FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM docs, sizes)),
+        m AS (SELECT doc_id, item_id, k, ph.n FROM dw JOIN ph ON dw.n = ph.n AND dw.win = ph.win),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+        own AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY doc_id)
+        SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM docs d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN own ON d.doc_id = own.doc_id
+    """,
 }
