@@ -105,4 +105,18 @@ LLM_ORACLE: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
         FROM docs d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN own ON d.doc_id = own.doc_id
     """,
+    "op9_bayes_near_join": f"""
+        WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+        sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda k: array_to_string(words[k:k + 4], ' ')))) AS s
+                 FROM docs WHERE len(words) > 0),
+        sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+                  FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b, c = na AND c = nb AS same FROM pairs WHERE 10 * c >= 8 * (na + nb - c)),
+        reach AS (SELECT doc_id, doc_id AS r FROM docs UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a),
+        cls AS (SELECT doc_id, min(r) AS class_id FROM reach GROUP BY doc_id),
+        deg AS (SELECT a, count(*) AS n_links, count(*) FILTER (same) AS same FROM links GROUP BY a)
+        SELECT cls.doc_id, class_id, coalesce(same, 0) + 1 AS n_copies, coalesce(n_links, 0) AS n_links
+        FROM cls LEFT JOIN deg ON cls.doc_id = deg.a
+    """,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, exact_dedup, language_id, license_scan, pii, quality, substring_dedup, suffix_dedup
+from . import bpe, decontamination, exact_dedup, language_id, license_scan, near_join, pii, quality, substring_dedup, suffix_dedup
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -52,6 +52,10 @@ def op8_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_bayes_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -66,5 +70,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_positional_index": op6_positional_index,
     "op7_pii_skip_chain": op7_pii_skip_chain,
     "op8_cover_anchors": op8_cover_anchors,
+    "op9_bayes_near_join": op9_bayes_near_join,
     "op10_quality_subwords": op10_quality_subwords,
 }
