@@ -196,13 +196,13 @@ def smallest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def dealt(members: DataFrame, root: str, bins: int) -> DataFrame:
+def dealt(members: DataFrame, root: str, bins: int, block: int) -> DataFrame:
     """``members`` with the task each row goes to and its side there. Components of at most
-    ``BLOCK`` rows share ``bins`` tasks; of a larger one each pair of blocks is a task, to
+    ``block`` rows share ``bins`` tasks; of a larger one each pair of blocks is a task, to
     which its rows go as side 0 or 1 (a block with itself: side 0 only)."""
     sizes = members.groupBy(root).agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed(root, "_root")
     sized = members.join(sizes, F.col(root) == F.col("_root")).drop("_root")
-    blocks = F.ceil(F.col("_size") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.col("_size") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     # pairs (x, y) with x <= y that hold this block
     pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(
@@ -279,7 +279,7 @@ def _verify(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(cat(u), pa.int64()), pa.array(cat(v), pa.int64()), pa.array(cat(links), pa.int64())], names=["u", "v", "links"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, n_copies, n_links of each row of ``docs``.
 
     Documents are linked if the Jaccard similarity of their shingle sets is at least 0.8.
@@ -308,14 +308,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return known.join(named, F.col("node") == F.col("node_")).select("node", "n", "root", "sketch", *columns)
 
     bins = buckets_for(spark, 2, 32)
-    left = (dealt(members(suggested), "root", bins).select("task", "side", "root", "node", "n", "sketch")
+    left = (dealt(members(suggested), "root", bins, block).select("task", "side", "root", "node", "n", "sketch")
             .groupBy("task").applyInArrow(_prune, "u long, v long"))
     finer = components(left)
     chosen = members(finer, "copies", "first_id")
     texts = rows.select(F.col("doc_id").alias("id_"), F.col("text"))
     # an id that several rows share may fetch other texts as well: the set tells them apart
     with_text = (chosen.join(texts, F.col("first_id").eqNullSafe(F.col("id_"))).drop("id_", "first_id"))
-    links = written(dealt(_of_set(with_text), "root", bins).select("task", "side", "root", "node", "n", "copies", "sketch", "text")
+    links = written(dealt(_of_set(with_text), "root", bins, block).select("task", "side", "root", "node", "n", "copies", "sketch", "text")
                     .groupBy("task").applyInArrow(_verify, "u long, v long, links long"), "verified")
     classes = components(links.select("u", "v"))
     degree = links.groupBy("u").agg(F.sum("links").alias("links"))

@@ -191,7 +191,7 @@ def _send_pieces(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     return record(SENT, [*out, (-1 - s.no, s.no, np.packbits(note).tobytes(), b"", b"")])
 
 
-def _answer_pieces(sent: pa.Table) -> pa.Table:
+def _answer_pieces(sent: pa.Table, many: int = MANY_PIECES) -> pa.Table:
     """For each entry: 1 if another shard has the piece earlier; 2 if not and its core has
     other pieces as well; 3 if these are very many; else 0. Two bits each."""
     bucket = sent.column("bucket")[0].as_py()
@@ -206,7 +206,7 @@ def _answer_pieces(sent: pa.Table) -> pa.Table:
     core = np.cumsum(firsts(k[order])) - 1
     different = np.bincount(core, new)[core]
     state = np.empty(len(k), np.int64)
-    state[order] = np.where(~new, 1, np.where(different > MANY_PIECES, 3, np.where(different > 1, 2, 0)))
+    state[order] = np.where(~new, 1, np.where(different > many, 3, np.where(different > 1, 2, 0)))
     cut = np.cumsum([len(x) for x in keys])[:-1]
     return record(ANSWERED, [(s.as_py(), bucket, np.packbits((x & 1) > 0).tobytes(), np.packbits(x > 1).tobytes())
                              for s, x in zip(sent.column("shard"), np.split(state, cut), strict=True)])
@@ -336,7 +336,7 @@ def _remove(rows: pa.Table, answers: pa.Table, names: list[str]) -> pa.Table:
     return record(columns, out)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", many_pieces: int = MANY_PIECES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs``.
 
     Texts are UTF-8 bytes; null counts as empty. A byte goes if a string of 100 bytes that
@@ -353,7 +353,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = rows.groupBy("shard")
     meet = lambda df, f: df.groupBy("bucket").applyInArrow(f, answer).groupBy("shard")
     anchors = meet(shards.applyInArrow(lambda t: _send_anchors(t, buckets), sent), _answer_anchors)
-    pieces = meet(shards.cogroup(anchors).applyInArrow(lambda t, a: _send_pieces(t, a, buckets), sent), _answer_pieces)
+    pieces = meet(shards.cogroup(anchors).applyInArrow(lambda t, a: _send_pieces(t, a, buckets), sent),
+                  lambda t: _answer_pieces(t, many_pieces))
     texts = meet(shards.cogroup(pieces).applyInArrow(lambda t, a: _send_texts(t, a, buckets), sent), _answer_texts)
     return (shards.cogroup(texts).applyInArrow(lambda t, a: _remove(t, a, names), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
             .select(*[F.col(c) for c in names]))
