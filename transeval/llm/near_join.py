@@ -199,7 +199,7 @@ def smallest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def dealt(members: DataFrame, root: str, bins: int, block: int) -> DataFrame:
     """``members`` with the task each row goes to and its side there. Components of at most
     ``block`` rows share ``bins`` tasks; of a larger one each pair of blocks is a task, to
-    which its rows go as side 0 or 1 (a block with itself: side 0 only)."""
+    which its rows go as side 0 or 1; a block with itself is side 2."""
     sizes = members.groupBy(root).agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed(root, "_root")
     sized = members.join(sizes, F.col(root) == F.col("_root")).drop("_root")
     blocks = F.ceil(F.col("_size") / F.lit(block)).cast("int")
@@ -210,20 +210,20 @@ def dealt(members: DataFrame, root: str, bins: int, block: int) -> DataFrame:
     split = sized.withColumn("_blocks", blocks).withColumn("_mine", mine).withColumn("_pair", F.explode(pairs))
     task = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64(root), F.lit(bins))).otherwise(
         F.xxhash64(root, F.col("_pair.x"), F.col("_pair.y")))
-    side = F.when(F.col("_mine") == F.col("_pair.x"), 0).otherwise(1)
+    side = F.when(F.col("_pair.x") == F.col("_pair.y"), 2).when(F.col("_mine") == F.col("_pair.x"), 0).otherwise(1)
     return (split.withColumn("task", F.struct(F.col("_blocks") > 1, task)).withColumn("task", F.xxhash64("task"))
             .withColumn("side", side).drop("_size", "_blocks", "_mine", "_pair"))
 
 
-def _groups(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of side 0 and side 1 of each component in a task."""
+def _groups(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers of sides 0, 1 and 2 of each component in a task."""
     root, side = rows.column("root").to_numpy(), rows.column("side").to_numpy()
     node = rows.column("node").to_numpy()
     order = np.lexsort((node, side, root))
     starts = np.flatnonzero(firsts(root[order]))
     for a, z in zip(starts, [*starts[1:], len(order)], strict=True):
         g = order[a:z]
-        yield g[side[g] == 0], g[side[g] == 1]
+        yield g[side[g] == 0], g[side[g] == 1], g[side[g] == 2]
 
 
 def _sketch_of(rows: pa.Table) -> np.ndarray:
@@ -233,13 +233,13 @@ def _sketch_of(rows: pa.Table) -> np.ndarray:
 def _survivors(rows: pa.Table, sketch: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Surviving pairs of row numbers, component by component. Two blocks that are one
     component's sides are only compared across: within, each meets itself elsewhere."""
-    for x, y in _groups(rows):
-        if len(y):
+    for x, y, own in _groups(rows):
+        if len(x) and len(y):
             i, j = surviving_pairs(sketch[x], sketch[y], size[x], size[y])
             yield x[i], y[j]
-        elif len(x) > 1:
-            i, j = surviving_pairs(sketch[x], None, size[x], None)
-            yield x[i], x[j]
+        if len(own) > 1:
+            i, j = surviving_pairs(sketch[own], None, size[own], None)
+            yield own[i], own[j]
 
 
 def _prune(rows: pa.Table) -> pa.Table:

@@ -167,7 +167,7 @@ class SkipChainCrf:
             nodes += [(i, a, z) for a, z in spans]
             feats += [node_features(t, a, z) for a, z in spans]
         e = lambda x: np.array(x, np.int64).reshape(-1, 2)
-        return nodes, np.array(feats, np.int64).reshape(len(nodes), -1), np.array([n[0] for n in nodes], np.int64), e(chain), e(skip)
+        return nodes, np.array(feats, np.int64), np.array([n[0] for n in nodes], np.int64), e(chain), e(skip)
 
     def fit(self, texts: list[str]) -> SkipChainCrf:
         nodes, feats, _, chain, skip = self.graph(texts)

@@ -75,6 +75,8 @@ def firsts(*sorted_columns: np.ndarray) -> np.ndarray:
 
 def slices(buckets: np.ndarray) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of sorted buckets."""
+    if not len(buckets):
+        return []
     starts = np.flatnonzero(firsts(buckets))
     return [(int(buckets[a]), int(a), int(z)) for a, z in zip(starts, [*starts[1:], len(buckets)], strict=True)]
 
