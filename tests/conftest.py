@@ -3,7 +3,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+# Python workers import the package too
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_MID = "/root/testdata/sf0.01"
@@ -22,9 +25,8 @@ def spark(tmp_path_factory):
          .config("spark.local.dir", str(scratch / "local"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
+    if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(str(scratch / "ckpt"))
-        s.conf.set("spark.checkpoint.dir", str(scratch / "ckpt"))
     yield s
     s.stop()
 

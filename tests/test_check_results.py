@@ -25,9 +25,13 @@ def test_completeness_golden(spark):
 def test_compile_report_golden(spark):
     samples = spark.createDataFrame([("t", "0", "x=1"), ("t", "1", "x="), ("t", "2", " \n")],
                                     "task_id string, completion_id string, solution string")
-    compiled = samples.select("task_id", "completion_id", ck.python_syntax(F.col("solution")).alias("compile_ok"))
+    compiled = samples.select("task_id", "completion_id", (F.col("solution") == "x=1").alias("compile_ok"))
     r = ck.compile_report(samples, compiled).first()
-    assert (r.n_code, r.n_wrong, r.pct_wrong) == (3, 2, 66.67)
+    assert (r.n_code, r.n_wrong, r.n_unchecked, r.pct_wrong) == (3, 2, 0, 66.67)
+    # a missing text is blank; a text that no compiler has seen is neither right nor wrong
+    more = samples.unionByName(spark.createDataFrame([("t", "3", None), ("t", "4", "y=1")], samples.schema))
+    r = ck.compile_report(more, compiled).first()
+    assert (r.n_code, r.n_wrong, r.n_unchecked, r.pct_wrong) == (5, 3, 1, 60.0)
     empty = ck.compile_report(samples.limit(0), compiled.limit(0)).collect()
     assert empty == [] or empty[0].pct_wrong == 0.0
 
@@ -57,7 +61,9 @@ def test_verdict_order_is_textual_and_keeps_nulls(spark):
     v = spark.createDataFrame([("t", "0", "success"), ("t", "1", None), ("t", "2", "test_failed"), ("t", "10", "success")],
                               "task_id string, completion_id string, verdict string")
     rec = rs.task_records(v).first()
-    assert rec.nfiles == 4 and list(rec.base) == ["success", None, "success", "test_failed"]
+    assert rec.nfiles == 4 and rec.part == 0 and list(rec.base) == ["success", None, "success", "test_failed"]
+    parts = sorted((r.part, r.nfiles, list(r.base)) for r in rs.task_records(v, part_verdicts=3).collect())
+    assert parts == [(0, 4, ["success", None, "success"]), (1, 4, ["test_failed"])]
     pos = {r.completion_id: (r.pos, r.nfiles) for r in rs.verdict_positions(v).collect()}
     assert pos == {"0": (0, 4), "1": (1, 4), "10": (2, 4), "2": (3, 4)}
 
@@ -69,7 +75,7 @@ def test_documents_round_trip_and_legacy(spark, tmp_path):
     out = str(tmp_path / "docs")
     rs.write_result_documents(docs, out, ["model"])
     back = [json.loads(r.value) for r in spark.read.text(out).collect()]
-    assert back == [{"task_id": "t1", "nfiles": 2, "base": ["success", None], "date": "2024-01-02 03:04"}]
+    assert back == [{"task_id": "t1", "part": 0, "nfiles": 2, "base": ["success", None], "date": "2024-01-02 03:04"}]
     with pytest.raises(Exception):
         rs.write_result_documents(docs, out, ["model"])          # never overwrites
     legacy = {"date": "2024-01-01 00:00", "eval": {"p1": {"files": ["a", "b", "c"], "base": ["success"] * 3},
@@ -90,17 +96,40 @@ def test_cache_and_versions(spark):
     assert (r.n_versions, r.version, r.verdict) == (2, 2, None)
 
 
-@pytest.mark.parametrize("kw", [{}, {"hot_rows": 5}, {"hot_rows": 0, "max_hot": 0}])
-def test_position_in_group_paths_agree(spark, kw):
+def test_written_documents_are_read_back(spark, tmp_path):
+    v = spark.createDataFrame([(m, t, str(i), None if i % 3 else f"v{i}") for m in "ab" for t in ("t1", "t2") for i in range(7)],
+                              "model string, task_id string, completion_id string, verdict string")
+    out = str(tmp_path / "docs")
+    rs.write_result_documents(rs.result_documents(v, ["model"], part_verdicts=3), out, ["model"])
+    back = rs.read_result_lines(spark, out)
+    want = rs.verdict_positions(v, ["model"]).select("model", "task_id", "nfiles", "pos", "verdict")
+    assert sorted(map(repr, back.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_latest_version_keeps_large_numbers_and_any_label(spark):
+    big = 1_800_000_000_000_000_001
+    rows = [("t", big, "flaky"), ("t", big - 1, "success"), ("u", 1, None)]
+    df = spark.createDataFrame(rows, "task_id string, version long, verdict string")
+    got = {r.task_id: (r.n_versions, r.version, r.verdict) for r in rs.latest_versions(df, ["task_id"], "version").collect()}
+    assert got == {"t": (2, big, "flaky"), "u": (1, 1, None)}
+
+
+@pytest.mark.parametrize("prefix, width", [(4, 1 << 16), (1, 2)])
+def test_position_in_group_equals_a_window(spark, monkeypatch, prefix, width):
     from pyspark.sql import Window
-    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    ref = (li.withColumn("p", F.row_number().over(w) - 1)
-             .withColumn("c", F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    got = position_in_group(li, ["l_orderkey"], ["l_linenumber"], pos_col="p", running_sum="l_quantity", cum_col="c", **kw)
-    cols = ["l_orderkey", "l_linenumber", "p", "c"]
-    assert got.select(*cols).exceptAll(ref.select(*cols)).count() == 0
-    assert got.count() == li.count()
+
+    from transeval.operators import ordered
+    monkeypatch.setattr(ordered, "PREFIX_CHARS", prefix)
+    monkeypatch.setattr(ordered, "SLICE_WIDTH", width)
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
+        F.when(F.col("l_orderkey") % 9 > 0, F.col("l_orderkey") % 5).alias("k"), F.monotonically_increasing_id().alias("n"))
+    li = li.withColumn("t", F.col("n").cast("string"))
+    for order in ("n", "t"):
+        w = Window.partitionBy("k").orderBy(order)
+        ref = li.withColumn("p", F.row_number().over(w) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("k")))
+        got = position_in_group(li, ["k"], [order], pos_col="p", size_col="m")
+        assert got.select("k", "n", "p", "m").exceptAll(ref.select("k", "n", "p", "m")).count() == 0
+        assert got.count() == li.count()
 
 
 def test_versioned_results(spark, tmp_path):
@@ -135,11 +164,7 @@ def test_checkpoint_dir_needs_shared_storage_off_local_mode():
     from transeval.session import checkpoint_dir
 
     class Conf(dict):
-        def get(self, k, default=None):
-            return dict.get(self, k, default)
-
-        def set(self, k, v):
-            self[k] = v
+        """A session's settings: reading only."""
 
     class Ctx:
         def __init__(self, master, d=None):
@@ -160,4 +185,19 @@ def test_checkpoint_dir_needs_shared_storage_off_local_mode():
     named = Session("yarn", {"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
     assert checkpoint_dir(named) == "hdfs:///shared/ckpt" and named.sparkContext.d == "hdfs:///shared/ckpt"
     local = Session("local[2]")
-    assert checkpoint_dir(local) and local.sparkContext.d == local.conf["spark.checkpoint.dir"]
+    assert checkpoint_dir(local) and local.sparkContext.d
+
+
+def test_a_real_session_without_the_setting_gets_a_folder(tmp_path):
+    import subprocess
+    import sys
+    code = """
+from transeval.session import checkpoint_dir, get_session
+s = get_session(master="local[1]")
+path = checkpoint_dir(s)
+s.range(3).checkpoint()
+print("PATH", path, s.sparkContext.master, "spark.sql.shuffle.partitions" in dict(s.sparkContext.getConf().getAll()))
+"""
+    import os
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, env={**os.environ, "SPARK_CONF_DIR": str(tmp_path)}).stdout
+    assert "PATH /" in out and out.split("PATH")[1].split()[1:] == ["local[1]", "False"]

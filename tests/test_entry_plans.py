@@ -4,11 +4,12 @@ import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry_mod
+from transeval.plans.oracle import ORACLE
+from transeval.plans.queries import QUERIES
 from transeval.plans.verify import TABLES, compare
 
-QUERIES = entry_mod.queries()
-ORACLE = entry_mod.oracle_sql()
-PYTHON_QUERIES = {"python_syntax"}   # the only query with a Python UDF (ast.parse)
+# inputs are Python literals, which only Python parses
+PYTHON_QUERIES = {"seed_selection", "reply_lines", "new_inputs", "pool_union", "test_prompt"}
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +26,31 @@ def test_entry_smoke(spark):
     assert df.count() >= 0
 
 
-def test_every_query_has_an_oracle_except_python_ones():
-    assert set(QUERIES) - set(ORACLE) == PYTHON_QUERIES
-    assert set(ORACLE) <= set(QUERIES)
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLE) <= set(entry_mod.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_building_a_query_runs_nothing(spark, name):
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    QUERIES[name](spark, SF_SMALL)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert store.executionsCount() == before
+
+
+@pytest.mark.parametrize("name", ["seed_selection"])
+def test_bounded_picks_are_limited_before_the_shuffle(spark, name):
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_attempted_tests_read_the_log_once(spark):
+    plan = QUERIES["attempted_tests"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    # once for the log itself and once for the number of its tests
+    assert plan.count("lineitem.parquet") <= 2
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -57,7 +80,7 @@ def test_small_task_side_is_broadcast(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["first_failure", "sample_verdict", "budget_verdict", "latest_version", "new_inputs"])
+@pytest.mark.parametrize("name", ["first_failure", "sample_verdict", "budget_verdict", "new_inputs", "sample_task_join", "integrity_checks"])
 def test_minima_stay_hash_aggregates(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
     df.collect()

@@ -18,7 +18,8 @@ def test_translate_then_evaluate(spark):
                                  "prompt_type string, n_samples int, batch_size int, greedy boolean")
     existing = spark.createDataFrame([("codenet", "gpt-4", "Java", "Python", "0.2", "p1", 0)],
                                      ", ".join(f"{c} string" for c in CFG) + ", task_id string, idx int")
-    out = jobs.translate(tasks, runs, existing, lambda prompts: ["print(1)</s>" for _ in prompts])
+    out, rejected = jobs.translate(tasks, runs, existing, lambda prompts: ["print(1)</s>" for _ in prompts])
+    assert [(r.model, r.registry_error) for r in rejected.collect()] == [("nope", "Invalid model name: nope")]
     got = sorted((r.task_id, r.idx, r.solution) for r in out.collect())
     assert got == [("p1", 1, "print(1)</s>"), ("p2", 0, "print(1)</s>"), ("p2", 1, "print(1)</s>")]
     assert all(r.prompt.startswith("You are a code translation expert.") for r in out.collect())
@@ -27,12 +28,68 @@ def test_translate_then_evaluate(spark):
                      F.lit(0).alias("test_idx"), F.lit(True).alias("compile_ok"), F.lit(False).alias("timed_out"),
                      F.lit(1.0).alias("elapsed_s"), F.when(F.col("task_id") == "p1", "1").otherwise("x").alias("stdout"),
                      F.lit("").alias("stderr"))
-    verdicts, scores, board = jobs.evaluate(log, tests_from_tasks(tasks), CFG)
-    assert {(r.task_id, r.verdict) for r in verdicts.collect()} == {("p1", "success"), ("p2", "test_failed")}
-    b = board.filter("k = 1").first()
-    assert b.model == "gpt-4" and abs(b.pass_at_k - 0.5) < 1e-12
-    docs = [r.document for r in jobs.evaluation_documents(verdicts, CFG, F.lit("2024-01-01 00:00:00").cast("timestamp")).collect()]
+    java = tasks.withColumnRenamed("language", "source_lang")
+    samples = log.select(*CFG, "task_id", "completion_id")
+    tests = tests_from_tasks(tasks, ("dataset", "task_id"))
+    e = jobs.evaluate(samples, java, tests, log, CFG)
+    assert {(r.task_id, r.verdict) for r in e.verdicts.collect()} == {("p1", "success"), ("p2", "test_failed")}
+    b = e.board.filter("k = 1").first()
+    assert b.model == "gpt-4" and abs(b.pass_at_k - 0.5) < 1e-12 and e.problems.count() == 0
+    docs = [r.document for r in jobs.evaluation_documents(e.verdicts, CFG, F.lit("2024-01-01 00:00:00").cast("timestamp")).collect()]
     assert len(docs) == 2
+    # an unsampled task and a repeated sample keep a configuration from being scored
+    short = jobs.evaluate(samples.filter("task_id = 'p1'"), java, tests, log, CFG)
+    assert [(r.problem, r.subject) for r in short.problems.collect()] == [("missing task", "p2")]
+    assert short.verdicts.count() == 1 and short.board.count() == 0
+    twice = jobs.evaluate(samples.unionByName(samples.filter("task_id = 'p1'")), java, tests, log, CFG)
+    assert [(r.problem, r.subject) for r in twice.problems.collect()] == [("repeated sample", "p1/1")] and twice.board.count() == 0
+    # stored verdicts of a configuration are used, unless it is run again
+    cached = e.verdicts.withColumn("verdict", F.lit("runtime_failed"))
+    assert {r.verdict for r in jobs.evaluate(samples, java, tests, log, CFG, cached=cached).verdicts.collect()} == {"runtime_failed"}
+    again = jobs.evaluate(samples, java, tests, log, CFG, cached=cached, rerun=True).verdicts
+    assert {r.verdict for r in again.collect()} == {"success", "test_failed"}
+
+
+def test_one_bad_prompt_costs_one_reply(spark):
+    from transeval.operators.generate import generate
+
+    def model(prompts):
+        if "bad" in prompts:
+            raise ValueError("bad")
+        return [f"{p}@{len(prompts)}" for p in prompts]
+
+    rows = [(i // 4, "bad" if i == 5 else f"p{i}") for i in range(500)]
+    plan = spark.createDataFrame(rows, "batch_no int, prompt string").coalesce(1)
+    got = [r.output for r in generate(plan, model, batch=["batch_no"], sentinel="ERROR").collect()]
+    assert got.count("ERROR") == 1 and "p0@4" in got and "p4@1" in got and "p499@4" in got
+
+
+def test_resume_fills_gaps_once(spark):
+    tasks = spark.createDataFrame([("codenet", "p1", "Java", "c")], "dataset string, task_id string, language string, code string")
+    runs = spark.createDataFrame([("codenet", "gpt-4", "Java", "Python", "0.2", "gpt", 4, 2, False)],
+                                 "dataset string, model string, source_lang string, target_lang string, temperature string, "
+                                 "prompt_type string, n_samples int, batch_size int, greedy boolean")
+    existing = spark.createDataFrame([("codenet", "gpt-4", "Java", "Python", "0.2", "p1", i) for i in (0, 2)],
+                                     ", ".join(f"{c} string" for c in CFG) + ", task_id string, idx int")
+    out, _ = jobs.translate(tasks, runs, existing, lambda prompts: ["x"] * len(prompts))
+    assert sorted((r.idx, r.batch_no) for r in out.collect()) == [(1, 0), (3, 0)]
+
+
+def test_evaluate_command_keeps_versions(spark, tmp_path):
+    import subprocess
+    import sys
+    d = str(tmp_path)
+    spark.createDataFrame([("t", "Java", [("", "1")])], "task_id string, language string, test_io array<struct<input:string, output:string>>").write.parquet(f"{d}/tasks")
+    spark.createDataFrame([("m", "Java", "t", "0")], "model string, source_lang string, task_id string, completion_id string").write.parquet(f"{d}/samples")
+    spark.createDataFrame([("m", "Java", "t", "0", 0, True, False, 1.0, "1", "")],
+                          "model string, source_lang string, task_id string, completion_id string, test_idx int, compile_ok boolean, "
+                          "timed_out boolean, elapsed_s double, stdout string, stderr string").write.parquet(f"{d}/log")
+    env = dict(__import__("os").environ, SPARK_MASTER="local[1]")
+    for extra, versions in (([], {1}), ([], {1}), (["--rerun"], {1, 2})):
+        subprocess.run([sys.executable, "-m", "transeval", "evaluate", "--exec_log", f"{d}/log", "--samples", f"{d}/samples", "--tasks", f"{d}/tasks",
+                        "--out", f"{d}/out", *extra], check=True, cwd=str(__import__("pathlib").Path(__file__).parents[1]), env=env, capture_output=True, timeout=300)
+        rows = spark.read.parquet(f"{d}/out/verdicts").collect()
+        assert {r.version for r in rows} == versions and {r.verdict for r in rows} == {"success"}
 
 
 def test_clean_and_check(spark):
@@ -60,7 +117,7 @@ def test_clean_command_on_a_sample_tree(spark, tmp_path):
                                 ("p2", 0, ".py", "no fence here")], "task_id string, idx int, ext string, solution string")
     sm.export_sample_tree(df, str(root))
     out = tmp_path / "clean"
-    env = dict(__import__("os").environ, BENCH_CPUS="1")
+    env = dict(__import__("os").environ, SPARK_MASTER="local[1]")
     subprocess.run([sys.executable, "-m", "transeval", "clean", "--samples", str(root), "--target_lang", "Python",
                     "--out", str(out), "--remove_prompt"], check=True, cwd=str(__import__("pathlib").Path(__file__).parents[1]),
                    env=env, capture_output=True, timeout=300)
@@ -77,7 +134,7 @@ def test_translate_refuses_over_long_prompts(spark):
                                  "prompt_type string, n_samples int, batch_size int, greedy boolean")
     existing = spark.createDataFrame([], ", ".join(f"{c} string" for c in CFG) + ", task_id string, idx int")
     calls = []
-    out = jobs.translate(tasks, runs, existing, lambda p: [calls.append(1) or "z=1" for _ in p],
+    out, _ = jobs.translate(tasks, runs, existing, lambda p: [calls.append(1) or "z=1" for _ in p],
                          token_count=lambda c: F.floor(F.length(c) / 4), context=60)
     got = {r.task_id: r.output for r in out.collect()}
     assert got == {"p1": "MODEL MAX LENGTH EXCEEDED", "p2": "z=1"}

@@ -1,52 +1,11 @@
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from transeval import constants as K
 from transeval.operators import sanitize as sz
-
-
-def clean_py(text, lang, path, eofs, prefixes):
-    """The cleaning job as plain Python, one rule per step (test oracle)."""
-    s = text
-    low = lang.lower()
-    try:
-        if "code-llama" in path:
-            m = f"{lang}:\n"
-            s = s[s.find(m) + len(m):]
-            while s.strip().startswith(f"{lang}:"):
-                s = s[s.find(m) + len(m):]
-        for trig, delim in (("magicoder", "@@ Response"), ("octocoder", "Answer:"), ("mixtral", f"{lang}:")):
-            if trig in path:
-                s = s.split(delim)[1].strip()
-        if "phi2" in path and "Output:" in s:
-            s = s.split("Output:")[1].strip()
-        if "gpt-4" in path or "gpt-3.5" in path:
-            tag = "cpp" if low == "c++" else low
-            s = s[s.find(f"```{tag}") + len(f"```{tag}"):]
-            s = s[:s.find("```")]
-        for trig in ("gemini-pro", "claude"):
-            if trig in path:
-                lines = s.split("\n")
-                s = "\n".join(lines[lines.index(lang) + 1:]).strip()
-        if "deepseek" in path:
-            tag = low
-            if tag == "c++" and "```c++" in s:
-                tag = "c++"
-            elif tag == "c++" and "```cpp" in s:
-                tag = "cpp"
-            s = s[s.find(f"```{tag}") + len(f"```{tag}"):]
-            s = s[:s.find("```")]
-    except IndexError:
-        return None, sz.INDEX_ERROR
-    except ValueError:
-        return None, sz.VALUE_ERROR
-    s = s.replace(f"```{low}", "").replace("```", "").strip()
-    for p in prefixes:
-        s = "\n".join(line for line in s.splitlines() if not line.startswith(p)).strip()
-    for e in eofs:
-        s = s.split(e)[0].strip()
-    return s.strip(), None
+from transeval.plans import oracle
 
 
 def _run(spark, rows, **kw):
@@ -84,18 +43,35 @@ PATHS = ["out/code-llama-13b/t", "out/magicoder/t", "out/octocoder/t", "out/mixt
          "out/gemini-pro/t", "out/claude/t", "out/deepseek-coder/t", "out/starcoder/t", "out/claude-gpt-4/t"]
 
 
-def test_random_replies_match_plain_python(spark):
+def test_random_replies_match_the_sql_twin(spark):
     rnd = random.Random(5)
     rows = []
     for i in range(3000):
         text = "".join(rnd.choice(FRAGMENTS) for _ in range(rnd.randint(0, 14)))
         rows.append((f"{i:05d}", text, rnd.choice(["Python", "C++", "C"]), rnd.choice(PATHS)))
     got = _run(spark, rows, eofs=K.DEFAULT_EOFS, prefixes=K.DEFAULT_PREFIXES)
-    want = [clean_py(t, lang, p + K.SANITIZED_SUFFIX, K.DEFAULT_EOFS, K.DEFAULT_PREFIXES) for _, t, lang, p in rows]
+    con = duckdb.connect()
+    con.execute("create table replies (task_id varchar, solution varchar, target_lang varchar, path varchar, doc_id bigint)")
+    con.executemany("insert into replies values (?, ?, ?, ?, 0)", rows)
+    sql = f"with {oracle._sanitize_sql('replies')} select case when err is null then {oracle.strip('s')} end, err from s12 order by task_id"
+    want = con.execute(sql).fetchall()
     bad = [(rows[i], got[i], want[i]) for i in range(len(rows)) if got[i] != want[i]]
     assert not bad, bad[:5]
 
 
+MARKERS = [("p\nPython:\nPython:\nx", "x"), ("Python:\nx", "x"), ("Python:\nPython: a Python:\nb", "b"),
+           ("Python:\n       Python: a", " a"), ("Python:\n  Python: a", "n: a"[-4:]), ("Python:\n\n\nPython:\n\nx", "\nx"),
+           ("no marker", "er"), ("Python:\n" * 5000 + "x", "x"), ("Python:\n" + "Python:" * 5000 + "x", "x"),
+           ("Python:\n" + "a Python:\n" * 3, "a Python:\n" * 3), ("", "")]
+
+
+def test_markers_are_cut_in_constant_passes(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(MARKERS)], "i int, s string")
+    got = {r.i: r.o for r in df.select("i", sz.strip_marker(F.col("s"), F.lit("Python")).alias("o")).collect()}
+    for i, (t, want) in enumerate(MARKERS):
+        assert got[i] == want, (t[:60], got[i][:60])
+
+
 def test_debug_task_and_strict(spark):
     rows = [("a", "x", "Python", "m/magicoder/t"), ("b", "y@@ Responsez", "Python", "m/magicoder/t")]
     df = spark.createDataFrame(rows, "task_id string, solution string, target_lang string, path string")

@@ -29,25 +29,3 @@ def test_run_rows_and_sanitize_summary(spark, tmp_path):
                                "task_id string, solution string, target_lang string, path string")
     s = sanitize_summary(sanitize(df)).first()
     assert (s.n_total, s.n_failed) == (2, 1)
-
-
-def test_unordered_stream_emits_each_verdict_once_when_final(spark, tmp_path):
-    from transeval.streaming.incremental import score_stream_unordered
-    tests = spark.createDataFrame([("t", i, "", str(i)) for i in range(3)], "task_id string, test_idx int, input string, expected string")
-    logs, out, ck = str(tmp_path / "logs"), str(tmp_path / "verdicts"), str(tmp_path / "ck")
-
-    def drop(rows):
-        spark.createDataFrame(rows, EXEC_LOG_SCHEMA).coalesce(1).write.mode("append").parquet(logs)
-        score_stream_unordered(spark, logs, tests, out, ck).awaitTermination()
-
-    # s1: tests 1 and 2 pass first, test 0 arrives later; s2: test 0 fails at once
-    drop([("t", "s1", 2, True, False, 1.0, "2", ""), ("t", "s1", 1, True, False, 1.0, "1", ""),
-          ("t", "s2", 0, True, False, 1.0, "x", "")])
-    first = {r.completion_id: r.verdict for r in spark.read.parquet(out).collect()}
-    assert first == {"s2": "test_failed"}
-    drop([("t", "s1", 0, True, False, 1.0, "0", ""), ("t", "s3", 1, True, False, 1.0, "x", "err")])
-    got = [(r.completion_id, r.verdict) for r in spark.read.parquet(out).collect()]
-    assert sorted(got) == [("s1", "success"), ("s2", "test_failed")]      # s3 waits for its test 0
-    drop([("t", "s3", 0, True, False, 1.0, "0", "")])
-    got = sorted((r.completion_id, r.verdict) for r in spark.read.parquet(out).collect())
-    assert got == [("s1", "success"), ("s2", "test_failed"), ("s3", "runtime_failed")]

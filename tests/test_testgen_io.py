@@ -8,11 +8,11 @@ from transeval.sources import tasks as tk
 
 
 def test_reply_lines_golden(spark):
-    reply = "```\n1, 2 # c\n\n'a'\nfoo bar\n# only\n```"
+    reply = "```\n1, 2 # c\n\n'a'\nfoo bar\n# only\n1,2\n[ 3 ]\n```"
     df = spark.createDataFrame([("t", reply, 0), ("u", "no fence", 0)], "task_id string, reply string, round_no int")
     lines = tg.reply_lines(df)
-    parsed = [r.p for r in lines.select(tg.literal_inputs(F.col("input_text")).alias("p")).collect()]
-    assert [p for p in parsed if p is not None] == ["[1, 2]", "['a']", "[]"]
+    assert [(r.line_no, r.input_text, r.shown) for r in lines.collect()] == [
+        (1, "[1, 2]", "1, 2"), (3, "['a']", "'a'"), (5, "[]", ""), (6, "[1, 2]", "1, 2"), (7, "[[3]]", "[3]")]
     assert lines.filter("task_id = 'u'").count() == 0
 
 
@@ -26,8 +26,14 @@ def test_seed_selection_and_new_inputs(spark):
     cand = spark.createDataFrame([("t", "in1", 0, 0), ("t", "new", 0, 1), ("t", "new", 1, 0), ("t", "n2", 21, 0),
                                   ("t", "n3", 2, 0)], "task_id string, input_text string, round_no int, line_no int")
     new = tg.new_inputs(cand, pool, num=1)
-    assert [(r.input_text, r.round_no) for r in new.collect()] == [("new", 0)]
-    msg = tg.seed_messages(spark.createDataFrame([("s", "def f(): pass")], "task_id string, code string"), seeds).first()
+    assert [(r.input_text, r.round_no, r.returned) for r in new.collect()] == [("new", 0, True)]
+    # all that the last round brings goes to the pool, beyond what was asked for
+    more = cand.unionByName(spark.createDataFrame([("t", "n4", 2, 1), ("t", "n5", 3, 0)], cand.schema))
+    got = sorted((r.new_rank, r.input_text, r.returned) for r in tg.new_inputs(more, pool, num=2).collect())
+    assert got == [(0, "new", True), (1, "n3", True), (2, "n4", False)]
+    assert tg.pool_union(pool, tg.new_inputs(more, pool, num=2)).filter("origin = 'generated'").count() == 3
+    shown = seeds.withColumnRenamed("input_text", "shown")
+    msg = tg.seed_messages(spark.createDataFrame([("s", "def f(): pass")], "task_id string, code string"), shown).first()
     assert msg.message.startswith("Here is a function that we want to test:\n```\ndef f(): pass\n```\n")
     assert "```\nonly\n```\nPlease generate" in msg.message
 
@@ -57,6 +63,16 @@ def test_read_samples_keeps_empty_files(spark, tmp_path):
     assert got == [("p 2", "0", "y+1"), ("p1", "0", "x=1"), ("p1", "1", "")]
 
 
+def test_read_a_tree_of_configurations(spark, tmp_path):
+    for model in ("m1", "m2"):
+        d = tmp_path / "codenet" / model / "Java" / "Python" / "temperature_0.2" / "p1"
+        os.makedirs(d)
+        (d / "0.py").write_text(f"x={model!r}")
+        (d / "1.py").write_text("")
+    got = sorted((r.model, r.stage, r.task_id, r.completion_id, r.solution) for r in sm.read_sample_tree(spark, str(tmp_path), "Python").collect())
+    assert got == [(m, "raw", "p1", i, s) for m in ("m1", "m2") for i, s in (("0", f"x={m!r}"), ("1", ""))]
+
+
 def test_export_then_read_back(spark, tmp_path):
     df = spark.createDataFrame([("p/1", 0, ".py", "x=1"), ("p/1", 1, ".py", ""), ("q", 0, ".py", "y")],
                                "task_id string, idx int, ext string, solution string")

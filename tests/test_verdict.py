@@ -72,17 +72,33 @@ def test_attempted_tests_stop_at_first_failure(spark):
     assert sv.first_fail_idx == 1 and sv.n_tests == 3
 
 
+def test_a_sample_that_does_not_compile_ran_no_test(spark):
+    log = spark.createDataFrame([("t", "s", 0, False, False, 0.0, None, None)], SCHEMA)
+    o = vd.test_outcomes(attach_expected(log, tests_from_tasks(_tasks(spark))))
+    assert attempted_tests(o).count() == 0
+    sv = sample_verdicts(o).first()
+    assert sv.first_fail_idx is None and sv.verdict == "compile_failed"
+
+
+def test_every_sample_has_a_verdict_row(spark):
+    rows = [("t", "whole", i, True, False, 1.0, str(i + 1), None) for i in range(3)]
+    rows += [("t", "cut", 0, True, False, 1.0, "1", ""), ("t", "killed", 0, True, False, 99.0, "1", ""), ("t", "killed", 1, True, False, 9.0, "2", ""),
+             ("t", "failed", 0, True, False, 1.0, "x", None)]
+    log = spark.createDataFrame(rows, SCHEMA)
+    samples = spark.createDataFrame([("t", c) for c in ("whole", "cut", "killed", "failed", "unlogged")], "task_id string, completion_id string")
+    v = {r.completion_id: r.verdict for r in judge(log, tests_from_tasks(_tasks(spark)), samples=samples).collect()}
+    # a missing stderr is an empty one; a log that ends early without a reason says nothing
+    assert v == {"whole": "success", "cut": None, "killed": "success", "failed": "test_failed", "unlogged": None}
+
+
 def test_verdict_label(spark):
     df = spark.createDataFrame([(i,) for i in range(7)], "c int")
     got = [r.l for r in df.select(verdict_label(F.col("c")).alias("l")).orderBy("c").collect()]
     assert got == ["success", "runtime_failed", "compile_failed", "infinite_loop", "test_failed", None, None]
 
 
-def test_exact_rounding_path(spark):
+def test_ties_round_by_the_binary_value(spark):
     rows = [("t", "a", 0, True, False, 1.0, "2.675", ""), ("t", "b", 0, True, False, 1.0, "1.45", "")]
     log = spark.createDataFrame(rows, SCHEMA)
     tests = spark.createDataFrame([("t", 0, "", "2.67")], "task_id string, test_idx int, input string, expected string")
-    exact = {r.completion_id: r.verdict for r in judge(log, tests, exact_rounding=True).collect()}
-    native = {r.completion_id: r.verdict for r in judge(log, tests).collect()}
-    assert exact == {"a": "success", "b": "test_failed"}      # Python rounds the binary value of 2.675 down
-    assert native == {"a": "test_failed", "b": "test_failed"}  # decimal tie rounds half-even on the text
+    assert {r.completion_id: r.verdict for r in judge(log, tests).collect()} == {"a": "success", "b": "test_failed"}

@@ -1,13 +1,18 @@
 """Command line over the end-to-end jobs (parquet in, parquet out).
 
     python -m transeval clean     --samples ROOT --target_lang Python --out OUT [--remove_prompt] [--debug_task ID]
+                                  [--eofs MARK ...] [--rm-prefix-lines PREFIX ...] [--inplace] [--tree]
     python -m transeval check     --tasks T.parquet --samples S.parquet --compiled C.parquet --out OUT [--nsample N]
-    python -m transeval evaluate  --exec_log L.parquet --tasks T.parquet --out OUT [--budget watchdog|strict]
-                                  [--exact_rounding]
+    python -m transeval evaluate  --exec_log L.parquet --samples S.parquet --tasks T.parquet --out OUT
+                                  [--budget watchdog|strict] [--rerun]
 
-``clean`` reads a sample tree (``.../temperature_T/<task>/<idx><ext>``); the other jobs
-read parquet tables with the configuration columns. Every run is scored at once;
-``evaluate`` writes verdict rows and result documents (one JSON line per config and task).
+``clean`` reads one configuration folder (``.../temperature_T/<task>/<idx><ext>``), or with
+``--tree`` all that lie below ROOT; the other jobs read parquet tables with the configuration
+columns. ``evaluate`` scores every run at once. It keeps verdicts as versions below OUT and
+uses those of configurations that have some, unless ``--rerun`` asks for a new version; it
+writes result documents beside them.
+
+``SPARK_MASTER`` names a master for local use, ``--input_gb`` and ``--cores`` size partitions.
 """
 
 from __future__ import annotations
@@ -21,42 +26,53 @@ from transeval import constants as K
 from transeval import jobs
 from transeval.operators import results as rs
 from transeval.operators.verdict import tests_from_tasks
-from transeval.session import get_session
+from transeval.session import get_session, scale_settings
 from transeval.sources import samples as sm
 
 
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="transeval")
     sub = ap.add_subparsers(dest="job", required=True)
+    ap.add_argument("--input_gb", type=float, help="size of the input, from which partitions are sized")
+    ap.add_argument("--cores", type=int, default=8)
     c = sub.add_parser("clean")
     c.add_argument("--samples", required=True)
     c.add_argument("--target_lang", required=True, choices=K.LANGUAGES)
     c.add_argument("--out", required=True)
     c.add_argument("--remove_prompt", action="store_true")
-    c.add_argument("--debug_task")
+    c.add_argument("--debug_task", "--debug-task")
+    c.add_argument("--eofs", nargs="+", default=K.DEFAULT_EOFS)
+    c.add_argument("--rm-prefix-lines", dest="prefixes", nargs="+", default=K.DEFAULT_PREFIXES)
+    c.add_argument("--inplace", action="store_true", help="keep the stage and path of the input")
+    c.add_argument("--tree", action="store_true", help="ROOT holds many configurations")
     k = sub.add_parser("check")
     for a in ("--tasks", "--samples", "--compiled", "--out"):
         k.add_argument(a, required=True)
     k.add_argument("--nsample", type=int, default=1)
     e = sub.add_parser("evaluate")
-    for a in ("--exec_log", "--tasks", "--out"):
+    for a in ("--exec_log", "--samples", "--tasks", "--out"):
         e.add_argument(a, required=True)
     e.add_argument("--budget", choices=["watchdog", "strict"])
-    e.add_argument("--exact_rounding", action="store_true", help="Python rounding on decimal ties (Arrow UDF)")
+    e.add_argument("--rerun", "--re-run", action="store_true")
     args = ap.parse_args(argv)
 
-    spark = get_session(master=os.environ.get("SPARK_MASTER"))
+    conf = scale_settings(int(args.input_gb * 2**30), args.cores) if args.input_gb else {}
+    spark = get_session(master=os.environ.get("SPARK_MASTER"), conf=conf)
     cfg = sm.CFG
     if args.job == "clean":
-        raw = sm.read_samples(spark, args.samples, args.target_lang)
-        raw = raw.select("*", *[c.alias(f"_{i}") for i, c in enumerate(sm.parse_path(F.col("identifier"))[:6])])
-        raw = raw.select("identifier", "task_id", "completion_id", "solution",
-                         *[F.col(f"_{i}").alias(n) for i, n in enumerate(cfg)])
+        if args.tree:
+            raw = sm.read_sample_tree(spark, args.samples, args.target_lang)
+        else:
+            raw = sm.read_samples(spark, args.samples, args.target_lang)
+            raw = raw.select(*sm.parse_path(F.col("identifier"))[:len(cfg)], "identifier", "task_id", "completion_id", "solution")
         raw = raw.withColumn("path", F.regexp_extract("identifier", r"^(.*)/[^/]+/[^/]+$", 1))
         if args.debug_task:
             raw = raw.filter(F.col("task_id") == args.debug_task)
-        cleaned, summary = jobs.clean(raw, cfg, remove_prompt=args.remove_prompt)
-        cleaned.withColumn("stage", F.lit("sanitized")).write.mode("errorifexists").parquet(args.out)
+        cleaned, summary = jobs.clean(raw, cfg, remove_prompt=args.remove_prompt, eofs=args.eofs, prefixes=args.prefixes,
+                                      inplace=args.inplace)
+        if not args.inplace:
+            cleaned = cleaned.withColumn("stage", F.lit("sanitized"))
+        cleaned.write.mode("errorifexists").parquet(args.out)
         summary.show(truncate=False)
     elif args.job == "check":
         tasks, samples = spark.read.parquet(args.tasks), spark.read.parquet(args.samples)
@@ -65,15 +81,19 @@ def main(argv=None) -> None:
         summary.show(truncate=False)
         comp.show(truncate=False)
     else:
-        tasks = spark.read.parquet(args.tasks)
+        tasks, samples = spark.read.parquet(args.tasks), spark.read.parquet(args.samples)
         tests = tests_from_tasks(tasks, ("dataset", "task_id") if "dataset" in tasks.columns else ("task_id",))
-        run_cfg = [c for c in cfg if c in spark.read.parquet(args.exec_log).columns]
-        verdicts, _scores, board = jobs.evaluate(spark.read.parquet(args.exec_log), tests, run_cfg, budget=args.budget,
-                                                 exact_rounding=args.exact_rounding)
-        verdicts.write.mode("errorifexists").partitionBy(*run_cfg).parquet(os.path.join(args.out, "verdicts"))
-        docs = jobs.evaluation_documents(spark.read.parquet(os.path.join(args.out, "verdicts")), run_cfg)
-        rs.write_result_documents(docs, os.path.join(args.out, "documents"), run_cfg)
-        board.show(truncate=False)
+        if "language" in tasks.columns:
+            tasks = tasks.withColumnRenamed("language", "source_lang")
+        run_cfg = [c for c in cfg if c in samples.columns]
+        store = os.path.join(args.out, "verdicts")
+        found = jobs.evaluate(samples, tasks, tests, spark.read.parquet(args.exec_log), run_cfg, budget=args.budget,
+                              cached=rs.read_latest_or_none(spark, store, run_cfg), rerun=args.rerun)
+        done = rs.write_versioned(jobs.newly_judged(found.verdicts, spark, store, run_cfg, args.rerun), store, run_cfg)
+        docs = jobs.evaluation_documents(done.drop("version"), run_cfg)
+        rs.write_result_documents(docs, os.path.join(args.out, "documents"), run_cfg, again=True)
+        found.problems.show(truncate=False)
+        found.board.show(truncate=False)
     spark.stop()
 
 

@@ -11,26 +11,27 @@ Rules, in the order the evaluator applies them:
    evaluator compares the rounded values as text).
 3. anything else -- compare the stripped texts.
 
-Undecodable stdout never matches. ``exact_rounding=True`` uses Python's ``round`` (exact
-binary value, half-even) through an Arrow UDF; the native path rounds half-even on the
-shortest decimal text, which differs only on decimal ties such as ``2.675``.
+Undecodable stdout never matches. Rounding is half to even on the exact binary value, so
+``2.675`` (a little below the decimal tie) rounds to ``2.67``. Beyond 44 decimal places the
+shortest decimal text of the value is moved first; only a decimal tie there may differ.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from transeval.functions.text import lit_col, py_strip, sql
 
 # Python ``float()`` literal syntax (finite values): digits with single underscores.
 _DIGITS = r"[0-9](?:_?[0-9])*"
 NUMBER_PATTERN = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
-MAX_ROUND_DIGITS = 20
+# powers of ten that a float64 holds exactly
+EXACT_POWERS = [10.0 ** i for i in range(23)]
+MOST = len(EXACT_POWERS) - 1
+# from here on a float64 has no binary places left
+NO_FRACTION = float(2 ** 53)
+SPLITTER = float(2 ** 27 + 1)
 
 
 def parse_number(text) -> Column:
@@ -48,11 +49,82 @@ def decimals_after_point(text) -> Column:
     return F.when(pos > 0, F.length(F.substring_index(rest, ".", 1)))
 
 
-def _round_to(x: Column, digits: Column) -> Column:
-    expr = F.when(digits >= MAX_ROUND_DIGITS, x)
-    for d in range(MAX_ROUND_DIGITS):
-        expr = expr.when(digits == d, F.bround(x, d))
-    return expr
+def _scaled_up(x: Column, digits: Column) -> Column:
+    """``x >= 0`` moved by ``digits - 44`` decimal places where more than 44 are asked for, by
+    its shortest text; a value too large to lose anything there is left as it is."""
+    text = x.cast("string")
+    power = F.coalesce(F.regexp_extract(text, "E(.*)$", 1).try_cast("int"), F.lit(0)) + digits - 2 * MOST
+    moved = F.concat(F.substring_index(text, "E", 1), F.lit("E"), power.cast("string")).try_cast("double")
+    return F.when((digits > 2 * MOST) & (x < 1e-20) & (moved < 1e-20), moved).otherwise(x)
+
+
+def _product(x: Column, y: Column) -> tuple[Column, Column]:
+    """x * y as the nearest float and what it lacks, exactly: each factor is split into
+    halves of 26 bits, whose products are exact."""
+    def halves(v):
+        big = v * F.lit(SPLITTER)
+        upper = big - (big - v)
+        return upper, v - upper
+
+    high = x * y
+    (a, b), (c, d) = halves(x), halves(y)
+    return high, ((a * c - high) + a * d + b * c) + b * d
+
+
+def _sum(x: Column, y: Column) -> tuple[Column, Column]:
+    """x + y as the nearest float and what it lacks, exactly."""
+    s = x + y
+    t = s - x
+    return s, (x - (s - t)) + (y - t)
+
+
+ROUND_PARTS = ("_h", "_l", "_h1", "_l1", "_h2", "_l2", "_s", "_e", "_t", "_f")
+
+
+def with_rounded(df, value: str, digits: str, out: str):
+    """Adds ``value >= 0`` rounded to ``digits`` decimal places, half to even on the exact
+    binary value, in a form that two values rounded to the same places can be compared by:
+    beyond 22 places the result is in units of 10^(22 - digits), or negative where rounding
+    changes nothing.
+
+    The value times the power of ten, in one factor or two, is kept exactly as a sum of
+    floats, so the sign of what lies beyond the half decides.
+    """
+    powers = F.array(*[F.lit(v) for v in EXACT_POWERS])
+    x, m = F.col(value), F.col(digits)
+    first = F.element_at(powers, F.least(m, F.lit(MOST)).cast("int") + 1)
+    second = F.element_at(powers, F.greatest(F.least(m - MOST, F.lit(MOST)), F.lit(0)).cast("int") + 1)
+    t = df
+    for (high, low), (a, b) in ((("_h", "_l"), (x, first)), (("_h1", "_l1"), (F.col("_h"), second)), (("_h2", "_l2"), (F.col("_l"), second))):
+        h, lack = _product(a, b)
+        t = t.withColumns({high: h, low: lack})
+    whole = F.floor("_h1").cast("double")
+    s, e = _sum(F.col("_l1"), F.col("_h2"))
+    t = t.withColumns({"_s": s, "_e": e})
+    total, lack = _sum(F.col("_h1") - whole - F.lit(0.5), F.col("_s"))
+    t = t.withColumns({"_t": total, "_f": lack})
+    beyond = F.when(F.col("_t") != 0, F.col("_t")).otherwise(F.col("_f") + F.col("_e") + F.col("_l2"))
+    up = F.when(beyond > 0, 1.0).when(beyond < 0, 0.0).otherwise(whole % 2)
+    same = F.when(m > MOST, -x).otherwise(x)
+    return t.withColumn(out, F.when(F.col("_h1") >= F.lit(NO_FRACTION), same).otherwise((whole + up) / first)).drop(*ROUND_PARTS)
+
+
+def round_abs(x: Column, digits: int) -> Column:
+    """``x >= 0`` rounded to a fixed number (at most 22) of decimal places, half to even on
+    the exact binary value; a product of 2^53 or more means that rounding changes nothing."""
+    power = F.lit(EXACT_POWERS[digits])
+    high, low = _product(x, power)
+    whole = F.floor(high).cast("double")
+    beyond = (high - whole - F.lit(0.5)) + low
+    up = F.when(beyond > 0, 1.0).when(beyond < 0, 0.0).otherwise(whole % 2)
+    return F.when(high >= F.lit(NO_FRACTION), x).otherwise((whole + up) / power)
+
+
+def round_half_even(x, digits: int) -> Column:
+    """Any double rounded to a fixed number of decimal places, as ``round_abs`` does."""
+    c = lit_col(x)
+    r = round_abs(F.abs(c), digits)
+    return F.when(c < 0, -r).otherwise(r)
 
 
 EXPECTED_PARTS = ("_sb", "_y", "_db")
@@ -67,75 +139,22 @@ def with_expected_parts(tests, expected: str = "expected"):
 
 
 def with_outputs_match(df, stdout: str, expected: str, out: str = "matched", stdout_valid=None):
-    """DataFrame form of ``outputs_match``: the parsed pieces become columns first, so the
-    generated code evaluates each of them once per row. Expected-side pieces already
+    """Adds whether the program output counts as the expected output. The parsed pieces become
+    columns first, so the generated code evaluates each of them once per row. Expected-side pieces already
     attached by ``with_expected_parts`` are reused."""
     t = df if all(c in df.columns for c in EXPECTED_PARTS) else with_expected_parts(df, expected)
     t = (t.withColumn("_sa", py_strip(F.col(stdout)))
           .withColumn("_x", parse_number(F.col("_sa")))
           .withColumn("_da", decimals_after_point(F.col("_sa")))
           .withColumn("_m", F.least("_da", "_db")))
-    x, y = F.col("_x"), F.col("_y")
+    x, y, m = F.col("_x"), F.col("_y"), F.col("_m")
     frac = F.col("_da").isNotNull() & F.col("_db").isNotNull() & x.isNotNull() & y.isNotNull()
-    t = (t.withColumn("_rx", F.when(frac, _round_to(x, F.col("_m"))))
-          .withColumn("_ry", F.when(frac, _round_to(y, F.col("_m")))))
+    t = (t.withColumn("_ax", F.when(frac, _scaled_up(F.abs(x), m)))
+          .withColumn("_ay", F.when(frac, _scaled_up(F.abs(y), m))))
+    t = with_rounded(with_rounded(t, "_ax", "_m", "_rx"), "_ay", "_m", "_ry")
     res = (F.when(x.isNotNull() & ((x % 1) == 0), F.coalesce(x == (y - (y % 1)), F.lit(False)))
            .when(frac, (F.col("_rx") == F.col("_ry")) & (F.col("_sa").startswith("-") == F.col("_sb").startswith("-")))
            .otherwise(F.coalesce(F.col("_sa") == F.col("_sb"), F.lit(False))))
     if stdout_valid is not None:
         res = F.when(lit_col(stdout_valid), res).otherwise(F.lit(False))
-    return t.withColumn(out, res).drop("_sa", "_sb", "_x", "_y", "_da", "_db", "_m", "_rx", "_ry")
-
-
-def outputs_match(stdout, expected, stdout_valid=None) -> Column:
-    """Boolean column: does the program output count as the expected output."""
-    a, b = lit_col(stdout), lit_col(expected)
-    x, y = parse_number(a), parse_number(b)
-    integral = x.isNotNull() & ((x % 1) == 0)
-    da, db = decimals_after_point(a), decimals_after_point(b)
-    m = F.least(da, db)
-    sa, sb = py_strip(a), py_strip(b)
-    frac_ok = (x.isNotNull() & y.isNotNull() & da.isNotNull() & db.isNotNull())
-    frac_eq = (_round_to(x, m) == _round_to(y, m)) & (sa.startswith("-") == sb.startswith("-"))
-    res = (F.when(integral, F.coalesce(x == (y - (y % 1)), F.lit(False)))
-           .when(frac_ok, frac_eq)
-           .otherwise(F.coalesce(sa == sb, F.lit(False))))
-    if stdout_valid is not None:
-        res = F.when(lit_col(stdout_valid), res).otherwise(F.lit(False))
-    return res
-
-
-def _to_float(text: str):
-    try:
-        return float(text)
-    except (TypeError, ValueError):
-        return None
-
-
-def _py_match(out: str, exp: str) -> bool:
-    """The three comparison branches with Python's own float parsing and rounding."""
-    a, b = out.strip(), exp.strip()
-    x = _to_float(out)
-    if x is None:                                   # not a number: plain text
-        return a == b
-    y = _to_float(exp)
-    if x % 1 == 0:                                  # integral output (finite): expected truncated
-        if y is None or not math.isfinite(y):
-            return str(int(x)) == b
-        return int(x) == int(y)
-    if "." not in a or "." not in b:                # no decimals to align: plain text
-        return a == b
-    digits = min(len(a.split(".")[1]), len(b.split(".")[1]))
-    rounded = str(round(x, digits))
-    return rounded == (b if y is None else str(round(y, digits)))
-
-
-@F.pandas_udf(BooleanType())
-def _exact_match_udf(out: pd.Series, exp: pd.Series) -> pd.Series:
-    return pd.Series([None if o is None or e is None else _py_match(o, e) for o, e in zip(out, exp)],
-                     dtype="object")
-
-
-def outputs_match_exact(stdout, expected) -> Column:
-    """Same rule with Python's own float parsing and rounding (Arrow UDF, slower)."""
-    return _exact_match_udf(lit_col(stdout), lit_col(expected))
+    return t.withColumn(out, res).drop("_sa", "_sb", "_x", "_y", "_da", "_db", "_m", "_ax", "_ay", "_rx", "_ry")

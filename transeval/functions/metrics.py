@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from transeval.functions.compare import round_half_even
 from transeval.functions.text import lit_col
 
 
@@ -33,8 +34,9 @@ def pass_at_k(n, c, k) -> Column:
 
 
 def score_label(k, value) -> Column:
-    """``pass @ k :\\t0.123`` (three decimals)."""
-    return F.format_string("pass @ %d :\t%.3f", _arg(k).cast("int"), _arg(value).cast("double"))
+    """``pass @ k :\\t0.123``: three decimals, half to even on the exact binary value (the
+    format alone would round the decimal text half up)."""
+    return F.format_string("pass @ %d :\t%.3f", _arg(k).cast("int"), round_half_even(_arg(value).cast("double"), 3))
 
 
 def date_label(ts) -> Column:

@@ -3,12 +3,13 @@
 * ``translate``  -- tasks + existing samples -> prompts -> model -> stored samples
 * ``clean``      -- raw samples -> cleaned samples (+ summary)
 * ``check``      -- completeness report + compile report
-* ``evaluate``   -- execution log + tests -> verdicts -> task scores + leaderboard
+* ``evaluate``   -- samples + execution log + tests -> verdicts -> task scores + leaderboard
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,45 +28,45 @@ RUN_CFG = ["dataset", "model", "source_lang", "target_lang", "temperature"]
 
 
 def translate(tasks: DataFrame, runs: DataFrame, existing: DataFrame, fn: Callable[[list[str]], list[str]], *,
-              sentinel: str | None = None, token_count: Callable | None = None, context=None) -> DataFrame:
+              sentinel: str | None = None, token_count: Callable | None = None, context=None) -> tuple[DataFrame, DataFrame]:
     """Generate the missing samples of every run.
 
     ``tasks``: dataset, task_id, language, code. ``runs``: one row per run with RUN_CFG,
-    prompt_type, n_samples, batch_size, greedy. ``existing``: RUN_CFG, task_id, idx.
-    With ``token_count`` (Column -> Column) and ``context`` (window size, column or int),
-    prompts that fill an infilling decoder's window get the sentinel text without a model
-    call. Returns RUN_CFG, task_id, idx, batch_no, prompt, output, solution, registry columns.
+    prompt_type, n_samples, batch_size, greedy. ``existing``: RUN_CFG, task_id, idx; exactly
+    the indices it lacks are generated. With ``token_count`` (Column -> Column) and
+    ``context`` (window size, column or int), prompts that fill an infilling decoder's window
+    get the sentinel text without a model call. Returns the samples (RUN_CFG, task_id, idx,
+    batch_no, prompt, output, solution, registry columns) and the rejected runs: those of an
+    unknown model, with ``registry_error``.
     """
-    # runs with an unknown model are left out; rg.registry_lookup(runs) lists them
-    r = rg.registry_lookup(rg.greedy_normalise(runs), "model").filter(F.col("registry_error").isNull())
+    looked_up = rg.registry_lookup(rg.greedy_normalise(runs), "model")
+    rejected = looked_up.filter(F.col("registry_error").isNotNull())
+    r = looked_up.filter(F.col("registry_error").isNull())
     jobs = (tasks.join(r, (tasks.dataset == r.dataset) & (tasks.language == r.source_lang), "inner")
                  .select(*[r[c] for c in RUN_CFG], "task_id", "code", "prompt_type", "n_samples", "batch_size",
                          "family", "conversational"))
-    counts = existing.groupBy(*RUN_CFG, "task_id").agg(F.count(F.lit(1)).alias("n_existing"))
-    plan = (jobs.join(counts, on=[*RUN_CFG, "task_id"], how="left")
-                .withColumn("n_existing", F.coalesce("n_existing", F.lit(0)).cast("int"))
-                .filter(F.col("n_existing") < F.col("n_samples"))
-                .withColumn("idx", F.explode(F.sequence(F.col("n_existing"), F.col("n_samples") - 1)))
-                .withColumn("batch_no", F.floor((F.col("idx") - F.col("n_existing")) / F.col("batch_size")).cast("int")))
-    plan = plan.withColumn("prompt", pr.compose_prompt(F.col("prompt_type"), F.col("source_lang"),
+    # the prompt is made once per task; the samples of a task repeat it
+    jobs = jobs.withColumn("prompt", pr.compose_prompt(F.col("prompt_type"), F.col("source_lang"),
                                                        F.col("target_lang"), F.col("code"))).drop("code")
-    plan = plan.withColumn("model_input", pr.fim_wrap(F.col("prompt"), F.col("family")))
+    jobs = jobs.withColumn("model_input", pr.fim_wrap(F.col("prompt"), F.col("family")))
+    plan = gn.work_plan(jobs, existing, RUN_CFG, "n_samples", "batch_size", gap_fill=True)
+    request = [*RUN_CFG, "task_id", "batch_no"]
     if token_count is not None and context is not None:
         ctx = context if isinstance(context, F.Column) else F.lit(int(context))
         over = gn.over_length(F.col("family"), ctx, token_count(F.col("model_input")))
         plan = plan.withColumn("_over", over)
         refused = plan.filter(F.col("_over")).drop("_over").withColumn("output", F.lit(K.MAX_LENGTH_EXCEEDED))
-        out = gn.generate(plan.filter(~F.col("_over")).drop("_over"), fn, prompt="model_input", sentinel=sentinel)
+        out = gn.generate(plan.filter(~F.col("_over")).drop("_over"), fn, prompt="model_input", batch=request, sentinel=sentinel)
         out = out.unionByName(refused)
     else:
-        out = gn.generate(plan, fn, prompt="model_input", sentinel=sentinel)
-    return gn.finish_outputs(out)
+        out = gn.generate(plan, fn, prompt="model_input", batch=request, sentinel=sentinel)
+    return gn.finish_outputs(out), rejected
 
 
-def clean(samples: DataFrame, cfg: Sequence[str] = RUN_CFG, *, remove_prompt: bool = True,
+def clean(samples: DataFrame, cfg: Sequence[str] = RUN_CFG, *, remove_prompt: bool = True, inplace: bool = False,
           eofs: Sequence[str] = K.DEFAULT_EOFS, prefixes: Sequence[str] = K.DEFAULT_PREFIXES) -> tuple[DataFrame, DataFrame]:
     """Cleaned samples (``path`` is the run folder, ``target_lang`` per row) and counts."""
-    cleaned = sz.sanitize(samples, remove_prompt=remove_prompt, eofs=eofs, prefixes=prefixes)
+    cleaned = sz.sanitize(samples, remove_prompt=remove_prompt, eofs=eofs, prefixes=prefixes, inplace=inplace)
     return cleaned, sz.sanitize_summary(cleaned, [c for c in cfg if c in samples.columns])
 
 
@@ -77,18 +78,72 @@ def check(tasks: DataFrame, samples: DataFrame, compiled: DataFrame, cfg: Sequen
     return rep, ck.completeness_summary(rep, cfg), ck.compile_report(samples, compiled, cfg, tasks=tasks)
 
 
-def evaluate(exec_log: DataFrame, tests: DataFrame, cfg: Sequence[str], *, budget: str | None = None,
-             ks: Sequence[int] = K.DEFAULT_KS, task_keys: Sequence[str] | None = None,
-             exact_rounding: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Verdict rows, per-task scores and the leaderboard for every configuration. Tests are
-    matched on (dataset, task_id) when both tables carry a dataset, else on task_id."""
+class Evaluation(NamedTuple):
+    """``problems``: (cfg..., problem, subject), tasks without a sample and identifiers that
+    occur more than once; configurations with any are judged but not scored."""
+    verdicts: DataFrame
+    scores: DataFrame
+    board: DataFrame
+    problems: DataFrame
+
+
+def coverage_problems(samples: DataFrame, tasks: DataFrame, cfg: Sequence[str]) -> DataFrame:
+    """Tasks of a configuration without a sample, and repeated samples. A configuration's
+    tasks are those that share its values in the config columns that ``tasks`` has."""
+    cfg = list(cfg)
+    shared = [c for c in cfg if c in tasks.columns]
+    if cfg and not shared:
+        raise ValueError(f"tasks must have one of the columns {cfg}")
+    listed = tasks.select(*shared, "task_id").distinct()
+    planned = samples.select(*cfg).distinct().join(listed, on=shared) if cfg else listed
+    missing = planned.join(samples.select(*cfg, "task_id"), on=[*cfg, "task_id"], how="left_anti")
+    twice = samples.groupBy(*cfg, "task_id", "completion_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return missing.select(*cfg, F.lit("missing task").alias("problem"), F.col("task_id").alias("subject")).unionByName(
+        twice.select(*cfg, F.lit("repeated sample").alias("problem"), F.concat_ws("/", "task_id", "completion_id").alias("subject")))
+
+
+def evaluate(samples: DataFrame, tasks: DataFrame, tests: DataFrame, exec_log: DataFrame, cfg: Sequence[str], *,
+             cached: DataFrame | None = None, rerun: bool = False, budget: str | None = None,
+             ks: Sequence[int] = K.DEFAULT_KS, task_keys: Sequence[str] | None = None) -> Evaluation:
+    """Verdict rows, per-task scores and the leaderboard for every configuration.
+
+    Every sample has a verdict row, NULL where its log is missing or cut short. Configurations
+    found in ``cached`` (cfg..., task_id, completion_id, verdict) keep those verdicts unless
+    ``rerun``. Tests are matched on (dataset, task_id) when samples and tests carry a dataset.
+    """
+    cfg = list(cfg)
+    keys = [*cfg, "task_id", "completion_id"]
     if task_keys is None:
-        both = "dataset" in exec_log.columns and "dataset" in tests.columns
+        both = "dataset" in samples.columns and "dataset" in tests.columns
         task_keys = ("dataset", "task_id") if both else ("task_id",)
-    verdicts = vd.judge(exec_log, tests, cfg, budget=budget, task_keys=task_keys, exact_rounding=exact_rounding)
-    return verdicts, lb.task_scores(verdicts, cfg, ks), lb.leaderboard(verdicts, cfg, ks)
+    stored = None
+    todo = samples
+    if cached is not None and not rerun:
+        done = cached.select(*cfg).distinct()
+        stored = cached.select(*keys, "verdict")
+        todo = samples.join(done, on=cfg, how="left_anti") if cfg else samples.limit(0)
+    one_each = todo.dropDuplicates(keys)
+    verdicts = vd.judge(exec_log, tests, cfg, samples=one_each, budget=budget, task_keys=task_keys)
+    if stored is not None:
+        verdicts = verdicts.unionByName(stored)
+    problems = coverage_problems(todo, tasks, cfg)
+    if cfg:
+        sound = verdicts.join(problems.select(*cfg).distinct(), on=cfg, how="left_anti")
+    else:  # the only configuration is scored if nothing is wrong with it
+        found = problems.agg(F.count(F.lit(1)).alias("_p")).select("_p").scalar()
+        sound = verdicts.filter(found == 0)
+    return Evaluation(verdicts, lb.task_scores(sound, cfg, ks), lb.leaderboard(sound, cfg, ks), problems)
 
 
 def evaluation_documents(verdicts: DataFrame, cfg: Sequence[str], date_col=None) -> DataFrame:
     """Result documents (one JSON line per config and task) for ``write_result_documents``."""
     return rs.result_documents(verdicts, cfg, date_col)
+
+
+def newly_judged(verdicts: DataFrame, spark, store: str, cfg: Sequence[str], rerun: bool) -> DataFrame:
+    """The verdict rows that ``store`` does not have yet: all of them in a re-run, else those
+    of configurations without stored ones."""
+    stored = None if rerun else rs.read_latest_or_none(spark, store, cfg)
+    if stored is None:
+        return verdicts
+    return verdicts.join(stored.select(*cfg).distinct(), on=list(cfg), how="left_anti") if cfg else verdicts.limit(0)

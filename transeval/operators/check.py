@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
+from transeval.functions.compare import round_half_even
 from transeval.functions.text import py_strip
 from transeval.operators.ordered import position_in_group
 
@@ -62,52 +61,36 @@ def completeness_summary(report: DataFrame, cfg: Sequence[str] = ()) -> DataFram
 
 
 def blank(solution) -> Column:
-    """``code.strip() == ""``."""
-    return py_strip(solution) == ""
+    """``code.strip() == ""``; a missing text is blank too."""
+    return F.coalesce(py_strip(solution) == "", F.lit(True))
 
 
 def compile_report(samples: DataFrame, compiled: DataFrame, cfg: Sequence[str] = (),
                    keys: Sequence[str] = ("task_id", "completion_id"), tasks: DataFrame | None = None) -> DataFrame:
-    """Per config: checked samples, wrong ones (blank or not compiling), percent wrong.
+    """Per config: checked samples, wrong ones (blank or not compiling), percent wrong, and
+    samples with a text that no compiler has seen yet.
 
     Only samples of known tasks are checked (semi join with ``tasks`` when given);
-    ``compiled`` carries ``compile_ok`` per sample (an external compiler's verdict, or
-    ``python_syntax`` below).
+    ``compiled`` carries ``compile_ok`` per sample, an external compiler's verdict.
     """
     s = samples
     if tasks is not None:
         s = s.join(tasks.select(*cfg, "task_id").distinct(), on=[*cfg, "task_id"], how="left_semi")
     j = s.join(compiled.select(*cfg, *keys, "compile_ok"), on=[*cfg, *keys], how="left")
-    wrong = blank(F.col("solution")) | ~F.coalesce(F.col("compile_ok"), F.lit(True))
-    agg = j.groupBy(*cfg).agg(F.count(F.lit(1)).alias("n_code"), F.count_if(wrong).alias("n_wrong"))
-    pct = F.when(F.col("n_code") == 0, F.lit(0.0)).otherwise(F.round(F.col("n_wrong") / F.col("n_code") * 100, 2))
+    empty = blank(F.col("solution"))
+    agg = j.groupBy(*cfg).agg(F.count(F.lit(1)).alias("n_code"),
+                              F.count_if(empty | ~F.coalesce(F.col("compile_ok"), F.lit(True))).alias("n_wrong"),
+                              F.count_if(~empty & F.col("compile_ok").isNull()).alias("n_unchecked"))
+    pct = F.when(F.col("n_code") == 0, F.lit(0.0)).otherwise(round_half_even(F.col("n_wrong") / F.col("n_code") * 100, 2))
     return agg.withColumn("pct_wrong", pct)
 
 
-@F.pandas_udf(BooleanType())
-def python_syntax(code: pd.Series) -> pd.Series:
-    """Does the text parse as Python (``ast.parse``)? Arrow-batched; parse errors of any
-    kind (syntax, too deep, NUL bytes, memory) mean "does not compile"."""
-    import ast
-
-    def ok(c):
-        if c is None:
-            return None
-        try:
-            ast.parse(c)
-            return True
-        except (SyntaxError, MemoryError, ValueError, RecursionError):
-            return False
-
-    return pd.Series([ok(c) for c in code], dtype="object")
-
-
 def first_by_position(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
-    """One row per key: the one with the lowest ``position`` (first in file order).
-    A hash aggregate, so a heavily duplicated key is combined map-side."""
-    others = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(position)).alias("_r"))
-    return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
+    """One row per key: the one with the lowest ``position`` (first in file order; a position
+    is unique within its key). The minimum is aggregated over numbers only, so no text is
+    carried through the aggregate, and a heavily repeated key is combined map-side."""
+    lowest = df.groupBy(*keys).agg(F.min(position).alias(position))
+    return df.join(lowest, on=[*keys, position], how="left_semi")
 
 
 def attach_tasks(samples: DataFrame, tasks: DataFrame, on: Sequence[str] = ("task_id",),
@@ -147,19 +130,26 @@ def reindex(samples: DataFrame, cfg: Sequence[str] = (), order: Sequence[str] =
 def integrity(samples: DataFrame, tasks: DataFrame, finished: DataFrame, cfg: Sequence[str] = (),
               identifier: str = "identifier", task: str = "task_id") -> DataFrame:
     """Per config: rows vs distinct identifiers (no duplicates), sampled tasks vs tasks
-    (coverage, counts only), and submitted identifiers not finished (multiset difference)."""
-    s = samples.groupBy(*cfg).agg(F.count(F.lit(1)).alias("n_rows"),
-                                  F.count_distinct(identifier).alias("n_identifiers"),
-                                  F.count_distinct(task).alias("n_sampled_tasks"))
-    t = tasks.groupBy(*cfg).agg(F.count_distinct(task).alias("n_tasks"))
-    left = samples.select(*cfg, identifier).exceptAll(finished.select(*cfg, identifier))
-    u = left.groupBy(*cfg).agg(F.count(F.lit(1)).alias("n_unfinished"))
+    (coverage, counts only), and submitted identifiers not finished (multiset difference).
+    One aggregate by identifier and one by task, each combined map-side."""
+    cfg = list(cfg)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ids = (samples.select(*cfg, identifier, one.alias("_sent"), none.alias("_done"))
+           .unionByName(finished.select(*cfg, identifier, none.alias("_sent"), one.alias("_done")))
+           .groupBy(*cfg, identifier).agg(F.sum("_sent").alias("_sent"), F.sum("_done").alias("_done")))
+    by_id = ids.groupBy(*cfg).agg(F.sum("_sent").alias("n_rows"), F.count_if(F.col("_sent") > 0).alias("n_identifiers"),
+                                  F.sum(F.greatest(F.col("_sent") - F.col("_done"), F.lit(0))).alias("n_unfinished"))
+    known = (samples.select(*cfg, task, one.alias("_sampled"), none.alias("_task"))
+             .unionByName(tasks.select(*cfg, task, none.alias("_sampled"), one.alias("_task")))
+             .groupBy(*cfg, task).agg(F.max("_sampled").alias("_sampled"), F.max("_task").alias("_task")))
+    by_task = known.groupBy(*cfg).agg(F.sum("_sampled").alias("n_sampled_tasks"), F.sum("_task").alias("n_tasks"))
     if cfg:
-        out = s.join(t, on=list(cfg), how="full").join(u, on=list(cfg), how="left")
+        out = by_task.join(by_id, on=cfg, how="full")
     else:  # one row each: scalar subqueries
-        out = (s.withColumn("n_tasks", t.select("n_tasks").scalar())
-                .withColumn("n_unfinished", u.select("n_unfinished").scalar()))
-    return (out.withColumn("n_unfinished", F.coalesce("n_unfinished", F.lit(0)))
-               .withColumn("no_duplicates", F.col("n_rows") == F.col("n_identifiers"))
+        out = by_id
+        for c in ("n_sampled_tasks", "n_tasks"):
+            out = out.withColumn(c, by_task.select(c).scalar())
+    out = out.fillna(0, ["n_rows", "n_identifiers", "n_unfinished", "n_sampled_tasks", "n_tasks"])
+    return (out.withColumn("no_duplicates", F.col("n_rows") == F.col("n_identifiers"))
                .withColumn("all_tasks_sampled", F.col("n_sampled_tasks") == F.col("n_tasks"))
                .withColumn("all_finished", F.col("n_unfinished") == 0))

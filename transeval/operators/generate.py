@@ -18,28 +18,32 @@ from transeval.operators import prompts as P
 from transeval.session import checkpoint_dir
 
 
-def work_plan(tasks: DataFrame, existing: DataFrame, cfg: Sequence[str], n_samples: int, batch_size: int,
+def work_plan(tasks: DataFrame, existing: DataFrame, cfg: Sequence[str], n_samples, batch_size,
               *, gap_fill: bool = False, task: str = "task_id") -> DataFrame:
     """Indices still to generate per (config, task) and their request batch.
 
-    Resume is count-based like the original tool: with ``k`` files present the
-    indices ``k .. n_samples-1`` are (re)generated, even if the present files are not
-    ``0..k-1``. ``gap_fill=True`` instead generates exactly the missing indices.
-    ``existing``: (cfg..., task_id, idx) of the sample files already written.
+    ``n_samples`` and ``batch_size`` are numbers or columns of ``tasks``, whose other columns
+    are kept. Count-based resume is that of a file tree, where a file is overwritten: with
+    ``k`` files present the indices ``k .. n_samples-1`` are generated, even if the present
+    files are not ``0..k-1``. ``gap_fill=True`` generates exactly the missing indices, as a
+    table that is appended to needs it. ``existing``: (cfg..., task_id, idx), repeated or not.
     """
     keys = [*cfg, task]
+    wanted, size = (F.col(v) if isinstance(v, str) else F.lit(int(v)) for v in (n_samples, batch_size))
+    have = existing.groupBy(*keys)
     if gap_fill:
-        grid = tasks.select(*keys).withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-        todo = grid.join(existing.select(*keys, "idx"), on=[*keys, "idx"], how="left_anti")
-        first = todo.groupBy(*keys).agg(F.min("idx").alias("n_existing"))
-        todo = todo.join(first, on=keys)
+        # the present indices of one task are few: at most n_samples count
+        present = have.agg(F.collect_set("idx").alias("_have"))
+        todo = tasks.join(present, on=keys, how="left")
+        gone = F.coalesce("_have", F.array().cast("array<int>"))
+        todo = todo.withColumn("_idx", F.array_except(F.sequence(F.lit(0), wanted - 1), gone)).filter((wanted > 0) & (F.size("_idx") > 0))
+        out = todo.select("*", F.size(gone).alias("n_existing"), F.posexplode(F.array_sort("_idx")).alias("_nth", "idx")).drop("_have", "_idx")
     else:
-        counts = existing.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_existing"))
-        todo = (tasks.select(*keys).join(counts, on=keys, how="left")
-                .withColumn("n_existing", F.coalesce("n_existing", F.lit(0)).cast("int"))
-                .filter(F.col("n_existing") < n_samples)
-                .withColumn("idx", F.explode(F.sequence(F.col("n_existing"), F.lit(n_samples - 1)))))
-    return todo.withColumn("batch_no", F.floor((F.col("idx") - F.col("n_existing")) / F.lit(batch_size)).cast("int"))
+        counts = have.agg(F.count(F.lit(1)).cast("int").alias("n_existing"))
+        todo = tasks.join(counts, on=keys, how="left").withColumn("n_existing", F.coalesce("n_existing", F.lit(0)))
+        out = (todo.filter(F.col("n_existing") < wanted)
+               .select("*", F.posexplode(F.sequence(F.col("n_existing"), wanted - 1)).alias("_nth", "idx")))
+    return out.withColumn("batch_no", F.floor(F.col("_nth") / size).cast("int")).drop("_nth")
 
 
 def context_window(family, tokenizer_max, n_positions, max_position_embeddings) -> Column:
@@ -78,31 +82,63 @@ def over_length(family, ctx, prompt_tokens) -> Column:
     return lit_col(family).isin("santacoder", "starcoder_infill") & (lit_col(prompt_tokens) >= lit_col(ctx))
 
 
-def generate(plan: DataFrame, fn: Callable[[list[str]], list[str]], *, prompt: str = "prompt",
-             sentinel: str | None = None, materialise: bool = True) -> DataFrame:
-    """Call ``fn(prompts) -> replies`` on Arrow batches of the plan; adds ``output``.
+def _replies(fn: Callable[[list[str]], list[str]], prompts: list[str], sentinel: str | None) -> list[str]:
+    """Replies to one request batch. If the call fails, each prompt is asked on its own, and
+    only those that fail again get the sentinel."""
+    def checked(asked: list[str]) -> list[str]:
+        out = list(fn(asked))
+        if not out:
+            raise RuntimeError("No outputs from model!")
+        if len(out) != len(asked):
+            raise RuntimeError(f"model returned {len(out)} replies for {len(asked)} prompts")
+        return out
+
+    if sentinel is None:
+        return checked(prompts)
+    try:
+        return checked(prompts)
+    except Exception:  # noqa: BLE001 - whatever a model client raises
+        out = []
+        for p in prompts:
+            try:
+                out += checked([p])
+            except Exception:  # noqa: BLE001
+                out.append(sentinel)
+        return out
+
 
-    A batch whose call raises gets ``sentinel`` replies when given (the hosted client's
-    behaviour), else the job fails; an empty reply list is an error. The replies are
-    written once to the shared checkpoint folder, so a lost executor never calls the
-    model again for finished work.
+def generate(plan: DataFrame, fn: Callable[[list[str]], list[str]], *, prompt: str = "prompt",
+             batch: Sequence[str] = (), sentinel: str | None = None, materialise: bool = True) -> DataFrame:
+    """Call ``fn(prompts) -> replies`` once for each request batch of the plan; adds ``output``.
+
+    ``batch``: the columns whose neighbouring rows of equal values are one request (without
+    them, each row is one). With ``sentinel`` a failing request costs its own reply only;
+    else the job fails. An empty reply list is an error. The replies are written once to the
+    shared checkpoint folder, so a lost executor never calls the model again for finished
+    work.
     """
     schema = StructType([*plan.schema.fields, StructField("output", StringType())])
+    columns = list(batch)
+
+    def answered(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(output=pd.Series(_replies(fn, pdf[prompt].tolist(), sentinel), index=pdf.index, dtype="object"))
 
     def run(batches):
+        held = None
         for pdf in batches:
-            prompts = pdf[prompt].tolist()
-            try:
-                out = list(fn(prompts))
-            except Exception:
-                if sentinel is None:
-                    raise
-                out = [sentinel] * len(prompts)
-            if len(prompts) and not out:
-                raise RuntimeError("No outputs from model!")
-            if len(out) != len(prompts):
-                raise RuntimeError(f"model returned {len(out)} replies for {len(prompts)} prompts")
-            yield pdf.assign(output=pd.Series(out, index=pdf.index, dtype="object"))
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            if columns:
+                new = pdf[columns].ne(pdf[columns].shift()).any(axis=1).cumsum()
+            else:
+                new = pd.Series(range(len(pdf)), index=pdf.index)
+            groups = [g for _, g in pdf.groupby(new, sort=False)]
+            held = groups.pop()  # may go on in the next Arrow batch
+            for g in groups:
+                yield answered(g)
+        if held is not None:
+            yield answered(held)
 
     out = plan.mapInPandas(run, schema)
     if materialise:

@@ -1,29 +1,11 @@
 """Position of each row inside its group, without putting a whole group in one task.
 
-A plain ``row_number().over(Window.partitionBy(key).orderBy(...))`` sends every row of a
-key to one task; when one key (a task id, a sample) holds a large share of the rows,
-that task becomes the job. So groups are split by size first:
-
-* one aggregate counts rows per key (map-side partial counts, one small row per key);
-  a single-row aggregate over those counts says how many keys exceed ``hot_rows`` and
-  how many rows they hold, and the keys are collected only when there are some and at
-  most ``max_hot`` -- a proven size bound;
-* keys below the threshold use the plain window: each window group is at most
-  ``hot_rows`` rows, one shuffle in total;
-* rows of hot keys are range-partitioned on ``(key, order)`` into enough slices that each
-  holds about ``hot_rows`` rows, so a hot key is cut into consecutive slices processed in
-  parallel: position and running sum inside
-  ``(key, slice)``, per-slice totals (one row each), the offset of every slice within
-  its key (at most ``#slices`` rows per key), joined back on ``(key, slice)``.
-
-The sliced path reads the sliced rows twice (positions and totals). Each read of an
-un-materialised range exchange samples its own bounds, so the sliced rows are
-checkpointed once into the shared checkpoint folder (``spark.checkpoint.dir``); that
-also cuts the lineage, so a lost executor never re-slices differently. More than
-``max_hot`` hot keys means the data is skewed everywhere: then all rows take the sliced
-path.
-
-The result equals the plain window whenever ``order`` is a complete order per group.
+A plain ``row_number().over(Window.partitionBy(key).orderBy(...))`` sends every row of a key
+to one task. Here each group is cut into slices by a coarse form of its first order column
+that keeps the order: the first characters of a text, or a number divided by a width. Rows
+are counted per slice (partial counts first), the slices of a key are summed up in order
+(one row per slice), and each row's position is its rank inside its slice plus the rows of
+the slices before. One algorithm for every size, and no job runs while the query is built.
 """
 
 from __future__ import annotations
@@ -32,111 +14,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from transeval.session import checkpoint_dir
-
-_SLICE = "_slice"
-HOT_GROUP_ROWS = 2_000_000   # a group this large still sorts in one task in seconds
-MAX_HOT_KEYS = 10_000
-MAX_SLICES = 100_000
-
-
-def _cols(xs) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
-
-
-def _window_positions(df, keys, order_cols, pos_col, size_col, running_sum, cum_col) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
-    out = df.withColumn(pos_col, (F.row_number().over(w) - 1).cast("long"))
-    if running_sum:
-        out = out.withColumn(cum_col, F.sum(running_sum).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    if size_col:
-        out = out.withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("long"))
-    return out
-
-
-def _sliced_positions(df, keys, order_cols, pos_col, size_col, running_sum, cum_col, slices) -> DataFrame:
-    sliced = (df.repartitionByRange(slices, *_cols(keys), *order_cols)
-                .withColumn(_SLICE, F.spark_partition_id()))
-    w_local = Window.partitionBy(*keys, _SLICE).orderBy(*order_cols)
-    local = sliced.withColumn("_lpos", F.row_number().over(w_local) - 1)
-    aggs = [F.count(F.lit(1)).alias("_cnt")]
-    if running_sum:
-        frame = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        local = local.withColumn("_lcum", F.sum(running_sum).over(frame))
-        aggs.append(F.sum(running_sum).alias("_tot"))
-    checkpoint_dir(df.sparkSession)
-    local = local.checkpoint(eager=True)
-
-    stats = local.groupBy(*keys, _SLICE).agg(*aggs)
-    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offs = [F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]
-    if running_sum:
-        offs.append(F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_coff"))
-    if size_col:
-        offs.append(F.sum("_cnt").over(Window.partitionBy(*keys)).alias("_size"))
-    offsets = stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_SLICE).alias("_k_slice"), *offs)
-
-    cond = [local[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys] + [local[_SLICE] == offsets["_k_slice"]]
-    out = local.join(offsets, on=cond, how="inner")
-    out = out.withColumn(pos_col, (F.col("_lpos") + F.col("_off")).cast("long"))
-    if running_sum:
-        out = out.withColumn(cum_col, F.col("_lcum") + F.col("_coff"))
+from pyspark.sql.types import NumericType
+
+PREFIX_CHARS = 4
+SLICE_WIDTH = 1 << 16
+
+
+def slice_of(df: DataFrame, column: str) -> Column:
+    """A coarse value that never decreases where ``column`` does not."""
+    if isinstance(df.schema[column].dataType, NumericType):
+        return F.floor(F.col(column) / F.lit(SLICE_WIDTH))
+    return F.substring(F.col(column).cast("string"), 1, PREFIX_CHARS)
+
+
+def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, pos_col: str = "pos",
+                      size_col: str | None = None) -> DataFrame:
+    """Add ``pos_col`` (0-based position in ``order`` within ``keys``; ``order`` is complete
+    per group) and optionally the group size ``size_col``."""
+    keys, order = list(keys), list(order)
+    cut = df.withColumn("_slice", slice_of(df, order[0]))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_ks"),
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                            F.sum("_n").over(Window.partitionBy(*keys)).alias("_size"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_slice").eqNullSafe(F.col("_ks"))]
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    ranked = cut.withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, same, "inner")
+    out = ranked.withColumn(pos_col, (F.col("_rank") + F.col("_before")).cast("long"))
     if size_col:
         out = out.withColumn(size_col, F.col("_size").cast("long"))
-    drop = [c for c in out.columns if c.startswith("_k_")] + [
-        c for c in ("_slice", "_lpos", "_lcum", "_cnt", "_tot", "_off", "_coff", "_size") if c in out.columns]
-    return out.drop(*drop)
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_GROUP_ROWS,
-             max_hot: int = MAX_HOT_KEYS) -> tuple[list, int] | None:
-    """Keys with more than ``hot_rows`` rows and their total row count (None when there
-    are more than ``max_hot`` such keys)."""
-    per_key = df.groupBy(*keys).count()
-    is_hot = F.col("count") > hot_rows
-    n_hot, hot_total = per_key.agg(F.count_if(is_hot), F.coalesce(F.sum(F.when(is_hot, F.col("count"))), F.lit(0))).first()
-    if n_hot == 0:
-        return [], 0
-    if n_hot > max_hot:
-        return None
-    hot = per_key.filter(is_hot).collect()          # at most max_hot rows
-    return [tuple(r[k] for k in keys) for r in hot], int(hot_total)
-
+    return out.drop("_slice", "_ks", "_rank", "_before", "_size", *[f"_k{i}" for i in range(len(keys))])
 
-def position_in_group(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence,
-    *,
-    pos_col: str = "pos",
-    size_col: str | None = None,
-    running_sum: str | None = None,
-    cum_col: str = "cum",
-    slices: int | None = None,
-    hot_rows: int = HOT_GROUP_ROWS,
-    max_hot: int = MAX_HOT_KEYS,
-    probe: DataFrame | None = None,
-) -> DataFrame:
-    """Add ``pos_col`` (0-based position in ``order`` within ``keys``), optionally the group
-    size ``size_col`` and the inclusive running sum of ``running_sum`` as ``cum_col``.
 
-    ``probe``: a cheaper frame with at least as many rows per key as ``df`` (for example
-    the input before a one-to-one join); hot keys are counted there."""
-    keys = list(keys)
-    order_cols = _cols(order)
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    args = (keys, order_cols, pos_col, size_col, running_sum, cum_col)
-    found = hot_keys(probe if probe is not None else df, keys, hot_rows, max_hot)
-    if found is None:
-        return _sliced_positions(df, *args, n)
-    hot, hot_total = found
-    if not hot:
-        return _window_positions(df, *args)
-    # enough slices that none holds more than about ``hot_rows`` rows
-    n = min(max(n, -(-hot_total // max(hot_rows, 1))), MAX_SLICES)
-    hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*keys).schema))
-    cond = [df[k].eqNullSafe(hot_df[k]) for k in keys]
-    cold_rows = df.join(hot_df, on=cond, how="left_anti")
-    hot_rows_df = df.join(hot_df, on=cond, how="left_semi")
-    return _window_positions(cold_rows, *args).unionByName(_sliced_positions(hot_rows_df, *args, n))
+def first_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, *, pos_col: str = "pos") -> DataFrame:
+    """The first ``k`` rows of each group with their position: each task keeps at most ``k``
+    rows of a group before the shuffle, so a large group costs no more than others."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return (df.withColumn(pos_col, F.row_number().over(w)).filter(F.col(pos_col) <= k)
+            .withColumn(pos_col, (F.col(pos_col) - 1).cast("long")))

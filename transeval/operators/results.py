@@ -5,17 +5,19 @@ The original tool stores, per configuration, one JSON document
 with the verdicts of a task ordered by completion id *as a string* (``"10" < "2"``).
 
 Here the verdict rows stay flat (``verdict_positions``: one row per sample with its
-position in that order), which is the form that scales; the nested per-task arrays are
-built only by the document writer, per task, after checking the largest task fits.
+position in that order), which is the form that scales. Stored documents are lines of at
+most ``PART_VERDICTS`` verdicts of one task, numbered in order, so no task of any size has to
+fit into one value; the reader takes these lines as well as the original documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from transeval.functions.metrics import date_label
 from transeval.operators.ordered import position_in_group
@@ -29,49 +31,49 @@ DOCUMENT_SCHEMA = StructType([
     StructField("date", StringType()),
     StructField("eval", MapType(StringType(), TASK_RESULT)),
 ])
-# a task's verdict array is written as one value; larger tasks stay in the flat form
-MAX_DOCUMENT_ARRAY = 1_000_000
+LINE_SCHEMA = StructType([
+    StructField("task_id", StringType()),
+    StructField("part", LongType()),
+    StructField("nfiles", LongType()),
+    StructField("base", ArrayType(StringType())),
+    StructField("date", StringType()),
+])
+# verdicts of one document line; a larger task has several lines
+PART_VERDICTS = 10_000
 
 
 def verdict_positions(verdicts: DataFrame, cfg: Sequence[str] = (), task: str = "task_id") -> DataFrame:
     """Each verdict row with ``pos`` (order of completion id as text) and ``nfiles``."""
-    return position_in_group(verdicts, [*cfg, task], [F.col("completion_id").cast("string")],
-                             pos_col="pos", size_col="nfiles")
-
-
-def _check_array_bound(verdicts: DataFrame, cfg: Sequence[str], task: str, limit: int) -> None:
-    biggest = verdicts.groupBy(*cfg, task).count().agg(F.max("count")).first()[0] or 0
-    if biggest > limit:
-        raise ValueError(f"a task has {biggest} verdicts (> {limit}); write verdict_positions() instead")
+    text = verdicts.withColumn("completion_id", F.col("completion_id").cast("string"))
+    return position_in_group(text, [*cfg, task], ["completion_id"], pos_col="pos", size_col="nfiles")
 
 
 def task_records(verdicts: DataFrame, cfg: Sequence[str] = (), task: str = "task_id",
-                 limit: int = MAX_DOCUMENT_ARRAY) -> DataFrame:
-    """Per task: ``nfiles`` and ``base`` (verdicts ordered by completion id as text;
-    a NULL verdict keeps its place)."""
-    _check_array_bound(verdicts, cfg, task, limit)
-    recs = verdicts.groupBy(*cfg, task).agg(
-        F.count(F.lit(1)).cast("int").alias("nfiles"),
-        F.array_sort(F.collect_list(F.struct(F.col("completion_id").cast("string").alias("id"),
-                                             F.col("verdict").alias("v")))).alias("_r"))
-    return recs.select(*cfg, task, "nfiles", F.transform("_r", lambda r: r["v"]).alias("base"))
-
-
-def result_documents(verdicts: DataFrame, cfg: Sequence[str], date_col=None, task: str = "task_id") -> DataFrame:
-    """One JSON line per (config, task): ``{"task_id":…, "nfiles":…, "base":[…], "date":…}``.
-
-    One line per task instead of one document per config, so writing never funnels a
-    whole configuration through one task."""
-    recs = task_records(verdicts, cfg, task)
+                 part_verdicts: int = PART_VERDICTS) -> DataFrame:
+    """Per task and part: ``nfiles`` of the whole task and ``base``, the part's verdicts in
+    order (a NULL verdict keeps its place)."""
+    placed = verdict_positions(verdicts, cfg, task).withColumn("part", F.floor(F.col("pos") / part_verdicts).cast("long"))
+    recs = placed.groupBy(*cfg, task, "part").agg(
+        F.max("nfiles").alias("nfiles"), F.array_sort(F.collect_list(F.struct("pos", F.col("verdict").alias("v")))).alias("_r"))
+    return recs.select(*cfg, task, "part", "nfiles", F.transform("_r", lambda r: r["v"]).alias("base"))
+
+
+def result_documents(verdicts: DataFrame, cfg: Sequence[str], date_col=None, task: str = "task_id",
+                     part_verdicts: int = PART_VERDICTS) -> DataFrame:
+    """JSON lines ``{"task_id":…, "part":…, "nfiles":…, "base":[…], "date":…}`` per config,
+    task and part, so writing never funnels a configuration, or a large task, through one
+    value."""
+    recs = task_records(verdicts, cfg, task, part_verdicts)
     date = date_label(date_col) if date_col is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm")
     return recs.withColumn("date", date).select(
-        *cfg, F.to_json(F.struct(task, "nfiles", "base", "date")).alias("document"))
+        *cfg, F.to_json(F.struct(F.col(task).alias("task_id"), "part", "nfiles", "base", "date")).alias("document"))
 
 
-def write_result_documents(docs: DataFrame, path: str, cfg: Sequence[str]) -> None:
+def write_result_documents(docs: DataFrame, path: str, cfg: Sequence[str], again: bool = False) -> None:
     """Write documents partitioned by config; refuses to overwrite (like the evaluator,
-    which never replaces an existing result file)."""
-    writer = docs.write.mode("errorifexists")
+    which never replaces an existing result file) unless ``again`` adds newer ones beside
+    those that are there, told apart by their date."""
+    writer = docs.write.mode("append" if again else "errorifexists")
     if cfg:
         writer = writer.partitionBy(*cfg)
     writer.text(path)
@@ -95,6 +97,21 @@ def read_result_documents(spark, path: str) -> DataFrame:
     return parse_documents(spark.read.text(path, wholetext=True))
 
 
+def read_result_lines(spark, path: str) -> DataFrame:
+    """What ``write_result_documents`` wrote, as verdict rows: the config columns, date,
+    task_id, nfiles, the position in the task's order and the verdict."""
+    lines = spark.read.text(path)
+    cfg = [c for c in lines.columns if c != "value"]
+    parsed = lines.select(*cfg, F.from_json("value", LINE_SCHEMA).alias("d"))
+    flat = parsed.select(*cfg, "d.date", "d.task_id", "d.nfiles", "d.part", F.posexplode("d.base").alias("_i", "verdict"))
+    # every part but the last is full, so a part starts where the sizes of those before end
+    sizes = parsed.select(*cfg, "d.date", "d.task_id", "d.part", F.size("d.base").alias("_n"))
+    before = Window.partitionBy(*cfg, "date", "task_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = flat.join(starts, on=[*cfg, "date", "task_id", "part"])
+    return placed.select(*cfg, "date", "task_id", "nfiles", (F.col("_start") + F.col("_i")).alias("pos"), "verdict")
+
+
 def plan_evaluation(samples: DataFrame, cached: DataFrame, cfg: Sequence[str], rerun: bool = False,
                     keys: Sequence[str] = ("task_id", "completion_id")) -> DataFrame:
     """Use stored verdicts for configurations that already have results (unless
@@ -108,31 +125,14 @@ def plan_evaluation(samples: DataFrame, cached: DataFrame, cfg: Sequence[str], r
     return from_cache.unionByName(todo)
 
 
-_VERDICT_CODE = [("success", 0), ("runtime_failed", 1), ("compile_failed", 2), ("infinite_loop", 3), ("test_failed", 4)]
-
-
 def latest_versions(results: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """Several stored versions of a result: keep the newest per key (the evaluator moves
-    older files aside as ``.bak``, ``.bak.bak``, …).
-
-    For verdict rows the newest verdict is packed with its version into one bigint
-    (``version * 8 + code``), so this stays a partial hash aggregate; other payloads use
-    ``max_by``."""
+    older files aside as ``.bak``, ``.bak.bak``, …). Rows of one version that differ are told
+    apart by their values, the largest stays."""
     payload = [c for c in results.columns if c not in keys and c != version]
-    if payload == ["verdict"]:
-        code = F.when(F.lit(False), F.lit(None))
-        for label, c in _VERDICT_CODE:
-            code = code.when(F.col("verdict") == label, F.lit(c))
-        packed = F.col(version).cast("long") * 8 + F.coalesce(code, F.lit(7))
-        agg = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_versions"), F.max(packed).alias("_p"))
-        labels = F.create_map(*[x for label, c in _VERDICT_CODE for x in (F.lit(c), F.lit(label))])
-        return agg.select(*keys, "n_versions",
-                          F.try_element_at(labels, (F.col("_p") % 8).cast("int")).alias("verdict"),
-                          F.floor(F.col("_p") / 8).cast(results.schema[version].dataType).alias(version))
-    return results.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_versions"),
-        F.max_by(F.struct(*payload, F.col(version)), F.col(version)).alias("_l"),
-    ).select(*keys, "n_versions", "_l.*")
+    newest = F.max(F.struct(F.col(version), *payload))
+    return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_versions"), newest.alias("_l")).select(
+        *keys, "n_versions", *[f"_l.{c}" for c in payload], f"_l.{version}")
 
 
 def next_version(existing: DataFrame, cfg: Sequence[str], version: str = "version") -> DataFrame:
@@ -144,15 +144,16 @@ def write_versioned(results: DataFrame, path: str, cfg: Sequence[str], version:
     """Store a re-run as the next version of each config (older versions stay, like the
     evaluator's ``.bak`` files); returns the rows written with their version."""
     spark = results.sparkSession
-    try:
-        existing = spark.read.parquet(path).select(*cfg, version)
-        nxt = next_version(existing, cfg, version)
-        out = (results.join(nxt, on=list(cfg), how="left")
-                      .withColumn(version, F.coalesce(F.col("next_version"), F.lit(1)).cast("int")).drop("next_version"))
-    except Exception as e:  # no stored results yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    existing = read_latest_or_none(spark, path, cfg, version)
+    if existing is None:
         out = results.withColumn(version, F.lit(1))
+    else:
+        nxt = next_version(existing.select(*cfg, version), cfg, version)
+        if cfg:
+            numbered = results.join(nxt, on=list(cfg), how="left")
+        else:
+            numbered = results.withColumn("next_version", nxt.select("next_version").scalar())
+        out = numbered.withColumn(version, F.coalesce(F.col("next_version"), F.lit(1)).cast("int")).drop("next_version")
     out.write.mode("append").partitionBy(*cfg, version).parquet(path)
     return out
 
@@ -162,3 +163,13 @@ def read_latest(spark, path: str, cfg: Sequence[str], version: str = "version")
     df = spark.read.parquet(path)
     newest = df.groupBy(*cfg).agg(F.max(version).alias(version))
     return df.join(newest, on=[*cfg, version], how="left_semi")
+
+
+def read_latest_or_none(spark, path: str, cfg: Sequence[str], version: str = "version") -> DataFrame | None:
+    """``read_latest``, or None where nothing has been stored yet."""
+    try:
+        return read_latest(spark, path, cfg, version)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

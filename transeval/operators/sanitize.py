@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transeval import constants as K
-from transeval.functions.text import (after_first, before_first, count_occurrences, find, lit_col,
-                                      normalise_breaks, py_lstrip, py_strip, split_part, substr_from)
+from transeval.functions.text import (after_first, before_first, find, lit_col,
+                                      normalise_breaks, py_lstrip, py_strip, split_part, sql, substr_from)
 
 INDEX_ERROR = "IndexError"
 VALUE_ERROR = "ValueError"
@@ -38,22 +38,49 @@ def strip_marker(s, lang) -> Column:
     """code-llama: cut through the first ``"<Lang>:\\n"``; while the stripped rest still
     starts with ``"<Lang>:"``, cut again.
 
-    When ``"<Lang>:\\n"`` is missing, each Python iteration drops ``len("<Lang>:")`` chars,
-    possibly only whitespace in front of the ``"<Lang>:"``. One fold step below performs
-    all those iterations at once (``floor(ws / len) + 1`` chops), so every step consumes
-    one occurrence of ``"<Lang>:"`` and their count bounds the fold exactly."""
-    m = F.concat(lit_col(lang), F.lit(":\n"))
-    p = F.concat(lit_col(lang), F.lit(":"))
-    first = after_first(s, m)
-    n = F.greatest(count_occurrences(first, p), F.lit(1))
-
-    def step(acc, _i):
-        ws = F.length(acc) - F.length(py_lstrip(acc))
-        chop = (F.floor(ws / F.length(p)) + 1) * F.length(p)
-        cut = F.when(find(acc, m) >= 0, after_first(acc, m)).otherwise(substr_from(acc, chop))
-        return F.when(py_strip(acc).startswith(p), cut).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), n), first, step)
+    The text is split at the full markers once. The cut goes on from piece to piece while
+    the rest begins with ``"<Lang>:"``: either in the piece itself, or because the piece is
+    blank and a marker follows it. Where no full marker is left, each cut drops
+    ``len("<Lang>:")`` characters, first of the blanks in front; that goes on while blanks of
+    a whole number of such cuts stand before the next ``"<Lang>:"``, so the same split does
+    it. Every step is one pass over the text, however often the marker occurs."""
+    lang = lit_col(lang)
+    m, p = F.concat(lang, F.lit(":\n")), F.concat(lang, F.lit(":"))
+    size = F.length(p)
+
+    def pieces(text, mark):
+        return F.split(text, F.concat(F.lit("\\Q"), mark, F.lit("\\E")), -1)
+
+    def rest(parts, n, mark):
+        return sql("array_join", F.slice(parts, n + 1, F.size(parts) - n), mark)
+
+    def leading(parts, holds):
+        """How many pieces from the first on hold; the last piece never counts."""
+        fails = F.transform(parts, lambda x, i: ~holds(x) | (i == F.size(parts) - 1))
+        return F.array_position(fails, True) - 1
+
+    def bind(value, use):
+        return F.transform(F.array(value), use)[0]
+
+    def begins(x):
+        return (py_strip(x) == "") | py_lstrip(x).startswith(p)
+
+    def short_cuts(text):
+        def cut(parts):
+            n = leading(parts, lambda x: (py_strip(x) == "") & (F.length(x) % size == 0))
+            # blanks that are no whole number of cuts: the last cut ends inside the marker
+            def last(left):
+                blanks = F.length(left) - F.length(py_lstrip(left))
+                chop = (F.floor(blanks / size) + 1) * size
+                return F.when(py_lstrip(left).startswith(p), substr_from(left, chop)).otherwise(left)
+            return bind(rest(parts, n, p), last)
+        return bind(pieces(text, p), cut)
+
+    def full_cuts(parts):
+        left = rest(parts, leading(parts, begins), m)
+        return bind(left, lambda x: F.when((find(x, m) < 0) & py_lstrip(x).startswith(p), short_cuts(x)).otherwise(x))
+
+    return bind(pieces(after_first(s, m), m), full_cuts)
 
 
 def has_part(s, delim) -> Column:

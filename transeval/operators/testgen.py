@@ -3,8 +3,11 @@
 A round: pick up to 5 seeds from the function's input pool at random, send a message
 with the code, the seeds and one of three instructions, parse the reply's first fenced
 block into inputs (one per non-blank line, comment cut at ``#``, must parse as a Python
-literal list), keep inputs not yet in the pool, append them. Stop after enough new
-inputs or 21 rounds. The model call is outside; replies arrive as a table.
+literal list), append those not yet in the pool to it. Stop after the round that brings
+enough new inputs, or after 21 rounds. The model call is outside; replies arrive as a table.
+
+Inputs are compared by value: ``input_text`` is the canonical text of the parsed list, so
+``1,2`` and ``1, 2`` are one input.
 """
 
 from __future__ import annotations
@@ -12,13 +15,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from transeval import constants as K
 from transeval.functions.text import lit_col, py_lines, py_strip, split_part
-from transeval.operators.ordered import position_in_group
+from transeval.operators.ordered import first_in_group
 
 
 def seed_order(key, pos, seed: int = 0) -> Column:
@@ -30,60 +33,79 @@ def seed_order(key, pos, seed: int = 0) -> Column:
 def seed_selection(pool: DataFrame, key: str = "task_id", pos: str = "pos", k: int = K.SEED_SAMPLE_SIZE,
                    seed: int = 0) -> DataFrame:
     """Up to ``k`` distinct pool entries per key, without replacement."""
-    ranked = position_in_group(pool.withColumn("_ord", seed_order(F.col(key), F.col(pos), seed)),
-                               [key], ["_ord", pos], pos_col="seed_rank")
-    return ranked.filter(F.col("seed_rank") < k).drop("_ord")
+    ordered = pool.withColumn("_ord", seed_order(F.col(key), F.col(pos), seed))
+    return first_in_group(ordered, [key], ["_ord", pos], k, pos_col="seed_rank").drop("_ord")
+
+
+@F.pandas_udf(StructType([StructField("canonical", StringType()), StructField("shown", StringType())]))
+def parsed_input(text: pd.Series) -> pd.DataFrame:
+    """Each line as a literal list: its canonical text, by which inputs are compared, and the
+    text by which it is shown as an example. Both NULL where the line is no literal."""
+    import ast
+
+    def show(value) -> str:
+        if isinstance(value, str):
+            raw = value.encode("unicode-escape").decode().replace("\\\\", "\\")
+            return f"'{raw}'"
+        return str(value)
+
+    def one(line):
+        try:
+            values = ast.literal_eval(f"[{line}]")
+            return str(values), ", ".join(map(show, values))
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None, None
+
+    return pd.DataFrame([one(t) for t in text], columns=["canonical", "shown"])
+
+
+def with_inputs(lines: DataFrame, line: str) -> DataFrame:
+    """Replaces the text column ``line`` by ``input_text`` (canonical) and ``shown``; lines
+    that are no literals are dropped."""
+    out = lines.withColumn("_p", parsed_input(F.col(line))).drop(line)
+    return out.filter(F.col("_p.canonical").isNotNull()).select("*", F.col("_p.canonical").alias("input_text"), F.col("_p.shown").alias("shown")).drop("_p")
 
 
 def reply_lines(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """Candidate input lines of each reply: the text between the first two fences,
-    split into lines, blank lines skipped, everything from ``#`` cut, stripped.
-    Replies without a fence give no lines. Adds ``line_no`` and ``input_text``."""
+    """Inputs of each reply: the text between the first two fences, split into lines, blank
+    lines skipped, everything from ``#`` cut, parsed. Replies without a fence give none.
+    Adds ``line_no``, ``input_text`` and ``shown``."""
     r = F.col(reply)
     block = split_part(r, F.lit("```"), 2)
     lines = F.when(F.contains(r, F.lit("```")), py_lines(block)).otherwise(F.array().cast("array<string>"))
     out = replies.select("*", F.posexplode(lines).alias("line_no", "_line"))
     out = out.filter(py_strip(F.col("_line")) != "")
-    return out.withColumn("input_text", py_strip(F.substring_index(F.col("_line"), "#", 1))).drop("_line")
-
-
-@F.pandas_udf(StringType())
-def literal_inputs(text: pd.Series) -> pd.Series:
-    """``str(ast.literal_eval("[" + line + "]"))`` or NULL when the line is not a literal
-    (the canonical text later used to recognise inputs already in the pool)."""
-    import ast
-
-    def one(t):
-        if t is None:
-            return None
-        try:
-            return str(ast.literal_eval(f"[{t}]"))
-        except Exception:
-            return None
-
-    return pd.Series([one(t) for t in text], dtype="object")
+    return with_inputs(out.withColumn("_line", py_strip(F.substring_index(F.col("_line"), "#", 1))), "_line")
 
 
 def new_inputs(candidates: DataFrame, pool: DataFrame, num: int, *, key: str = "task_id",
                text: str = "input_text", order: Sequence[str] = ("round_no", "line_no"),
                rounds: int = K.TESTGEN_ROUNDS) -> DataFrame:
-    """New inputs per key: rounds ``0..rounds`` only, inputs already in the pool dropped,
-    the first occurrence of a repeated input kept, then the first ``num`` in order.
-    ``order`` is (round number, line number), both non-negative ints."""
-    c = candidates.filter(F.col("round_no") <= rounds)
-    c = c.join(pool.select(key, F.col(text)), on=[key, text], how="left_anti")
-    # first occurrence by (round, line), packed into one bigint so the dedupe is a hash aggregate
+    """Inputs that the rounds of each key append to its pool: rounds ``0..rounds`` only,
+    inputs already in the pool dropped, the first occurrence of a repeated one kept, and of
+    these the rounds before which fewer than ``num`` had been found. ``returned`` marks the
+    first ``num`` in ``order`` (round number, line number), which a caller gets back."""
     r, ln = order
-    packed = F.col(r).cast("long") * (1 << 32) + F.col(ln).cast("long")
-    firsts = c.groupBy(key, text).agg(F.min(packed).alias("_first"))
-    firsts = firsts.select(key, text, F.floor(F.col("_first") / (1 << 32)).cast("int").alias(r),
-                           (F.col("_first") % (1 << 32)).cast("int").alias(ln))
-    ranked = position_in_group(firsts, [key], list(order), pos_col="new_rank")
-    return ranked.filter(F.col("new_rank") < num)
+    asked = candidates.filter(F.col(r) <= rounds)
+    # the pool is needed only for keys that have candidates
+    held = pool.select(key, text).join(asked.select(key).distinct(), on=key, how="left_semi")
+    fresh = asked.join(held, on=[key, text], how="left_anti")
+    # first occurrence by (round, line), packed into one bigint so the dedupe is a hash aggregate
+    packed = F.shiftleft(F.col(r).cast("long"), 32) + F.col(ln).cast("long")
+    firsts = fresh.groupBy(key, text).agg(F.min(packed).alias("_first"))
+    found = firsts.select(key, text, F.shiftright("_first", 32).cast("int").alias(r),
+                          F.col("_first").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(ln))
+    # at most rounds + 1 rows per key: what earlier rounds had found
+    per_round = found.groupBy(key, r).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(key).orderBy(r).rowsBetween(Window.unboundedPreceding, -1)
+    before = per_round.select(key, r, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).filter(F.col("_before") < num)
+    in_round = Window.partitionBy(key, r).orderBy(ln)
+    ranked = found.join(before, on=[key, r]).withColumn("new_rank", F.col("_before") + F.row_number().over(in_round) - 1)
+    return ranked.withColumn("returned", F.col("new_rank") < num).drop("_before")
 
 
 def pool_union(pool: DataFrame, added: DataFrame, key: str = "task_id", text: str = "input_text") -> DataFrame:
-    """The pool after a generation step: old entries, then the new ones."""
+    """The pool after a generation step: old entries, then all that the rounds appended."""
     return pool.select(key, text).withColumn("origin", F.lit("seed")).unionByName(
         added.select(key, text).withColumn("origin", F.lit("generated")))
 
@@ -102,7 +124,7 @@ def test_prompt(code, seeds_text, key) -> Column:
 
 
 def seed_messages(tasks: DataFrame, seeds: DataFrame, key: str = "task_id", code: str = "code",
-                  text: str = "input_text", rank: str = "seed_rank") -> DataFrame:
+                  text: str = "shown", rank: str = "seed_rank") -> DataFrame:
     """One message per key from its selected seeds (at most ``SEED_SAMPLE_SIZE`` rows per
     key, so collecting them is bounded)."""
     joined = seeds.groupBy(key).agg(

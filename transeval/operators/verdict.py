@@ -17,13 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from transeval import constants as K
-from transeval.functions.compare import EXPECTED_PARTS, outputs_match_exact, with_expected_parts, with_outputs_match
-from transeval.operators.ordered import position_in_group
+from transeval.functions.compare import with_expected_parts, with_outputs_match
 
 SAMPLE_KEYS = ["task_id", "completion_id"]
 
@@ -52,20 +51,17 @@ def attach_expected(exec_log: DataFrame, tests: DataFrame, task_keys: Sequence[s
     return exec_log.join(t, on=[*task_keys, "test_idx"], how="left")
 
 
-def test_outcomes(compared: DataFrame, *, exact_rounding: bool = False) -> DataFrame:
+def test_outcomes(compared: DataFrame) -> DataFrame:
     """Add ``matched`` and ``outcome`` for every executed test.
 
     compile error -> compile_failed; per-test timeout -> infinite_loop; output match ->
     success; undecodable stderr -> compile_failed (the evaluator's decode raises);
-    empty stderr -> test_failed; else runtime_failed.
+    empty or missing stderr -> test_failed; else runtime_failed.
     """
     out, out_ok = _text_and_valid(compared, "stdout")
     err, err_ok = _text_and_valid(compared, "stderr")
-    if exact_rounding:
-        matched = F.when(out_ok, F.coalesce(outputs_match_exact(out, F.col("expected")), F.lit(False))).otherwise(False)
-        compared = compared.withColumn("_match", matched).drop(*[c for c in EXPECTED_PARTS if c in compared.columns])
-    else:
-        compared = with_outputs_match(compared.withColumn("_out", out), "_out", "expected", "_match", out_ok).drop("_out")
+    err = F.coalesce(err, F.lit(""))
+    compared = with_outputs_match(compared.withColumn("_out", out), "_out", "expected", "_match", out_ok).drop("_out")
     outcome = (F.when(~F.col("compile_ok"), F.lit(K.COMPILE_FAILED))
                .when(F.col("timed_out"), F.lit(K.INFINITE_LOOP))
                .when(F.col("matched"), F.lit(K.SUCCESS))
@@ -89,7 +85,7 @@ def _first(cond: Column, outcome: Column) -> Column:
 
 
 def _first_idx(packed: Column) -> Column:
-    return F.floor(packed / 8).cast("int")
+    return F.shiftright(packed, 3).cast("int")
 
 
 def _first_outcome(packed: Column) -> Column:
@@ -97,34 +93,43 @@ def _first_outcome(packed: Column) -> Column:
     return F.try_element_at(m, (packed % 8).cast("int"))
 
 
+def _elapsed() -> Column:
+    """Running times are summed as decimals: the same in any order of addition."""
+    return F.coalesce(F.col("elapsed_s"), F.lit(0.0)).cast("decimal(28,9)")
+
+
 def sample_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
-    """First failure decides; all passed -> success; compile error -> compile_failed;
-    no tests at all -> NULL (the evaluator's "unknown")."""
+    """First failure decides; all passed -> success; compile error -> compile_failed, and no
+    test ran, so there is no first failing one; no tests at all -> NULL (the evaluator's
+    "unknown")."""
     keys = [*cfg, *keys]
     ok = F.col("outcome") == K.SUCCESS
     agg = outcomes.groupBy(*keys).agg(
         F.max((~F.col("compile_ok")).cast("int")).alias("_cfail"),
         F.count("test_idx").alias("n_tests"),
+        F.sum(_elapsed()).alias("elapsed_s"),
         _first(~ok & F.col("test_idx").isNotNull(), F.col("outcome")).alias("_ff"),
     )
-    verdict = (F.when(F.col("_cfail") == 1, F.lit(K.COMPILE_FAILED))
+    cfail = F.col("_cfail") == 1
+    verdict = (F.when(cfail, F.lit(K.COMPILE_FAILED))
                .when(F.col("n_tests") == 0, F.lit(None).cast("string"))
                .otherwise(F.coalesce(_first_outcome(F.col("_ff")), F.lit(K.SUCCESS))))
-    return agg.select(*keys, F.col("n_tests"), _first_idx(F.col("_ff")).alias("first_fail_idx"), verdict.alias("verdict"))
+    return agg.select(*keys, "n_tests", "elapsed_s", F.when(~cfail, _first_idx(F.col("_ff"))).alias("first_fail_idx"), verdict.alias("verdict"))
 
 
 def attempted_tests(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence[str] = SAMPLE_KEYS) -> DataFrame:
-    """Tests the evaluator actually ran: up to and including the first failure."""
-    keys = [*cfg, *keys]
-    ff = outcomes.groupBy(*keys).agg(
-        F.min(F.when(F.col("outcome") != K.SUCCESS, F.col("test_idx"))).alias("first_fail_idx"))
-    j = outcomes.join(ff, on=keys, how="inner")
-    return j.filter(F.col("test_idx").isNotNull()
-                    & (F.col("first_fail_idx").isNull() | (F.col("test_idx") <= F.col("first_fail_idx"))))
+    """Tests the evaluator actually ran: up to and including the first failure, and none of a
+    sample that does not compile. A sample's tests are few, so its first failure is found
+    beside them, in the partitioning the sample has."""
+    w = Window.partitionBy(*cfg, *keys)
+    seen = (outcomes.withColumn("first_fail_idx", F.min(F.when(F.col("outcome") != K.SUCCESS, F.col("test_idx"))).over(w))
+            .withColumn("_cfail", F.max((~F.col("compile_ok")).cast("int")).over(w)))
+    ran = F.col("test_idx").isNotNull() & (F.col("_cfail") == 0)
+    return seen.filter(ran & (F.col("first_fail_idx").isNull() | (F.col("test_idx") <= F.col("first_fail_idx")))).drop("_cfail")
 
 
 def budget_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence[str] = SAMPLE_KEYS,
-                    budget_s: float = K.SAMPLE_BUDGET_S, exec_log: DataFrame | None = None) -> DataFrame:
+                    budget_s: float = K.SAMPLE_BUDGET_S) -> DataFrame:
     """Verdicts under the whole-sample time budget, three ways.
 
     * ``verdict``            -- per-test rules only (budget ignored);
@@ -132,19 +137,18 @@ def budget_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence
       the running time passes the budget and the last stored value stands, so tests
       finishing after the budget are ignored; no test finished in time -> NULL;
     * ``verdict_strict``     -- the first test that ends past the budget is an infinite loop.
-
-    ``exec_log``: the log the outcomes came from; it has the same rows per sample and is
-    cheaper to count for the hot-sample check.
     """
     keys = [*cfg, *keys]
     tests = outcomes.filter(F.col("test_idx").isNotNull())
-    timed = position_in_group(tests, keys, ["test_idx"], pos_col="_p", running_sum="elapsed_s", cum_col="elapsed_cum",
-                              probe=exec_log)
-    within = F.col("elapsed_cum") <= F.lit(budget_s)
+    w = Window.partitionBy(*keys).orderBy("test_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    timed = tests.withColumn("elapsed_cum", F.sum(_elapsed()).over(w))
+    within = F.col("elapsed_cum") <= F.lit(budget_s).cast("decimal(28,9)")
     ok = F.col("outcome") == K.SUCCESS
     strict_outcome = F.when(~within, F.lit(K.INFINITE_LOOP)).otherwise(F.col("outcome"))
     agg = timed.groupBy(*keys).agg(
         F.max((~F.col("compile_ok")).cast("int")).alias("_cfail"),
+        F.count(F.lit(1)).alias("n_tests"),
+        F.sum(_elapsed()).alias("elapsed_s"),
         _first(~ok, F.col("outcome")).alias("_ff"),
         F.count(F.when(within, 1)).alias("_n_within"),
         _first(~ok & within, F.col("outcome")).alias("_ffw"),
@@ -152,7 +156,7 @@ def budget_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence
     )
     cfail = F.col("_cfail") == 1
     return agg.select(
-        *keys,
+        *keys, "n_tests", "elapsed_s",
         F.when(cfail, F.lit(K.COMPILE_FAILED)).otherwise(F.coalesce(_first_outcome(F.col("_ff")), F.lit(K.SUCCESS))).alias("verdict"),
         F.when(cfail, F.lit(K.COMPILE_FAILED)).when(F.col("_n_within") == 0, F.lit(None).cast("string"))
          .otherwise(F.coalesce(_first_outcome(F.col("_ffw")), F.lit(K.SUCCESS))).alias("verdict_watchdog"),
@@ -160,21 +164,33 @@ def budget_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence
     )
 
 
-def judge(exec_log: DataFrame, tests: DataFrame, cfg: Sequence[str] = (), *,
+def judge(exec_log: DataFrame, tests: DataFrame, cfg: Sequence[str] = (), *, samples: DataFrame | None = None,
           task_keys: Sequence[str] = ("task_id",), budget: str | None = None,
-          budget_s: float = K.SAMPLE_BUDGET_S, exact_rounding: bool = False) -> DataFrame:
+          budget_s: float = K.SAMPLE_BUDGET_S) -> DataFrame:
     """exec_log + tests -> verdict rows ``(cfg..., task_id, completion_id, verdict)``.
 
     ``budget``: None (per-test rules), ``"watchdog"`` or ``"strict"`` (see ``budget_verdicts``).
+    With ``samples`` there is one row for each of them: a sample without any log row has a
+    NULL verdict, and so has one whose log ends before its last test although neither a
+    failure nor the time budget ended the run.
     """
-    outcomes = test_outcomes(attach_expected(exec_log, tests, task_keys), exact_rounding=exact_rounding)
+    keys = [*cfg, *SAMPLE_KEYS]
+    outcomes = test_outcomes(attach_expected(exec_log, tests, task_keys))
     if budget is None:
-        return sample_verdicts(outcomes, cfg).select(*cfg, *SAMPLE_KEYS, "verdict")
-    col = {"watchdog": "verdict_watchdog", "strict": "verdict_strict"}[budget]
-    v = budget_verdicts(outcomes, cfg, budget_s=budget_s, exec_log=exec_log).select(*cfg, *SAMPLE_KEYS, F.col(col).alias("verdict"))
-    # samples whose log holds no test rows: compile-only rows
-    no_tests = sample_verdicts(outcomes.filter(F.col("test_idx").isNull()), cfg).select(*cfg, *SAMPLE_KEYS, "verdict")
-    return v.unionByName(no_tests.join(v.select(*cfg, *SAMPLE_KEYS), on=[*cfg, *SAMPLE_KEYS], how="left_anti"))
+        v = sample_verdicts(outcomes, cfg).select(*keys, "n_tests", "elapsed_s", "verdict")
+    else:
+        col = {"watchdog": "verdict_watchdog", "strict": "verdict_strict"}[budget]
+        timed = budget_verdicts(outcomes, cfg, budget_s=budget_s).select(*keys, "n_tests", "elapsed_s", F.col(col).alias("verdict"))
+        # samples whose log holds no test rows: compile-only rows
+        rest = sample_verdicts(outcomes.filter(F.col("test_idx").isNull()), cfg).select(*keys, "n_tests", "elapsed_s", "verdict")
+        v = timed.unionByName(rest.join(timed.select(*keys), on=keys, how="left_anti"))
+    if samples is None:
+        return v.select(*keys, "verdict")
+    planned = tests.groupBy(*task_keys).agg(F.count(F.lit(1)).alias("_planned"))
+    cut = ((F.col("verdict") == K.SUCCESS) & (F.col("n_tests") < F.col("_planned"))
+           & (F.col("elapsed_s") <= F.lit(budget_s).cast("decimal(28,9)")))
+    out = samples.select(*dict.fromkeys([*keys, *task_keys])).join(v, on=keys, how="left").join(planned, on=list(task_keys), how="left")
+    return out.select(*keys, F.when(~F.coalesce(cut, F.lit(False)), F.col("verdict")).alias("verdict"))
 
 
 def verdict_label(code) -> Column:

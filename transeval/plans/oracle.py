@@ -9,7 +9,6 @@ from __future__ import annotations
 import re as _re
 
 from transeval import constants as K
-from transeval.functions.compare import MAX_ROUND_DIGITS
 from transeval.functions.text import LINE_BREAK_CHARS, PY_WHITESPACE
 from transeval.sources.bindings import (ALIASES, BUDGET_FAMILIES, LANG_MAP, REPLY_MODELS, TEST_ORDER,
                                         TOKENIZER_LIMITS, VERDICT_OF_EVENT)
@@ -74,7 +73,8 @@ BC = """bc as (select c.c_mktsegment as model, cast(o.o_custkey as varchar) as t
 
 def _expected(key: str, idx: str) -> str:
     v = f"(({key} * 31 + {idx} * 17) % 100000)"
-    return f"(cast(cast(floor({v} / 100) as bigint) as varchar) || '.' || lpad(cast({v} % 100 as varchar), 2, '0'))"
+    return (f"(case when {key} % 10 = 3 then '0.000000000000000000000' || lpad(cast({v} as varchar), 5, '0') "
+            f"else cast(cast(floor({v} / 100) as bigint) as varchar) || '.' || lpad(cast({v} % 100 as varchar), 2, '0') end)")
 
 
 _ORDER = ", ".join(f"l.{c}" for c in TEST_ORDER)
@@ -100,10 +100,12 @@ BX_LOG = f"""bx_log as (
       when 7 then '  ' || {_EXP} || '  '
       when 8 then '-' || {_EXP}
       when 9 then replace({_EXP}, '.', ',')
-      else {_EXP} end as stdout
+      when 10 then left({_EXP}, length({_EXP}) - 1)
+      else case when test_idx % 2 = 0 then {_EXP} || '5' else {_EXP} end end as stdout
   from bx_rows)"""
-BX_TESTS = f"""bx_tests as (select cast(c_custkey as varchar) as task_id, cast(i as integer) as test_idx, '' as input,
-  {_expected("c_custkey", "i")} as expected from customer, range(16) r(i))"""
+BX_TESTS = f"""bx_tests as (select cast(o_custkey as varchar) as task_id, cast(i as integer) as test_idx, '' as input,
+  {_expected("o_custkey", "i")} as expected
+  from (select o_custkey, unnest(range(max(test_idx) + 1)) as i from bx_rows group by o_custkey))"""
 BX_CMP = """bx_cmp as (select l.*, t.expected from bx_log l left join bx_tests t
   on l.task_id = t.task_id and l.test_idx = t.test_idx)"""
 
@@ -122,18 +124,14 @@ def decimals(x: str) -> str:
     return f"(case when strpos({s}, '.') > 0 then length(split_part({s}, '.', 2)) end)"
 
 
-def round_to(x: str, m: str) -> str:
-    whens = " ".join(f"when {d} then round_even({x}, {d})" for d in range(MAX_ROUND_DIGITS))
-    return f"(case when {m} >= {MAX_ROUND_DIGITS} then {x} else (case {m} {whens} end) end)"
-
-
 def outputs_match(a: str, b: str) -> str:
+    """Rounding is by the text that the correctly rounding formatter writes."""
     x, y = parse_number(a), parse_number(b)
     da, db = decimals(a), decimals(b)
     m = f"least({da}, {db})"
     return f"""(case when {x} is not null and {x} % 1 = 0 then coalesce({x} = {y} - {y} % 1, false)
        when {x} is not null and {y} is not null and {da} is not null and {db} is not null
-         then ({round_to(x, m)} = {round_to(y, m)}) and (starts_with({strip(a)}, '-') = starts_with({strip(b)}, '-'))
+         then format('{{:.{{}}f}}', {x}, {m}) = format('{{:.{{}}f}}', {y}, {m})
        else coalesce({strip(a)} = {strip(b)}, false) end)"""
 
 
@@ -186,7 +184,7 @@ from scores group by model, k having min(n) >= k"""
 ORACLE["score_label"] = with_(BV, _TASK_COUNTS, _KS) + f"""
 , scores as (select k, n, {_pass_at_k('n', 'c', 'k')} as p from counts cross join ks),
 board as (select k, count(*) as n_tasks, min(n) as min_n, avg(p) as p from scores group by k having min(n) >= k)
-select cast(k as integer) as k, n_tasks, min_n, printf('pass @ %d :' || chr(9) || '%.3f', k, p) as label from board"""
+select cast(k as integer) as k, n_tasks, min_n, 'pass @ ' || k || ' :' || chr(9) || format('{{:.3f}}', p) as label from board"""
 
 ORACLE["date_label"] = with_(BV) + """
 select task_id, strftime(max(ts), '%Y-%m-%d %H:%M') as date from bv group by task_id"""
@@ -208,18 +206,19 @@ _SAMPLE = """sv as (select task_id, completion_id, max(case when not compile_ok
        min(test_idx) filter (where outcome <> 'success') as first_fail_idx,
        arg_min(outcome, test_idx) filter (where outcome <> 'success') as ff
   from bx_out group by task_id, completion_id)"""
+_IDX = "case when cfail = 0 then cast(first_fail_idx as integer) end"
 _VERDICT = "case when cfail = 1 then 'compile_failed' when n_tests = 0 then null else coalesce(ff, 'success') end"
 
-ORACLE["first_failure"] = with_(BX, _SAMPLE) + f"select completion_id, cast(first_fail_idx as integer) as first_fail_idx, {_VERDICT} as verdict from sv"
+ORACLE["first_failure"] = with_(BX, _SAMPLE) + f"select completion_id, {_IDX} as first_fail_idx, {_VERDICT} as verdict from sv"
 ORACLE["sample_verdict"] = with_(BX, _SAMPLE) + f"select task_id, completion_id, n_tests, {_VERDICT} as verdict from sv"
 ORACLE["attempted_tests"] = with_(BX) + """
-, ff as (select task_id, completion_id, min(test_idx) filter (where outcome <> 'success') as fi
+, ff as (select task_id, completion_id, min(test_idx) filter (where outcome <> 'success') as fi, bool_and(compile_ok) as compiled
          from bx_out group by task_id, completion_id)
 select o.completion_id, o.test_idx, o.outcome from bx_out o join ff using (task_id, completion_id)
-where o.test_idx is not null and (ff.fi is null or o.test_idx <= ff.fi)"""
+where ff.compiled and o.test_idx is not null and (ff.fi is null or o.test_idx <= ff.fi)"""
 
 ORACLE["budget_verdict"] = with_(BX) + f"""
-, z as (select *, sum(elapsed_s) over (partition by task_id, completion_id order by test_idx
+, z as (select *, sum(cast(elapsed_s as decimal(28, 9))) over (partition by task_id, completion_id order by test_idx
                   rows between unbounded preceding and current row) as el from bx_out),
 a as (select completion_id, max(case when not compile_ok then 1 else 0 end) as cfail,
         arg_min(outcome, test_idx) filter (where outcome <> 'success') as ff,
@@ -406,19 +405,42 @@ select count(*) as n_tasks, count(*) filter (where status = 'complete') as n_don
        count(*) filter (where status = 'missing') as n_missing, count(*) filter (where status = 'short') as n_short
 from rep"""
 ORACLE["compile_report"] = with_(BT) + f"""
-, j as (select bt.language, bt.code, l.quality = 1 as compile_ok from bt join labels l on bt.doc_id = l.doc_id)
-select language, count(*) as n_code,
-       count(*) filter (where {strip('code')} = '' or not coalesce(compile_ok, true)) as n_wrong,
-       round(count(*) filter (where {strip('code')} = '' or not coalesce(compile_ok, true)) / count(*) * 100, 2) as pct_wrong
-from j group by language"""
+, j as (select bt.language, case when bt.doc_id % 17 <> 0 then bt.code end as code, l.quality = 1 as ok from bt left join labels l on bt.doc_id = l.doc_id),
+f as (select language, code is null or {strip('code')} = '' as empty, ok from j),
+n as (select language, count(*) as n_code, count(*) filter (where empty or ok is false) as n_wrong,
+             count(*) filter (where not empty and ok is null) as n_unchecked from f group by language)
+select language, n_code, n_wrong, n_unchecked, cast(format('{{:.2f}}', n_wrong / n_code * 100) as double) as pct_wrong from n"""
+ORACLE["evaluate_run"] = with_(BX) + f"""
+, s as (select c.c_mktsegment as model, cast(o.o_custkey as varchar) as task_id, cast(o.o_orderkey as varchar) as completion_id, o.o_orderkey
+        from orders o join customer c on o.o_custkey = c.c_custkey),
+z as (select b.*, sum(cast(elapsed_s as decimal(28, 9))) over (partition by b.task_id, b.completion_id order by test_idx
+                  rows between unbounded preceding and current row) as el
+      from bx_out b join s on b.task_id = s.task_id and b.completion_id = s.completion_id and s.o_orderkey % 11 <> 0),
+a as (select task_id, completion_id, not bool_and(compile_ok) as cfail, count(*) as n, max(el) as total,
+        arg_min(outcome, test_idx) filter (where outcome <> 'success' and el <= {K.SAMPLE_BUDGET_S}) as ff,
+        count(*) filter (where el <= {K.SAMPLE_BUDGET_S}) as n_within from z group by task_id, completion_id),
+planned as (select task_id, count(*) as n from bx_tests group by task_id),
+v as (select s.model, s.task_id, s.completion_id,
+        case when a.n is null then null when cfail then 'compile_failed' when ff is not null then ff when n_within = 0 then null
+             when a.n < planned.n and a.total <= {K.SAMPLE_BUDGET_S} then null else 'success' end as verdict
+      from s left join a using (task_id, completion_id) left join planned on planned.task_id = s.task_id),
+missing as (select c_mktsegment as model, count(*) as n_problems from customer
+            where c_mktsegment in ('BUILDING', 'MACHINERY') and c_custkey not in (select o_custkey from orders) group by c_mktsegment),
+t as (select model, task_id, count(*) as n, count(*) filter (where verdict = 'success') as c from v group by model, task_id),
+b as (select model, round(avg(c / n), 6) as p from t where model not in (select model from missing) group by model)
+select v.model, count(*) as n_samples, count(*) filter (where verdict is null) as n_unknown, count(*) filter (where verdict = 'success') as n_success,
+       coalesce(any_value(missing.n_problems), 0) as n_problems, any_value(b.p) as pass_at_1
+from v left join missing on v.model = missing.model left join b on v.model = b.model group by v.model"""
 
 # ------------------------------------------------------------------ result records
 ORACLE["verdict_array"] = with_(BV) + """
 select task_id, completion_id, row_number() over (partition by task_id order by completion_id) - 1 as pos,
        count(*) over (partition by task_id) as nfiles, verdict from bv"""
 ORACLE["result_document"] = with_(BV) + """
-select task_id, cast(count(*) as integer) as nfiles, string_agg(coalesce(verdict, 'null'), ',' order by completion_id) as base
-from bv group by task_id"""
+, p as (select task_id, completion_id, verdict, row_number() over (partition by task_id order by completion_id) - 1 as pos,
+               count(*) over (partition by task_id) as nfiles from bv)
+select task_id, pos // 10000 as part, any_value(nfiles) as nfiles, string_agg(coalesce(verdict, 'null'), ',' order by pos) as base
+from p group by task_id, pos // 10000"""
 ORACLE["cached_eval"] = with_(BV) + """
 , v as (select *, cast(cast(ts as date) as varchar) as run_day from bv),
 cached as (select * from v where ts < timestamp '2024-01-16 00:00:00')
@@ -428,9 +450,10 @@ select run_day, task_id, completion_id, 'pending' as state, cast(null as varchar
 where run_day not in (select distinct run_day from cached)"""
 ORACLE["legacy_results"] = with_(BV) + "select task_id, cast(count(*) as integer) as nfiles from bv group by task_id"
 ORACLE["latest_version"] = with_(BV) + """
-select task_id, json_extract_string(props, '$.k') as k, count(*) as n_versions,
-       arg_max({'v': verdict}, event_id).v as verdict, max(event_id) as version
-from bv group by task_id, json_extract_string(props, '$.k')"""
+, l as (select task_id, json_extract_string(props, '$.k') as k, case when event_id % 13 = 0 then 'flaky' else verdict end as verdict,
+               event_id + 1152921504606846976 as version from bv)
+select task_id, k, count(*) as n_versions, arg_max({'v': verdict}, version).v as verdict, max(version) as version
+from l group by task_id, k"""
 
 # ------------------------------------------------------------------ scans and paths
 ORACLE["task_scan"] = with_(BT) + "select task_id, language from bt where language = 'Python'"
@@ -617,41 +640,45 @@ select task_id, cast(unnest(generate_series(n_existing, 2)) as integer) as idx,
        cast(floor((unnest(generate_series(n_existing, 2)) - n_existing) / 2) as integer) as batch_no, n_existing
 from t where n_existing < 3"""
 
+ORACLE["work_plan_gaps"] = with_(BS, BS_TASKS) + """
+, g as (select task_id, cast(i as integer) as idx from bs_tasks, range(6) r(i)),
+m as (select * from g where not exists (select 1 from bs where bs.task_id = g.task_id and bs.completion_idx = g.idx))
+select task_id, idx, cast((row_number() over (partition by task_id order by idx) - 1) // 2 as integer) as batch_no from m"""
+
 # ------------------------------------------------------------------ test-input generation
-POOL = f"""pool as (select task_id, pos, {strip('line')} as input_text from (
-    select task_id, unnest(string_split(code, chr(10))) as line, cast(generate_subscripts(string_split(code, chr(10)), 1) - 1 as integer) as pos from bt)
-  where {strip('line')} <> '')"""
-IREPLIES = """ireplies as (select task_id, completion_id, completion_idx as round_no,
-    case when completion_idx % 2 = 1 then 'Here are inputs:' || chr(10) || '```python' || chr(10) || solution || chr(10) || '```' || chr(10) || 'bye'
-         else solution end as reply from bs)"""
-_BLOCK = "split_part(reply, '```', 2)"
-_NORM = f"regexp_replace({_BLOCK}, {BREAKS}, chr(10), 'g')"
-_BODY = f"(case when ends_with({_NORM}, chr(10)) then left({_NORM}, length({_NORM}) - 1) else {_NORM} end)"
-_LINES = f"(case when contains(reply, '```') then (case when {_BLOCK} = '' then [] else string_split({_BODY}, chr(10)) end) else [] end)"
-RLINES = f"""rlines as (select task_id, completion_id, round_no, line_no, {strip("split_part(line, '#', 1)")} as input_text from (
-    select task_id, completion_id, round_no, unnest({_LINES}) as line, generate_subscripts({_LINES}, 1) - 1 as line_no from ireplies)
-  where {strip('line')} <> '')"""
-SEEDS = """seeds as (select * from (select task_id, pos, input_text,
+# the inputs are written here by their values, without parsing the text the job parses
+POOL = f"""pool as (select task_id, cast(pos as integer) as pos, '[' || length(line) || ', ' || pos || ']' as input_text, length(line) || ', ' || pos as shown from (
+    select task_id, unnest(string_split(code, chr(10))) as line, generate_subscripts(string_split(code, chr(10)), 1) - 1 as pos from bt)
+  where {strip('line')} <> ''
+  union all select task_id, -1, '[[' || doc_id % 5 || ']]', '[' || doc_id % 5 || ']' from bt)"""
+RLINES = """rlines as (select task_id, completion_id, completion_idx as round_no, l.n as line_no, l.t as input_text from (
+    select task_id, completion_id, completion_idx, unnest([
+      {'n': 1, 't': '[' || completion_idx || ', ' || conv_id % 7 || ']'}, {'n': 2, 't': '[' || completion_idx || ', ' || conv_id % 7 || ']'},
+      {'n': 5, 't': '[[' || conv_id % 5 || ']]'}, {'n': 6, 't': '[' || chr(39) || 't' || completion_idx || chr(39) || ']'},
+      {'n': 7, 't': '[' || length(solution) || ']'}]) as l
+    from bs where completion_idx % 2 = 1))"""
+SEEDS = """seeds as (select * from (select task_id, pos, input_text, shown,
     row_number() over (partition by task_id order by md5(task_id || ':' || cast(pos as varchar) || ':0'), pos) - 1 as seed_rank from pool)
   where seed_rank < 5)"""
 NEW = """cand as (select * from rlines where round_no <= 20 and not exists (
     select 1 from pool p where p.task_id = rlines.task_id and p.input_text = rlines.input_text)),
 firsts as (select task_id, input_text, min({'r': round_no, 'l': line_no}) as f from cand group by task_id, input_text),
 ranked as (select task_id, input_text, f.r as round_no, f.l as line_no,
-    row_number() over (partition by task_id order by f.r, f.l) - 1 as new_rank from firsts),
-newi as (select * from ranked where new_rank < 10)"""
+    row_number() over (partition by task_id order by f.r, f.l) - 1 as new_rank,
+    row_number() over (partition by task_id order by f.r, f.l) - row_number() over (partition by task_id, f.r order by f.l) as before from firsts),
+newi as (select *, new_rank < 3 as returned from ranked where before < 3)"""
 
 ORACLE["seed_selection"] = with_(BT, POOL, SEEDS) + "select task_id, pos, seed_rank, input_text from seeds"
-ORACLE["reply_lines"] = with_(BS, IREPLIES, RLINES) + "select task_id, completion_id, cast(line_no as integer) as line_no, input_text from rlines"
-ORACLE["new_inputs"] = with_(BT, BS, POOL, IREPLIES, RLINES, NEW) + """
-select task_id, input_text, round_no, cast(line_no as integer) as line_no, new_rank from newi"""
-ORACLE["pool_union"] = with_(BT, BS, POOL, IREPLIES, RLINES, NEW) + """
+ORACLE["reply_lines"] = with_(BS, RLINES) + "select task_id, completion_id, cast(line_no as integer) as line_no, input_text from rlines"
+ORACLE["new_inputs"] = with_(BT, BS, POOL, RLINES, NEW) + """
+select task_id, input_text, round_no, cast(line_no as integer) as line_no, new_rank, returned from newi"""
+ORACLE["pool_union"] = with_(BT, BS, POOL, RLINES, NEW) + """
 , u as (select task_id, 'seed' as origin from pool union all select task_id, 'generated' as origin from newi)
 select task_id, count(*) filter (where origin = 'seed') as n_seed, count(*) filter (where origin = 'generated') as n_generated
 from u group by task_id"""
 _INSTR = "[" + ", ".join(lit(t) for t in K.TESTGEN_INSTRUCTIONS) + "]"
 ORACLE["test_prompt"] = with_(BT, POOL, SEEDS) + f"""
-, st as (select task_id, string_agg(input_text, chr(10) order by seed_rank) as s from seeds group by task_id)
+, st as (select task_id, string_agg(shown, chr(10) order by seed_rank) as s from seeds group by task_id)
 select bt.task_id, {lit(K.TESTGEN_HEADER)} || bt.code || chr(10) || '```' || {lit(K.TESTGEN_EXAMPLES)} || coalesce(st.s, '')
        || chr(10) || '```' || chr(10) || {_INSTR}[cast(('0x' || substr(md5(bt.task_id), 1, 8))::bigint % 3 as integer) + 1] as message
 from bt left join st on bt.task_id = st.task_id"""

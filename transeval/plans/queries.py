@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transeval import constants as K
+from transeval import jobs
 from transeval.functions.compare import with_outputs_match
 from transeval.functions.metrics import date_label
 from transeval.functions.text import py_strip
@@ -130,8 +131,7 @@ def sample_verdict(spark, sf):
 
 @query
 def budget_verdict(spark, sf):
-    log = B.exec_log(spark, sf)
-    v = vd.budget_verdicts(vd.test_outcomes(vd.attach_expected(log, B.tests(spark, sf))), exec_log=log)
+    v = vd.budget_verdicts(vd.test_outcomes(_compared(spark, sf)))
     return v.select("completion_id", "verdict", "verdict_watchdog", "verdict_strict")
 
 
@@ -276,17 +276,24 @@ def completeness_summary(spark, sf):
 
 @query
 def compile_report(spark, sf):
+    """Over all documents: labelled or not, some without a text."""
     t = B.tasks(spark, sf)
-    samples = t.select("task_id", "language", F.lit("0").alias("completion_id"), F.col("code").alias("solution"))
-    labelled = samples.join(B.compile_log(spark, sf).select("task_id"), "task_id", "left_semi")
+    samples = t.select("task_id", "language", F.lit("0").alias("completion_id"),
+                       F.when(F.col("doc_id") % 17 != 0, F.col("code")).alias("solution"))
     compiled = B.compile_log(spark, sf).join(t.select("task_id", "language"), "task_id")
-    return ck.compile_report(labelled, compiled, cfg=["language"], tasks=t).select("language", "n_code", "n_wrong", "pct_wrong")
+    return ck.compile_report(samples, compiled, cfg=["language"], tasks=t).select("language", "n_code", "n_wrong", "n_unchecked", "pct_wrong")
 
 
 @query
-def python_syntax(spark, sf):
-    t = B.tasks(spark, sf)
-    return t.select("task_id", ck.python_syntax(F.col("code")).alias("compiles"))
+def evaluate_run(spark, sf):
+    """Whole evaluations: verdicts of all samples, coverage, and scores where it is complete."""
+    samples, tasks, log = B.evaluation(spark, sf)
+    e = jobs.evaluate(samples, tasks, B.tests(spark, sf), log, ["model"], budget="watchdog")
+    n = e.verdicts.groupBy("model").agg(F.count(F.lit(1)).alias("n_samples"), F.count_if(F.col("verdict").isNull()).alias("n_unknown"),
+                                        F.count_if(F.col("verdict") == K.SUCCESS).alias("n_success"))
+    p = e.problems.groupBy("model").agg(F.count(F.lit(1)).alias("n_problems"))
+    b = e.board.filter("k = 1").select("model", r6(F.col("pass_at_k")).alias("pass_at_1"))
+    return n.join(p, "model", "left").join(b, "model", "left").withColumn("n_problems", F.coalesce("n_problems", F.lit(0)))
 
 
 # ---------------------------------------------------------------- result records
@@ -302,7 +309,7 @@ def verdict_array(spark, sf):
 def result_document(spark, sf):
     r = rs.task_records(B.verdicts(spark, sf).select("task_id", "completion_id", "verdict"))
     base = F.array_join(F.transform("base", lambda v: F.coalesce(v, F.lit("null"))), ",")
-    return r.select("task_id", "nfiles", base.alias("base"))
+    return r.select("task_id", "part", "nfiles", base.alias("base"))
 
 
 @query
@@ -325,8 +332,11 @@ def legacy_results(spark, sf):
 
 @query
 def latest_version(spark, sf):
-    v = B.verdicts(spark, sf).select("task_id", F.get_json_object("props", "$.k").alias("k"),
-                                     "verdict", F.col("event_id").alias("version"))
+    """Version numbers beyond the whole numbers of a float64, and labels outside the five."""
+    v = B.verdicts(spark, sf)
+    label = F.when(F.col("event_id") % 13 == 0, F.lit("flaky")).otherwise(F.col("verdict"))
+    v = v.select("task_id", F.get_json_object("props", "$.k").alias("k"), label.alias("verdict"),
+                 (F.col("event_id") + F.lit(1 << 60)).alias("version"))
     return rs.latest_versions(v, ["task_id", "k"], "version").select("task_id", "k", "n_versions", "verdict", "version")
 
 
@@ -469,6 +479,14 @@ def work_plan(spark, sf):
     return p.select("task_id", "idx", "batch_no", "n_existing")
 
 
+@query
+def work_plan_gaps(spark, sf):
+    """Exactly the missing indices, where the stored ones have gaps and repeats."""
+    existing = B.samples(spark, sf).select("task_id", F.col("completion_idx").alias("idx"))
+    p = gn.work_plan(B.sample_tasks(spark, sf), existing.unionByName(existing), cfg=[], n_samples=6, batch_size=2, gap_fill=True)
+    return p.select("task_id", "idx", "batch_no")
+
+
 # ---------------------------------------------------------------- test-input generation
 
 
@@ -486,12 +504,12 @@ def reply_lines(spark, sf):
 
 def _new_inputs(spark, sf):
     cand = tg.reply_lines(B.input_replies(spark, sf))
-    return tg.new_inputs(cand, B.input_pool(spark, sf), num=10)
+    return tg.new_inputs(cand, B.input_pool(spark, sf), num=3)
 
 
 @query
 def new_inputs(spark, sf):
-    return _new_inputs(spark, sf).select("task_id", "input_text", "round_no", "line_no", "new_rank")
+    return _new_inputs(spark, sf).select("task_id", "input_text", "round_no", "line_no", "new_rank", "returned")
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,19 +26,13 @@ DEFAULT_CONF = {
 
 
 def get_session(master: str | None = None, app: str = "transeval", conf: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the settings above.
-
-    ``master`` defaults to ``local[$BENCH_CPUS]`` (or ``local[*]``) for local runs;
-    on a cluster pass ``None`` through ``spark-submit`` and let it decide.
-    """
+    """Build (or reuse) a session with the settings above. The master is set only if asked
+    for: under ``spark-submit`` the cluster decides, and so do its shuffle partitions and its
+    ``spark.checkpoint.dir``, unless ``conf`` names them."""
     builder = SparkSession.builder.appName(app)
-    if master is None:
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
-    builder = builder.master(master)
-    settings = dict(DEFAULT_CONF)
-    settings.setdefault("spark.sql.shuffle.partitions", "8")
-    settings.update(conf or {})
-    for k, v in settings.items():
+    if master is not None:
+        builder = builder.master(master)
+    for k, v in {**DEFAULT_CONF, **(conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -53,16 +46,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local session (tests, benchmarks) without one gets a fresh scratch folder; on a
     cluster a missing setting is an error rather than a machine-local guess.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(path)
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
-    path = tempfile.mkdtemp(prefix="transeval-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
+        path = tempfile.mkdtemp(prefix="transeval-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 

@@ -14,10 +14,11 @@ stand-in with the same shape. Every mapping here is mirrored in SQL in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from transeval.operators.ordered import position_in_group
+from transeval.functions.text import py_strip
+from transeval.operators.testgen import with_inputs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,16 +102,19 @@ TEST_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantit
 
 
 def _expected(task_key, test_idx) -> F.Column:
+    """Two decimal places; for one task in ten, 26."""
     v = (task_key * 31 + test_idx * 17) % 100000
-    return F.concat(F.floor(v / 100).cast("bigint").cast("string"), F.lit("."),
-                    F.lpad((v % 100).cast("string"), 2, "0"))
+    plain = F.concat(F.floor(v / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((v % 100).cast("string"), 2, "0"))
+    small = F.concat(F.lit("0." + "0" * 21), F.lpad(v.cast("string"), 5, "0"))
+    return F.when(task_key % 10 == 3, small).otherwise(plain)
 
 
 def exec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem x orders as an execution log; the test position is the line's rank in its order."""
+    """lineitem x orders as an execution log; the test position is the line's rank in its
+    order (an order has a few lines)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *TEST_ORDER, "l_discount", "l_tax", "l_linestatus")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    ranked = position_in_group(li, ["l_orderkey"], TEST_ORDER, pos_col="test_idx")
+    ranked = li.withColumn("test_idx", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*TEST_ORDER)) - 1)
     j = ranked.join(o, ranked.l_orderkey == o.o_orderkey, "inner")
     return j.select(
         F.col("o_custkey"), F.col("l_orderkey"),
@@ -125,20 +129,20 @@ def exec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TESTS_PER_TASK = 16
-
-
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tests of each task (customer): positions 0..15 with an expected output each
-    (a sample's log may run fewer; a position without a test cannot match)."""
-    c = table(spark, sf_dir, "customer").select("c_custkey")
-    t = c.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(TESTS_PER_TASK - 1))).alias("test_idx"))
-    return t.select(F.col("c_custkey").cast("string").alias("task_id"), F.col("test_idx").cast("int").alias("test_idx"),
-                    F.lit("").alias("input"), _expected(F.col("c_custkey"), F.col("test_idx")).alias("expected"))
+    """The tests of each task (customer): as many positions as the longest of its samples
+    has lines, with an expected output each."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_custkey").agg(F.max("n").alias("n"))
+    t = c.select("o_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("test_idx"))
+    return t.select(F.col("o_custkey").cast("string").alias("task_id"), F.col("test_idx").cast("int").alias("test_idx"),
+                    F.lit("").alias("input"), _expected(F.col("o_custkey"), F.col("test_idx")).alias("expected"))
 
 
 def exec_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Execution log with the program output made from the expected output by ``variant``."""
+    """Execution log with the program output made from the expected output by ``variant``:
+    among others decimal ties, and outputs with one decimal place fewer or more."""
     r = exec_rows(spark, sf_dir)
     exp = _expected(F.col("o_custkey"), F.col("test_idx"))
     whole = F.floor((((F.col("o_custkey") * 31 + F.col("test_idx") * 17) % 100000)) / 100).cast("bigint")
@@ -152,10 +156,26 @@ def exec_log(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(d == 7, F.concat(F.lit("  "), exp, F.lit("  ")))
               .when(d == 8, F.concat(F.lit("-"), exp))
               .when(d == 9, F.replace(exp, F.lit("."), F.lit(",")))
+              .when(d == 10, F.left(exp, F.length(exp) - 1))
+              .when(F.col("test_idx") % 2 == 0, F.concat(exp, F.lit("5")))
               .otherwise(exp))
     return r.withColumn("stdout", stdout).drop("variant")
 
 
+def evaluation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples, tasks and log of whole runs. A run is a market segment, its samples the
+    orders of the segment's customers. Every eleventh order has no log, and the runs of two
+    segments list all their customers as tasks, with or without orders."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("model"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    samples = o.select("model", F.col("o_custkey").cast("string").alias("task_id"), F.col("o_orderkey").cast("string").alias("completion_id"), "o_orderkey")
+    full = c.filter(F.col("model").isin("BUILDING", "MACHINERY")).select("model", F.col("c_custkey").cast("string").alias("task_id"))
+    tasks = full.unionByName(samples.select("model", "task_id")).distinct()
+    logged = samples.filter(F.col("o_orderkey") % 11 != 0).select("model", "task_id", "completion_id")
+    log = exec_log(spark, sf_dir).join(logged, on=["task_id", "completion_id"])
+    return samples.drop("o_orderkey"), tasks, log
+
+
 def compile_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents x labels: a labelled document's quality flag plays "compiles"."""
     lab = table(spark, sf_dir, "labels")
@@ -197,16 +217,29 @@ TOKENIZER_LIMITS = [2048, 100000, 10000000]
 
 
 def input_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each task's input pool: the non-blank lines of its document."""
+    """Each task's input pool: for each non-blank line of its document the pair of its length
+    and number, and one list in front."""
     t = tasks(spark, sf_dir)
-    lines = t.select("task_id", F.posexplode(F.split(F.col("code"), "\n", -1)).alias("pos", "line"))
-    from transeval.functions.text import py_strip
-    return lines.select("task_id", "pos", py_strip(F.col("line")).alias("input_text")).filter(F.col("input_text") != "")
+    lines = t.select("task_id", "doc_id", F.posexplode(F.split(F.col("code"), "\n", -1)).alias("pos", "line"))
+    pairs = lines.filter(py_strip(F.col("line")) != "").select(
+        "task_id", "pos", F.concat(F.length("line").cast("string"), F.lit(",  "), F.col("pos").cast("string")).alias("raw"))
+    heads = t.select("task_id", F.lit(-1).alias("pos"), F.concat(F.lit("[ "), (F.col("doc_id") % 5).cast("string"), F.lit("]")).alias("raw"))
+    return with_inputs(pairs.unionByName(heads), "raw")
 
 
 def input_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model replies to input-generation requests: assistant turns, odd ones fenced."""
+    """Model replies to input-generation requests: odd assistant turns list inputs in a
+    fence (pairs in two spellings, a list, a text, the length of the turn, a bad line, a
+    blank one), even ones have no fence."""
     s = samples(spark, sf_dir)
-    fenced = F.concat(F.lit("Here are inputs:\n```python\n"), F.col("solution"), F.lit("\n```\nbye"))
+    turn, conv = F.col("completion_idx").cast("string"), F.col("conv_id")
+    body = F.concat_ws("\n",
+                       F.concat(turn, F.lit(","), (conv % 7).cast("string")),
+                       F.concat(turn, F.lit(" , "), (conv % 7).cast("string"), F.lit("  # again")),
+                       F.concat(F.lit("foo bar "), turn), F.lit("   "),
+                       F.concat(F.lit("[ "), (conv % 5).cast("string"), F.lit(" ]")),
+                       F.concat(F.lit("'t"), turn, F.lit("'")),
+                       F.length("solution").cast("string"))
+    fenced = F.concat(F.lit("Here are inputs:\n```python\n"), body, F.lit("\n```\nbye"))
     return s.select("task_id", "completion_id", F.col("completion_idx").alias("round_no"),
-                    F.when(F.col("completion_idx") % 2 == 1, fenced).otherwise(F.col("solution")).alias("reply"))
+                    F.when(F.col("completion_idx") % 2 == 1, fenced).otherwise(body).alias("reply"))

@@ -58,6 +58,15 @@ def read_samples(spark: SparkSession, root: str, target_lang: str) -> DataFrame:
     return files.select("identifier", task.alias("task_id"), stem.alias("completion_id"), "solution")
 
 
+def read_sample_tree(spark: SparkSession, root: str, target_lang: str) -> DataFrame:
+    """All sample files of one target language under ``root``, whose folders are
+    ``<dataset>/<model>/<source>/<target>/temperature_T[-sanitized]``, with the configuration
+    columns of each."""
+    found = read_samples(spark, f"{root}/*/*/*/*/temperature_*", target_lang)
+    cols = parse_path(F.col("identifier"))[:len(CFG)]
+    return found.select(*cols, "identifier", "task_id", "completion_id", "solution").filter(F.col("target_lang") == target_lang)
+
+
 def _zero_byte_files(spark: SparkSession, root: str, ext: str) -> list[str]:
     """The text reader skips empty files; list them (metadata only) to keep them."""
     jvm = spark.sparkContext._jvm
@@ -75,7 +84,8 @@ def write_samples(samples: DataFrame, path: str, cfg=CFG, mode: str = "append")
 
 
 def append_samples(samples: DataFrame, path: str, cfg=CFG, text: str = "solution") -> DataFrame:
-    """Append generated samples keyed (config, task_id, idx). A reply that is not valid
+    """Append generated samples keyed (config, task_id, idx); ``generate.work_plan`` with
+    ``gap_fill`` plans indices that the table lacks, so no index is written twice. A reply that is not valid
     UTF-8 cannot be written as a sample file: it is skipped without taking an index, so
     the next resume plans that index again. Returns the skipped rows."""
     valid = F.coalesce(F.is_valid_utf8(F.col(text)), F.lit(False))
@@ -83,10 +93,13 @@ def append_samples(samples: DataFrame, path: str, cfg=CFG, text: str = "solution
     return samples.filter(~valid)
 
 
-def export_sample_tree(samples: DataFrame, root: str, ext_col: str = "ext") -> None:
+def export_sample_tree(samples: DataFrame, root: str, ext_col: str = "ext", shared_mount: bool = False) -> None:
     """One file per sample, ``<root>/<task_id>/<idx><ext>`` (the layout compile-and-run
-    harnesses read). Each Spark task writes its own rows; ``root`` must be storage every
-    executor sees (a shared mount). Needs ``task_id``, ``idx``, ``solution`` and ``ext``."""
+    harnesses read). Each Spark task writes its own rows, so ``root`` must be a folder that
+    all machines see; off local mode the caller says so with ``shared_mount=True``. Needs
+    ``task_id``, ``idx``, ``solution`` and ``ext``."""
+    if not shared_mount and not samples.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("each executor would write to a folder of its own; export to a shared mount")
     rows = samples.select(F.replace(F.col("task_id"), F.lit("/"), F.lit("_")).alias("task"),
                           F.col("idx").cast("string").alias("idx"), F.col(ext_col).alias("ext"), "solution")
 

@@ -58,71 +58,3 @@ def score_stream(spark: SparkSession, log_dir: str, tests: DataFrame, verdict_di
 def current_leaderboard(spark: SparkSession, verdict_dir: str, cfg: Sequence[str] = ()) -> DataFrame:
     """Leaderboard over every verdict scored so far."""
     return leaderboard(spark.read.parquet(verdict_dir).drop("batch_id"), list(cfg))
-
-
-# ---------------------------------------------------------------- test rows arriving in any order
-
-_CODES = {label: code for code, label in K.VERDICT_CODES.items() if label is not None}
-_LABELS = {v: k for k, v in _CODES.items()}
-_STATE = "idx array<int>, code array<int>, n_tests int, cfail boolean"
-_OUT = "task_id string, completion_id string, verdict string"
-
-
-def _decide(idx, code, n_tests, cfail):
-    """Verdict when it can no longer change, else None: the first failure once every
-    earlier test is in, or success once all tests are in."""
-    if cfail:
-        return True, "compile_failed"
-    seen = dict(zip(idx, code))
-    for i in range(n_tests):
-        if i not in seen:
-            return False, None
-        if seen[i] != 0:
-            return True, _LABELS[seen[i]]
-    return True, ("success" if n_tests > 0 else None)
-
-
-def _update(key, batches, state):
-    import pandas as pd
-    if state.exists:
-        idx, code, n_tests, cfail = state.get
-        idx, code = list(idx), list(code)
-    else:
-        idx, code, n_tests, cfail = [], [], 0, False
-    for pdf in batches:
-        n_tests = int(pdf["n_tests"].fillna(0).max()) if len(pdf) else n_tests
-        cfail = cfail or bool((~pdf["compile_ok"].astype(bool)).any())
-        rows = pdf[pdf["test_idx"].notna()]
-        idx += [int(i) for i in rows["test_idx"]]
-        code += [_CODES[o] for o in rows["outcome"]]
-    done, verdict = _decide(idx, code, n_tests, cfail)
-    if done:
-        if state.exists:
-            state.remove()
-        yield pd.DataFrame({"task_id": [key[0]], "completion_id": [key[1]], "verdict": [verdict]})
-    else:
-        state.update((idx, code, n_tests, cfail))
-
-
-def score_stream_unordered(spark: SparkSession, log_dir: str, tests: DataFrame, verdict_dir: str, checkpoint: str,
-                           schema: StructType = EXEC_LOG_SCHEMA, available_now: bool = True) -> StreamingQuery:
-    """Like ``score_stream`` but a sample's test rows may arrive in any files and order.
-
-    Each sample keeps (tests seen, their outcome codes) as streaming state -- bounded by
-    the task's test count -- and its verdict is written exactly once, as soon as it is
-    final. ``tests``: task_id, test_idx, expected (a static table)."""
-    from transeval.operators.verdict import attach_expected, test_outcomes
-    n_tests = tests.groupBy("task_id").agg(F.count(F.lit(1)).cast("int").alias("n_tests"))
-    logs = spark.readStream.schema(schema).parquet(log_dir)
-    outcomes = test_outcomes(attach_expected(logs, tests)).join(n_tests, "task_id", "left")
-    verdicts = (outcomes.select("task_id", "completion_id", "test_idx", "compile_ok", "outcome", "n_tests")
-                .groupBy("task_id", "completion_id")
-                .applyInPandasWithState(_update, _OUT, _STATE, "append", "NoTimeout"))
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(verdict_dir))
-
-    writer = verdicts.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
-    return writer.start()
