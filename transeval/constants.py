@@ -100,80 +100,141 @@ TESTGEN_EXAMPLES = "\nThese are some example inputs used to test the function:\n
 # --- FIXED VALUES: prompt templates ----------------------------------------
 # Placeholders: {src} source language, {trg} target language, {code} source code.
 # The indentation inside the multi-line texts is part of the prompt.
-_I8 = " " * 8
-_I16 = " " * 16
-_END = '"<END-OF-CODE>"'
 PROMPT_TEMPLATES = {
-    "base": "{src}:\n{code}\n\nTranslate the above {src} code to {trg} and end with comment "
-            + _END + ".\n\n{trg}:\n",
-    "gpt": "You are a code translation expert. Translate the {src} code below to {trg}\n\n{src}\n{code}\n\n{trg}\n",
-    "gemini": "You are a code translation expert. Translate the {src} code below to {trg}\n\n{src}\n{code}\n\n{trg}\n",
-    "claude": "\n```Translate the {src} code below to {trg}\n\n{src}\n{code}\n\n{trg}\n```\n",
-    "codellama": "<s>[INST] <<SYS>> You are a code translation expert. <</SYS>>\n\nTranslate the {src} code below to {trg} and end with comment "
-                 + _END + "\n\n[/INST]\n\n{src}:\n{code}\n\n{trg}:\n",
-    "octocoder": "Question: You are a code translation expert. Translate the {src} code below to {trg} and end with comment "
-                 + _END + "\n\n{src}\n{code}\n\nAnswer:\n {trg}\n",
-    "dolphin": "<|im_start|>system\n"
-               + _I16 + "You are a code translation expert.<|im_end|>\n"
-               + _I16 + "<|im_start|>user\n"
-               + _I16 + "Can you translate the following {src} code into {trg} and end with comment " + _END + "?\n"
-               + _I16 + "```{src}\n"
-               + _I16 + "{code}\n"
-               + _I16 + "```\n"
-               + _I16 + "<|im_end|>\n"
-               + _I16 + "<|im_start|>assistant\n"
-               + _I16 + "```{trg}\n"
-               + _I16,
-    "starcoder": "<fim_prefix>{src}:\n{code}\n{trg}:\n<fim_suffix><fim_middle>",
-    "solar": "<s> ### User:\n"
-             + _I8 + "Can you translate the {src} code below to {trg} and end with comment " + _END + "?\n"
-             + _I8 + "```{src}\n"
-             + _I8 + "{code}\n"
-             + _I8 + "```\n"
-             + "\n"
-             + _I8 + "### Assistant:\n"
-             + _I8 + "Sure!\n"
-             + _I8 + "```{trg}\n"
-             + _I8,
-    "wizardcoder": "You are a code translation expert. Below is an instruction that describes a code translation task. "
-                   "Write a response that appropriately completes the request.\n"
-                   + "\n"
-                   + _I8 + "### Instruction:\n"
-                   + _I8 + "Write {trg} code that translates the following {src} code and end with comment" + _END + ":\n"
-                   + _I8 + "{code}\n"
-                   + "\n"
-                   + _I8 + "### Response:",
-    "deepseek": "You are an AI programming assistant, utilizing the DeepSeek Coder model, developed by DeepSeek Company, "
-                "and you only answer questions related to computer science. For politically sensitive questions, "
-                "security and privacy issues, and other non-computer science questions, you will refuse to answer.\n"
-                + _I8 + "### Instruction:\n"
-                + _I8 + "Translate the following {src} code to {trg}.\n\n{src}\n{code}\n"
-                + "\n"
-                + _I8 + "### Response:\n"
-                + _I8,
-    "phi": "Instruct: You are a code translation expert. Translate the {src} code below to {trg} and end with comment "
-           + _END + "\n\n{src}\n{code}\n\nOutput:\n {trg}\n",
-    "magic": "You are an exceptionally intelligent coding assistant that consistently delivers accurate and reliable "
-             "responses to user instructions.\n"
-             + "\n"
-             + _I8 + "@@ Instruction\n"
-             + _I8 + "You are a code translation expert. Translate the {src} code below to {trg} and end with comment "
-             + _END + "\n\n{src}\n{code}\n'\n"
-             + "\n"
-             + _I8 + "@@ Response\n"
-             + _I8 + "{trg}\n"
-             + _I8,
-    "vicuna": "### System Prompt\n"
-              + " " * 21 + "You are a code translation expert.\n"
-              + "\n"
-              + " " * 20 + "### User Message\n"
-              + " " * 20 + "Translate the {src} code below to {trg} and end with comment " + _END
-              + "\n\n{src}\n{code}\n\n"
-              + "\n"
-              + " " * 20 + "### Assistant\n"
-              + " " * 19,
+    "base": """{src}:
+{code}
+
+Translate the above {src} code to {trg} and end with comment "<END-OF-CODE>".
+
+{trg}:
+""",
+    "gpt": """You are a code translation expert. Translate the {src} code below to {trg}
+
+{src}
+{code}
+
+{trg}
+""",
+    "gemini": """You are a code translation expert. Translate the {src} code below to {trg}
+
+{src}
+{code}
+
+{trg}
+""",
+    "claude": """
+```Translate the {src} code below to {trg}
+
+{src}
+{code}
+
+{trg}
+```
+""",
+    "codellama": """<s>[INST] <<SYS>> You are a code translation expert. <</SYS>>
+
+Translate the {src} code below to {trg} and end with comment "<END-OF-CODE>"
+
+[/INST]
+
+{src}:
+{code}
+
+{trg}:
+""",
+    "octocoder": """Question: You are a code translation expert. Translate the {src} code below to {trg} and end with comment "<END-OF-CODE>"
+
+{src}
+{code}
+
+Answer:
+ {trg}
+""",
+    "dolphin": """<|im_start|>system
+                You are a code translation expert.<|im_end|>
+                <|im_start|>user
+                Can you translate the following {src} code into {trg} and end with comment "<END-OF-CODE>"?
+                ```{src}
+                {code}
+                ```
+                <|im_end|>
+                <|im_start|>assistant
+                ```{trg}
+                """,
+    "starcoder": """<fim_prefix>{src}:
+{code}
+{trg}:
+<fim_suffix><fim_middle>""",
+    "solar": """<s> ### User:
+        Can you translate the {src} code below to {trg} and end with comment "<END-OF-CODE>"?
+        ```{src}
+        {code}
+        ```
+
+        ### Assistant:
+        Sure!
+        ```{trg}
+        """,
+    "wizardcoder": """You are a code translation expert. Below is an instruction that describes a code translation task. Write a response that appropriately completes the request.
+
+        ### Instruction:
+        Write {trg} code that translates the following {src} code and end with comment"<END-OF-CODE>":
+        {code}
+
+        ### Response:""",
+    "deepseek": """You are an AI programming assistant, utilizing the DeepSeek Coder model, developed by DeepSeek Company, and you only answer questions related to computer science. For politically sensitive questions, security and privacy issues, and other non-computer science questions, you will refuse to answer.
+        ### Instruction:
+        Translate the following {src} code to {trg}.
+
+{src}
+{code}
+
+        ### Response:
+        """,
+    "phi": """Instruct: You are a code translation expert. Translate the {src} code below to {trg} and end with comment "<END-OF-CODE>"
+
+{src}
+{code}
+
+Output:
+ {trg}
+""",
+    "magic": """You are an exceptionally intelligent coding assistant that consistently delivers accurate and reliable responses to user instructions.
+
+        @@ Instruction
+        You are a code translation expert. Translate the {src} code below to {trg} and end with comment "<END-OF-CODE>"
+
+{src}
+{code}
+'
+
+        @@ Response
+        {trg}
+        """,
+    "vicuna": """### System Prompt
+                     You are a code translation expert.
+
+                    ### User Message
+                    Translate the {src} code below to {trg} and end with comment "<END-OF-CODE>"
+
+{src}
+{code}
+
+
+                    ### Assistant
+                   """,
+    "mistral-hermes": """<|im_start|>system
+                You are a code translation expert.<|im_end|>
+                <|im_start|>user
+                Can you translate the following {src} code into {trg} and end with comment "<END-OF-CODE>"?
+                ```{src}
+                {code}
+                ```
+                <|im_end|>
+                <|im_start|>assistant
+                ```{trg}
+                """,
 }
-PROMPT_TEMPLATES["mistral-hermes"] = PROMPT_TEMPLATES["dolphin"]
 # prompt types the command line offers
 CLI_PROMPT_TYPES = ["base", "gemini", "claude", "gpt", "codellama", "octocoder", "dolphin", "solar",
                     "wizardcoder", "deepseek"]

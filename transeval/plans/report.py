@@ -32,14 +32,14 @@ def main(argv=None):
     ap.add_argument("--sf", default="/root/testdata/sf0.1")
     args = ap.parse_args(argv)
     sys.path.insert(0, ".")
-    from __spark_entry__ import queries
+    from transeval.plans.queries import QUERIES
     from transeval.session import checkpoint_dir, get_session
     spark = get_session(master="local[4]")
     checkpoint_dir(spark)
     print("# Physical plans of the registered queries\n")
     print(f"Final adaptive plans after one run at `{args.sf}` (local[4]); counts of operators.\n")
     print("| query | operators | pushed filters |\n|---|---|---|")
-    for name, fn in sorted(queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         df = fn(spark, args.sf)
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()
