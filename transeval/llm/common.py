@@ -19,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of the contracts: runs of digits, lower-case ASCII letters and everything
 #: beyond ASCII, taken after lower-casing A-Z.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between such words.
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: the lineage ends
     here, and every machine can read the rows after others are lost."""
@@ -65,11 +75,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def category_ranges(category: str) -> str:
-    """Character-class text of all code points whose general category starts so."""
+#: Code points up to which a pattern's classes reach: the regular-expression engine tests
+#: classes of Latin-1 or of the basic plane by table, wider ones range by range.
+LATIN, BASIC, ALL = 0xFF, 0xFFFF, sys.maxunicode
+
+
+def reach(text: str) -> int:
+    """The smallest of LATIN, BASIC and ALL that covers the text."""
+    try:
+        text.encode("latin-1")
+        return LATIN
+    except UnicodeEncodeError:
+        return BASIC if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else ALL
+
+
+def category_ranges(category: str, limit: int = ALL) -> str:
+    """Character-class text of all code points up to ``limit`` whose general category starts
+    so."""
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c)).startswith(category)
+    for c in range(limit + 2):
+        inside = c <= limit and unicodedata.category(chr(c)).startswith(category)
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -79,8 +104,15 @@ def category_ranges(category: str) -> str:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """Lower-case A-Z only; null counts as empty. A text of ASCII alone needs no table."""
+    some = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(some) == F.length(some), F.lower(some)).otherwise(F.translate(some, UPPER, LOWER))
+
+
+def words_of(norm: Column) -> Column:
+    """The words of an already lower-cased text: splitting at what lies between is cheaper
+    than collecting matches, and leaves empty strings only at the ends."""
+    return F.array_remove(F.split(norm, BETWEEN_WORDS, -1), "")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

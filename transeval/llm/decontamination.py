@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, ascii_lower, written
+from .common import ascii_lower, words_of, written
 
 PHRASE = 13
 RAREST = 3
@@ -29,7 +29,7 @@ KEY = ["doc_id", "text_hash"]
 def with_words(df: DataFrame, id_col: str, text_col: str, name: str = "doc_id") -> DataFrame:
     """id, hash of the normalised text, words."""
     norm = df.select(F.col(id_col).alias(name), ascii_lower(F.col(text_col)).alias("norm"))
-    return norm.select(name, F.xxhash64("norm").alias("text_hash"), F.regexp_extract_all("norm", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
+    return norm.select(name, F.xxhash64("norm").alias("text_hash"), words_of(F.col("norm")).alias("words"))
 
 
 def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -103,7 +103,7 @@ def phrase_matches(docs: DataFrame, found: DataFrame, index: DataFrame, id_col:
     texts = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("norm")).withColumn("text_hash", F.xxhash64("norm"))
     pairs = texts.join(wanted.withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_"}),
                        F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")))
-    held = pairs.select(*KEY, "wanted", F.regexp_extract_all("norm", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
+    held = pairs.select(*KEY, "wanted", words_of(F.col("norm")).alias("words"))
     same = F.filter("wanted", lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["terms"])) == c["terms"])
     matches = F.transform(same, lambda c: F.struct(c["start"].alias("start"), F.size(c["terms"]).alias("size"), c["phrase_id"].alias("phrase_id")))
     return held.select(*KEY, matches.alias("matches")).filter(F.size("matches") > 0).dropDuplicates(KEY)
