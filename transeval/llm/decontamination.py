@@ -104,7 +104,8 @@ def phrase_matches(docs: DataFrame, found: DataFrame, index: DataFrame, id_col:
     pairs = texts.join(wanted.withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_"}),
                        F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")))
     held = pairs.select(*KEY, "wanted", words_of(F.col("norm")).alias("words"))
-    same = F.filter("wanted", lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["terms"])) == c["terms"])
+    # the words are bound to a variable, so that they are made once for all candidates
+    same = F.transform(F.array("words"), lambda w: F.filter("wanted", lambda c: F.slice(w, c["start"] + 1, F.size(c["terms"])) == c["terms"]))[0]
     matches = F.transform(same, lambda c: F.struct(c["start"].alias("start"), F.size(c["terms"]).alias("size"), c["phrase_id"].alias("phrase_id")))
     return held.select(*KEY, matches.alias("matches")).filter(F.size("matches") > 0).dropDuplicates(KEY)
 
