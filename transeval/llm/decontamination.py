@@ -96,7 +96,8 @@ def candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
 def phrase_matches(docs: DataFrame, found: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document with a match: its matches (start, size, phrase_id), exact to
     the word."""
-    rare = bounded(rarest_terms(found, index), 96)
+    # small, and used more than once: written, so that the index is counted once
+    rare = bounded(written(rarest_terms(found, index), "rarest"), 96)
     named = bounded(found.select("phrase_id", "terms"), 512)
     wanted = (candidates(index, rare).join(named, "phrase_id")
               .groupBy(*KEY).agg(F.collect_list(F.struct("start", "terms", "phrase_id")).alias("wanted")))
