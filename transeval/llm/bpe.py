@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import category_ranges, small_batches
+from .common import ALL, LATIN, category_ranges, reach, small_batches
 
 #: Fixed values of the tokenizer format: the mark of a word's last piece, and the word
 #: rule (contractions, letter runs, single numerals, runs of anything else).
@@ -33,19 +33,21 @@ CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 WHITE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
          (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 
-CACHE_WORDS = 200_000
+#: What a worker remembers: words with their ids, and token pairs known to be compatible or not.
+CACHE_WORDS, CACHE_PAIRS = 300_000, 300_000
 
 
 @functools.cache
-def word_pattern() -> re.Pattern:
-    letters, numbers = category_ranges("L"), category_ranges("N")
-    white = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in WHITE)
+def word_pattern(limit: int = ALL) -> re.Pattern:
+    """For texts of code points up to ``limit``."""
+    letters, numbers = category_ranges("L", limit), category_ranges("N", limit)
+    white = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in WHITE if b <= limit)
     return re.compile(f"{'|'.join(CONTRACTIONS)}|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+")
 
 
 @functools.cache
-def unassigned_pattern() -> re.Pattern:
-    return re.compile(f"[{category_ranges('Cn')}]")
+def unassigned_pattern(limit: int) -> re.Pattern:
+    return re.compile(f"[{category_ranges('Cn', limit)}]")
 
 
 def byte_alphabet() -> list[str]:
@@ -135,7 +137,7 @@ class BacktrackingBpe:
                     limit, left = left, split[left][1]
                     if left == limit:
                         ok = True
-        if len(self._compatible) >= 4 * CACHE_WORDS:
+        if len(self._compatible) >= CACHE_PAIRS:
             self._compatible.clear()
         self._compatible[key] = ok
         return ok
@@ -171,8 +173,9 @@ class BacktrackingBpe:
         return self.ids[out].tolist()
 
     def _split_by_library(self, text: str, out: list[bytes]) -> None:
-        """For texts with characters that Python's Unicode tables do not know yet: the
-        tokenizer file's own normaliser and word rule, from the library's newer tables."""
+        """For texts that normalisation changes, or with characters that Python's Unicode
+        tables do not know: the tokenizer file's own normaliser and word rule, whose tables
+        are of another Unicode version."""
         if self._library is None:
             self._library = Tokenizer.from_file(self._path)
         split = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
@@ -180,14 +183,13 @@ class BacktrackingBpe:
             out.append(np.array(self.encode_word(bytes(self._byte_of[c] for c in word)), np.int32).tobytes())
 
     def _plain(self, text: str, out: list[bytes]) -> None:
-        if not text.isascii() and unassigned_pattern().search(text):
+        limit = reach(text)
+        if limit > LATIN and (not unicodedata.is_normalized("NFC", text) or unassigned_pattern(limit).search(text)):
             return self._split_by_library(text, out)
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
         # lower-casing goes character by character, without the rule for a final sigma
         text = text.replace("Σ", "σ").lower()
         words = self._words
-        for w in word_pattern().findall(text):
+        for w in word_pattern(reach(text)).findall(text):
             ids = words.get(w)
             if ids is None:
                 if len(words) >= CACHE_WORDS:
