@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import category_ranges, fold, small_batches, training_sample
+from .common import category_ranges, fold, reach, small_batches, training_sample
 
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
@@ -38,12 +38,14 @@ CACHE_WORDS = 250_000
 
 
 @functools.cache
-def letters() -> re.Pattern:
-    return re.compile(f"[{category_ranges('L')}]+")
+def letters(limit: int) -> re.Pattern:
+    """Runs of letters of texts whose code points reach up to ``limit``."""
+    return re.compile(f"[{category_ranges('L', limit)}]+")
 
 
 def words_of(text: str) -> list[str]:
-    return letters().findall(text.lower())
+    low = text.lower()
+    return letters(reach(low)).findall(low)
 
 
 class LanguageCrf:
@@ -271,7 +273,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = (docs.filter((fold(F.col(id_col), FOLDS) != HELD_OUT) & F.col(lang_col).isNotNull())
             .select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")))
     sample = [(r["_text"], r["_lang"]) for r in training_sample(rows, "_text", ["_id", "_lang"], max_rows, max_chars)]
-    sample = [r for r in sample if letters().search(r[0].lower())]
+    sample = [r for r in sample if words_of(r[0])]
     if not sample:
         return None
     labels = sorted({label for _, label in sample})
@@ -283,6 +285,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return LanguageCrf(labels, {w: tuple(v) for w, v in frequent.items()}).fit(sample)
 
 
+def with_language(docs: DataFrame, crf: LanguageCrf | None, lang: str, score: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the language of each text and its mean probability as further columns,
+    whose names it does not have yet; values as in ``identify``."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    schema = docs.withColumn(lang, F.lit("")).withColumn(score, F.lit(0.0)).schema
+    at = docs.columns.index(text_col)
+    shared = spark.sparkContext.broadcast(crf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        memory = _Emissions(model) if model else None
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            found = label_texts(model, texts, memory) if model else [(UNKNOWN, 0.0, 0, 0)] * len(texts)
+            more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def identify(docs: DataFrame, crf: LanguageCrf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_words, n_switches of each row of ``docs``.
 
