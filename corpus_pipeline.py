@@ -12,48 +12,57 @@ The first four return the columns of their input, whatever these are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transeval.llm import bpe, decontamination, exact_dedup, language_id, near_join
-from transeval.llm.common import ascii_lower, table, written
+from transeval.llm.common import ascii_lower, table, unused, written
 from transeval.llm.queries import tokenizer_path
+from transeval.llm.shards import NULL_ID
 
 #: A language is clear if its mean probability over the words of a text reaches this. Four
 #: languages are known, so a text that is half in another one still passes.
 CLEAR = 0.4
 
 
+def without(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """``docs`` but for the ids of ``out``; a null id is an id like any other."""
+    key = unused(docs, "out_id")
+    gone = out.select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a clear language; texts without letters go. The field is fitted on the
     documents given, outside its held-out fold."""
-    found = language_id.identify(docs, language_id.train(docs))
-    out = found.filter((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < CLEAR)).select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")
+    lang, score = unused(docs, "found_lang"), unused(docs, "found_score")
+    found = language_id.with_language(docs, language_id.train(docs), lang, score)
+    return found.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= CLEAR)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal after lower-casing A-Z, the row with the largest id; rows that repeat
     id and text stay as one."""
     found = exact_dedup.exact_duplicates(docs)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).distinct()
-    named = docs.withColumn("_sha", F.sha2(ascii_lower(F.col("text")), 256))
-    same = named["doc_id"].eqNullSafe(kept["_id"]) & (named["_sha"] == kept["_text"])
-    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    digest, key, nth = (unused(docs, n) for n in ("digest", "kept_id", "nth"))
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    kept = found.filter("kept").select(known.alias(key), F.col("text_sha256").alias(digest)).distinct()
+    named = docs.withColumns({key: known, digest: F.sha2(ascii_lower(F.col("text")), 256)})
+    # the join leaves equal keys together, so the first of repeated rows is found in place
+    first = F.row_number().over(Window.partitionBy(key, digest).orderBy(key))
+    return named.join(kept, [key, digest], "left_semi").withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document with the smallest id."""
     found = near_join.near_duplicates(docs)
-    out = found.filter("class_id <> doc_id").select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(out, F.col("doc_id") == F.col("_out"), "left_anti")
+    return without(docs, found.filter("class_id <> doc_id"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark of ``sf_dir``."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    out = found.filter("contaminated").select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_out")), "left_anti")
+    return without(docs, found.filter("contaminated"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
