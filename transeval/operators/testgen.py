@@ -59,6 +59,10 @@ def parsed_input(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in text], columns=["canonical", "shown"])
 
 
+# so that a filter on the parsed value does not parse a second time
+parsed_input = parsed_input.asNondeterministic()
+
+
 def with_inputs(lines: DataFrame, line: str) -> DataFrame:
     """Replaces the text column ``line`` by ``input_text`` (canonical) and ``shown``; lines
     that are no literals are dropped."""
@@ -95,12 +99,11 @@ def new_inputs(candidates: DataFrame, pool: DataFrame, num: int, *, key: str = "
     firsts = fresh.groupBy(key, text).agg(F.min(packed).alias("_first"))
     found = firsts.select(key, text, F.shiftright("_first", 32).cast("int").alias(r),
                           F.col("_first").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(ln))
-    # at most rounds + 1 rows per key: what earlier rounds had found
-    per_round = found.groupBy(key, r).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(key).orderBy(r).rowsBetween(Window.unboundedPreceding, -1)
-    before = per_round.select(key, r, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).filter(F.col("_before") < num)
-    in_round = Window.partitionBy(key, r).orderBy(ln)
-    ranked = found.join(before, on=[key, r]).withColumn("new_rank", F.col("_before") + F.row_number().over(in_round) - 1)
+    # a key has the lines of at most rounds + 1 replies
+    by_key = Window.partitionBy(key)
+    before = F.count(F.lit(1)).over(by_key.orderBy(r).rangeBetween(Window.unboundedPreceding, -1))
+    nth = F.row_number().over(by_key.orderBy(r, ln)).cast("long") - 1
+    ranked = found.withColumn("_before", before).withColumn("new_rank", nth).filter(F.col("_before") < num)
     return ranked.withColumn("returned", F.col("new_rank") < num).drop("_before")
 
 
