@@ -119,7 +119,7 @@ def surviving_pairs(a: np.ndarray, b: np.ndarray | None, size_a: np.ndarray, siz
     b, size_b = (a, size_a) if one else (b, size_b)
     least = fewest_matches()
     keep_i, keep_j = [], []
-    rows = max(1, (1 << 22) // max(1, len(b)))
+    rows = max(1, (1 << 20) // max(1, len(b)))
     for lo in range(0, len(a), rows):
         x = a[lo:lo + rows]
         m = np.zeros((len(x), len(b)), np.uint8)
