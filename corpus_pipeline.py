@@ -67,12 +67,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, and the digests of ids and decoded text."""
-    path = tokenizer_path()
-    coded = bpe.encode(docs.select("doc_id", "text"), path, ids_col="token_ids")
-    back = bpe.decode(coded, path, ids_col="token_ids", text_col="decoded")
-    decimal = F.array_join(F.transform("token_ids", lambda i: i.cast("string")), " ")
-    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-                       F.sha2(decimal, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return bpe.coded(docs, tokenizer_path())
 
 
 STAGES = [

@@ -268,23 +268,34 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", text_col: str
     return rest.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encode and decode each
-    whole text and keep only the digests. Null and empty texts have no tokens; rows that
-    repeat come out as often. Other columns of ``docs`` are not read."""
+def coded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, token_ids (if asked for), ids_sha256, decoded_sha256 of each row: each
+    whole text is encoded and its ids decoded again in one pass. Null and empty texts have no
+    tokens; rows that repeat come out as often. Other columns of ``docs`` are not read."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = rows.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+    empty = {"n_tokens": F.lit(0).cast("long"), "token_ids": F.array().cast("array<int>"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}
+    if not with_ids:
+        del empty["token_ids"]
+    schema = rows.select("doc_id", *[v.alias(k) for k, v in empty.items()]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            n, coded, decoded = [], [], []
+            all_ids, written, decoded = [], [], []
             for t in b.column(1):
                 ids = bpe.encode(t.as_py())
-                n.append(len(ids))
-                coded.append(hashlib.sha256(bpe.decimal(ids)).hexdigest())
+                all_ids.append(ids)
+                written.append(hashlib.sha256(bpe.decimal(ids)).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], names=schema.names)
+            cols = [b.column(0), pa.array(list(map(len, all_ids)), pa.int64())]
+            if with_ids:
+                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(written, pa.string()), pa.array(decoded, pa.string())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``coded`` without the ids themselves."""
+    return coded(docs, path, id_col, text_col, with_ids=False)
