@@ -116,6 +116,36 @@ def test_skip_edges_carry_labels():
     assert np.allclose(tied[1], p.sum(0), atol=1e-3)
 
 
+def test_one_mention_labels_all_others():
+    """Fifty mentions of which the first alone has evidence; what else is in its document or
+    in its batch changes nothing."""
+    crf = pii.SkipChainCrf()
+    crf.skip += 3 * np.eye(pii.K)
+    text = "tel: 55x1234" + (" word" * 12 + " 55x1234") * 49
+    crf.unary[zlib.crc32(b"left x:") % pii.BUCKETS, 4] = 12
+    want = [(3, m.start(), m.end()) for m in re.finditer("55x1234", text)]
+    assert crf.added_spans([text], [[]]) == [want]
+    for n in (pii.GRAPH_NODES - 25, pii.GRAPH_NODES + 25):
+        assert crf.added_spans(["1 " * n, text], [[], []])[1] == want
+        first, rest = text[:12], text[12:]
+        moved = [(k, a + 2 * n + 1, z + 2 * n + 1) if a else (k, a, z) for k, a, z in [(3, 0, 0), *want[1:]]][1:]
+        assert crf.added_spans([first + " " + "1 " * n + rest], [[]])[0] == [want[0], *moved]
+
+
+def test_messages_of_a_graph_with_loops_come_to_rest():
+    """Also with potentials that make them swing, and whatever graphs are beside it."""
+    rng = np.random.default_rng(8)
+    crf = pii.SkipChainCrf()
+    crf.unary[:8], crf.chain = rng.normal(size=(8, pii.K)), -4 * np.eye(pii.K)
+    crf.skip = -4 * np.eye(pii.K)
+    feats, chain = rng.integers(0, 8, (12, 2)), np.array([(i, i + 1) for i in range(11)])
+    skip = np.array([(i, j) for i in range(12) for j in range(i + 2, 12)])
+    alone = crf.marginals(feats, chain, skip)
+    assert np.allclose(alone.sum(1), 1)
+    both = crf.marginals(np.r_[feats, feats[:3]], np.r_[chain, [[12, 13]]], np.r_[skip, [[13, 14]]], np.r_[np.zeros(12, int), np.ones(3, int)])
+    assert np.allclose(both[:12], alone)
+
+
 def test_chain_posteriors_equal_enumeration():
     rng = np.random.default_rng(3)
     crf = language_id.LanguageCrf(["a", "b", "c"], {})

@@ -3,9 +3,11 @@
 The patterns of ``base_spans`` are always reported. The field adds spans: its nodes are the
 tokens that hold a digit, an at sign or a plus sign (all other tokens are known to be
 outside). Neighbouring nodes share a chain potential; nodes of one document whose tokens are
-the same, or the same up to punctuation and case, share a skip potential however far apart
-they are, so that a label found for one is carried to the others. Loopy message passing
-over both kinds of edges gives the label probabilities.
+the same, or the same up to punctuation and case, share a skip potential with one hidden
+node for all of them, so that any two are two steps apart and a label found for one is
+carried to the others. Loopy message passing over both kinds of edges gives the label
+probabilities; it goes on in each document until its messages stop changing, and a
+document's edges are never cut.
 
 The weights are learned here from a bounded sample of texts whose pattern matches serve as
 labels (distant supervision), by gradient steps on the pseudo-likelihood.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -39,8 +42,12 @@ K = 1 + len(KINDS)
 BUCKETS = 1 << 13
 TRAIN_ROWS, TRAIN_CHARS = 2000, 6_000_000
 EPOCHS, RATE, PENALTY = 60, 0.5, 1e-4
-ROUNDS, DAMPING, CERTAIN = 8, 0.3, 0.5
-#: Nodes whose messages are passed together; a longer document is several graphs.
+CERTAIN = 0.5
+#: Messages move by this share of their change in a round, and have stopped when none moves
+#: by STILL. Where the largest change has not fallen by a tenth in PATIENCE rounds, messages
+#: swing around a loop: the share is lowered by SLOWER, so that each graph comes to rest.
+STEP, STILL, PATIENCE, SLOWER = 0.7, 1e-5, 50, 0.7
+#: Whole documents of about so many nodes in all are handled together; a longer one alone.
 GRAPH_NODES = 1 << 15
 
 
@@ -132,8 +139,8 @@ def node_features(text: str, a: int, z: int) -> list[int]:
 
 def edges_of(keys: list[str], spans: list[tuple[int, int]], near: int = 40) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Chain edges between neighbouring nodes at most ``near`` characters apart, and skip
-    edges from each node to the next one with its key: a key with m nodes has m - 1 edges,
-    which tie all of them together."""
+    edges from each node to the next one with its key, on which the skip potential is
+    learned."""
     chain = [(i - 1, i) for i in range(1, len(spans)) if spans[i][0] - spans[i - 1][1] <= near]
     last: dict[str, int] = {}
     skip = []
@@ -145,6 +152,13 @@ def edges_of(keys: list[str], spans: list[tuple[int, int]], near: int = 40) -> t
     return chain, skip
 
 
+def hubs_of(keys: list[str]) -> list[tuple[int, int]]:
+    """Edges from a hidden node for each key of several nodes, numbered from 0, to these."""
+    often = Counter(filter(None, keys))
+    number = {key: h for h, key in enumerate(key for key, m in often.items() if m > 1)}
+    return [(number[key], i) for i, key in enumerate(keys) if key in number]
+
+
 class SkipChainCrf:
     def __init__(self) -> None:
         self.unary = np.zeros((BUCKETS, K))
@@ -152,22 +166,29 @@ class SkipChainCrf:
         self.skip = np.zeros((K, K))
 
     @staticmethod
-    def graph(texts: list[str]) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def graph(texts: list[str], hubs: bool = False) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Nodes (text number, start, end), their features, the text of each node, and the
-        chain and skip edges of many texts together."""
-        nodes, feats, chain, skip = [], [], [], []
+        chain and skip edges of many texts together. With ``hubs`` skip edges start at the
+        hidden nodes of the keys, which are numbered after all others."""
+        nodes, feats, chain, skip, owner, above = [], [], [], [], [], []
         for i, t in enumerate(texts):
             if not HINT.search(t):
                 continue
             spans = nodes_of(t)
-            c, s = edges_of([key_of(t[a:z]) for a, z in spans], spans)
-            n = len(nodes)
+            keys = [key_of(t[a:z]) for a, z in spans]
+            c, s = edges_of(keys, spans)
+            n, h = len(nodes), len(above)
             chain += [(a + n, z + n) for a, z in c]
-            skip += [(a + n, z + n) for a, z in s]
+            if hubs:
+                s = hubs_of(keys)
+                above += [i] * (max((a for a, _ in s), default=-1) + 1)
+            skip += [(a + (h if hubs else n), z + n) for a, z in s]
             nodes += [(i, a, z) for a, z in spans]
+            owner += [i] * len(spans)
             feats += [node_features(t, a, z) for a, z in spans]
         e = lambda x: np.array(x, np.int64).reshape(-1, 2)
-        return nodes, np.array(feats, np.int64), np.array([n[0] for n in nodes], np.int64), e(chain), e(skip)
+        first = np.array([len(nodes) if hubs else 0, 0])
+        return nodes, np.array(feats, np.int64), np.array(owner + above, np.int64), e(chain), e(skip) + first
 
     def fit(self, texts: list[str]) -> SkipChainCrf:
         nodes, feats, _, chain, skip = self.graph(texts)
@@ -195,62 +216,86 @@ class SkipChainCrf:
             grads = [gu]
             for edges in (chain, skip):
                 grads.append(hot[edges[:, 0]].T @ d[edges[:, 1]] + (hot[edges[:, 1]].T @ d[edges[:, 0]]).T)
+            grads[2] = (grads[2] + grads[2].T) / 2  # mentions have no order
             for m, g, total in zip((self.unary, self.chain, self.skip), grads, sums, strict=True):
                 g += PENALTY / len(nodes) * m
                 total += g * g
                 m -= RATE * g / np.sqrt(total)
         return self
 
-    def marginals(self, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Label probabilities by damped sum-product messages along both kinds of edges."""
-        u = self.unary[feats].sum(1)
-        n = len(u)
+    def marginals(self, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities by damped sum-product messages along both kinds of edges, until
+        the messages of each graph stop changing. ``owner`` numbers the graph of each node
+        (None: all are one); what one graph gets does not depend on the others. Edges may
+        name nodes beyond ``feats``, which are hidden ones without features."""
+        n = max([len(feats), *(int(e.max()) + 1 for e in (chain, skip) if len(e))])
+        u = np.concatenate([self.unary[feats].sum(1), np.zeros((n - len(feats), K))])
         src = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
         dst = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
         c, s = len(chain), len(skip)
         back = np.concatenate([np.arange(c, 2 * c), np.arange(c), np.arange(2 * c + s, 2 * c + 2 * s), np.arange(2 * c, 2 * c + s)])
         message = np.zeros((len(src), K))
-        weights = ((0, c, self.chain), (c, 2 * c, self.chain.T), (2 * c, 2 * c + s, self.skip), (2 * c + s, 2 * c + 2 * s, self.skip.T))
-        for _ in range(ROUNDS if len(src) else 0):
-            belief = u + np.stack([np.bincount(dst, message[:, k], n) for k in range(K)], 1)
-            out = belief[src] - message[back]
-            new = np.empty_like(message)
-            for a, z, w in weights:
-                x = out[a:z, :, None] + w
-                top = x.max(1, keepdims=True)
-                new[a:z] = np.log(np.exp(x - top).sum(1)) + top[:, 0]
+        ends = np.array([0, c, 2 * c, 2 * c + s, 2 * c + 2 * s])
+        weights = [np.exp(w - w.max()) for w in (self.chain, self.chain.T, self.skip, self.skip.T)]
+        graph = (np.zeros(n, np.int64) if owner is None else owner)[src]
+        count = int(graph.max()) + 1 if len(graph) else 0
+        step, best, waited = np.full(count, STEP), np.full(count, np.inf), np.zeros(count, np.int64)
+        live = np.arange(len(src))  # the edges of graphs whose messages still change
+        while len(live):
+            d, g = dst[live], graph[live]
+            belief = u + np.stack([np.bincount(d, message[live, k], n) for k in range(K)], 1)
+            out = belief[src[live]] - message[back[live]]
+            out = np.exp(out - out.max(1, keepdims=True))
+            cuts = np.searchsorted(live, ends)
+            new = np.log(np.concatenate([out[a:z] @ w for a, z, w in zip(cuts, cuts[1:], weights, strict=False)]))
             new -= new.max(1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
+            new -= message[live]
+            change = np.zeros(count)
+            np.maximum.at(change, g, np.abs(new).max(1))
+            message[live] += step[g, None] * new
+            fell = change < 0.9 * best
+            best, waited = np.where(fell, change, best), np.where(fell, 0, waited + 1)
+            late = waited >= PATIENCE
+            step, waited = np.where(late, step * SLOWER, step), np.where(late, 0, waited)
+            live = live[(change * step >= STILL)[g]]
         belief = u + np.stack([np.bincount(dst, message[:, k], n) for k in range(K)], 1) if len(src) else u
         p = np.exp(belief - belief.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        return (p / p.sum(1, keepdims=True))[:len(feats)]
 
     def added_spans(self, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
         """What the field finds beside the base spans of each text: nodes it labels, without
         the punctuation around them, that touch no base span; neighbouring phone nodes with
         only blanks, brackets, points or dashes between them make one span."""
+        out: list[list[tuple[int, int, int]]] = []
+        lo, held = 0, 0
+        for i, t in enumerate(texts):
+            n = sum(1 for _ in NODE.finditer(t)) if HINT.search(t) else 0
+            if held and held + n > GRAPH_NODES:
+                out += self._added(texts[lo:i], bases[lo:i])
+                lo, held = i, 0
+            held += n
+        return out + self._added(texts[lo:], bases[lo:])
+
+    def _added(self, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        nodes, feats, _, chain, skip = self.graph(texts)
+        nodes, feats, owner, chain, skip = self.graph(texts, hubs=True)
         if not nodes:
             return out
-        for lo in range(0, len(nodes), GRAPH_NODES):
-            hi = min(len(nodes), lo + GRAPH_NODES)
-            inside = lambda e: e[(e >= lo).all(1) & (e < hi).all(1)] - lo  # noqa: E731, B023
-            p = self.marginals(feats[lo:hi], inside(chain), inside(skip))
-            best = p.argmax(1)
-            for j in np.flatnonzero((best != OUTSIDE) & (p.max(1) >= CERTAIN)):
-                i, a, z = nodes[lo + j]
-                t, kind = texts[i], int(best[j]) - 1
-                while a < z and not (t[a].isalnum() or t[a] in "+("):
-                    a += 1
-                while z > a and not t[z - 1].isalnum():
-                    z -= 1
-                if a == z or any(s < z and a < e for _, s, e in bases[i]):
-                    continue
-                if kind == 3 and out[i] and out[i][-1][0] == 3 and t[out[i][-1][2]:a].strip(" ().-") == "":
-                    out[i][-1] = (3, out[i][-1][1], z)
-                else:
-                    out[i].append((kind, a, z))
+        p = self.marginals(feats, chain, skip, owner)
+        best = p.argmax(1)
+        for j in np.flatnonzero((best != OUTSIDE) & (p.max(1) >= CERTAIN)):
+            i, a, z = nodes[j]
+            t, kind = texts[i], int(best[j]) - 1
+            while a < z and not (t[a].isalnum() or t[a] in "+("):
+                a += 1
+            while z > a and not t[z - 1].isalnum():
+                z -= 1
+            if a == z or any(s < z and a < e for _, s, e in bases[i]):
+                continue
+            if kind == 3 and out[i] and out[i][-1][0] == 3 and t[out[i][-1][2]:a].strip(" ().-") == "":
+                out[i][-1] = (3, out[i][-1][1], z)
+            else:
+                out[i].append((kind, a, z))
         return out
 
 
