@@ -163,6 +163,19 @@ def test_chain_posteriors_equal_enumeration():
         assert np.allclose(got[a:z], total / total.sum(1, keepdims=True))
 
 
+def test_all_letters_of_a_long_run_count():
+    """A run of letters that begins and ends in one language and is in another between."""
+    crf = language_id.LanguageCrf(["a", "b"], {})
+    for i, gram in enumerate((b"aa", b"bb")):
+        crf.emit[zlib.crc32(gram) % language_id.BUCKETS, i] = 1
+    for n in (640, 1_000_000):
+        text = "a" * 64 + "b" * n + "a" * 64
+        [(lang, score, n_words, n_switches)] = language_id.label_texts(crf, [text], language_id._Emissions(crf))
+        assert (lang, n_words, n_switches) == ("b", 1, 2) and score > 0.8
+    pieces = language_id.nodes_of(["x" * 64, "abc" * 50, "y"])
+    assert "".join(pieces) == "x" * 64 + "abc" * 50 + "y" and max(map(len, pieces)) == 64
+
+
 def fold(doc_id, n):
     return zlib.crc32(str(doc_id).encode()) % n
 

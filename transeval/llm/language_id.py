@@ -1,9 +1,11 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
-Each word of a text is a node labelled with a language. Its emission scores are sums of
-learned weights of affix, character n-gram and lexicon features; neighbouring words share a
-learned transition. Forward-backward gives each word's label probabilities; a document's
-language is the label with the largest mean probability over its words.
+Each word of a text is a node labelled with a language. A word is a run of letters; one of
+more than ``PIECE`` letters, as scripts without spaces have, is cut into consecutive pieces
+that cover it, each a node of its own, so that every letter counts. A node's emission scores
+are sums of learned weights of affix, character n-gram and lexicon features; neighbouring
+nodes share a learned transition. Forward-backward gives each node's label probabilities; a
+document's language is the label with the largest mean probability over its nodes.
 
 Training uses a bounded sample of rows with a known language: a row's words carry its
 language, and training chains are stitched from spans of several rows, so that transitions
@@ -34,6 +36,8 @@ LEXICON_WORDS = 2000
 CHAIN, BATCH, STEPS, RATE = 32, 192, 220, 0.25
 #: Texts of more words are labelled as several chains.
 LONGEST_CHAIN = 1 << 16
+#: Letters of one node at most.
+PIECE = 64
 CACHE_WORDS = 250_000
 
 
@@ -48,6 +52,13 @@ def words_of(text: str) -> list[str]:
     return letters(reach(low)).findall(low)
 
 
+def nodes_of(words: list[str]) -> list[str]:
+    """The words, those of more than ``PIECE`` letters in pieces."""
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[i:i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+
+
 class LanguageCrf:
     """``labels``: sorted languages; ``emit``: weights by feature bucket and label;
     ``move``: transition scores; ``start``: scores of a chain's first label; ``lexicon``:
@@ -59,7 +70,6 @@ class LanguageCrf:
         self.emit, self.move, self.start = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k)), np.zeros(k)
 
     def features(self, word: str) -> list[int]:
-        word = word if len(word) <= 64 else word[:32] + word[-32:]
         marked = f"^{word}$"
         names = [f"p{n}{word[:n]}" for n in (1, 2, 3)] + [f"s{n}{word[-n:]}" for n in (1, 2, 3)]
         names += [marked[i:i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
@@ -73,7 +83,7 @@ class LanguageCrf:
         known: dict[str, int] = {}
         docs, owner = [], []
         for text, label in rows:
-            ids = np.array([known.setdefault(w, len(known)) for w in words_of(text)], np.int64)
+            ids = np.array([known.setdefault(w, len(known)) for w in nodes_of(words_of(text))], np.int64)
             if len(ids):
                 docs.append(ids)
                 owner.append(number[label])
@@ -214,9 +224,11 @@ class _Emissions(dict):
 
 
 def label_texts(crf: LanguageCrf, texts: list[str], memory: _Emissions) -> list[tuple[str, float, int, int]]:
-    """(language, mean probability, words, changes of language) of each text."""
+    """(language, mean probability, words, changes of language from node to node) of each
+    text."""
     out: list[tuple[str, float, int, int]] = []
     held: list[np.ndarray] = []
+    counts: list[int] = []
 
     def flush() -> None:
         sizes = np.array([len(h) for h in held])
@@ -229,18 +241,21 @@ def label_texts(crf: LanguageCrf, texts: list[str], memory: _Emissions) -> list[
                 first[s:s + n:LONGEST_CHAIN] = True
             p = np.concatenate([crf.posteriors(e[a:z], first[a:z]) for a, z in _cuts(first)])
             best = p.argmax(1)
-        for s, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
+        for s, n, many in zip(np.cumsum(sizes) - sizes, sizes, counts, strict=True):
             if not n:
                 out.append((UNKNOWN, 0.0, 0, 0))
                 continue
             share = p[s:s + n].mean(0)
             i = int(share.argmax())
-            out.append((crf.labels[i], float(min(1.0, share[i])), int(n), int((best[s + 1:s + n] != best[s:s + n - 1]).sum())))
+            out.append((crf.labels[i], float(min(1.0, share[i])), many, int((best[s + 1:s + n] != best[s:s + n - 1]).sum())))
         held.clear()
+        counts.clear()
 
     total = 0
     for t in texts:
         w = words_of(t)
+        counts.append(len(w))
+        w = nodes_of(w)
         held.append(np.fromiter(map(memory.__getitem__, w), np.int64, len(w)))
         total += len(w)
         if total >= LONGEST_CHAIN:
@@ -279,7 +294,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labels = sorted({label for _, label in sample})
     frequent: dict[str, list[int]] = defaultdict(list)
     for i, label in enumerate(labels):
-        counts = Counter(w for text, y in sample if y == label for w in words_of(text))
+        counts = Counter(w for text, y in sample if y == label for w in nodes_of(words_of(text)))
         for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS]:
             frequent[w].append(i)
     return LanguageCrf(labels, {w: tuple(v) for w, v in frequent.items()}).fit(sample)
@@ -310,7 +325,8 @@ def identify(docs: DataFrame, crf: LanguageCrf | None, id_col: str = "doc_id", t
     """doc_id, held_out, lang_pred, score, n_words, n_switches of each row of ``docs``.
 
     A null text and one without letters are ``und`` with score 0; ties go to the language
-    that sorts first; without a model every text is ``und``. Other columns of ``docs`` are
+    that sorts first; without a model every text is ``und``. ``n_words`` counts runs of
+    letters, ``n_switches`` also sees a change inside a long one. Other columns of ``docs`` are
     not read; repeated rows come out as often."""
     spark = docs.sparkSession
     small_batches(spark)
