@@ -189,6 +189,22 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.98
 
 
+def test_quality_takes_all_of_a_long_token():
+    rng = random.Random(6)
+    for n, alphabet in ((201, "ab"), (700, "aé中😀"), (quality.BLOCK + 1, "abc"), (2 * quality.BLOCK - 3, "a中"), (quality.BLOCK - 2, "xyz")):
+        word = "".join(rng.choices(alphabet, k=n))
+        assert sorted(np.concatenate(list(quality.feature_blocks(word)))) == sorted(quality.word_features(word))
+    # what lies in the middle of a token decides its score
+    good, bad = "ab" * 150, "xy" * 150
+    model = quality.SubwordClassifier().fit([good, bad] * 40, [1, 0] * 40)
+    memory = quality._WordScores(model.projection()[0])
+    mean = lambda w: memory[w].real / memory[w].imag
+    outside = "ab" * 60
+    assert mean(outside + "xy" * 3000 + outside) < 0 < mean(outside + "ab" * 3000 + outside)
+    ids, share = quality.SubwordClassifier.bag(good, {})
+    assert set(ids) == set(quality.word_features(good)) and np.isclose(share.sum(), 1)
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")

@@ -27,9 +27,8 @@ FOLDS = 5
 TRAIN_ROWS, TRAIN_CHARS = 3000, 10_000_000
 BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 6, 0.5
 NGRAMS = (2, 3, 4)
-#: Only the first and last characters of an unbroken run longer than this give n-grams of
-#: their own; its word feature covers the whole run.
-LONG_WORD = 200
+#: N-grams of longer words are hashed by numpy, so many characters at a time.
+LONG_WORD, BLOCK = 200, 1 << 16
 CACHE_WORDS = 300_000
 THRESHOLD = 0.3
 
@@ -47,12 +46,41 @@ def word_features(word: str) -> list[int]:
     """Buckets of a word: the whole word, then its character n-grams between marks."""
     raw = word.encode("utf-8", "surrogatepass")
     out = [crc32(raw) % BUCKETS]
-    marked = f"<{word}>" if len(word) <= LONG_WORD else f"<{word[:LONG_WORD // 2]} {word[-LONG_WORD // 2:]}>"
+    marked = f"<{word}>"
     for n in NGRAMS:
         out += [crc32(marked[i:i + n].encode("utf-8", "surrogatepass"), n) % BUCKETS for i in range(len(marked) - n + 1)]
     return out
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+CRC_TABLE = _crc_table()
+
+
+def feature_blocks(word: str) -> Iterator[np.ndarray]:
+    """The same as ``word_features``, in any order and in arrays of bounded size."""
+    yield np.array([crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS])
+    marked = f"<{word}>"
+    for lo in range(0, len(marked), BLOCK):
+        raw = np.frombuffer(marked[lo:lo + BLOCK + max(NGRAMS) - 1].encode("utf-8", "surrogatepass"), np.uint8)
+        ends = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where characters start, and the end
+        for n in NGRAMS:
+            count = min(BLOCK, len(ends) - n)
+            if count <= 0:
+                continue
+            a, z = ends[:count], ends[n:n + count]
+            crc = np.full(count, n ^ 0xFFFFFFFF, np.uint32)
+            for k in range(int((z - a).max())):
+                i = np.flatnonzero(a + k < z)
+                crc[i] = CRC_TABLE[(crc[i] ^ raw[a[i] + k]) & 0xFF] ^ (crc[i] >> 8)
+            yield (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % BUCKETS
+
+
 class SubwordClassifier:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -65,12 +93,22 @@ class SubwordClassifier:
         """Distinct features of a text and the share of each."""
         words = text.split()
         feats = [REPEAT] * repeats(words)
+        long = np.zeros(BUCKETS, np.int64)
         for w in words:
+            if len(w) > LONG_WORD:
+                for f in feature_blocks(w):
+                    long += np.bincount(f, minlength=BUCKETS)
+                continue
             f = known.get(w)
             if f is None:
                 f = known[w] = word_features(w)
             feats += f
-        ids, n = np.unique(np.array(feats, np.int64), return_counts=True)
+        if long.any():
+            long += np.bincount(np.array(feats, np.int64), minlength=BUCKETS)
+            ids = np.flatnonzero(long)
+            n = long[ids]
+        else:
+            ids, n = np.unique(np.array(feats, np.int64), return_counts=True)
         return ids, (n / max(1, n.sum())).astype(np.float32)
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> SubwordClassifier:
@@ -112,6 +150,8 @@ class _WordScores(dict):
         self._projection = projection
 
     def __missing__(self, word: str) -> complex:
+        if len(word) > LONG_WORD:
+            return sum((complex(self._projection[f].sum(), len(f)) for f in feature_blocks(word)), 0j)
         f = word_features(word)
         v = complex(self._projection[f].sum(), len(f))
         if len(self) >= CACHE_WORDS:
