@@ -247,3 +247,17 @@ def test_near_join_with_blocks(spark):
     for _ in range(60):
         root = [min(root[j] for j in range(60) if linked[i][j]) for i in range(60)]
     assert got == [(i, root[i], sum(linked[i]) - 1) for i in range(60)]
+
+
+def test_near_join_of_repeated_rows_with_a_near_partner(spark):
+    """The row of a set's smallest id is repeated, as it is or with an other text of the same
+    set, and has a near, not equal, partner."""
+    words = [f"w{i}" for i in range(100)]
+    n, m = " ".join(words), " ".join([*words[:99], "other"])
+    for again in (n, n.upper()):
+        docs = spark.createDataFrame([(5, n), (5, again), (7, m), (9, "far from all of these texts")], "doc_id long, text string")
+        got = sorted(tuple(r) for r in near_join.near_duplicates(docs).collect())
+        assert got == [(5, 5, 2, 2), (5, 5, 2, 2), (7, 5, 1, 2), (9, 9, 1, 0)]
+    # null ids all meet each other in the join
+    docs = spark.createDataFrame([(None, n), (None, n), (None, m)], "doc_id long, text string")
+    assert sorted(tuple(r)[2:] for r in near_join.near_duplicates(docs).collect()) == [(1, 2), (2, 2), (2, 2)]

@@ -313,9 +313,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     finer = components(left)
     chosen = members(finer, "copies", "first_id")
     texts = rows.select(F.col("doc_id").alias("id_"), F.col("text"))
-    # an id that several rows share may fetch other texts as well: the set tells them apart
+    # an id that several rows share may fetch other texts as well: the set tells them apart;
+    # of repeated rows one stays, as a set must meet each other set once
     with_text = (chosen.join(texts, F.col("first_id").eqNullSafe(F.col("id_"))).drop("id_", "first_id"))
-    links = written(dealt(_of_set(with_text), "root", bins, block).select("task", "side", "root", "node", "n", "copies", "sketch", "text")
+    single = _of_set(with_text).dropDuplicates(["node"])
+    links = written(dealt(single, "root", bins, block).select("task", "side", "root", "node", "n", "copies", "sketch", "text")
                     .groupBy("task").applyInArrow(_verify, "u long, v long, links long"), "verified")
     classes = components(links.select("u", "v"))
     degree = links.groupBy("u").agg(F.sum("links").alias("links"))
@@ -334,7 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _of_set(rows: DataFrame) -> DataFrame:
-    """Rows whose text is of the set named, one for each set."""
+    """Rows whose text is of the set named."""
     schema = rows.schema
     at_node, at_text = rows.columns.index("node"), rows.columns.index("text")
 
