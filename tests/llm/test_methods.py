@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from transeval.llm import bpe, exact_dedup, language_id, near_join, pii, quality, suffix_dedup, suffix_sort
+from transeval.llm import bpe, exact_dedup, language_id, license_scan, near_join, pii, quality, suffix_dedup, suffix_sort
 from transeval.llm.common import table
 from transeval.llm.queries import tokenizer_path
 
@@ -261,3 +261,15 @@ def test_near_join_of_repeated_rows_with_a_near_partner(spark):
     # null ids all meet each other in the join
     docs = spark.createDataFrame([(None, n), (None, n), (None, m)], "doc_id long, text string")
     assert sorted(tuple(r)[2:] for r in near_join.near_duplicates(docs).collect()) == [(1, 2), (2, 2), (2, 2)]
+
+
+def test_words_that_change_a_license(spark):
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    names = {"": "cc-by", "-NonCommercial": "cc-by-nc", "-ShareAlike": "cc-by-sa", "-NoDerivatives": "cc-by-nd", "-NonCommercial-ShareAlike": "cc-by-nc-sa",
+             "-NonCommercial-NoDerivatives": "cc-by-nc-nd", "-NonCommercial-Other": "cc-by-nc", "-Non-Commercial": ""}
+    texts = [(cc.format(x), label) for x, label in names.items()]
+    texts += [("Licensed under CC BY-NC 4.0", "cc-by-nc"), ("Licensed under CC BY-NC-SA 4.0", ""), ("Sharealike is a word. " + cc.format("") + " and nc", "cc-by")]
+    docs = spark.createDataFrame([(i if i else None, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id or 0: r for r in license_scan.scan(docs).collect()}
+    assert [got[i].labels for i in range(len(texts))] == [label for _, label in texts]
+    assert got[0].score == 1 and got[7].score < license_scan.ENOUGH

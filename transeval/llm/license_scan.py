@@ -5,8 +5,11 @@ all texts are joined by hash to the places of equal grams in the templates. A pa
 votes for its diagonal, the text place minus the template place: the words of one occurrence
 all vote for the word where it starts. A phrase stands where one diagonal has all its grams.
 A longer template may have lost or gained words, which moves the rest of it to a diagonal
-near by; neighbouring diagonals are merged, and the template is found where enough of its
-grams have voted. Each vote is verified by comparing the gram itself beside its hash.
+near by; neighbouring diagonals are merged up to a drift of ``DRIFT`` words, and the template
+is a candidate where enough of its grams have voted. Each vote is verified by comparing the
+gram itself beside its hash, and each candidate by the words that make a license an other
+one: its span, from the first word voted for to the last, holds those of the template and
+no more.
 """
 
 from __future__ import annotations
@@ -36,11 +39,17 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    *[(f"cc-by-{short}", f"This work is licensed under a Creative Commons Attribution-{name} 4.0 International License")
+      for short, name in (("nc", "NonCommercial"), ("sa", "ShareAlike"), ("nd", "NoDerivatives"), ("nc-sa", "NonCommercial-ShareAlike"), ("nc-nd", "NonCommercial-NoDerivatives"))],
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 #: Diagonals at most so far apart are one occurrence of a template, which is found if this
 #: share of its grams has voted.
 NEAR, ENOUGH = 3, 0.7
+#: The first and last diagonal of one occurrence are at most so far apart.
+DRIFT = 12
+#: Words that make a license an other one.
+CHANGING = ["noncommercial", "commercial", "nc", "sharealike", "alike", "sa", "noderivatives", "derivatives", "noderivs", "derivs", "nd"]
 #: A template's votes are bits of one long.
 MOST_GRAMS = 62
 
@@ -65,15 +74,24 @@ def _labels(condition: Column) -> Column:
     return F.array_join(F.array_sort(F.collect_set(F.when(condition, F.col("label")))), ",")
 
 
+def _whole(words: list[str]) -> str:
+    """A pattern of any of these words, whole."""
+    inside = WORD_PATTERN.removesuffix("+")
+    return f"(?<!{inside})({'|'.join(words)})(?!{inside})"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each
     document, whose key is id and text: rows that repeat both are one document.
 
-    ``score`` is the largest share of a template's grams found, 1 where a phrase stands. Null
+    ``score`` is the largest share of a verified template's grams found, 1 where a phrase
+    stands. Null
     and empty texts have no words; other columns of ``docs`` are not read. The templates are
     a fixed list, so joining them by broadcast has a fixed size.
     """
     spark: SparkSession = docs.sparkSession
+    changing = {t: sorted(set(CHANGING).intersection(" ".join(grams_of(x)).split())) for t, (_, x) in enumerate([*PHRASES, *TEMPLATES])}
+    own = F.array(*[F.array(*map(F.lit, changing[t])).cast("array<string>") for t in sorted(changing)])
     templates = F.broadcast(spark.createDataFrame(template_rows(), "template int, phrase boolean, label string, grams int, place int, gram_ string")
                             .withColumn("hash_", F.xxhash64("gram_")))
     words = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("norm")).select(
@@ -88,13 +106,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # diagonal hit, and one without a template for all other grams
     diagonals = (votes.withColumn("diagonal", F.when(F.col("template").isNotNull(), F.col("at") - F.col("place")))
                  .groupBy(*key, "template", "phrase", "label", "grams", "diagonal")
-                 .agg(F.max("n_words").alias("n_words"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce("place", F.lit(0)))).alias("mask")))
+                 .agg(F.max("n_words").alias("n_words"), F.min("at").alias("first"), F.max("at").alias("last"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce("place", F.lit(0)))).alias("mask")))
     order = Window.partitionBy(*key, "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(order) > NEAR
     merged = diagonals.withColumn("run", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order))
-    run = Window.partitionBy(*key, "template", "run")
-    share = F.bit_count(F.bit_or("mask").over(run)) / F.col("grams")
-    found = merged.withColumn("share", F.when(F.col("phrase"), (F.bit_count("mask") == F.col("grams")).cast("double")).otherwise(share))
+    run = Window.partitionBy(*key, "template", "run").orderBy("diagonal").rangeBetween(0, DRIFT)
+    voted = merged.withColumns({"votes": F.bit_or("mask").over(run), "first": F.min("first").over(run), "last": F.max("last").over(run)})
+    # only texts that hold such a word at all are taken as words again
+    norm = ascii_lower(F.col(text_col))
+    marks = (docs.select(F.col(id_col).alias("id_"), norm.alias("norm")).filter(F.col("norm").rlike(_whole(CHANGING)))
+             .select("id_", F.xxhash64("norm").alias("text_"), F.regexp_extract_all("norm", F.lit(WORD_PATTERN), F.lit(0)).alias("all"))
+             .select("id_", "text_", F.filter(F.transform("all", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x.w.isin(CHANGING)).alias("marks"))
+             .dropDuplicates(["id_", "text_"]))
+    beside = voted.join(marks, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("text_")), "left")
+    inside = F.coalesce(F.array_sort(F.array_distinct(F.transform(
+        F.filter("marks", lambda x: x.i.between(F.col("first"), F.col("last") + 1)), lambda x: x.w))), F.array().cast("array<string>"))
+    share = F.when(inside == F.get(own, F.col("template")), F.bit_count("votes") / F.col("grams")).otherwise(F.when(F.col("template").isNotNull(), 0.0))
+    found = beside.withColumn("share", F.when(F.col("phrase"), (F.bit_count("mask") == F.col("grams")).cast("double")).otherwise(share))
     base = F.col("phrase") & (F.col("share") == 1)
     return (found.groupBy(*key).agg(
         F.max("n_words").alias("n_words"),
