@@ -13,8 +13,9 @@ a run of 7 words that is hashed in both documents, though only 3 of 7 places are
    smaller one.
 3. Each shard removes the words that such windows cover.
 
-Window hashes have 64 bits, and the bucket comes from a second hash, so 64 bits and the
-bucket's both have to agree for two different windows to be taken for one.
+A window is known by two hashes of 64 bits: two different windows are taken for one only if
+128 bits agree. The rows of a shard arrive in any order, and in another one each time they are
+read; a shard sorts them by id and text first, so that its places mean the same in each step.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for
-from .shards import MULTIPLIERS, NULL_ID, by_bucket, firsts, packed_ids, record, rolled, sharded, slices, unpacked_ids
+from .shards import MULTIPLIERS, NULL_ID, firsts, packed_ids, record, rolled, sharded, slices, unpacked_ids
 
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
@@ -41,8 +42,10 @@ class _Shard:
     """The words of one shard, its documents one after another."""
 
     def __init__(self, rows: pa.Table, buckets: int):
-        self.ids = rows.column("doc_id").to_numpy()
-        self.words = [t.as_py().split() for t in rows.column("text")]
+        ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.ids = np.array([ids[i] for i in order], np.int64)
+        self.words = [texts[i].split() for i in order]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         n = int(self.sizes.sum())
@@ -62,25 +65,30 @@ class _Shard:
         at = np.flatnonzero(np.isin(self.place % PERIOD, COVER) & (self.left >= ANCHOR) & self.long)
         return at, rolled(self.hashes, ANCHOR, MULTIPLIERS[0])[at]
 
-    def distinct(self, at: np.ndarray, prints: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Sorted by bucket, hash and document: the order, the entry each belongs to, and of
-        each entry its bucket, hash, smallest document and whether it has several."""
-        order, p, b, d = by_bucket(prints, buckets, self.doc_of[at])
-        new = firsts(b, p)
+    def distinct(self, at: np.ndarray, *hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Sorted by the hashes and the document: the order, the entry each belongs to, and of
+        each entry its bucket (the first bits of its first hash), its hashes, its smallest
+        document and whether it has several."""
+        d = self.doc_of[at]
+        order = np.lexsort((d, *hashes[::-1]))
+        h, d = [x[order] for x in hashes], d[order]
+        new = firsts(*h)
         entry = np.cumsum(new) - 1
         several = np.zeros(int(new.sum()), bool)
-        if len(p):
+        if len(d):
             several[entry[np.flatnonzero(~new & (np.r_[False, d[1:] != d[:-1]]))]] = True
-        return order, entry, b[new], p[new], d[new], several
+        return order, entry, h[0][new] >> self.shift, [x[new] for x in h], d[new], several
 
-    def windows(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, hashes and buckets of the windows that hold one of these anchor places."""
+    def windows(self, repeated: np.ndarray) -> np.ndarray:
+        """Places of the windows that hold one of these anchor places."""
         count = np.zeros(self.n + 1, np.int64)
         count[repeated + 1] = 1
         count = np.cumsum(count)
         i = np.arange(self.n)
-        at = np.flatnonzero((self.left >= WINDOW) & (count[np.minimum(i + PERIOD, self.n)] > count[i]))
-        return at, rolled(self.hashes, WINDOW, MULTIPLIERS[0])[at], rolled(self.hashes, WINDOW, MULTIPLIERS[1])[at] >> self.shift
+        return np.flatnonzero((self.left >= WINDOW) & (count[np.minimum(i + PERIOD, self.n)] > count[i]))
+
+    def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return rolled(self.hashes, WINDOW, MULTIPLIERS[1])[at], rolled(self.hashes, WINDOW, MULTIPLIERS[0])[at]
 
 
 def _shard_no(rows: pa.Table) -> int:
@@ -90,7 +98,7 @@ def _shard_no(rows: pa.Table) -> int:
 def _send_anchors(rows: pa.Table, buckets: int) -> pa.Table:
     s = _Shard(rows, buckets)
     at, prints = s.anchors()
-    _, _, b, p, _, several = s.distinct(at, prints, prints >> s.shift)
+    _, _, b, (p,), _, several = s.distinct(at, prints)
     return record(ANCHOR_COLUMNS, [(k, _shard_no(rows), p[a:z].tobytes(), np.packbits(several[a:z]).tobytes()) for k, a, z in slices(b)])
 
 
@@ -119,11 +127,10 @@ def _send_windows(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         return record(ANCHOR_COLUMNS, [])
     s, no = _Shard(rows, buckets), _shard_no(rows)
     at, prints = s.anchors()
-    order, entry, b, _, _, _ = s.distinct(at, prints, prints >> s.shift)
-    repeated = np.sort(at[order][_bits(answers, b)[entry]])
-    places, prints, where = s.windows(repeated)
-    _, _, b, p, d, _ = s.distinct(places, prints, where)
-    out = [(k, no, p[a:z].tobytes(), packed_ids(d[a:z])) for k, a, z in slices(b)]
+    order, entry, b, _, _, _ = s.distinct(at, prints)
+    places = s.windows(np.sort(at[order][_bits(answers, b)[entry]]))
+    _, _, b, (p, q), d, _ = s.distinct(places, *s.window_hashes(places))
+    out = [(k, no, p[a:z].tobytes() + q[a:z].tobytes(), packed_ids(d[a:z])) for k, a, z in slices(b)]
     # the shard's note to itself: which windows it has asked about
     note = np.zeros(s.n, bool)
     note[places] = True
@@ -135,14 +142,14 @@ def _answer_windows(sent: pa.Table) -> pa.Table:
     bucket = sent.column("bucket")[0].as_py()
     if bucket < 0:
         return record(ANSWER_COLUMNS, [(s.as_py(), bucket, x.as_py()) for s, x in zip(sent.column("shard"), sent.column("marks"), strict=True)])
-    prints = [np.frombuffer(x.as_py(), "<u8") for x in sent.column("prints")]
+    prints = [np.frombuffer(x.as_py(), "<u8").reshape(2, -1) for x in sent.column("prints")]
     ids = np.concatenate([unpacked_ids(x.as_py()) for x in sent.column("marks")])
-    allp = np.concatenate(prints)
-    order = np.lexsort((ids, allp))
-    new = firsts(allp[order])
+    p, q = np.concatenate(prints, axis=1)
+    order = np.lexsort((ids, q, p))
+    new = firsts(p[order], q[order])
     least = np.empty(len(ids), np.int64)
     least[order] = ids[order][new][np.cumsum(new) - 1]
-    bits = np.split(least < ids, np.cumsum([len(p) for p in prints])[:-1])
+    bits = np.split(least < ids, np.cumsum([x.shape[1] for x in prints])[:-1])
     return record(ANSWER_COLUMNS, [(s.as_py(), bucket, np.packbits(x).tobytes()) for s, x in zip(sent.column("shard"), bits, strict=True)])
 
 
@@ -153,9 +160,7 @@ def _remove(rows: pa.Table, answers: pa.Table, buckets: int, names: list[str]) -
     s, no = _Shard(rows, buckets), _shard_no(rows)
     note = next(x.as_py() for b, x in zip(answers.column("bucket"), answers.column("bits"), strict=True) if b.as_py() == -1 - no)
     places = np.flatnonzero(np.unpackbits(np.frombuffer(note, np.uint8), count=s.n))
-    prints = rolled(s.hashes, WINDOW, MULTIPLIERS[0])[places]
-    where = rolled(s.hashes, WINDOW, MULTIPLIERS[1])[places] >> s.shift
-    order, entry, b, _, least, _ = s.distinct(places, prints, where)
+    order, entry, b, _, least, _ = s.distinct(places, *s.window_hashes(places))
     at = places[order]
     gone = at[_bits(answers, b)[entry] | (s.doc_of[at] > least[entry])]
     cover = np.bincount(gone, minlength=s.n + WINDOW).astype(np.int64) - np.bincount(gone + WINDOW, minlength=s.n + WINDOW)[:s.n + WINDOW]
