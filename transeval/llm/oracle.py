@@ -10,30 +10,37 @@ _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_NO
 
 def _license_sql() -> str:
     """Phrases and templates are the operator's fixed lists, written out as words here."""
-    from .license_scan import ENOUGH, NEAR, PHRASES, TEMPLATES
+    from .license_scan import DRIFT, ENOUGH, NEAR, PHRASES, TEMPLATES, VOTED
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({i}, {str(i < len(PHRASES)).lower()}, {quoted(label)}, {quoted(text.lower())})" for i, (label, text) in enumerate([*PHRASES, *TEMPLATES]))
     words_of_t = _WORDS.replace("coalesce(text, '')", "t")
+    code = "array_to_string(list_transform({}, lambda w: chr(48 + coalesce(list_position(tw, w), 0)::INT)), '')"
     return f"""
         WITH docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
         forms AS (SELECT id, phrase, label, {words_of_t} AS tw FROM (VALUES {rows}) v(id, phrase, label, t)),
-        tg AS (SELECT id, phrase, label, len(tw) - 1 AS grams, k, tw[k] AS a, tw[k + 1] AS b
-               FROM (SELECT *, unnest(range(1, len(tw))) AS k FROM forms)),
-        dg AS (SELECT doc_id, k, words[k] AS a, words[k + 1] AS b
-               FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS k FROM docs)),
-        diag AS (SELECT doc_id, id, phrase, label, grams, dg.k - tg.k AS diagonal, list(DISTINCT tg.k) AS ks
+        tg AS (SELECT id, phrase, len(tw) - 1 AS grams, k, tw[k] AS a, tw[k + 1] AS b FROM (SELECT *, unnest(range(1, len(tw))) AS k FROM forms)),
+        dg AS (SELECT doc_id, k, words[k] AS a, words[k + 1] AS b FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS k FROM docs)),
+        diag AS (SELECT doc_id, id, phrase, grams, dg.k - tg.k AS diagonal, list(DISTINCT tg.k) AS ks, min(dg.k) AS lo, max(dg.k) AS hi
                  FROM dg JOIN tg USING (a, b) GROUP BY ALL),
         steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w > {NEAR} THEN 1 ELSE 0 END AS step
-                  FROM diag WINDOW w AS (PARTITION BY doc_id, id ORDER BY diagonal)),
+                  FROM diag WHERE NOT phrase WINDOW w AS (PARTITION BY doc_id, id ORDER BY diagonal)),
         runs AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, id ORDER BY diagonal) AS run FROM steps),
-        shares AS (SELECT doc_id, id, run, any_value(label) AS label, len(list_distinct(flatten(list(ks)))) / any_value(grams) AS share
-                   FROM runs WHERE NOT phrase GROUP BY doc_id, id, run),
-        hits AS (SELECT doc_id, label, diagonal AS pos, 1.0::DOUBLE AS share, true AS base FROM diag WHERE phrase AND len(ks) = grams
-                 UNION ALL SELECT doc_id, label, NULL, share, false FROM shares),
+        cand AS (SELECT x.doc_id, x.id, x.grams, x.diagonal, min(y.lo) AS lo, max(y.hi) + 1 AS hi, len(list_distinct(flatten(list(y.ks)))) AS voted
+                 FROM runs x JOIN runs y ON x.doc_id = y.doc_id AND x.id = y.id AND x.run = y.run AND y.diagonal BETWEEN x.diagonal AND x.diagonal + {DRIFT}
+                 GROUP BY x.doc_id, x.id, x.grams, x.diagonal HAVING voted >= {VOTED} * x.grams),
+        spelt AS (SELECT cand.*, label, {code.format("words[lo:hi]")} AS s, {code.format("tw")} AS o
+                  FROM cand JOIN docs ON cand.doc_id = docs.doc_id JOIN forms ON cand.id = forms.id),
+        good AS (SELECT *, 1.0::DOUBLE - levenshtein(s, o) / greatest(length(s), length(o)) AS share FROM spelt),
+        reach AS (SELECT *, max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto
+                  FROM good WHERE share >= {ENOUGH}),
+        isles AS (SELECT *, sum(CASE WHEN lo < upto THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY lo, hi, id ROWS UNBOUNDED PRECEDING) AS isle FROM reach),
+        best AS (SELECT * FROM isles QUALIFY row_number() OVER (PARTITION BY doc_id, isle ORDER BY share DESC, voted / grams DESC, grams DESC, id, diagonal) = 1),
+        hits AS (SELECT doc_id, label, diagonal AS pos, 1.0::DOUBLE AS share, true AS base FROM diag JOIN forms USING (id) WHERE diag.phrase AND len(ks) = grams
+                 UNION ALL SELECT doc_id, label, NULL, share, false FROM best),
         agg AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
                        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
-                       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= {ENOUGH}) AS labels, max(share) AS score
+                       string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
                 FROM hits GROUP BY doc_id)
         SELECT d.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
                coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
