@@ -53,16 +53,14 @@ class _Shard:
         for w, a, z in zip(self.words, self.starts, self.sizes, strict=True):
             hashes[a:a + z] = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, z)
         self.hashes, self.n = hashes, n
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.doc_of = self.ids[doc]
-        self.place = np.arange(n) - self.starts[doc]
-        self.left = self.sizes[doc] - self.place
-        self.long = self.sizes[doc] >= WINDOW
+        self.doc_of = np.repeat(self.ids, self.sizes)
+        self.place = (np.arange(n) - np.repeat(self.starts, self.sizes)).astype(np.int32)
+        self.left = np.repeat(self.sizes.astype(np.int32), self.sizes) - self.place
         self.shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of anchors and their hashes."""
-        at = np.flatnonzero(np.isin(self.place % PERIOD, COVER) & (self.left >= ANCHOR) & self.long)
+        at = np.flatnonzero(np.isin(self.place % PERIOD, COVER) & (self.left >= ANCHOR) & (self.left + self.place >= WINDOW))
         return at, rolled(self.hashes, ANCHOR, MULTIPLIERS[0])[at]
 
     def distinct(self, at: np.ndarray, *hashes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -122,13 +120,18 @@ def _bits(answers: pa.Table, entries: np.ndarray) -> np.ndarray:
     return out
 
 
+def _repeated(s: _Shard, answers: pa.Table) -> np.ndarray:
+    """Places of the anchors that are answered to occur in several documents."""
+    at, prints = s.anchors()
+    order, entry, b, _, _, _ = s.distinct(at, prints)
+    return np.sort(at[order][_bits(answers, b)[entry]])
+
+
 def _send_windows(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if not rows.num_rows:
         return record(ANCHOR_COLUMNS, [])
     s, no = _Shard(rows, buckets), _shard_no(rows)
-    at, prints = s.anchors()
-    order, entry, b, _, _, _ = s.distinct(at, prints)
-    places = s.windows(np.sort(at[order][_bits(answers, b)[entry]]))
+    places = s.windows(_repeated(s, answers))
     _, _, b, (p, q), d, _ = s.distinct(places, *s.window_hashes(places))
     out = [(k, no, p[a:z].tobytes() + q[a:z].tobytes(), packed_ids(d[a:z])) for k, a, z in slices(b)]
     # the shard's note to itself: which windows it has asked about
