@@ -126,4 +126,24 @@ LLM_ORACLE: dict[str, str] = {
         SELECT cls.doc_id, class_id, coalesce(same, 0) + 1 AS n_copies, coalesce(n_links, 0) AS n_links
         FROM cls LEFT JOIN deg ON cls.doc_id = deg.a
     """,
+    "op11_kronecker_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id,
+                   coalesce(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), lambda i: a.q[i] * b.q[i])), 0)::BIGINT AS score
+            FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), p AS (
+            SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER w::INT AS rank, n.vec_id AS negative_id,
+               p.score AS positive_score, n.score AS negative_score
+        FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+        WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+        QUALIFY row_number() OVER w <= 5
+    """,
 }

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, language_id, license_scan, near_join, pii, quality, substring_dedup, suffix_dedup
+from . import (
+    bpe, decontamination, exact_dedup, hard_negatives, language_id, license_scan, near_join, pii, quality, simhash, spelling, substring_dedup, suffix_dedup)
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +63,20 @@ def op10_quality_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), vec_id % 100 == 0)
+
+
+def op12_simhash_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
     "op2_bpe_codec": op2_bpe_codec,
@@ -72,4 +88,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cover_anchors": op8_cover_anchors,
     "op9_bayes_near_join": op9_bayes_near_join,
     "op10_quality_subwords": op10_quality_subwords,
+    "op11_kronecker_negatives": op11_kronecker_negatives,
+    "op12_simhash_slices": op12_simhash_slices,
+    "op13_spelling_composition": op13_spelling_composition,
 }
