@@ -114,13 +114,14 @@ def test_latest_version_keeps_large_numbers_and_any_label(spark):
     assert got == {"t": (2, big, "flaky"), "u": (1, 1, None)}
 
 
-@pytest.mark.parametrize("prefix, width", [(4, 1 << 16), (1, 2)])
-def test_position_in_group_equals_a_window(spark, monkeypatch, prefix, width):
+@pytest.mark.parametrize("sampled, large", [(64, 512), (2, 8)])
+def test_position_in_group_equals_a_window(spark, monkeypatch, sampled, large):
     from pyspark.sql import Window
 
     from transeval.operators import ordered
-    monkeypatch.setattr(ordered, "PREFIX_CHARS", prefix)
-    monkeypatch.setattr(ordered, "SLICE_WIDTH", width)
+    monkeypatch.setattr(ordered, "SAMPLED", sampled)
+    monkeypatch.setattr(ordered, "LARGE_SAMPLE", large)
+    monkeypatch.setattr(ordered, "SLICE_SAMPLE", large // 4)
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
         F.when(F.col("l_orderkey") % 9 > 0, F.col("l_orderkey") % 5).alias("k"), F.monotonically_increasing_id().alias("n"))
     li = li.withColumn("t", F.col("n").cast("string"))

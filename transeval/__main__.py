@@ -4,13 +4,14 @@
                                   [--eofs MARK ...] [--rm-prefix-lines PREFIX ...] [--inplace] [--tree]
     python -m transeval check     --tasks T.parquet --samples S.parquet --compiled C.parquet --out OUT [--nsample N]
     python -m transeval evaluate  --exec_log L.parquet --samples S.parquet --tasks T.parquet --out OUT
-                                  [--budget watchdog|strict] [--rerun]
+                                  [--budget watchdog|strict] [--rerun] [--once]
 
 ``clean`` reads one configuration folder (``.../temperature_T/<task>/<idx><ext>``), or with
 ``--tree`` all that lie below ROOT; the other jobs read parquet tables with the configuration
 columns. ``evaluate`` scores every run at once. It keeps verdicts as versions below OUT and
-uses those of configurations that have some, unless ``--rerun`` asks for a new version; it
-writes result documents beside them.
+uses those of configurations that have some, unless ``--rerun`` asks for a new version. All
+that is printed is stored as well: ``summary`` and ``compile_report`` by the other jobs;
+``scores``, ``board``, ``problems`` and result documents beside the verdicts.
 
 ``SPARK_MASTER`` names a master for local use, ``--input_gb`` and ``--cores`` size partitions.
 """
@@ -20,16 +21,27 @@ from __future__ import annotations
 import argparse
 import os
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transeval import constants as K
 from transeval import jobs
-from transeval.operators import results as rs
+from transeval.operators.sanitize import sanitize_summary
 from transeval.operators.verdict import tests_from_tasks
 from transeval.session import get_session, scale_settings
 from transeval.sources import samples as sm
 
 
+def show(df: DataFrame) -> None:
+    """All rows: a report has one for each configuration, or so."""
+    df.show(df.count(), truncate=False)
+
+
+def keep_and_show(df: DataFrame, path: str) -> None:
+    df.write.mode("errorifexists").parquet(path)
+    show(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="transeval")
     sub = ap.add_subparsers(dest="job", required=True)
@@ -54,6 +66,7 @@ def main(argv=None) -> None:
         e.add_argument(a, required=True)
     e.add_argument("--budget", choices=["watchdog", "strict"])
     e.add_argument("--rerun", "--re-run", action="store_true")
+    e.add_argument("--once", action="store_true", help="compare equal outputs of a test once")
     args = ap.parse_args(argv)
 
     conf = scale_settings(int(args.input_gb * 2**30), args.cores) if args.input_gb else {}
@@ -68,32 +81,30 @@ def main(argv=None) -> None:
         raw = raw.withColumn("path", F.regexp_extract("identifier", r"^(.*)/[^/]+/[^/]+$", 1))
         if args.debug_task:
             raw = raw.filter(F.col("task_id") == args.debug_task)
-        cleaned, summary = jobs.clean(raw, cfg, remove_prompt=args.remove_prompt, eofs=args.eofs, prefixes=args.prefixes,
+        cleaned, _ = jobs.clean(raw, cfg, remove_prompt=args.remove_prompt, eofs=args.eofs, prefixes=args.prefixes,
                                       inplace=args.inplace)
         if not args.inplace:
             cleaned = cleaned.withColumn("stage", F.lit("sanitized"))
         cleaned.write.mode("errorifexists").parquet(args.out)
-        summary.show(truncate=False)
+        # the counts are those of what has been written
+        counted = sanitize_summary(spark.read.schema(cleaned.schema).parquet(args.out), [x for x in cfg if x in cleaned.columns])
+        keep_and_show(counted, args.out.rstrip("/") + "_summary")
     elif args.job == "check":
         tasks, samples = spark.read.parquet(args.tasks), spark.read.parquet(args.samples)
         rep, summary, comp = jobs.check(tasks, samples, spark.read.parquet(args.compiled), cfg, args.nsample)
         rep.write.mode("errorifexists").parquet(os.path.join(args.out, "completeness"))
-        summary.show(truncate=False)
-        comp.show(truncate=False)
+        keep_and_show(summary, os.path.join(args.out, "summary"))
+        keep_and_show(comp, os.path.join(args.out, "compile_report"))
     else:
         tasks, samples = spark.read.parquet(args.tasks), spark.read.parquet(args.samples)
         tests = tests_from_tasks(tasks, ("dataset", "task_id") if "dataset" in tasks.columns else ("task_id",))
         if "language" in tasks.columns:
             tasks = tasks.withColumnRenamed("language", "source_lang")
         run_cfg = [c for c in cfg if c in samples.columns]
-        store = os.path.join(args.out, "verdicts")
-        found = jobs.evaluate(samples, tasks, tests, spark.read.parquet(args.exec_log), run_cfg, budget=args.budget,
-                              cached=rs.read_latest_or_none(spark, store, run_cfg), rerun=args.rerun)
-        done = rs.write_versioned(jobs.newly_judged(found.verdicts, spark, store, run_cfg, args.rerun), store, run_cfg)
-        docs = jobs.evaluation_documents(done.drop("version"), run_cfg)
-        rs.write_result_documents(docs, os.path.join(args.out, "documents"), run_cfg, again=True)
-        found.problems.show(truncate=False)
-        found.board.show(truncate=False)
+        found = jobs.evaluate_into(args.out, samples, tasks, tests, spark.read.parquet(args.exec_log), run_cfg, budget=args.budget,
+                                   rerun=args.rerun, once=args.once)
+        show(found.problems)
+        show(found.board)
     spark.stop()
 
 

@@ -138,23 +138,45 @@ def with_expected_parts(tests, expected: str = "expected"):
                  .withColumn("_db", decimals_after_point(F.col("_sb"))))
 
 
+# below this a product with a power of ten is off by less than 2^-10, so a fraction further than
+# 2^-8 from the half tells how it rounds
+SURE_BELOW, SURE_APART = float(2 ** 43), 2.0 ** -8
+
+
+def _sure(product: Column) -> Column:
+    return (product < F.lit(SURE_BELOW)) & (F.abs(product - F.floor(product) - F.lit(0.5)) > F.lit(SURE_APART))
+
+
 def with_outputs_match(df, stdout: str, expected: str, out: str = "matched", stdout_valid=None):
     """Adds whether the program output counts as the expected output. The parsed pieces become
     columns first, so the generated code evaluates each of them once per row. Expected-side pieces already
-    attached by ``with_expected_parts`` are reused."""
+    attached by ``with_expected_parts`` are reused.
+
+    Equal texts match under each rule and are not parsed. Of two fractions that differ, one
+    product each tells the rounded values, unless it is near a half or large: only these rows
+    are rounded exactly.
+    """
     t = df if all(c in df.columns for c in EXPECTED_PARTS) else with_expected_parts(df, expected)
-    t = (t.withColumn("_sa", py_strip(F.col(stdout)))
-          .withColumn("_x", parse_number(F.col("_sa")))
-          .withColumn("_da", decimals_after_point(F.col("_sa")))
+    t = t.withColumn("_sa", py_strip(F.col(stdout))).withColumn("_eq", F.coalesce(F.col("_sa") == F.col("_sb"), F.lit(False)))
+    t = (t.withColumn("_x", F.when(~F.col("_eq"), parse_number(F.col("_sa"))))
+          .withColumn("_da", F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), decimals_after_point(F.col("_sa"))))
           .withColumn("_m", F.least("_da", "_db")))
     x, y, m = F.col("_x"), F.col("_y"), F.col("_m")
-    frac = F.col("_da").isNotNull() & F.col("_db").isNotNull() & x.isNotNull() & y.isNotNull()
-    t = (t.withColumn("_ax", F.when(frac, _scaled_up(F.abs(x), m)))
-          .withColumn("_ay", F.when(frac, _scaled_up(F.abs(y), m))))
+    whole = x.isNotNull() & ((x % 1) == 0)
+    frac = ~whole & F.col("_da").isNotNull() & F.col("_db").isNotNull() & y.isNotNull()
+    power = F.element_at(F.array(*[F.lit(v) for v in EXACT_POWERS]), F.least(m, F.lit(MOST)).cast("int") + 1)
+    t = t.withColumn("_p", F.when(frac, power))
+    t = t.withColumn("_tx", F.abs(x) * F.col("_p")).withColumn("_ty", F.abs(y) * F.col("_p"))
+    t = t.withColumn("_easy", (m <= MOST) & _sure(F.col("_tx")) & _sure(F.col("_ty")))
+    hard = F.col("_p").isNotNull() & ~F.coalesce(F.col("_easy"), F.lit(False))
+    t = (t.withColumn("_ax", F.when(hard, _scaled_up(F.abs(x), m)))
+          .withColumn("_ay", F.when(hard, _scaled_up(F.abs(y), m))))
     t = with_rounded(with_rounded(t, "_ax", "_m", "_rx"), "_ay", "_m", "_ry")
-    res = (F.when(x.isNotNull() & ((x % 1) == 0), F.coalesce(x == (y - (y % 1)), F.lit(False)))
-           .when(frac, (F.col("_rx") == F.col("_ry")) & (F.col("_sa").startswith("-") == F.col("_sb").startswith("-")))
-           .otherwise(F.coalesce(F.col("_sa") == F.col("_sb"), F.lit(False))))
+    near = F.when(F.col("_easy"), F.floor(F.col("_tx") + F.lit(0.5)) == F.floor(F.col("_ty") + F.lit(0.5))).otherwise(F.col("_rx") == F.col("_ry"))
+    res = (F.when(F.col("_eq"), F.lit(True))
+           .when(whole, F.coalesce(x == (y - (y % 1)), F.lit(False)))
+           .when(F.col("_p").isNotNull(), near & (F.col("_sa").startswith("-") == F.col("_sb").startswith("-")))
+           .otherwise(F.lit(False)))
     if stdout_valid is not None:
         res = F.when(lit_col(stdout_valid), res).otherwise(F.lit(False))
-    return t.withColumn(out, res).drop("_sa", "_sb", "_x", "_y", "_da", "_db", "_m", "_ax", "_ay", "_rx", "_ry")
+    return t.withColumn(out, res).drop("_sa", "_sb", "_eq", "_x", "_y", "_da", "_db", "_m", "_p", "_tx", "_ty", "_easy", "_ax", "_ay", "_rx", "_ry")

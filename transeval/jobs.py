@@ -104,12 +104,14 @@ def coverage_problems(samples: DataFrame, tasks: DataFrame, cfg: Sequence[str])
 
 def evaluate(samples: DataFrame, tasks: DataFrame, tests: DataFrame, exec_log: DataFrame, cfg: Sequence[str], *,
              cached: DataFrame | None = None, rerun: bool = False, budget: str | None = None,
-             ks: Sequence[int] = K.DEFAULT_KS, task_keys: Sequence[str] | None = None) -> Evaluation:
+             ks: Sequence[int] = K.DEFAULT_KS, task_keys: Sequence[str] | None = None, once: bool = False) -> Evaluation:
     """Verdict rows, per-task scores and the leaderboard for every configuration.
 
     Every sample has a verdict row, NULL where its log is missing or cut short. Configurations
     found in ``cached`` (cfg..., task_id, completion_id, verdict) keep those verdicts unless
     ``rerun``. Tests are matched on (dataset, task_id) when samples and tests carry a dataset.
+    ``once``: equal outputs of a test are compared once. Nothing runs here, and each of the
+    four results is computed on its own; ``evaluate_into`` judges once and stores them.
     """
     cfg = list(cfg)
     keys = [*cfg, "task_id", "completion_id"]
@@ -123,27 +125,55 @@ def evaluate(samples: DataFrame, tasks: DataFrame, tests: DataFrame, exec_log: D
         stored = cached.select(*keys, "verdict")
         todo = samples.join(done, on=cfg, how="left_anti") if cfg else samples.limit(0)
     one_each = todo.dropDuplicates(keys)
-    verdicts = vd.judge(exec_log, tests, cfg, samples=one_each, budget=budget, task_keys=task_keys)
+    verdicts = vd.judge(exec_log, tests, cfg, samples=one_each, budget=budget, task_keys=task_keys, once=once)
     if stored is not None:
         verdicts = verdicts.unionByName(stored)
     problems = coverage_problems(todo, tasks, cfg)
+    return Evaluation(verdicts, *scored(verdicts, problems, cfg, ks), problems)
+
+
+def scored(verdicts: DataFrame, problems: DataFrame, cfg: Sequence[str], ks: Sequence[int] = K.DEFAULT_KS) -> tuple[DataFrame, DataFrame]:
+    """Per-task scores and the leaderboard of the configurations without problems."""
+    cfg = list(cfg)
     if cfg:
         sound = verdicts.join(problems.select(*cfg).distinct(), on=cfg, how="left_anti")
     else:  # the only configuration is scored if nothing is wrong with it
         found = problems.agg(F.count(F.lit(1)).alias("_p")).select("_p").scalar()
         sound = verdicts.filter(found == 0)
-    return Evaluation(verdicts, lb.task_scores(sound, cfg, ks), lb.leaderboard(sound, cfg, ks), problems)
+    return lb.task_scores(sound, cfg, ks), lb.leaderboard(sound, cfg, ks)
+
+
+def evaluate_into(out: str, samples: DataFrame, tasks: DataFrame, tests: DataFrame, exec_log: DataFrame, cfg: Sequence[str], *,
+                  rerun: bool = False, budget: str | None = None, ks: Sequence[int] = K.DEFAULT_KS, once: bool = False, date_col=None) -> Evaluation:
+    """``evaluate``, with everything stored below ``out`` and read back from there.
+
+    ``verdicts`` keeps versions (see ``sources.commits``); configurations that have one are not
+    judged again unless ``rerun``. Verdicts are judged once and written; scores, the board and
+    the documents of newly judged configurations come from what is stored. Configurations with
+    problems are not scored, whenever they were judged.
+    """
+    spark, cfg = samples.sparkSession, list(cfg)
+    store = f"{out}/verdicts"
+    before = None if rerun else rs.read_latest_or_none(spark, store, cfg)
+    todo = samples
+    if before is not None:
+        todo = samples.join(before.select(*cfg).distinct(), on=cfg, how="left_anti") if cfg else samples.limit(0)
+    found = evaluate(todo, tasks, tests, exec_log, cfg, budget=budget, once=once)
+    judged = rs.write_versioned(found.verdicts, store, cfg)
+    rs.write_result_documents(evaluation_documents(judged.drop("version"), cfg, date_col), f"{out}/documents", cfg, again=True)
+    asked = samples.select(*cfg).distinct()
+    current = rs.read_latest_or_none(spark, store, cfg)
+    current = judged if current is None else (current.join(asked, on=cfg, how="left_semi") if cfg else current)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out}/{name}")
+
+    problems = kept(coverage_problems(samples, tasks, cfg), "problems")
+    scores, board = scored(current, problems, cfg, ks)
+    return Evaluation(current, kept(scores, "scores"), kept(board, "board"), problems)
 
 
 def evaluation_documents(verdicts: DataFrame, cfg: Sequence[str], date_col=None) -> DataFrame:
     """Result documents (one JSON line per config and task) for ``write_result_documents``."""
     return rs.result_documents(verdicts, cfg, date_col)
-
-
-def newly_judged(verdicts: DataFrame, spark, store: str, cfg: Sequence[str], rerun: bool) -> DataFrame:
-    """The verdict rows that ``store`` does not have yet: all of them in a re-run, else those
-    of configurations without stored ones."""
-    stored = None if rerun else rs.read_latest_or_none(spark, store, cfg)
-    if stored is None:
-        return verdicts
-    return verdicts.join(stored.select(*cfg).distinct(), on=list(cfg), how="left_anti") if cfg else verdicts.limit(0)

@@ -14,13 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from transeval.functions.metrics import date_label
 from transeval.operators.ordered import position_in_group
+from transeval.sources import commits
 
 TASK_RESULT = StructType([
     StructField("nfiles", IntegerType()),
@@ -135,41 +135,23 @@ def latest_versions(results: DataFrame, keys: Sequence[str], version: str) -> Da
         *keys, "n_versions", *[f"_l.{c}" for c in payload], f"_l.{version}")
 
 
-def next_version(existing: DataFrame, cfg: Sequence[str], version: str = "version") -> DataFrame:
-    """Version number a re-run writes per config: one above the highest stored."""
-    return existing.groupBy(*cfg).agg((F.max(version) + 1).alias("next_version"))
-
-
 def write_versioned(results: DataFrame, path: str, cfg: Sequence[str], version: str = "version") -> DataFrame:
     """Store a re-run as the next version of each config (older versions stay, like the
-    evaluator's ``.bak`` files); returns the rows written with their version."""
-    spark = results.sparkSession
-    existing = read_latest_or_none(spark, path, cfg, version)
-    if existing is None:
-        out = results.withColumn(version, F.lit(1))
-    else:
-        nxt = next_version(existing.select(*cfg, version), cfg, version)
-        if cfg:
-            numbered = results.join(nxt, on=list(cfg), how="left")
-        else:
-            numbered = results.withColumn("next_version", nxt.select("next_version").scalar())
-        out = numbered.withColumn(version, F.coalesce(F.col("next_version"), F.lit(1)).cast("int")).drop("next_version")
-    out.write.mode("append").partitionBy(*cfg, version).parquet(path)
-    return out
+    evaluator's ``.bak`` files); returns the stored rows with their version. A version counts
+    once its commit record is written (see ``sources.commits``)."""
+    stored, _ = commits.write_version(results, path, cfg, version)
+    return stored if stored is not None else results.limit(0).withColumn(version, F.lit(0).cast("long"))
 
 
 def read_latest(spark, path: str, cfg: Sequence[str], version: str = "version") -> DataFrame:
-    """Rows of the newest stored version of each config."""
-    df = spark.read.parquet(path)
-    newest = df.groupBy(*cfg).agg(F.max(version).alias(version))
-    return df.join(newest, on=[*cfg, version], how="left_semi")
+    """Rows of the newest committed version of each config, with the types they were written
+    with."""
+    found = read_latest_or_none(spark, path, cfg, version)
+    if found is None:
+        raise FileNotFoundError(f"no committed version below {path}")
+    return found
 
 
 def read_latest_or_none(spark, path: str, cfg: Sequence[str], version: str = "version") -> DataFrame | None:
     """``read_latest``, or None where nothing has been stored yet."""
-    try:
-        return read_latest(spark, path, cfg, version)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    return commits.read_newest(spark, path, version)

@@ -127,11 +127,13 @@ def test_prompt(code, seeds_text, key) -> Column:
 
 
 def seed_messages(tasks: DataFrame, seeds: DataFrame, key: str = "task_id", code: str = "code",
-                  text: str = "shown", rank: str = "seed_rank") -> DataFrame:
+                  text: str = "shown", rank: str = "seed_rank", instruction: Column | None = None) -> DataFrame:
     """One message per key from its selected seeds (at most ``SEED_SAMPLE_SIZE`` rows per
-    key, so collecting them is bounded)."""
+    key, so collecting them is bounded). ``instruction`` chooses among the instructions, by
+    default the key does."""
     joined = seeds.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank), F.col(text)))),
                                  lambda s: s[text]), "\n").alias("_seeds"))
     t = tasks.select(key, code).join(joined, on=key, how="left").withColumn("_seeds", F.coalesce("_seeds", F.lit("")))
-    return t.select(key, test_prompt(F.col(code), F.col("_seeds"), F.col(key)).alias("message"))
+    chosen = F.col(key) if instruction is None else instruction
+    return t.select(key, test_prompt(F.col(code), F.col("_seeds"), chosen).alias("message"))

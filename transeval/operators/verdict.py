@@ -59,17 +59,39 @@ def test_outcomes(compared: DataFrame) -> DataFrame:
     empty or missing stderr -> test_failed; else runtime_failed.
     """
     out, out_ok = _text_and_valid(compared, "stdout")
-    err, err_ok = _text_and_valid(compared, "stderr")
+    return _outcome(with_outputs_match(compared.withColumn("_out", out), "_out", "expected", "_match", out_ok).drop("_out"))
+
+
+def test_outcomes_once(exec_log: DataFrame, tests: DataFrame, task_keys: Sequence[str] = ("task_id",)) -> DataFrame:
+    """``test_outcomes`` of the log with its expected outputs, where each output of a test is
+    compared once, however many samples have printed it: the distinct (task, test, output) are
+    judged, and rows find their judgement by 128 bits of the output's hash, so outputs travel
+    once. What a test's outputs share is left to the join: a judgement is a few bytes, so it is
+    broadcast, or a part of the log that is skewed is split, as AQE measures it."""
+    by = [*task_keys, "test_idx"]
+    marks = {"_o1": F.xxhash64("stdout"), "_o2": F.xxhash64(F.lit(1), F.col("stdout"))}
+    marked = exec_log.withColumns(marks)
+    different = marked.filter(F.col("test_idx").isNotNull()).select(*by, "stdout", *marks).distinct()
+    compared = attach_expected(different, tests, task_keys)
+    out, out_ok = _text_and_valid(compared, "stdout")
+    judged = with_outputs_match(compared.withColumn("_out", out), "_out", "expected", "_match", out_ok).select(*by, *marks, "_match")
+    expected = tests.select(*by, "expected")
+    back = marked.join(judged, [*by, *marks], "left").join(expected, by, "left").drop(*marks)
+    return _outcome(back.withColumn("_match", F.coalesce("_match", F.lit(False))))
+
+
+def _outcome(judged: DataFrame) -> DataFrame:
+    """``matched`` and ``outcome`` from the column ``_match``."""
+    err, err_ok = _text_and_valid(judged, "stderr")
     err = F.coalesce(err, F.lit(""))
-    compared = with_outputs_match(compared.withColumn("_out", out), "_out", "expected", "_match", out_ok).drop("_out")
     outcome = (F.when(~F.col("compile_ok"), F.lit(K.COMPILE_FAILED))
                .when(F.col("timed_out"), F.lit(K.INFINITE_LOOP))
                .when(F.col("matched"), F.lit(K.SUCCESS))
                .when(~err_ok, F.lit(K.COMPILE_FAILED))
                .when(err == "", F.lit(K.TEST_FAILED))
                .otherwise(F.lit(K.RUNTIME_FAILED)))
-    return (compared.withColumn("matched", F.when(F.col("test_idx").isNotNull(), F.col("_match"))).drop("_match")
-                    .withColumn("outcome", F.when(F.col("test_idx").isNotNull() | ~F.col("compile_ok"), outcome)))
+    return (judged.withColumn("matched", F.when(F.col("test_idx").isNotNull(), F.col("_match"))).drop("_match")
+                  .withColumn("outcome", F.when(F.col("test_idx").isNotNull() | ~F.col("compile_ok"), outcome)))
 
 
 _CODE = {label: code for code, label in K.VERDICT_CODES.items() if label is not None}
@@ -166,16 +188,17 @@ def budget_verdicts(outcomes: DataFrame, cfg: Sequence[str] = (), keys: Sequence
 
 def judge(exec_log: DataFrame, tests: DataFrame, cfg: Sequence[str] = (), *, samples: DataFrame | None = None,
           task_keys: Sequence[str] = ("task_id",), budget: str | None = None,
-          budget_s: float = K.SAMPLE_BUDGET_S) -> DataFrame:
+          budget_s: float = K.SAMPLE_BUDGET_S, once: bool = False) -> DataFrame:
     """exec_log + tests -> verdict rows ``(cfg..., task_id, completion_id, verdict)``.
 
     ``budget``: None (per-test rules), ``"watchdog"`` or ``"strict"`` (see ``budget_verdicts``).
     With ``samples`` there is one row for each of them: a sample without any log row has a
     NULL verdict, and so has one whose log ends before its last test although neither a
-    failure nor the time budget ended the run.
+    failure nor the time budget ended the run. ``once`` compares equal outputs of a test once,
+    which pays where samples repeat each other and outputs are long.
     """
     keys = [*cfg, *SAMPLE_KEYS]
-    outcomes = test_outcomes(attach_expected(exec_log, tests, task_keys))
+    outcomes = test_outcomes_once(exec_log, tests, task_keys) if once else test_outcomes(attach_expected(exec_log, tests, task_keys))
     if budget is None:
         v = sample_verdicts(outcomes, cfg).select(*keys, "n_tests", "elapsed_s", "verdict")
     else:

@@ -199,7 +199,7 @@ from bv"""
 ORACLE["test_compare"] = with_(BX) + "select task_id, completion_id, test_idx, stdout, expected from bx_cmp"
 ORACLE["numeric_match"] = with_(BX) + f"select completion_id, test_idx, {outputs_match('stdout', 'expected')} as matched from bx_cmp"
 ORACLE["text_match"] = with_(BX) + f"select completion_id, test_idx, {strip('stdout')} = {strip('expected')} as text_equal from bx_cmp"
-ORACLE["test_outcome"] = with_(BX) + "select completion_id, test_idx, outcome from bx_out"
+ORACLE["test_outcome"] = ORACLE["test_outcome_once"] = with_(BX) + "select completion_id, test_idx, outcome from bx_out"
 
 _SAMPLE = """sv as (select task_id, completion_id, max(case when not compile_ok then 1 else 0 end) as cfail,
        count(test_idx) as n_tests,

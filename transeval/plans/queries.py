@@ -111,6 +111,13 @@ def test_outcome(spark, sf):
     return o.select("completion_id", "test_idx", "outcome")
 
 
+@query
+def test_outcome_once(spark, sf):
+    """As ``test_outcome``, with equal outputs of a test compared once."""
+    o = vd.test_outcomes_once(B.exec_log(spark, sf), B.tests(spark, sf))
+    return o.select("completion_id", "test_idx", "outcome")
+
+
 @query
 def first_failure(spark, sf):
     v = vd.sample_verdicts(vd.test_outcomes(_compared(spark, sf)))

@@ -2,7 +2,8 @@
 
 Reading keeps every sample file as one row (whole text) with its configuration parsed
 from the path; writing keeps samples as parquet partitioned by configuration, which is
-the form later jobs read. Zero-byte sample files are samples too (empty solution).
+the form later jobs read. Zero-byte sample files are samples too (empty solution). Trees are
+read and written through the data source of ``tree``.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from transeval import constants as K
 from transeval.functions.text import lit_col
+from transeval.sources import commits, tree
 
-CFG = ["dataset", "model", "source_lang", "target_lang", "temperature", "stage"]
+CFG = tree.CFG
 PATH_PATTERN = (r"([^/]+)/([^/]+)/([^/]+)/([^/]+)/temperature_([^/]+?)(-sanitized)?/([^/]+)/([^/]+)$")
 
 
@@ -38,43 +40,32 @@ def sample_path(root, dataset, model, src, trg, temperature, stage, task_id, idx
                        F.concat(lit_col(idx).cast("string"), lit_col(ext)))
 
 
-def _decoded_path() -> Column:
-    # file paths come URI-encoded; a literal '+' must survive url_decode
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+def _address(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark understands it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString())
+
+
+def _tree(spark: SparkSession, root: str, target_lang: str, level: str, slices: int) -> DataFrame:
+    spark.dataSource.register(tree.SampleTree)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return (spark.read.format(tree.NAME).option("ext", K.EXTENSIONS[target_lang]).option("level", level)
+            .option("slices", slices).load(_address(spark, root)))
 
 
-def read_samples(spark: SparkSession, root: str, target_lang: str) -> DataFrame:
+def read_samples(spark: SparkSession, root: str, target_lang: str, slices: int = tree.SLICES) -> DataFrame:
     """All sample files of one target language under a configuration directory
     ``root`` (``.../temperature_T[-sanitized]``); sub-directories are tasks and only files
-    directly inside a task directory with the target extension count."""
-    ext = K.EXTENSIONS[target_lang]
-    files = (spark.read.text(f"{root}/*/*{ext}", wholetext=True)
-             .select(F.col("value").alias("solution"), _decoded_path().alias("identifier")))
-    empty = _zero_byte_files(spark, root, ext)
-    if empty:
-        files = files.unionByName(spark.createDataFrame([(p, "") for p in empty], "identifier string, solution string"))
-    stem = F.substring_index(F.substring_index(F.col("identifier"), "/", -1), ".", 1)
-    task = F.substring_index(F.substring_index(F.col("identifier"), "/", -2), "/", 1)
-    return files.select("identifier", task.alias("task_id"), stem.alias("completion_id"), "solution")
-
-
-def read_sample_tree(spark: SparkSession, root: str, target_lang: str) -> DataFrame:
-    """All sample files of one target language under ``root``, whose folders are
-    ``<dataset>/<model>/<source>/<target>/temperature_T[-sanitized]``, with the configuration
-    columns of each."""
-    found = read_samples(spark, f"{root}/*/*/*/*/temperature_*", target_lang)
-    cols = parse_path(F.col("identifier"))[:len(CFG)]
-    return found.select(*cols, "identifier", "task_id", "completion_id", "solution").filter(F.col("target_lang") == target_lang)
+    directly inside a task directory with the target extension count, empty ones too."""
+    return _tree(spark, root, target_lang, "configuration", slices).select("identifier", "task_id", "completion_id", "solution")
 
 
-def _zero_byte_files(spark: SparkSession, root: str, ext: str) -> list[str]:
-    """The text reader skips empty files; list them (metadata only) to keep them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    fs_path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = fs_path.getFileSystem(conf)
-    status = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/*/*{ext}")) or []
-    return [str(s.getPath().toUri().getPath()) for s in status if s.isFile() and s.getLen() == 0]
+def read_sample_tree(spark: SparkSession, root: str, target_lang: str, slices: int = tree.SLICES) -> DataFrame:
+    """All sample files of one target language under ``root``, whose folders are
+    ``<dataset>/<model>/<source>/<target>/temperature_T[-sanitized]``, with the configuration
+    columns of each. Filters on these choose the folders that are listed (see ``tree``)."""
+    return _tree(spark, root, target_lang, "tree", slices).filter(F.col("target_lang") == target_lang)
 
 
 def write_samples(samples: DataFrame, path: str, cfg=CFG, mode: str = "append") -> None:
@@ -84,31 +75,37 @@ def write_samples(samples: DataFrame, path: str, cfg=CFG, mode: str = "append")
 
 
 def append_samples(samples: DataFrame, path: str, cfg=CFG, text: str = "solution") -> DataFrame:
-    """Append generated samples keyed (config, task_id, idx); ``generate.work_plan`` with
-    ``gap_fill`` plans indices that the table lacks, so no index is written twice. A reply that is not valid
-    UTF-8 cannot be written as a sample file: it is skipped without taking an index, so
-    the next resume plans that index again. Returns the skipped rows."""
+    """Add generated samples to a keyed store: a (config, task_id, idx) that is stored already
+    keeps its text, so a batch written twice, by a retry or by two jobs, changes nothing, and
+    only the buckets of tasks that get rows are written (see ``commits.merge``). A reply that
+    is not valid UTF-8 cannot be written as a sample file: it is skipped without taking an
+    index, so the next resume plans that index again. Returns the skipped rows."""
     valid = F.coalesce(F.is_valid_utf8(F.col(text)), F.lit(False))
-    write_samples(samples.filter(valid), path, cfg)
+    named = samples.filter(valid).withColumn("task_id", F.replace(F.col("task_id"), F.lit("/"), F.lit("_")))
+    commits.merge(named, path, [c for c in cfg if c in samples.columns], ["task_id", "idx"])
     return samples.filter(~valid)
 
 
+def stored_samples(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ``append_samples`` has stored, with the types it was written with; None where
+    there is nothing."""
+    return commits.read_newest(spark, path, None)
+
+
 def export_sample_tree(samples: DataFrame, root: str, ext_col: str = "ext", shared_mount: bool = False) -> None:
     """One file per sample, ``<root>/<task_id>/<idx><ext>`` (the layout compile-and-run
-    harnesses read). Each Spark task writes its own rows, so ``root`` must be a folder that
-    all machines see; off local mode the caller says so with ``shared_mount=True``. Needs
-    ``task_id``, ``idx``, ``solution`` and ``ext``."""
-    if not shared_mount and not samples.sparkSession.sparkContext.master.startswith("local"):
+    harnesses read), below its configuration's folders where ``samples`` has all columns of
+    ``CFG``. Files appear once all tasks have written theirs (see ``tree``). Tasks write, so a
+    local path must be one that all machines see; off local mode the caller says so with
+    ``shared_mount=True``. Needs ``task_id``, ``idx``, ``solution`` and ``ext``."""
+    spark = samples.sparkSession
+    address = _address(spark, root)
+    if address.startswith("file:") and not shared_mount and not spark.sparkContext.master.startswith("local"):
         raise ValueError("each executor would write to a folder of its own; export to a shared mount")
-    rows = samples.select(F.replace(F.col("task_id"), F.lit("/"), F.lit("_")).alias("task"),
-                          F.col("idx").cast("string").alias("idx"), F.col(ext_col).alias("ext"), "solution")
-
-    def write(part):
-        import os
-        for r in part:
-            folder = os.path.join(root, r["task"])
-            os.makedirs(folder, exist_ok=True)
-            with open(os.path.join(folder, f"{r['idx']}{r['ext']}"), "w", encoding="utf-8") as f:
-                f.write(r["solution"])
-
-    rows.foreachPartition(write)
+    if all(c in samples.columns for c in CFG):
+        cfg = [F.col(c) for c in CFG if c != "stage"]
+        file = F.substring_index(sample_path(F.lit(""), *cfg, F.col("stage"), F.col("task_id"), F.col("idx"), F.col(ext_col)), "/", -7)
+    else:
+        file = F.concat_ws("/", F.replace(F.col("task_id"), F.lit("/"), F.lit("_")), F.concat(F.col("idx").cast("string"), F.col(ext_col)))
+    spark.dataSource.register(tree.SampleTree)
+    samples.select(file.alias("file"), "solution").write.format(tree.NAME).mode("append").save(address)

@@ -6,7 +6,8 @@ of finished samples into a folder; a file stream picks up new files, each micro-
 is judged with the batch operator, and its verdicts are written to a partition named
 after the batch id. Re-running a batch after a failure overwrites that partition, so the
 verdict table never holds a sample twice; the stream checkpoint records which files are
-done (resume). Contract: a file holds every test row of the samples it contains.
+done (resume). Contract: a file holds every test row of the samples it contains; where it
+does not, ``streaming.arrivals`` holds a sample's state until its verdict is certain.
 """
 
 from __future__ import annotations
@@ -45,8 +46,10 @@ def score_stream(spark: SparkSession, log_dir: str, tests: DataFrame, verdict_di
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     logs = reader.parquet(log_dir)
 
+    task_keys = ("dataset", "task_id") if "dataset" in full.fieldNames() and "dataset" in tests.columns else ("task_id",)
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        v = judge(batch, tests, list(cfg), budget=budget).withColumn("batch_id", F.lit(batch_id))
+        v = judge(batch, tests, list(cfg), budget=budget, task_keys=task_keys).withColumn("batch_id", F.lit(batch_id))
         (v.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("batch_id").parquet(verdict_dir))
 
