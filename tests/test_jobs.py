@@ -138,3 +138,55 @@ def test_translate_refuses_over_long_prompts(spark):
                          token_count=lambda c: F.floor(F.length(c) / 4), context=60)
     got = {r.task_id: r.output for r in out.collect()}
     assert got == {"p1": "MODEL MAX LENGTH EXCEEDED", "p2": "z=1"}
+
+
+def test_evaluate_command_keeps_types_and_stores_all(spark, tmp_path, capsys, monkeypatch):
+    """Names and temperatures that look like numbers, more configurations than a screen has rows."""
+    import transeval.__main__ as cli
+    d = str(tmp_path)
+    models = ["007", "1e5", *[f"m{i}" for i in range(28)]]
+    cfg = [(m, "Java", t) for m in models for t in ("0.20", "0.2")]
+    spark.createDataFrame([("t", "Java", [("", "1")]), ("u", "Java", [("", "2")])], "task_id string, language string, test_io array<struct<input:string, output:string>>").write.parquet(f"{d}/tasks")
+    rows = [(*c, t, "0") for c in cfg for t in "tu" if not (c[0] == "m3" and t == "u")]
+    spark.createDataFrame(rows, "model string, source_lang string, temperature string, task_id string, completion_id string").write.parquet(f"{d}/samples")
+    spark.createDataFrame([(*r, 0, True, False, 1.0, "1", "") for r in rows],
+                          "model string, source_lang string, temperature string, task_id string, completion_id string, test_idx int, compile_ok boolean, "
+                          "timed_out boolean, elapsed_s double, stdout string, stderr string").write.parquet(f"{d}/log")
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    args = ["evaluate", "--exec_log", f"{d}/log", "--samples", f"{d}/samples", "--tasks", f"{d}/tasks", "--out", f"{d}/out"]
+    cli.main(args)
+    shown = capsys.readouterr().out
+    sound = [c for c in cfg if c[0] != "m3"]
+    board = spark.read.parquet(f"{d}/out/board")
+    got = {(r.model, r.source_lang, r.temperature): r.pass_at_k for r in board.filter("k = 1").collect()}
+    assert got == {c: 0.5 for c in sound} and len(sound) == 58
+    assert all(f"|{m}" in shown or f" {m}" in shown for m in models)
+    problems = {(r.model, r.temperature, r.problem, r.subject) for r in spark.read.parquet(f"{d}/out/problems").collect()}
+    assert problems == {("m3", t, "missing task", "u") for t in ("0.20", "0.2")}
+    assert spark.read.parquet(f"{d}/out/scores").filter("k = 1").count() == 2 * len(sound)
+    cli.main([*args, "--once"])  # all are stored: nothing is judged again, the same is scored
+    again = {(r.model, r.source_lang, r.temperature): r.pass_at_k for r in spark.read.parquet(f"{d}/out/board").filter("k = 1").collect()}
+    assert again == got
+    from transeval.sources import commits
+    assert {r.version for r in commits.records(spark, f"{d}/out/verdicts").collect()} == {1}
+    cli.main([*args, "--rerun", "--once"])
+    assert {r.version for r in commits.newest(spark, f"{d}/out/verdicts").values()} == {2}
+
+
+def test_equal_outputs_judged_once(spark):
+    """Same outcomes as row by row: nulls, binary outputs, missing tests, compile-only rows."""
+    from transeval.operators.verdict import attach_expected, test_outcomes, test_outcomes_once
+    tests = spark.createDataFrame([("t", 0, "1.50"), ("t", 1, "x"), ("u", 0, None)], "task_id string, test_idx int, expected string")
+    outs = [b"1.5", b"1.504\n", b"x ", b"", b"\xff", None]
+    rows = [(k, f"{i}{j}", t, True, False, 1.0, o, e) for i, o in enumerate(outs) for j in range(4) for k, t in (("t", 0), ("t", 1), ("t", 2), ("u", 0), ("z", 0))
+            for e in (b"", b"\xff") if (e == b"") == (j < 3)]
+    rows += [("t", "c", None, False, False, 0.0, None, b"error")]
+    schema = "task_id string, completion_id string, test_idx int, compile_ok boolean, timed_out boolean, elapsed_s double, stdout binary, stderr binary"
+    log = spark.createDataFrame(rows, schema)
+    cols = ["task_id", "completion_id", "test_idx", "matched", "outcome"]
+    want, got = test_outcomes(attach_expected(log, tests)).select(*cols), test_outcomes_once(log, tests).select(*cols)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    # the comparison sees each output of a test once
+    judged = log.filter("test_idx is not null").select("task_id", "test_idx", "stdout").distinct().count()
+    plan = test_outcomes_once(log, tests)._jdf.queryExecution().optimizedPlan().toString()
+    assert judged == 30 < log.count() / 3 and "Aggregate" in plan

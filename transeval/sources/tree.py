@@ -146,22 +146,31 @@ class TreeWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.root = options["path"]
         self.aside = f"{ASIDE}/{uuid.uuid4().hex}"
+        fs, root = opened(self.root)
+        fs.create_dir(f"{root}/{self.aside}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Attempt:
         fs, root = opened(self.root)
         folder = f"{root}/{self.aside}/{uuid.uuid4().hex}"
         made: set[str] = set()
         n = 0
+
+        def make(path: str) -> None:
+            # not beyond the job's own folder: it is gone once the job has been given up, and
+            # an attempt that is still at work then fails instead of writing it anew
+            if path not in made:
+                if path != folder:
+                    make(path.rpartition("/")[0])
+                fs.create_dir(path, recursive=False)
+                made.add(path)
+
         for batch in iterator:
             for file, text in zip(batch.column("file").to_pylist(), batch.column("solution").to_pylist(), strict=True):
                 if file is None or text is None:
                     raise ValueError(f"a sample without a name or a text: {file}")
                 if any(p in ("", ".", "..") for p in file.split("/")):
                     raise ValueError(f"not a name below the root: {file}")
-                parent = f"{folder}/{file}".rpartition("/")[0]
-                if parent not in made:
-                    fs.create_dir(parent)
-                    made.add(parent)
+                make(f"{folder}/{file}".rpartition("/")[0])
                 with fs.open_output_stream(f"{folder}/{file}") as f:
                     f.write(text.encode())
                 n += 1
