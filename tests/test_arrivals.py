@@ -3,7 +3,6 @@
 import random
 import time
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,9 +39,9 @@ def tests_table(spark):
     return spark.createDataFrame(TESTS, "task_id string, test_idx int, expected string")
 
 
-def stream(spark, folder, tests, out, files=1, give_up="1 hour"):
+def stream(spark, folder, tests, out, files=1, give_up="1 hour", groups=3):
     log = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files).parquet(f"{folder}/log")
-    ar.write_arriving(ar.arriving_verdicts(log, tests, ["model"], give_up_after=give_up), f"{folder}/{out}", f"{folder}/state").awaitTermination()
+    ar.write_arriving(ar.arriving_verdicts(log, tests, ["model"], give_up_after=give_up, groups=groups), f"{folder}/{out}", f"{folder}/state").awaitTermination()
 
 
 def put(spark, folder, rows):
@@ -95,21 +94,21 @@ def test_given_up_after_a_while_and_late_rows(spark, tests_table, tmp_path):
 
 
 def test_what_is_held_of_a_sample():
-    def rows(*r):
-        return pd.DataFrame(r, columns=["test_idx", "code", "compile_ok", "planned"])
+    def events(*rows, planned=72):
+        return [(planned << ar.PLANNED_AT) + (ar.NO_COMPILE if i is None else (i << 3) + c) for i, c in rows]
+
+    def add(seen, *rows):
+        [seen.add(e) for e in events(*rows)]
+        return seen
 
     ok, failed = ar.CODES["success"], ar.CODES["test_failed"]
-    seen = ar.Seen()
-    seen.add(rows((70, ok, True, 72), (3, failed, True, 72)))
-    assert not seen.certain() and seen.verdict() == "test_failed"
-    again = ar.Seen()
-    again.passed, again.failed_at, again.failure, again.planned, again.given = int.from_bytes(seen.row()[0], "little"), *seen.row()[1:]
-    again.add(rows((0, ok, True, 72), (1, ok, True, 72), (2, ok, True, 72)))
-    assert again.certain() and again.failed_at == 3
-    seen.add(rows((1, failed, True, 72)))
+    seen = add(ar.Seen(), (70, ok), (3, failed))
+    assert not seen.certain() and seen.verdict() == "test_failed" and seen.planned == 72
+    again = add(ar.Seen.of(seen.row()), (0, ok), (1, ok), (2, ok))
+    assert again.certain() and again.failed_at == 3 and again.passed >> 70 == 1
+    add(seen, (1, failed))
     assert seen.failed_at == 1 and not seen.certain()
-    broken = ar.Seen()
-    broken.add(rows((float("nan"), 3, False, 72)))
+    broken = add(ar.Seen(), (0, ok), (None, 0))
     assert broken.certain() and broken.verdict() == "compile_failed"
     assert not ar.Seen().certain() and ar.Seen().verdict() is None
 

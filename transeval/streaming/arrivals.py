@@ -13,12 +13,15 @@ NULL if these neither failed nor were all (as ``operators.verdict.judge`` has it
 stays for as long again after its verdict, so that late rows do not make a second one, and then
 goes.
 
-Everything up to the test's outcome is the batch operators' own column logic; the state is a
-bitmap of passed tests and two numbers.
+Everything up to the test's outcome is the batch operators' own column logic. What is held of a
+sample is a bitmap of passed tests and a few numbers. Samples are dealt to groups by a hash, and
+a group's samples are one state, so that a batch calls Python once for each group it touches; a
+group grows with the samples that are open, not with those that a task or a model has.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -26,14 +29,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
 
 from transeval import constants as K
 from transeval.operators import verdict as vd
 
-STATE = StructType([StructField("passed", BinaryType()), StructField("failed_at", LongType()), StructField("failure", IntegerType()),
-                    StructField("planned", LongType()), StructField("given", BooleanType())])
+STATE = StructType([StructField("samples", BinaryType())])
+#: Groups that samples are dealt to: so many that the open samples of one are some hundreds.
+GROUPS = 2000
 NO_FAILURE = -1
+#: In an event the number of planned tests begins at this bit; below lies the test, or this.
+PLANNED_AT = 34
+NO_COMPILE = (1 << PLANNED_AT) - 1
 CODES = {label: code for code, label in K.VERDICT_CODES.items() if label is not None}
 LABELS = {code: label for label, code in CODES.items()}
 
@@ -41,38 +48,30 @@ LABELS = {code: label for label, code in CODES.items()}
 class Seen:
     """What is known of one sample."""
 
-    def __init__(self, passed: int = 0, failed_at: int = NO_FAILURE, failure: int = 0, planned: int = 0, given: bool = False):
-        self.passed, self.failed_at, self.failure, self.planned, self.given = passed, failed_at, failure, planned, given
+    def __init__(self, passed: int = 0, failed_at: int = NO_FAILURE, failure: int = 0, planned: int = 0, given: bool = False, until: int = 0):
+        self.passed, self.failed_at, self.failure, self.planned, self.given, self.until = passed, failed_at, failure, planned, given, until
+
+    def row(self) -> list:
+        """As it is stored; of a sample whose verdict has been given only that is kept."""
+        if self.given:
+            return ["", NO_FAILURE, 0, 0, True, self.until]
+        return [f"{self.passed:x}", self.failed_at, self.failure, self.planned, False, self.until]
 
     @classmethod
-    def of(cls, state: GroupState) -> Seen:
-        if not state.exists:
-            return cls()
-        passed, failed_at, failure, planned, given = state.get
-        return cls(int.from_bytes(bytes(passed), "little"), failed_at, failure, planned, given)
-
-    def row(self) -> tuple:
-        if self.given:  # nothing but that is asked for
-            return b"", NO_FAILURE, 0, 0, True
-        return self.passed.to_bytes((self.passed.bit_length() + 7) // 8, "little"), self.failed_at, self.failure, self.planned, False
-
-    def add(self, rows: pd.DataFrame) -> None:
-        """Rows of (test_idx, code, compile_ok, planned)."""
-        self.planned = max(self.planned, int(rows["planned"].max()))
-        if not rows["compile_ok"].all():
-            # no test comes before this
-            self.failed_at, self.failure = 0, CODES[K.COMPILE_FAILED]
-            self.passed = 0
-            return
-        tests = rows[rows["test_idx"].notna()]
-        for idx in tests.loc[tests["code"] == CODES[K.SUCCESS], "test_idx"]:
-            self.passed |= 1 << int(idx)
-        failed = tests[tests["code"] != CODES[K.SUCCESS]]
-        if len(failed):
-            first = failed.loc[failed["test_idx"].idxmin()]
-            at = int(first["test_idx"])
-            if self.failed_at == NO_FAILURE or at < self.failed_at:
-                self.failed_at, self.failure = at, int(first["code"])
+    def of(cls, row: list) -> Seen:
+        return cls(int(row[0] or "0", 16), *row[1:])
+
+    def add(self, e: int) -> None:
+        """What a log row tells, as ``event`` packs it."""
+        self.planned = max(self.planned, e >> PLANNED_AT)
+        test = e & ((1 << PLANNED_AT) - 1)
+        idx, code = test >> 3, test & 7
+        if test == NO_COMPILE:  # no test comes before this
+            self.passed, self.failed_at, self.failure = 0, 0, CODES[K.COMPILE_FAILED]
+        elif code == CODES[K.SUCCESS]:
+            self.passed |= 1 << idx
+        elif self.failed_at == NO_FAILURE or idx < self.failed_at:
+            self.failed_at, self.failure = idx, code
 
     def certain(self) -> bool:
         if self.failed_at != NO_FAILURE:
@@ -86,50 +85,73 @@ class Seen:
         return K.SUCCESS if 0 < self.planned <= self.passed.bit_count() else None
 
 
-def _code() -> Column:
+def load(state: GroupState) -> dict[tuple, Seen]:
+    if not state.exists:
+        return {}
+    return {tuple(key): Seen.of(row) for key, row in json.loads(bytes(state.get[0]))}
+
+
+def save(state: GroupState, held: dict[tuple, Seen], wait: int) -> None:
+    if held:
+        state.update((json.dumps([[key, seen.row()] for key, seen in held.items()]).encode(),))
+        state.setTimeoutDuration(wait)
+    elif state.exists:
+        state.remove()
+
+
+def event() -> Column:
+    """A row of outcomes as one number: the task's number of tests above the test's position
+    and outcome code, or NO_COMPILE in their place."""
     code = F.when(F.lit(False), F.lit(None))
     for label, c in CODES.items():
         code = code.when(F.col("outcome") == label, F.lit(c))
-    return code.cast("int")
+    test = F.when(~F.col("compile_ok"), F.lit(NO_COMPILE)).otherwise(F.shiftleft(F.col("test_idx").cast("long"), 3) + code)
+    return F.shiftleft(F.coalesce("planned", F.lit(0)).cast("long"), PLANNED_AT) + test
 
 
 def arriving_verdicts(log: DataFrame, tests: DataFrame, cfg: Sequence[str] = (), *, task_keys: Sequence[str] = ("task_id",),
-                      give_up_after: str = "1 hour") -> DataFrame:
+                      give_up_after: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """Verdict rows (cfg..., task_id, completion_id, verdict, complete) of a stream of log rows,
     one for each sample. ``complete`` is false where a sample was given up, after
     ``give_up_after`` of processing time without a row. A sample's rows agree on whether it
-    compiles; a row that comes twice counts once."""
+    compiles; a row that comes twice counts once. ``groups`` stays as it is for as long as the
+    stream's checkpoint is used."""
     keys = [*cfg, *vd.SAMPLE_KEYS]
     planned = tests.groupBy(*task_keys).agg(F.count(F.lit(1)).alias("planned"))
     outcomes = vd.test_outcomes(vd.attach_expected(log, tests, task_keys)).join(planned, list(task_keys), "left")
-    slim = outcomes.select(*keys, "test_idx", _code().alias("code"), "compile_ok", F.coalesce("planned", F.lit(0)).alias("planned"))
+    # rows that neither fail to compile nor belong to a test tell nothing
+    slim = (outcomes.select(*keys, event().alias("event")).filter(F.col("event").isNotNull())
+            .withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups))))
     wait = int(pd.Timedelta(give_up_after).total_seconds() * 1000)
     out = StructType([*[log.schema[k] for k in keys], StructField("verdict", StringType()), StructField("complete", BooleanType())])
-
-    def one(seen: Seen, key: tuple, complete: bool) -> pd.DataFrame:
-        return pd.DataFrame([(*key, seen.verdict(), complete)], columns=out.fieldNames())
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = Seen.of(state)
-        if state.hasTimedOut:
-            if not seen.given:
-                yield one(seen, key, False)
-                seen.given = True
-                state.update(seen.row())
-                state.setTimeoutDuration(wait)
-            else:
-                state.remove()
-            return
-        for rows in batches:
-            if not seen.given:
-                seen.add(rows)
-        if not seen.given and seen.certain():
-            yield one(seen, key, True)
-            seen.given = True
-        state.update(seen.row())
-        state.setTimeoutDuration(wait)
-
-    return slim.groupBy(*keys).applyInPandasWithState(step, out, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    names = out.fieldNames()
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, held, found = state.getCurrentProcessingTimeMs(), load(state), []
+        if not state.hasTimedOut:
+            touched = {}
+            for rows in batches:
+                for key, e in zip(zip(*[rows[k].tolist() for k in keys], strict=True), rows["event"].tolist(), strict=True):
+                    seen = touched[key] = held.setdefault(key, Seen())
+                    if not seen.given:
+                        seen.add(e)
+            for key, seen in touched.items():
+                seen.until = now + wait
+                if not seen.given and seen.certain():
+                    found.append((*key, seen.verdict(), True))
+                    seen.given = True
+        for key, seen in list(held.items()):
+            if seen.until <= now:
+                if seen.given:
+                    del held[key]
+                else:
+                    found.append((*key, seen.verdict(), False))
+                    seen.given, seen.until = True, now + wait
+        save(state, held, wait)
+        if found:
+            yield pd.DataFrame(dict(zip(names, zip(*found, strict=True), strict=True)))
+
+    return slim.groupBy("_group").applyInPandasWithState(step, out, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def write_arriving(verdicts: DataFrame, verdict_dir: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
