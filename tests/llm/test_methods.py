@@ -273,3 +273,25 @@ def test_words_that_change_a_license(spark):
     got = {r.doc_id or 0: r for r in license_scan.scan(docs).collect()}
     assert [got[i].labels for i in range(len(texts))] == [label for _, label in texts]
     assert got[0].score == 1 and got[7].score < license_scan.ENOUGH
+
+
+def test_marks_miss_no_fingerprint(spark):
+    rng = np.random.default_rng(4)
+    prints = rng.integers(-(1 << 63), 1 << 63, 3000, np.int64)
+    marks = exact_dedup.marks_of(spark.createDataFrame([(int(p),) for p in prints], "print long"), 1 << 20)
+    assert marks.has(prints).all() and sum(map(len, marks.segments.values())) == 1 << 17
+    assert marks.has(rng.integers(-(1 << 63), 1 << 63, 3000, np.int64)).mean() < 0.01
+    assert not exact_dedup.marks_of(spark.createDataFrame([], "print long")).has(prints).any()
+
+
+def test_copies_are_combined_before_they_leave_a_task(spark):
+    import pyarrow as pa
+    rows = [(i if i % 7 else None, 5, "a copy" if i % 3 else "an other") for i in range(90)] + [(1, 6, "alone")]
+    marks = exact_dedup.marks_of(spark.createDataFrame([(5,)], "print long"))
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("doc_id", "print", "norm"), r)) for r in rows[a:a + 20]]) for a in range(0, len(rows), 20)]
+    out = [r for b in exact_dedup._combined(iter(batches), marks) for r in b.to_pylist()]
+    assert [(r["norm"], r["keep_id"], r["group_size"]) for r in out] == [("an other", 87, 30), ("a copy", 89, 60)]
+    # where little is held, a text goes on in several rows
+    small = [r for b in exact_dedup._combined(iter(batches), marks, 1) for r in b.to_pylist()]
+    assert len(small) > 2 and sum(r["group_size"] for r in small) == 90 and max(r["keep_id"] for r in small) == 89
+    assert {r.group_size for r in exact_dedup.exact_duplicates(spark.createDataFrame([(str(i), "same") for i in range(12)], "doc_id string, text string").repartition(5)).collect()} == {12}

@@ -6,6 +6,12 @@ remainder kept in the filter, next to a count. Filters are cut into slices by qu
 equal slices of all partitions merge by sorted remainders without loss, and only the
 fingerprints whose merged count is above one go on to byte verification, a group-by on
 the normalised text itself.
+
+Texts are read a second time for that, and few leave their task. Each merged slice also gives
+a segment of a bit map of fixed size, in which the fingerprints that occur more than once are
+marked; tasks drop the texts whose fingerprint is not marked, and combine equal texts before
+they send them on, so a group of copies of any size is a row or so per task. The map may mark
+others, which an exact join drops afterwards.
 """
 
 from __future__ import annotations
@@ -18,9 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, buckets_for, small_batches
+from .common import ascii_lower, buckets_for, small_batches, written
+from .shards import mixed
 
 FINGERPRINT_BITS = 64
+#: Bits of the map of repeated fingerprints (16 MB), and of a fingerprint that choose its segment.
+MAP_BITS, SEGMENT_CHOICE = 1 << 27, 6
+#: Text that a task holds before it hands combined rows on.
+HELD_BYTES = 32 << 20
 SLICE_SCHEMA = "slice long, quotients binary, ends binary, remainders binary, counts binary"
 
 
@@ -113,6 +124,81 @@ def repeated_fingerprints(prints: DataFrame, remainder_bits: int = 40, flush: in
     return parts.groupBy("slice").applyInPandas(lambda pdf: _repeated(pdf, bits), "print long")
 
 
+class Marks:
+    """A bit map in segments; a value's first bits choose the segment, two others in it its
+    places."""
+
+    def __init__(self, segments: dict[int, np.ndarray], segment_bits: int):
+        self.segments, self.segment_bits = segments, segment_bits
+
+    @staticmethod
+    def places(prints: np.ndarray, segment_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segment of each fingerprint, and its two places there."""
+        mask = np.uint64(segment_bits - 1)
+        spread = mixed(prints.view(np.uint64))
+        return (prints.view(np.uint64) >> np.uint64(64 - SEGMENT_CHOICE)).astype(np.int64), (spread & mask).astype(np.int64), ((spread >> np.uint64(32)) & mask).astype(np.int64)
+
+    def has(self, prints: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(prints), bool)
+        which, a, b = self.places(prints, self.segment_bits)
+        for s in np.unique(which):
+            bits = self.segments.get(int(s))
+            if bits is not None:
+                at = np.flatnonzero(which == s)
+                out[at] = ((bits[a[at] >> 3] >> (a[at] & 7)) & (bits[b[at] >> 3] >> (b[at] & 7)) & 1).astype(bool)
+        return out
+
+
+def marks_of(hot: DataFrame, map_bits: int = MAP_BITS) -> Marks:
+    """The map of the fingerprints in ``hot`` (print): its size does not depend on them."""
+    segment_bits = map_bits >> SEGMENT_CHOICE
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        prints = pdf["print"].to_numpy()
+        which, a, b = Marks.places(prints, segment_bits)
+        set_ = np.zeros(segment_bits, bool)
+        set_[a] = set_[b] = True
+        return pd.DataFrame({"segment": [int(which[0])], "bits": [np.packbits(set_, bitorder="little").tobytes()]})
+
+    segment = F.shiftrightunsigned("print", 64 - SEGMENT_CHOICE)
+    rows = hot.groupBy(segment.alias("segment")).applyInPandas(mark, "segment long, bits binary").collect()
+    return Marks({r["segment"]: np.frombuffer(r["bits"], np.uint8) for r in rows}, segment_bits)
+
+
+def _combined(batches: Iterator[pa.RecordBatch], marks: Marks, most_bytes: int = HELD_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows (print, norm, keep_id, group_size) of the texts marked, equal ones combined; what
+    is held is handed on beyond ``most_bytes`` of text."""
+    held: dict[str, list] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        prints, ids, counts = zip(*held.values(), strict=True)
+        out = [pa.array(prints, pa.int64()), pa.array(list(held), pa.string()), pa.array(ids, id_type), pa.array(counts, pa.int64())]
+        return pa.RecordBatch.from_arrays(out, names=["print", "norm", "keep_id", "group_size"])
+
+    for b in batches:
+        id_type = b.column(0).type
+        at = np.flatnonzero(marks.has(b.column(1).to_numpy(zero_copy_only=False)))
+        if not len(at):
+            continue
+        some = b.take(pa.array(at))
+        for i, p, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
+            known = held.get(t)
+            if known is None:
+                held[t] = [p, i, 1]
+                size += len(t)
+            else:
+                known[2] += 1
+                if known[1] is None or (i is not None and i > known[1]):
+                    known[1] = i
+        if size >= most_bytes:
+            yield flush()
+            held.clear()
+            size = 0
+    if held:
+        yield flush()
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -125,12 +211,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     norm = ascii_lower(F.col(text_col))
     base = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"))
     slim = base.select("doc_id", F.xxhash64("norm").alias("print"), F.sha2("norm", 256).alias("text_sha256"))
-    hot = repeated_fingerprints(base.select(F.xxhash64("norm").alias("print")))
-    # byte verification: the key is the whole normalised text, pre-aggregated by each task
-    # before it is shuffled, so a group of copies of any size sends a row per task
-    routed = base.withColumn("print", F.xxhash64("norm")).join(hot, "print", "left_semi")
-    groups = (routed.groupBy("print", "norm")
-              .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    hot = written(repeated_fingerprints(base.select(F.xxhash64("norm").alias("print"))), "repeated")
+    marks = marks_of(hot)
+    named = base.select("doc_id", F.xxhash64("norm").alias("print"), "norm")
+    schema = named.select("print", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).schema
+    combined = named.mapInArrow(lambda it: _combined(it, marks), schema)
+    # byte verification: the key is the whole normalised text
+    groups = (combined.join(hot, "print", "left_semi").groupBy("print", "norm")
+              .agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
               .select("print", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"))
     out = slim.join(groups, ["print", "text_sha256"], "left")
     # compare, not coalesce: a group of null ids keeps a null keep_id
