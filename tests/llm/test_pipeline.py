@@ -104,3 +104,24 @@ def test_run_on_no_rows(spark, no_docs, tmp_path, sf):
     no_docs.write.parquet(f"{d}/documents.parquet")
     table(spark, sf, "benchmark").write.parquet(f"{d}/benchmark.parquet")
     assert P.run(spark, d).collect() == []
+
+
+def test_ids_that_rows_share(spark, tmp_path, sf):
+    """Null ids and ids with two texts: only the row that is a copy, or contaminated, goes."""
+    bench = next(r.text for r in table(spark, sf, "benchmark").collect() if len(words(r.text)) >= 13)
+    base = [f"word{i} next{i * 7 % 13}" for i in range(60)]
+    a, near_a = " ".join(base), " ".join([*base[:-1], "another end"])
+    b, near_b = " ".join(base[::-1]), " ".join([*base[::-1][:-1], "another end"])
+    rows = [(None, a), (None, near_a), (None, "a text of its own, far from all others here"), (3, b), (None, near_b), (3, "an other text of three"),
+            (5, "one more text without a copy"), (5, bench), (None, bench + " "), (None, None), (None, ""), (7, "!!"), (7, "!!")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    def left(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    got = left(P.near(spark, docs, sf))
+    # one of the two null ids that are near to each other stays, and of the others all
+    gone = [r for r in rows if r not in got]
+    assert (None, near_b) in gone and len(got) == len(rows) - 3 and ((None, a) in gone) != ((None, near_a) in gone)
+    assert {(5, bench), (None, bench + " ")} & set(gone) == {(None, bench + " ")}
+    assert left(P.decontaminate(spark, docs, sf)) == sorted([r for r in rows if bench not in (r[1] or "")], key=repr)

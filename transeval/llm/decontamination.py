@@ -130,6 +130,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A word is hit if it is inside any occurrence of a phrase. Null texts, and items without
     words, have none. Other columns of either table are not read.
     """
+    return documents_hit(docs, benchmark, id_col, text_col, item_col, item_text_col).drop("text_hash")
+
+
+def documents_hit(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """What ``contamination`` gives, and the hash of the text lower-cased in A-Z, so that
+    documents that share an id are told apart."""
     items = with_words(benchmark, item_col, item_text_col, "item_id").select("item_id", "words")
     found, owners = phrases(items)
     found, owners = found.select("phrase_id", "terms"), owners.select("phrase_id", "item_id")
@@ -147,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             .select(hits["doc_id"].alias("id_"), hits["text_hash"].alias("hash_"), "n_hit", "items"))
     out = lengths.join(both, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+    return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                       F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
                       ((n_hit > 0) & (n_hit * ONE_IN >= F.col("n_words"))).alias("contaminated"))
 

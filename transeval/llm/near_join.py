@@ -39,7 +39,7 @@ STEP, TOLERANCE = 20, 1e-6
 BLOCK = 1024
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
-PRINTS = [("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))]
+PRINTS = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))]
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -91,7 +91,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, raw = band_keys(sk), iter(range(len(full)))
         rows = [next(raw) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays([
-            b.column(0), pa.array([None if i is None else node_of(s) for i, s in zip(rows, sets, strict=True)], pa.int64()),
+            b.column(0), b.column(2), pa.array([None if i is None else node_of(s) for i, s in zip(rows, sets, strict=True)], pa.int64()),
             pa.array(list(map(len, sets)), pa.int32()),
             pa.array([None if i is None else sk[i].tobytes() for i in rows], pa.binary()),
             pa.array([None if i is None else keys[i] for i in rows], pa.list_(pa.int64()))], names=[n for n, _ in PRINTS])
@@ -279,25 +279,22 @@ def _verify(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(cat(u), pa.int64()), pa.array(cat(v), pa.int64()), pa.array(cat(links), pa.int64())], names=["u", "v", "links"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_copies, n_links of each row of ``docs``.
-
-    Documents are linked if the Jaccard similarity of their shingle sets is at least 0.8.
-    ``class_id`` is the smallest id that links lead to, ``n_copies`` the rows with the same
-    set (this one too), ``n_links`` the other rows it is linked with, copies among them. A
-    null or empty text and one without words has no shingles: it is linked with nothing and
-    its own class. Rows that repeat are copies of each other. Other columns of ``docs`` are
-    not read.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, text_hash, class_no, class_id, n_copies, n_links of each row of ``docs``.
+    ``class_no`` tells classes apart whose ids are null, and is null for a text without
+    shingles; the rest is as ``near_duplicates`` has it.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    prints = written(rows.mapInArrow(_prints, "doc_id long, node long, n int, sketch binary, bands array<long>"), "prints")
+    hashed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    prints = written(hashed.mapInArrow(_prints, "doc_id long, text_hash long, node long, n int, sketch binary, bands array<long>"), "prints")
     # copies are counted by each task before they are shuffled; equal sets have equal
     # sketches, so any of them will do
     sets = (prints.filter(F.col("node").isNotNull()).groupBy("node", "n")
-            .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")))
-    known = written(sets, "sets")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_"), "doc_id", "text_hash")).alias("first"),
+                 F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")))
+    known = written(sets.select("node", "n", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "copies", "sketch"), "sets")
     keys = prints.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("key")).distinct()
     hubs = (keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m"))
             .filter("m > 1").select(F.col("key").alias("key_"), "hub"))
@@ -311,11 +308,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = (dealt(members(suggested), "root", bins, block).select("task", "side", "root", "node", "n", "sketch")
             .groupBy("task").applyInArrow(_prune, "u long, v long"))
     finer = components(left)
-    chosen = members(finer, "copies", "first_id")
-    texts = rows.select(F.col("doc_id").alias("id_"), F.col("text"))
-    # an id that several rows share may fetch other texts as well: the set tells them apart;
-    # of repeated rows one stays, as a set must meet each other set once
-    with_text = (chosen.join(texts, F.col("first_id").eqNullSafe(F.col("id_"))).drop("id_", "first_id"))
+    chosen = members(finer, "copies", "first_id", "first_hash")
+    texts = hashed.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "text")
+    # the set's first row, by id and text, so that ids that many rows share, null among them,
+    # fetch one text; of repeated rows one stays, as a set must meet each other set once
+    with_text = (chosen.join(texts, F.col("first_id").eqNullSafe(F.col("id_")) & (F.col("first_hash") == F.col("hash_")))
+                 .drop("id_", "hash_", "first_id", "first_hash"))
     single = _of_set(with_text).dropDuplicates(["node"])
     links = written(dealt(single, "root", bins, block).select("task", "side", "root", "node", "n", "copies", "sketch", "text")
                     .groupBy("task").applyInArrow(_verify, "u long, v long, links long"), "verified")
@@ -328,13 +326,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select("node", "first_id", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     least = joined.groupBy("root").agg(F.min("first_id").alias("class_id")).withColumnRenamed("root", "r_")
     result = (joined.join(least, F.col("root") == F.col("r_"))
-              .select(F.col("node").alias("n_"), "class_id", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.col("links")).alias("n_links")))
+              .select(F.col("node").alias("n_"), F.col("root").alias("class_no"), "class_id", F.col("copies").alias("n_copies"), (F.col("copies") - 1 + F.col("links")).alias("n_links")))
     alone: Column = F.col("n_").isNull()
-    return (prints.select("doc_id", "node").join(result, F.col("node") == F.col("n_"), "left")
-            .select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return (prints.select("doc_id", "text_hash", "node").join(result, F.col("node") == F.col("n_"), "left")
+            .select("doc_id", "text_hash", "class_no", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                     F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, n_copies, n_links of each row of ``docs``.
+
+    Documents are linked if the Jaccard similarity of their shingle sets is at least 0.8.
+    ``class_id`` is the smallest id that links lead to, ``n_copies`` the rows with the same
+    set (this one too), ``n_links`` the other rows it is linked with, copies among them. A
+    null id is never the smallest, so a class of null ids alone has a null ``class_id``. A
+    null or empty text and one without words has no shingles: it is linked with nothing and
+    its own class. Rows that repeat are copies of each other. Other columns of ``docs`` are
+    not read.
+    """
+    return classes(docs, id_col, text_col, block).select("doc_id", "class_id", "n_copies", "n_links")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, text_hash, single: the document that stands for each class, the one with the
+    smallest id (null ids last, then by the hash of the text), and every one without shingles
+    (``single`` is false: rows that repeat it are no copies of each other)."""
+    found = classes(docs, id_col, text_col, block)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null_"), F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")))
+    chosen = found.filter(F.col("class_no").isNotNull()).groupBy("class_no").agg(best.alias("b"))
+    alone = found.filter(F.col("class_no").isNull()).select("doc_id", "text_hash").distinct()
+    return (chosen.select(F.col("b.id_").alias("doc_id"), F.col("b.hash_").alias("text_hash"), F.lit(True).alias("single"))
+            .unionByName(alone.withColumn("single", F.lit(False))))
+
+
 def _of_set(rows: DataFrame) -> DataFrame:
     """Rows whose text is of the set named."""
     schema = rows.schema
