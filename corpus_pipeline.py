@@ -12,7 +12,7 @@ The first four return the columns of their input, whatever these are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transeval.llm import bpe, decontamination, exact_dedup, language_id, near_join
@@ -25,11 +25,11 @@ from transeval.llm.shards import NULL_ID
 CLEAR = 0.4
 
 
-def without(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """``docs`` but for the ids of ``out``; a null id is an id like any other."""
-    key = unused(docs, "out_id")
-    gone = out.select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+def keyed(docs: DataFrame, digest: Column) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns that name a row: its id (a null one like any other) and a
+    digest of its text."""
+    key, text = unused(docs, "row_id"), unused(docs, "row_text")
+    return docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), text: digest}), key, text
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,25 +44,34 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal after lower-casing A-Z, the row with the largest id; rows that repeat
     id and text stay as one."""
     found = exact_dedup.exact_duplicates(docs)
-    digest, key, nth = (unused(docs, n) for n in ("digest", "kept_id", "nth"))
+    named, key, digest = keyed(docs, F.sha2(ascii_lower(F.col("text")), 256))
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     kept = found.filter("kept").select(known.alias(key), F.col("text_sha256").alias(digest)).distinct()
-    named = docs.withColumns({key: known, digest: F.sha2(ascii_lower(F.col("text")), 256)})
     # the join leaves equal keys together, so the first of repeated rows is found in place
+    nth = unused(named, "nth")
     first = F.row_number().over(Window.partitionBy(key, digest).orderBy(key))
     return named.join(kept, [key, digest], "left_semi").withColumn(nth, first).filter(F.col(nth) == 1).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id."""
-    found = near_join.near_duplicates(docs)
-    return without(docs, found.filter("class_id <> doc_id"))
+    """Of each class of near duplicates, the document with the smallest id (null ids last, then
+    by the text's hash). Documents are told apart by id and text; rows that repeat both stay as
+    one, but for those without words, which are near to nothing and all stay."""
+    named, key, digest = keyed(docs, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    single, nth = unused(named, "single"), unused(named, "nth")
+    chosen = near_join.representatives(docs)
+    kept = chosen.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(key), F.col("text_hash").alias(digest), F.col("single").alias(single))
+    first = F.row_number().over(Window.partitionBy(key, digest).orderBy(key))
+    return (named.join(kept, [key, digest]).withColumn(nth, first).filter(~F.col(single) | (F.col(nth) == 1)).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark of ``sf_dir``."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.filter("contaminated"))
+    """Documents that are not contaminated by the benchmark of ``sf_dir``, told apart by id
+    and text."""
+    found = decontamination.documents_hit(docs, table(spark, sf_dir, "benchmark"))
+    named, key, digest = keyed(docs, F.xxhash64(ascii_lower(F.col("text"))))
+    gone = found.filter("contaminated").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(key), F.col("text_hash").alias(digest))
+    return named.join(gone, [key, digest], "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
