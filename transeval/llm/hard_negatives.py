@@ -147,8 +147,9 @@ class _Cell:
         self.anchor_ids, self.anchor_labels = anchors.column("vec_id").to_numpy(), anchors.column("label").to_numpy()
         self.ids, self.labels = rows.column("vec_id").to_numpy(), rows.column("label").to_numpy()
 
-    def blocks(self, anchors: np.ndarray, rows: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, np.ndarray]]:
-        """(anchor, its scores with these rows) of these anchors."""
+    def blocks(self, anchors: np.ndarray, rows: np.ndarray, size: int = 1 << 16) -> Iterator[tuple[int, np.ndarray]]:
+        """(anchor, its scores with these rows) of these anchors, so many at a time that what
+        they add up stays in a processor's cache."""
         if not len(anchors) or not len(rows):
             return
         some = self.anchor_parts[anchors]
