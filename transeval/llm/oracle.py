@@ -108,9 +108,16 @@ LLM_ORACLE: dict[str, str] = {
         m AS (SELECT doc_id, item_id, k, ph.n FROM dw JOIN ph ON dw.n = ph.n AND dw.win = ph.win),
         hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
         own AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM m GROUP BY doc_id)
+        , forms AS (SELECT row_number() OVER (ORDER BY win) AS ph, win, string_split(win, ' ') AS ts, n FROM (SELECT DISTINCT win, n FROM ph)),
+        pt AS (SELECT ph, n, o, ts[o] AS term FROM (SELECT ph, n, ts, unnest(range(1, n + 1)) AS o FROM forms)),
+        mv AS (SELECT DISTINCT doc_id, ph, n, o, k - o AS d FROM (SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) AS k FROM docs) w JOIN pt USING (term)),
+        whole AS (SELECT doc_id, ph FROM mv GROUP BY doc_id, ph, n HAVING count(DISTINCT o) = n),
+        close AS (SELECT DISTINCT doc_id, ph FROM (SELECT doc_id, ph, d - j AS s FROM mv JOIN whole USING (doc_id, ph), range(0, 2 + 1) r(j)
+                  GROUP BY doc_id, ph, n, s HAVING count(DISTINCT o) = n)),
+        nears AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close JOIN forms USING (ph) JOIN ph USING (win) GROUP BY doc_id)
         SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
-        FROM docs d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN own ON d.doc_id = own.doc_id
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM docs d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN own ON d.doc_id = own.doc_id LEFT JOIN nears ON d.doc_id = nears.doc_id
     """,
     "op9_bayes_near_join": f"""
         WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
