@@ -66,12 +66,19 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, instead_of: list[str] | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: the lineage ends
-    here, and every machine can read the rows after others are lost."""
+    here, and every machine can read the rows after others are lost. ``instead_of`` lists the
+    folders of the tables before, which nothing needs once this one is whole: they are
+    removed, and the list is the new folder's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if instead_of is not None:
+        for old in instead_of:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        instead_of[:] = [path]
     return spark.read.schema(df.schema).parquet(path)
 
 

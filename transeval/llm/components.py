@@ -16,12 +16,14 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of each node of ``links`` (u, v: long); the root is the smallest node of
     its component. No row has to hold more than one link, so neither a node with very many
-    links nor a large component gathers anywhere; each round is written to the shared folder.
+    links nor a large component gathers anywhere; each round is written to the shared folder,
+    in place of the one before.
 
     A round links each larger neighbour of a node to the node's smallest neighbour, then
     each node's smaller neighbours to the smallest of them, until nothing changes.
     """
-    edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    kept: list[str] = []  # a round needs the round before alone
+    edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", kept)
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         root = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         small = large.join(root, F.col("u") == F.col("n")).select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = written(small.distinct(), "links")
+        edges = written(small.distinct(), "links", kept)
         after = _state(edges)
         if after == before:
             break
