@@ -106,6 +106,16 @@ def test_written_documents_are_read_back(spark, tmp_path):
     assert sorted(map(repr, back.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
 
 
+def test_documents_keep_names_that_look_like_numbers(spark, tmp_path):
+    v = spark.createDataFrame([(m, t, "t", "0", "success") for m in ("007", "1e5") for t in ("0.20", "0.2")],
+                              "model string, temperature string, task_id string, completion_id string, verdict string")
+    out = str(tmp_path / "docs")
+    rs.write_result_documents(rs.result_documents(v, ["model", "temperature"]), out, ["model", "temperature"])
+    back = rs.read_result_lines(spark, out)
+    assert sorted((r.model, r.temperature) for r in back.collect()) == [("007", "0.2"), ("007", "0.20"), ("1e5", "0.2"), ("1e5", "0.20")]
+    assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == "true"
+
+
 def test_latest_version_keeps_large_numbers_and_any_label(spark):
     big = 1_800_000_000_000_000_001
     rows = [("t", big, "flaky"), ("t", big - 1, "success"), ("u", 1, None)]

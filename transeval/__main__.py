@@ -28,7 +28,7 @@ from transeval import constants as K
 from transeval import jobs
 from transeval.operators.sanitize import sanitize_summary
 from transeval.operators.verdict import tests_from_tasks
-from transeval.session import get_session, scale_settings
+from transeval.session import get_session, partitions_as_text, scale_settings
 from transeval.sources import samples as sm
 
 
@@ -90,18 +90,20 @@ def main(argv=None) -> None:
         counted = sanitize_summary(spark.read.schema(cleaned.schema).parquet(args.out), [x for x in cfg if x in cleaned.columns])
         keep_and_show(counted, args.out.rstrip("/") + "_summary")
     elif args.job == "check":
-        tasks, samples = spark.read.parquet(args.tasks), spark.read.parquet(args.samples)
-        rep, summary, comp = jobs.check(tasks, samples, spark.read.parquet(args.compiled), cfg, args.nsample)
+        with partitions_as_text(spark):
+            tasks, samples, compiled = (spark.read.parquet(p) for p in (args.tasks, args.samples, args.compiled))
+        rep, summary, comp = jobs.check(tasks, samples, compiled, cfg, args.nsample)
         rep.write.mode("errorifexists").parquet(os.path.join(args.out, "completeness"))
         keep_and_show(summary, os.path.join(args.out, "summary"))
         keep_and_show(comp, os.path.join(args.out, "compile_report"))
     else:
-        tasks, samples = spark.read.parquet(args.tasks), spark.read.parquet(args.samples)
+        with partitions_as_text(spark):
+            tasks, samples, log = (spark.read.parquet(p) for p in (args.tasks, args.samples, args.exec_log))
         tests = tests_from_tasks(tasks, ("dataset", "task_id") if "dataset" in tasks.columns else ("task_id",))
         if "language" in tasks.columns:
             tasks = tasks.withColumnRenamed("language", "source_lang")
         run_cfg = [c for c in cfg if c in samples.columns]
-        found = jobs.evaluate_into(args.out, samples, tasks, tests, spark.read.parquet(args.exec_log), run_cfg, budget=args.budget,
+        found = jobs.evaluate_into(args.out, samples, tasks, tests, log, run_cfg, budget=args.budget,
                                    rerun=args.rerun, once=args.once)
         show(found.problems)
         show(found.board)

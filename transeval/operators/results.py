@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, MapType, StringT
 
 from transeval.functions.metrics import date_label
 from transeval.operators.ordered import position_in_group
+from transeval.session import partitions_as_text
 from transeval.sources import commits
 
 TASK_RESULT = StructType([
@@ -98,9 +99,10 @@ def read_result_documents(spark, path: str) -> DataFrame:
 
 
 def read_result_lines(spark, path: str) -> DataFrame:
-    """What ``write_result_documents`` wrote, as verdict rows: the config columns, date,
-    task_id, nfiles, the position in the task's order and the verdict."""
-    lines = spark.read.text(path)
+    """What ``write_result_documents`` wrote, as verdict rows: the config columns (as text),
+    date, task_id, nfiles, the position in the task's order and the verdict."""
+    with partitions_as_text(spark):
+        lines = spark.read.text(path)
     cfg = [c for c in lines.columns if c != "value"]
     parsed = lines.select(*cfg, F.from_json("value", LINE_SCHEMA).alias("d"))
     flat = parsed.select(*cfg, "d.date", "d.task_id", "d.nfiles", "d.part", F.posexplode("d.base").alias("_i", "verdict"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -57,6 +59,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def partitions_as_text(spark: SparkSession) -> Iterator[None]:
+    """Within it, what names a partition's folder is read as text: a model ``007`` or a
+    temperature ``0.20`` is no number."""
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def scale_settings(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict:
     """Settings for a large run: scan splits and shuffle partitions of about
     ``partition_bytes`` each (fits an executor core's memory with room to spill), at
