@@ -45,6 +45,9 @@ def test_many_configurations(spark, tmp_path):
     rows = [(f"m{i}", "1", "t", str(k), "success") for i in range(30) for k in range(2)]
     rs.write_versioned(verdicts(spark, *rows), path, ["model", "temperature"])
     assert rs.read_latest(spark, path, ["model"]).groupBy("model").count().filter("count = 2").count() == 30
+    # rows of many tasks become a file or so for each configuration
+    rs.write_versioned(verdicts(spark, *rows).repartition(40), path, ["model", "temperature"])
+    assert len(list((tmp_path / "s").glob("write=*/part=*/version=2/*.parquet"))) <= 60
 
 
 def test_a_crash_before_the_commit_leaves_the_old_version(spark, tmp_path, monkeypatch):

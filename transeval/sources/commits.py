@@ -109,7 +109,9 @@ def put(rows: DataFrame, root: str, cfg: Sequence[str], bucket: Column, name: st
     write = f"w{uuid.uuid4().hex}"
     path = f"{root}/write={write}"
     kept = [c for c in rows.columns if c != "_next"]
-    rows.select(*kept, digest(cfg).alias("part"), bucket.alias(name)).write.partitionBy("part", name).parquet(path)
+    named = rows.select(*kept, digest(cfg).alias("part"), bucket.alias(name))
+    # a few files for each folder rather than one from each task; large folders are split
+    named.hint("rebalance", F.col("part"), F.col(name)).write.partitionBy("part", name).parquet(path)
     spark = rows.sparkSession
     try:
         back = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_path"))
