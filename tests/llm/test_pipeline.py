@@ -10,6 +10,8 @@ from transeval.llm import language_id
 from transeval.llm.common import table, written
 from transeval.llm.queries import tokenizer_path
 
+from test_scores import plain_posteriors
+
 
 @pytest.fixture(scope="module")
 def steps(spark, sf):
@@ -34,10 +36,26 @@ def test_columns(steps):
         assert after.columns == before.columns
 
 
-def test_language(steps):
+def test_language(spark, steps):
     _, before, after = steps[0]
-    found = {r.doc_id: r for r in language_id.identify(before, language_id.train(before)).collect()}
-    assert set(texts(after)) == {d for d, r in found.items() if r.lang_pred != "und" and r.score >= P.CLEAR}
+    field, kept = language_id.train(before), set()
+    for d, t in texts(before).items():
+        found = language_id.words_of(t or "")
+        if found and plain_posteriors(field, language_id.nodes_of(found)).max(1).mean() >= P.CLEAR:
+            kept.add(d)
+    assert set(texts(after)) == kept
+
+
+def test_texts_that_mix_languages_stay(spark, sf):
+    docs = table(spark, sf, "documents").filter("lang is not null and length(text) > 400")
+    by_lang = {r.lang: r.text for r in docs.collect()}
+    parts = [" ".join(t.split()[:60]) for _, t in sorted(by_lang.items())]
+    assert len(parts) >= 3
+    mixed = [(10**6 + k, " ".join(parts[:k])) for k in range(1, len(parts) + 1)] + [(10**7, "12 - 34 !"), (10**7 + 1, None)]
+    rows = table(spark, sf, "documents").unionByName(
+        spark.createDataFrame(mixed, "doc_id long, text string"), allowMissingColumns=True)
+    left = {r.doc_id for r in P.language(spark, rows, sf).collect()}
+    assert {d for d, _ in mixed if d < 10**7} <= left and not {10**7, 10**7 + 1} & left
 
 
 def test_exact(steps):

@@ -101,7 +101,9 @@ def candidates(index: DataFrame, rare: DataFrame, slop: int = SLOP) -> DataFrame
     at most ``slop`` words on. Rows that repeat a document repeat its postings, so distinct
     offsets are counted, as bits."""
     mine = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("offset")))
-    lists = moved_back(index, rare).groupBy(*KEY, "phrase_id", "start").agg(mine.alias("bits"), F.max("needed").alias("needed"))
+    # what follows needs the rows of a document together: they are dealt once
+    moved = moved_back(index, rare).repartition(*KEY)
+    lists = moved.groupBy(*KEY, "phrase_id", "start").agg(mine.alias("bits"), F.max("needed").alias("needed"))
     near = Window.partitionBy(*KEY, "phrase_id").orderBy("start").rangeBetween(0, slop)
     return lists.withColumn("met", F.bit_count(F.bit_or("bits").over(near))).filter(F.col("met") == F.col("needed")).select(*KEY, "phrase_id", "start")
 

@@ -223,10 +223,10 @@ class _Emissions(dict):
         return i
 
 
-def label_texts(crf: LanguageCrf, texts: list[str], memory: _Emissions) -> list[tuple[str, float, int, int]]:
-    """(language, mean probability, words, changes of language from node to node) of each
-    text."""
-    out: list[tuple[str, float, int, int]] = []
+def label_texts(crf: LanguageCrf, texts: list[str], memory: _Emissions) -> list[tuple[str, float, int, int, float]]:
+    """(language, mean probability, words, changes of language from node to node, mean
+    probability of each node's own best language) of each text."""
+    out: list[tuple[str, float, int, int, float]] = []
     held: list[np.ndarray] = []
     counts: list[int] = []
 
@@ -243,11 +243,12 @@ def label_texts(crf: LanguageCrf, texts: list[str], memory: _Emissions) -> list[
             best = p.argmax(1)
         for s, n, many in zip(np.cumsum(sizes) - sizes, sizes, counts, strict=True):
             if not n:
-                out.append((UNKNOWN, 0.0, 0, 0))
+                out.append((UNKNOWN, 0.0, 0, 0, 0.0))
                 continue
             share = p[s:s + n].mean(0)
             i = int(share.argmax())
-            out.append((crf.labels[i], float(min(1.0, share[i])), many, int((best[s + 1:s + n] != best[s:s + n - 1]).sum())))
+            out.append((crf.labels[i], float(min(1.0, share[i])), many, int((best[s + 1:s + n] != best[s:s + n - 1]).sum()),
+                        float(min(1.0, p[s:s + n].max(1).mean()))))
         held.clear()
         counts.clear()
 
@@ -301,8 +302,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def with_language(docs: DataFrame, crf: LanguageCrf | None, lang: str, score: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the language of each text and its mean probability as further columns,
-    whose names it does not have yet; values as in ``identify``."""
+    """``docs`` with the language of each text, as in ``identify``, and how sure the field is of
+    its words as further columns, whose names it does not have yet. The latter is the mean
+    probability of each word's own best language, so it is high for a text that mixes
+    languages evenly as well, and low where words look like none."""
     spark = docs.sparkSession
     small_batches(spark)
     schema = docs.withColumn(lang, F.lit("")).withColumn(score, F.lit(0.0)).schema
@@ -314,8 +317,8 @@ def with_language(docs: DataFrame, crf: LanguageCrf | None, lang: str, score: st
         memory = _Emissions(model) if model else None
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
-            found = label_texts(model, texts, memory) if model else [(UNKNOWN, 0.0, 0, 0)] * len(texts)
-            more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            found = label_texts(model, texts, memory) if model else [(UNKNOWN, 0.0, 0, 0, 0.0)] * len(texts)
+            more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[4] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -340,8 +343,8 @@ def identify(docs: DataFrame, crf: LanguageCrf | None, id_col: str = "doc_id", t
         memory = _Emissions(model) if model else None
         for b in batches:
             texts = b.column(2).to_pylist()
-            found = label_texts(model, texts, memory) if model else [(UNKNOWN, 0.0, 0, 0)] * len(texts)
-            cols = list(zip(*found, strict=True)) if found else [[], [], [], []]
+            found = label_texts(model, texts, memory) if model else [(UNKNOWN, 0.0, 0, 0, 0.0)] * len(texts)
+            cols = list(zip(*found, strict=True)) if found else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
                 names=schema.names)
