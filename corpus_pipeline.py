@@ -1,7 +1,7 @@
 """The corpus pipeline: documents pass through ``STAGES`` in order, each written as a table
 and read again for the next.
 
-language       drops documents without letters and those whose best language is not clear
+language       drops documents without letters and those whose words look like no language
 exact_dedup    keeps, of equal texts, the row with the largest id
 near_dedup     keeps one document of each class of near duplicates
 decontaminate  drops documents of which one word in twenty is inside a benchmark phrase
@@ -20,8 +20,8 @@ from transeval.llm.common import ascii_lower, table, unused, written
 from transeval.llm.queries import tokenizer_path
 from transeval.llm.shards import NULL_ID
 
-#: A language is clear if its mean probability over the words of a text reaches this. Four
-#: languages are known, so a text that is half in another one still passes.
+#: Words are clear if the probability of each one's own best language reaches this on average,
+#: so a text passes however many languages it mixes.
 CLEAR = 0.4
 
 
@@ -33,7 +33,7 @@ def keyed(docs: DataFrame, digest: Column) -> tuple[DataFrame, str, str]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a clear language; texts without letters go. The field is fitted on the
+    """Documents whose words are clear; texts without letters go. The field is fitted on the
     documents given, outside its held-out fold."""
     lang, score = unused(docs, "found_lang"), unused(docs, "found_score")
     found = language_id.with_language(docs, language_id.train(docs), lang, score)
