@@ -223,7 +223,13 @@ class _Emissions(dict):
         return i
 
 
-def label_texts(crf: LanguageCrf, texts: list[str], memory: _Emissions) -> list[tuple[str, float, int, int, float]]:
+def label_texts(crf: LanguageCrf, texts: list[str], memory: _Emissions) -> list[tuple[str, float, int, int]]:
+    """(language, mean probability, words, changes of language from node to node) of each
+    text."""
+    return [x[:4] for x in judged_texts(crf, texts, memory)]
+
+
+def judged_texts(crf: LanguageCrf, texts: list[str], memory: _Emissions) -> list[tuple[str, float, int, int, float]]:
     """(language, mean probability, words, changes of language from node to node, mean
     probability of each node's own best language) of each text."""
     out: list[tuple[str, float, int, int, float]] = []
@@ -317,7 +323,7 @@ def with_language(docs: DataFrame, crf: LanguageCrf | None, lang: str, score: st
         memory = _Emissions(model) if model else None
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
-            found = label_texts(model, texts, memory) if model else [(UNKNOWN, 0.0, 0, 0, 0.0)] * len(texts)
+            found = judged_texts(model, texts, memory) if model else [(UNKNOWN, 0.0, 0, 0, 0.0)] * len(texts)
             more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[4] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
 
@@ -343,8 +349,8 @@ def identify(docs: DataFrame, crf: LanguageCrf | None, id_col: str = "doc_id", t
         memory = _Emissions(model) if model else None
         for b in batches:
             texts = b.column(2).to_pylist()
-            found = label_texts(model, texts, memory) if model else [(UNKNOWN, 0.0, 0, 0, 0.0)] * len(texts)
-            cols = list(zip(*found, strict=True)) if found else [[], [], [], [], []]
+            found = label_texts(model, texts, memory) if model else [(UNKNOWN, 0.0, 0, 0)] * len(texts)
+            cols = list(zip(*found, strict=True)) if found else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
                 names=schema.names)
