@@ -90,10 +90,32 @@ def test_one_of_several_creators_is_first(spark, tmp_path):
     [t.start() for t in threads]
     [t.join() for t in threads]
     first = [i for i, ok in won if ok]
-    assert len(first) >= 1 and len(won) == 6
+    assert len(first) == 1 and len(won) == 6
     assert not files.create_only(spark, str(tmp_path / "r.json"), "late")
-    assert (tmp_path / "r.json").read_text().startswith("text ")
-    assert [x for x in files.children(spark, str(tmp_path)) if not x.endswith(".crc")] == ["r.json"]
+    assert (tmp_path / "r.json").read_text() == f"text {first[0]}" == files.read_text(spark, str(tmp_path / "r.json"))
+    assert files.children(spark, str(tmp_path)) == ["r.json"]
+
+
+def test_creation_by_renaming(spark, tmp_path, monkeypatch):
+    """The way of file systems that are not local."""
+    class Scheme:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def getUri(self):  # noqa: N802
+            uri = self.fs.getUri()
+            return uri if calls.append(1) or len(calls) % 2 == 0 else type("U", (), {"getScheme": lambda _: "other"})()
+
+    calls: list[int] = []
+    real = files._file_system
+    monkeypatch.setattr(files, "_file_system", lambda s, p: (*(x := real(s, p))[:3], Scheme(x[3])))
+    path = str(tmp_path / "log" / "r.json")
+    assert files.create_only(spark, path, "first é") and not files.create_only(spark, path, "second")
+    assert (tmp_path / "log" / "r.json").read_text() == "first é"
+    assert [x for x in files.children(spark, str(tmp_path / "log")) if not x.endswith(".crc")] == ["r.json"]
 
 
 def test_types_that_changed_between_runs_are_read_as_text(spark, tmp_path):

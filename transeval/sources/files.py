@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -16,8 +17,11 @@ def _file_system(spark: SparkSession, path: str):
 
 def create_only(spark: SparkSession, path: str, text: str) -> bool:
     """Write a small file whole, or not at all: False where it is there already. The text is
-    written aside and renamed without overwriting, which one of several writers can do."""
+    written aside and renamed without overwriting (in a local folder: linked), which one of
+    several writers can do."""
     jvm, conf, target, fs = _file_system(spark, path)
+    if fs.getUri().getScheme() == "file":
+        return _linked(str(target.toUri().getPath()), text)
     aside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
     out = fs.create(aside, False)
     out.write(bytearray(text.encode()))
@@ -36,6 +40,21 @@ def create_only(spark: SparkSession, path: str, text: str) -> bool:
             fs.delete(aside, False)
 
 
+def _linked(path: str, text: str) -> bool:
+    folder = os.path.dirname(path)
+    os.makedirs(folder, exist_ok=True)
+    aside = os.path.join(folder, f".{uuid.uuid4().hex}")
+    with open(aside, "w", encoding="utf-8") as f:
+        f.write(text)
+    try:
+        os.link(aside, path)
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        os.unlink(aside)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     _, _, p, fs = _file_system(spark, path)
     return fs.exists(p)
