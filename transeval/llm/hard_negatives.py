@@ -33,8 +33,9 @@ SCALE = 256
 #: Scores in percent of the positive's between which a negative is hard.
 LOWEST, HIGHEST = 80, 100
 POSITIVES, NEGATIVES = 5, 5
-#: Rows of a block of candidates and of anchors.
-CANDIDATE_BLOCK, ANCHOR_BLOCK, LEAST_BLOCK = 1 << 16, 1 << 13, 1 << 10
+#: Rows of a block of candidates and of anchors: some tens of MB each in a task. A row moves once
+#: for each block of the other side, so blocks of anchors, which are few, are as large.
+CANDIDATE_BLOCK, ANCHOR_BLOCK, LEAST_BLOCK = 1 << 16, 1 << 16, 1 << 10
 WORD_BITS = 63
 #: Cells beyond this number share tasks.
 MOST_TASKS = 20_000
