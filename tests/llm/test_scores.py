@@ -2,6 +2,7 @@
 each formula word by word."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -75,3 +76,28 @@ def test_quality_is_the_softmax_of_the_mean_vector(spark, docs):
         z = hidden @ layer + bias
         p = math.exp(z[1]) / (math.exp(z[0]) + math.exp(z[1]))
         assert abs(got[r.doc_id].score - p) < 1e-6 and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+
+
+def test_language_features_side_by_side():
+    """Emission scores found for many words at once are those of one word at a time."""
+    rnd = random.Random(4)
+    crf = language_id.LanguageCrf(["a", "b", "c"], {"ab": (0, 2), "é": (1,), "x" * 64: (2,)})
+    crf.emit[:] = np.random.default_rng(1).normal(size=crf.emit.shape)
+    words = sorted({"".join(rnd.choice("abcxyzéßñ日本\U00020000") for _ in range(rnd.choice([1, 2, 3, 5, 9, 64]))) for _ in range(500)} | {"ab", "é", "x" * 64})
+    memory = language_id._Emissions(crf)
+    memory.learn([words[:10], [], words])
+    assert len(memory) == len(words)
+    for w in words:
+        assert memory.table[memory[w]].tolist() == crf.emit[crf.features(w)].sum(0).tolist()
+
+
+def test_quality_features_side_by_side():
+    """Scores of words found together are those of one word at a time; long words are not kept."""
+    rnd = random.Random(5)
+    projection = np.random.default_rng(2).normal(size=quality.BUCKETS)
+    words = sorted({"".join(rnd.choice("abcxyzéß日\U00020000<>") for _ in range(rnd.choice([1, 2, 3, 9, 64, 70, 300]))) for _ in range(400)})
+    memory, single = quality._WordScores(projection), quality._WordScores(projection)
+    memory.learn([words, words[:5], []])
+    assert set(memory) == {w for w in words if len(w) <= quality.KEPT_WORD}
+    for w in words:
+        assert memory[w].imag == single[w].imag and abs(memory[w].real - single[w].real) < 1e-9

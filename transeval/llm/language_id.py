@@ -18,6 +18,7 @@ import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import category_ranges, fold, reach, small_batches, training_sample
+from .crc import Joined
 
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
@@ -39,6 +41,9 @@ LONGEST_CHAIN = 1 << 16
 #: Letters of one node at most.
 PIECE = 64
 CACHE_WORDS = 250_000
+#: Words whose emission scores are found together.
+LEARNED = 1 << 13
+AFFIXES, GRAMS = (1, 2, 3), (2, 3)
 
 
 @functools.cache
@@ -71,11 +76,45 @@ class LanguageCrf:
 
     def features(self, word: str) -> list[int]:
         marked = f"^{word}$"
-        names = [f"p{n}{word[:n]}" for n in (1, 2, 3)] + [f"s{n}{word[-n:]}" for n in (1, 2, 3)]
-        names += [marked[i:i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
+        names = [f"p{n}{word[:n]}" for n in AFFIXES] + [f"s{n}{word[-n:]}" for n in AFFIXES]
+        names += [marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
         names += [f"lex{label}" for label in self.lexicon.get(word, ())]
         return [crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names]
 
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Sums of the weights of each word's ``features``, found side by side and added in
+        their order."""
+        joined = Joined(words, "^", "$")
+        inner, end = joined.first + 1, joined.first + joined.size - 1
+        found = [joined.crc(inner, np.minimum(inner + n, end), crc32(b"p%d" % n)) for n in AFFIXES]
+        found += [joined.crc(np.maximum(end - n, inner), end, crc32(b"s%d" % n)) for n in AFFIXES]
+        of_word, nth = [np.arange(len(words))] * len(found), [np.full(len(words), i) for i in range(len(found))]
+        many = np.full(len(words), len(found))
+        for n in GRAMS:
+            word, i, at = joined.grams(n)
+            found.append(joined.crc(at, at + n))
+            of_word.append(word)
+            nth.append(many[word] + i)
+            many += np.maximum(joined.size - n + 1, 0)
+        listed = [(i, many[i] + j, crc32(f"lex{label}".encode())) for i, w in enumerate(words) for j, label in enumerate(self.lexicon.get(w, ()))]
+        if listed:
+            for x, more in zip((of_word, nth, found), np.array(listed, np.int64).T, strict=True):
+                x.append(more)
+        # the words of the most features first, so those with an n-th feature are the first ones
+        of_word, nth, found = np.concatenate(of_word), np.concatenate(nth), np.concatenate(found).astype(np.int64) % BUCKETS
+        size = np.bincount(of_word, minlength=len(words))
+        by_size = np.argsort(-size, kind="stable")
+        rank = np.empty_like(by_size)
+        rank[by_size] = np.arange(len(words))
+        having = np.bincount(nth)
+        start = np.cumsum(having) - having
+        laid = np.empty_like(found)
+        laid[start[nth] + rank[of_word]] = found
+        total = np.zeros((len(words), self.emit.shape[1]), self.emit.dtype)
+        for at, n in zip(start, having, strict=True):
+            total[:n] += self.emit[laid[at:at + n]]
+        return total[rank]
+
     def fit(self, rows: list[tuple[str, str]], seed: int = 11) -> LanguageCrf:
         """``rows``: (text, language)."""
         rng = np.random.default_rng(seed)
@@ -214,13 +253,15 @@ class _Emissions(dict):
         super().__init__()
         self._crf, self.table = crf, np.zeros((1024, len(crf.labels)), np.float32)
 
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i >= len(self.table):
+    def learn(self, texts: list[list[str]]) -> None:
+        """Adds all words of ``texts`` that are not there yet."""
+        new = list(set().union(*texts).difference(self))
+        while len(self) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[i] = self._crf.emit[self._crf.features(word)].sum(0)
-        self[word] = i
-        return i
+        for i in range(0, len(new), LEARNED):
+            some, at = new[i:i + LEARNED], len(self)
+            self.table[at:at + len(some)] = self._crf.emissions(some)
+            self.update(zip(some, range(at, at + len(some)), strict=True))
 
 
 def label_texts(crf: LanguageCrf, texts: list[str], memory: _Emissions) -> list[tuple[str, float, int, int]]:
@@ -233,13 +274,16 @@ def judged_texts(crf: LanguageCrf, texts: list[str], memory: _Emissions) -> list
     """(language, mean probability, words, changes of language from node to node, mean
     probability of each node's own best language) of each text."""
     out: list[tuple[str, float, int, int, float]] = []
-    held: list[np.ndarray] = []
+    held: list[list[str]] = []
     counts: list[int] = []
 
     def flush() -> None:
         sizes = np.array([len(h) for h in held])
         if sizes.sum():
-            ids = np.concatenate(held)
+            if len(memory) >= CACHE_WORDS:
+                memory.clear()
+            memory.learn(held)
+            ids = np.fromiter(map(memory.__getitem__, chain.from_iterable(held)), np.int64, sizes.sum())
             e = memory.table[ids]
             first = np.zeros(len(ids), bool)
             start = np.cumsum(sizes) - sizes
@@ -263,15 +307,11 @@ def judged_texts(crf: LanguageCrf, texts: list[str], memory: _Emissions) -> list
         w = words_of(t)
         counts.append(len(w))
         w = nodes_of(w)
-        held.append(np.fromiter(map(memory.__getitem__, w), np.int64, len(w)))
+        held.append(w)
         total += len(w)
         if total >= LONGEST_CHAIN:
             flush()
             total = 0
-        if len(memory) >= CACHE_WORDS:
-            flush()
-            total = 0
-            memory.clear()
     flush()
     return out
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, small_batches, training_sample
+from .crc import Joined, spans_crc
 
 FOLDS = 5
 #: Bounds of the training sample: rows and characters of text in all.
@@ -30,6 +31,10 @@ NGRAMS = (2, 3, 4)
 #: N-grams of longer words are hashed by numpy, so many characters at a time.
 LONG_WORD, BLOCK = 200, 1 << 16
 CACHE_WORDS = 300_000
+#: Words of more characters are not kept.
+KEPT_WORD = 64
+#: Words of texts that are scored together, and of these whose features are found together.
+TOGETHER, LEARNED = 1 << 16, 1 << 13
 THRESHOLD = 0.3
 
 
@@ -52,16 +57,6 @@ def word_features(word: str) -> list[int]:
     return out
 
 
-def _crc_table() -> np.ndarray:
-    t = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
-    return t
-
-
-CRC_TABLE = _crc_table()
-
-
 def feature_blocks(word: str) -> Iterator[np.ndarray]:
     """The same as ``word_features``, in any order and in arrays of bounded size."""
     yield np.array([crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS])
@@ -73,12 +68,7 @@ def feature_blocks(word: str) -> Iterator[np.ndarray]:
             count = min(BLOCK, len(ends) - n)
             if count <= 0:
                 continue
-            a, z = ends[:count], ends[n:n + count]
-            crc = np.full(count, n ^ 0xFFFFFFFF, np.uint32)
-            for k in range(int((z - a).max())):
-                i = np.flatnonzero(a + k < z)
-                crc[i] = CRC_TABLE[(crc[i] ^ raw[a[i] + k]) & 0xFF] ^ (crc[i] >> 8)
-            yield (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % BUCKETS
+            yield spans_crc(raw, ends[:count], ends[n:n + count], n).astype(np.int64) % BUCKETS
 
 
 class SubwordClassifier:
@@ -156,10 +146,40 @@ class _WordScores(dict):
         v = complex(self._projection[f].sum(), len(f))
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if len(word) <= 64:
+        if len(word) <= KEPT_WORD:
             self[word] = v
         return v
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Finds the features of all words of ``texts`` not seen before side by side."""
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        new = [w for w in set().union(*texts).difference(self) if len(w) <= KEPT_WORD]
+        for i in range(0, len(new), LEARNED):
+            some = new[i:i + LEARNED]
+            joined = Joined(some, "<", ">")
+            whole = np.array([crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in some])
+            total, many = self._projection[whole], np.ones(len(some))
+            for n in NGRAMS:
+                word, _, at = joined.grams(n)
+                f = joined.crc(at, at + n, n) % BUCKETS
+                total = total + np.bincount(word, self._projection[f], len(some))
+                many += np.bincount(word, minlength=len(some))
+            self.update(zip(some, (total + 1j * many).tolist(), strict=True))
+
+
+def together(texts: pa.Array) -> Iterator[list[list[str]]]:
+    """The words of each text, of consecutive texts of about ``TOGETHER`` words at a time."""
+    some, total = [], 0
+    for t in texts:
+        some.append(t.as_py().split())
+        total += len(some[-1])
+        if total >= TOGETHER:
+            yield some
+            some, total = [], 0
+    if some:
+        yield some
+
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           max_rows: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> SubwordClassifier | None:
@@ -195,13 +215,13 @@ def score(docs: DataFrame, model: SubwordClassifier | None, id_col: str = "doc_i
         words, repeat = _WordScores(shared.value), float(shared.value[REPEAT])
         for b in batches:
             out = []
-            for t in b.column(2):
-                tokens = t.as_py().split()
-                again = repeats(tokens)
-                total = sum(map(words.__getitem__, tokens), complex(again * repeat, again))
-                z = bias + (total.real / total.imag if total.imag else 0.0)
-                out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-            s = np.array(out, np.float64)
+            for texts in together(b.column(2)):
+                words.learn(texts)
+                for tokens in texts:
+                    again = repeats(tokens)
+                    total = sum(map(words.__getitem__, tokens), complex(again * repeat, again))
+                    out.append(bias + (total.real / total.imag if total.imag else 0.0))
+            s = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -500, 500)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
