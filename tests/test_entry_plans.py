@@ -85,3 +85,21 @@ def test_minima_stay_hash_aggregates(spark, name):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_generated_methods_are_compiled(spark, capsys):
+    """The JVM compiles no method of more than 8000 bytes: making and comparing outputs stays below."""
+    import re
+
+    from transeval.functions.compare import with_outputs_match
+    from transeval.sources import bindings as B
+
+    pairs = spark.range(9).selectExpr("id || '.25' as a", "id || '.3' as b")
+    for df in (with_outputs_match(pairs, "a", "b", "m"), B.exec_log(spark, "/root/testdata/sf0.001")):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            df.explain("codegen")
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) <= 8000

@@ -78,35 +78,47 @@ def _sum(x: Column, y: Column) -> tuple[Column, Column]:
     return s, (x - (s - t)) + (y - t)
 
 
-ROUND_PARTS = ("_h", "_l", "_h1", "_l1", "_h2", "_l2", "_s", "_e", "_t", "_f")
-
-
-def with_rounded(df, value: str, digits: str, out: str):
-    """Adds ``value >= 0`` rounded to ``digits`` decimal places, half to even on the exact
-    binary value, in a form that two values rounded to the same places can be compared by:
-    beyond 22 places the result is in units of 10^(22 - digits), or negative where rounding
-    changes nothing.
+def _rounded(values: Column) -> Column:
+    """An array of structs of ``x >= 0`` and ``m`` to each ``x`` rounded to ``m`` decimal places,
+    half to even on the exact binary value, in a form that two values rounded to the same places
+    can be compared by: beyond 22 places the result is in units of 10^(22 - m), or negative where
+    rounding changes nothing.
 
     The value times the power of ten, in one factor or two, is kept exactly as a sum of
-    floats, so the sign of what lies beyond the half decides.
+    floats, so the sign of what lies beyond the half decides. Each step is a ``transform`` of the
+    one before, so it is made once, and a null array, which most rows have, costs nothing.
     """
     powers = F.array(*[F.lit(v) for v in EXACT_POWERS])
-    x, m = F.col(value), F.col(digits)
-    first = F.element_at(powers, F.least(m, F.lit(MOST)).cast("int") + 1)
-    second = F.element_at(powers, F.greatest(F.least(m - MOST, F.lit(MOST)), F.lit(0)).cast("int") + 1)
-    t = df
-    for (high, low), (a, b) in ((("_h", "_l"), (x, first)), (("_h1", "_l1"), (F.col("_h"), second)), (("_h2", "_l2"), (F.col("_l"), second))):
-        h, lack = _product(a, b)
-        t = t.withColumns({high: h, low: lack})
-    whole = F.floor("_h1").cast("double")
-    s, e = _sum(F.col("_l1"), F.col("_h2"))
-    t = t.withColumns({"_s": s, "_e": e})
-    total, lack = _sum(F.col("_h1") - whole - F.lit(0.5), F.col("_s"))
-    t = t.withColumns({"_t": total, "_f": lack})
-    beyond = F.when(F.col("_t") != 0, F.col("_t")).otherwise(F.col("_f") + F.col("_e") + F.col("_l2"))
-    up = F.when(beyond > 0, 1.0).when(beyond < 0, 0.0).otherwise(whole % 2)
-    same = F.when(m > MOST, -x).otherwise(x)
-    return t.withColumn(out, F.when(F.col("_h1") >= F.lit(NO_FRACTION), same).otherwise((whole + up) / first)).drop(*ROUND_PARTS)
+
+    def factors(r):
+        first = F.element_at(powers, F.least(r.m, F.lit(MOST)).cast("int") + 1)
+        second = F.element_at(powers, F.greatest(F.least(r.m - MOST, F.lit(MOST)), F.lit(0)).cast("int") + 1)
+        return F.struct(r.x.alias("x"), r.m.alias("m"), first.alias("first"), second.alias("second"))
+
+    def once(r):
+        high, low = _product(r.x, r.first)
+        return F.struct(r.x.alias("x"), r.m.alias("m"), r.first.alias("first"), r.second.alias("second"), high.alias("h"), low.alias("l"))
+
+    def twice(r):
+        (high, low), (more, less) = _product(r.h, r.second), _product(r.l, r.second)
+        return F.struct(r.x.alias("x"), r.m.alias("m"), r.first.alias("first"), high.alias("h"), low.alias("l"),
+                        more.alias("h2"), less.alias("l2"), F.floor(high).cast("double").alias("whole"))
+
+    def rest(r):
+        s, lack = _sum(r.l, r.h2)
+        return F.struct(r.x.alias("x"), r.m.alias("m"), r.first.alias("first"), r.h.alias("h"), r.whole.alias("whole"),
+                        r.l2.alias("l2"), s.alias("s"), lack.alias("e"))
+
+    def result(r):
+        total, lack = _sum(r.h - r.whole - F.lit(0.5), r.s)
+        beyond = F.when(total != 0, total).otherwise(lack + r.e + r.l2)
+        up = F.when(beyond > 0, 1.0).when(beyond < 0, 0.0).otherwise(r.whole % 2)
+        same = F.when(r.m > MOST, -r.x).otherwise(r.x)
+        return F.when(r.h >= F.lit(NO_FRACTION), same).otherwise((r.whole + up) / r.first)
+
+    for step in (factors, once, twice, rest, result):
+        values = F.transform(values, step)
+    return values
 
 
 def round_abs(x: Column, digits: int) -> Column:
@@ -154,7 +166,8 @@ def with_outputs_match(df, stdout: str, expected: str, out: str = "matched", std
 
     Equal texts match under each rule and are not parsed. Of two fractions that differ, one
     product each tells the rounded values, unless it is near a half or large: only these rows
-    are rounded exactly.
+    are rounded exactly, apart from the generated code of the others, which stays below the
+    8000 bytes of a method that the JVM compiles.
     """
     t = df if all(c in df.columns for c in EXPECTED_PARTS) else with_expected_parts(df, expected)
     t = t.withColumn("_sa", py_strip(F.col(stdout))).withColumn("_eq", F.coalesce(F.col("_sa") == F.col("_sb"), F.lit(False)))
@@ -169,14 +182,13 @@ def with_outputs_match(df, stdout: str, expected: str, out: str = "matched", std
     t = t.withColumn("_tx", F.abs(x) * F.col("_p")).withColumn("_ty", F.abs(y) * F.col("_p"))
     t = t.withColumn("_easy", (m <= MOST) & _sure(F.col("_tx")) & _sure(F.col("_ty")))
     hard = F.col("_p").isNotNull() & ~F.coalesce(F.col("_easy"), F.lit(False))
-    t = (t.withColumn("_ax", F.when(hard, _scaled_up(F.abs(x), m)))
-          .withColumn("_ay", F.when(hard, _scaled_up(F.abs(y), m))))
-    t = with_rounded(with_rounded(t, "_ax", "_m", "_rx"), "_ay", "_m", "_ry")
-    near = F.when(F.col("_easy"), F.floor(F.col("_tx") + F.lit(0.5)) == F.floor(F.col("_ty") + F.lit(0.5))).otherwise(F.col("_rx") == F.col("_ry"))
+    both = F.array(*[F.struct(_scaled_up(F.abs(v), m).alias("x"), m.alias("m")) for v in (x, y)])
+    t = t.withColumn("_r", _rounded(F.when(hard, both)))
+    near = F.when(F.col("_easy"), F.floor(F.col("_tx") + F.lit(0.5)) == F.floor(F.col("_ty") + F.lit(0.5))).otherwise(F.col("_r")[0] == F.col("_r")[1])
     res = (F.when(F.col("_eq"), F.lit(True))
            .when(whole, F.coalesce(x == (y - (y % 1)), F.lit(False)))
            .when(F.col("_p").isNotNull(), near & (F.col("_sa").startswith("-") == F.col("_sb").startswith("-")))
            .otherwise(F.lit(False)))
     if stdout_valid is not None:
         res = F.when(lit_col(stdout_valid), res).otherwise(F.lit(False))
-    return t.withColumn(out, res).drop("_sa", "_sb", "_eq", "_x", "_y", "_da", "_db", "_m", "_p", "_tx", "_ty", "_easy", "_ax", "_ay", "_rx", "_ry")
+    return t.withColumn(out, res).drop("_sa", "_sb", "_eq", "_x", "_y", "_da", "_db", "_m", "_p", "_tx", "_ty", "_easy", "_r")
